@@ -80,3 +80,26 @@ def sparse_geno(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_pheno(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("iid"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("y"))
+
+
+def layer_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of one hidden layer of 8 neurons over all markers, without biases."""
+    first = marker(spark, sf_dir).selectExpr("0 as layer", "marker as i", "explode(sequence(0, 7)) as j").withColumn(
+        "w", F.expr("((i * 7 + j * 13) % 11 - 5) / double(40)"))
+    second = first.select("j").distinct().selectExpr("1 as layer", "j as i", "0 as j").withColumn(
+        "w", F.expr("((i * 5) % 7 - 3) / double(5)"))
+    return first.unionByName(second)
+
+
+def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two covariates per individual in long form."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("iid"), F.expr("explode(map(0, double(label), 1, double(vec_id % 7)))").alias("cov", "value"))
+
+
+def region_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region lists of the four chromosomes: blocks of 8 markers every 4, ends exclusive."""
+    chroms = marker(spark, sf_dir).selectExpr("marker div 16 as file_no").groupBy("file_no").count()
+    return chroms.selectExpr("int(file_no) as file_no", "count", "explode(sequence(0, 2)) as row_no").selectExpr(
+        "file_no", "row_no", "4 * row_no as start_idx", "int(least(4 * row_no + 8, count)) as end_idx",
+        "file_no + row_no / double(10) as delta")

@@ -105,6 +105,8 @@ def project_out(full: np.ndarray, n_fixed: int) -> np.ndarray:
 def spectrum_from_products(ztz: np.ndarray, zty: np.ndarray, yty: float, n: float, n_fixed: int) -> Spectrum:
     """Marker side: products of projected, scaled markers and y."""
     m = len(ztz)
+    if not (np.isfinite(ztz).all() and np.isfinite(zty).all()):
+        raise ValueError("products of markers are not finite")
     values, vectors = np.linalg.eigh(ztz / m)
     keep = values > max(values.max(), 0.0) * 1e-10
     values, vectors = values[keep], vectors[:, keep]
