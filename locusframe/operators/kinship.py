@@ -60,27 +60,16 @@ def kinship_weighted(geno: DataFrame, weights: DataFrame, mode: str = "post", do
         "i", "j", (F.col("s") / F.lit(total)).alias("k"), F.lit(float(p)).alias("n_snps"))
 
 
-def _pair_distance_sq(products: DataFrame) -> DataFrame:
-    """Squared distances from products: ``g_ii + g_jj - 2 g_ij``. The diagonal is n rows."""
-    products = materialise(products)
-    diag = materialise(products.filter("i = j").select(F.col("i").alias("_d"), F.col("s").alias("_g")))
-    left = diag.select(F.col("_d").alias("i"), F.col("_g").alias("gi"))
-    right = diag.select(F.col("_d").alias("j"), F.col("_g").alias("gj"))
-    d2 = F.when(F.col("i") == F.col("j"), 0.0).otherwise(
-        F.greatest(F.col("gi") + F.col("gj") - 2 * F.col("s"), F.lit(0.0)))
-    return products.join(left, "i").join(right, "j").select("i", "j", d2.alias("d2"))
-
-
 def euclidean_distance(geno: DataFrame) -> DataFrame:
     """Euclidean distance of every two individuals' dosages, from exact integer products."""
-    return _pair_distance_sq(gram(geno, "iid", "marker", "dosage")).select("i", "j", F.sqrt("d2").alias("d"))
+    return gram(geno, "iid", "marker", "dosage", distance=True).select("i", "j", F.sqrt("s").alias("d"))
 
 
 def kinship_gaussian(geno: DataFrame, theta: float = 0.5) -> DataFrame:
     """Gaussian kernel of the distance between z-scored individuals, scaled by marker count."""
     cells, p = _scaled_cells(geno)
-    d2 = _pair_distance_sq(gram(cells, "iid", "marker", "dosage", scaled=True))
-    return d2.select("i", "j", F.exp(-F.col("d2") / F.lit(4.0 * p * theta * theta)).alias("k"),
+    d2 = gram(cells, "iid", "marker", "dosage", scaled=True, distance=True)
+    return d2.select("i", "j", F.exp(-F.col("s") / F.lit(4.0 * p * theta * theta)).alias("k"),
                      F.lit(float(p)).alias("n_snps"))
 
 

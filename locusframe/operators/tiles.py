@@ -5,13 +5,19 @@ numbers ``row div ROWS`` and ``col div COLS``, so no tile, and no group built he
 data or with how often a key occurs. A tile row also carries what its columns need to be
 standardised (mean and 1/sd), so z-scores are never shuffled.
 
-Products work on pairs of row blocks and slabs of column blocks: one task holds two row blocks and
-``SLAB_BYTES`` of tiles at a time. The n x n result is what a relationship matrix is; the unit of
-work and of shuffle is a pair of blocks, not a pair of individuals.
+The product of a table with itself works on pairs of super-blocks (up to ``SUPER`` row blocks
+each): tiles of a pair arrive sorted by column block and are multiplied as they stream by, so a task
+holds one accumulator and the tiles of one column block, however many columns there are. Larger
+super-blocks mean fewer copies of each tile: n rows cost ``n / (SUPER * ROWS)`` copies of one byte
+per genotype. Columns are cut into slabs only when there are too few pairs to keep the cluster
+busy. The n x n result is what a relationship matrix is; the unit of work and of shuffle is a pair
+of blocks, not a pair of individuals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +27,9 @@ from locusframe.session import materialise
 
 ROWS = 512
 COLS = 1024
-SLAB_BYTES = 64 << 20
+SUPER = 8
 STRIPE = 64
+MAX_TASKS = 1 << 15
 ABSENT = -128
 
 TILE_SCHEMA = "rb int, cb int, x binary, mu binary, inv binary"
@@ -81,84 +88,137 @@ def _block_counts(tiles: DataFrame) -> tuple[int, int]:
     return (0, 0) if top[0] is None else (top[0] + 1, top[1] + 1)
 
 
-def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFrame:
-    """``X X'`` of a stored tile table as long rows ``(i, j, s)`` with ``j <= i``.
-
-    Each tile goes once to every row block it meets; a group is one pair of row blocks and one
-    slab of columns. Where there is more than one slab the partial products are added stripe by
-    stripe, so a summing group is (number of slabs) x ``STRIPE`` rows.
+class _PairProduct:
+    """Running product of two super-blocks while their tiles stream by in column order."""
+
+    def __init__(self, hi: int, lo: int, span: int, rows: int, cols: int):
+        self.hi, self.lo, self.span, self.rows, self.cols = hi, lo, span, rows, cols
+        size = span * rows
+        self.acc = np.zeros((size, size))
+        self.norm = {hi: np.zeros(size), lo: np.zeros(size)}
+        self.seen = {hi: np.zeros(size, bool), lo: np.zeros(size, bool)}
+        self.cb, self.tiles = None, {}
+
+    def take(self, cb, rb, x, mu, inv):
+        if cb != self.cb:
+            self.fold()
+            self.cb = cb
+        values, present, _ = decode(x, mu, inv, self.rows, self.cols)
+        block, at = rb // self.span, (rb % self.span) * self.rows
+        self.tiles[(block, at)] = values
+        self.norm[block][at:at + self.rows] += np.einsum("ij,ij->i", values, values)
+        self.seen[block][at:at + self.rows] |= present
+
+    def fold(self):
+        r = self.rows
+        for (block, at), left in self.tiles.items():
+            if block != self.hi:
+                continue
+            for (other, to), right in self.tiles.items():
+                if other == self.lo and (self.hi != self.lo or to <= at):
+                    self.acc[at:at + r, to:to + r] += left @ right.T
+        self.tiles = {}
+
+    def stripes(self, distance: bool):
+        """(first row, values, rows present, columns present) of every stripe with a present row."""
+        self.fold()
+        hi, lo = self.hi, self.lo
+        for first in range(0, len(self.acc), STRIPE):
+            rows = slice(first, first + STRIPE)
+            if self.seen[hi][rows].any():
+                part = self.acc[rows]
+                if distance:
+                    part = self.norm[hi][rows, None] + self.norm[lo][None] - 2.0 * part
+                yield first, part, self.seen[hi][rows], self.seen[lo]
+
+
+def pair_rows(i: np.ndarray, j: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    """A block of results as long rows of its lower triangle."""
+    gi, gj = np.broadcast_arrays(i[:, None], j[None])
+    keep = gj <= gi
+    return pa.record_batch({"i": gi[keep], "j": gj[keep], "s": block[keep]})
+
+
+def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: bool = False,
+             emit: Callable = pair_rows, schema: str = "i long, j long, s double") -> DataFrame:
+    """``X X'`` of a stored tile table as long rows ``(i, j, s)`` with ``j <= i``, or with ``distance`` the
+    squared distances of rows.
+
+    ``emit(i, j, block)`` turns a block of finished results into rows of ``schema``; another one than
+    the default can reduce a block on the spot instead of writing out its pairs.
     """
+    spark = tiles.sparkSession
     n_rb, n_cb = _block_counts(tiles)
     if n_rb == 0:
-        return tiles.sparkSession.createDataFrame([], "i long, j long, s double")
-    slab = max(1, SLAB_BYTES // (2 * rows * cols))
+        return spark.createDataFrame([], schema)
+    span = max(1, min(SUPER, n_rb // 16))
+    n_sb = -(-n_rb // span)
+    n_pairs = n_sb * (n_sb + 1) // 2
+    n_slabs = max(1, min(n_cb, -(-4 * spark.sparkContext.defaultParallelism // n_pairs)))
+    slab = -(-n_cb // n_slabs)
     n_slabs = -(-n_cb // slab)
-    paired = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_rb - 1)))).select(
-        F.greatest("rb", "other").alias("hi"), F.least("rb", "other").alias("lo"),
-        F.floor(F.col("cb") / slab).cast("int").alias("slab"), "rb", "cb", "x", "mu", "inv")
-
-    def product(table):
-        parts: dict = {}
-        for rb, cb, x, mu, inv in zip(*(table.column(n).to_pylist() for n in ("rb", "cb", "x", "mu", "inv"))):
-            parts[(rb, cb)] = (x, mu, inv)
-        return parts
-
-    def multiply(key, table):
-        hi, lo = key[0].as_py(), key[1].as_py()
-        parts = product(table)
-        acc = np.zeros((rows, rows))
-        seen = {hi: np.zeros(rows, bool), lo: np.zeros(rows, bool)}
-        for cb in sorted({c for _, c in parts}):
-            sides = {}
-            for rb in {hi, lo}:
-                if (rb, cb) in parts:
-                    values, present, _ = decode(*parts[(rb, cb)], rows, cols)
-                    sides[rb] = values
-                    seen[rb] |= present
-            if len(sides) == len({hi, lo}):
-                acc += sides[hi] @ sides[lo].T
-        return hi, lo, acc, seen[hi], seen[lo]
-
-    def emit_rows(hi, lo, first, block, seen_hi, seen_lo):
-        i, j = np.nonzero(np.logical_and.outer(seen_hi[first:first + len(block)], seen_lo))
-        gi, gj = hi * rows + first + i.astype(np.int64), lo * rows + j.astype(np.int64)
-        keep = gj <= gi
-        return pa.table({"i": gi[keep], "j": gj[keep], "s": block[i[keep], j[keep]]})
+    sb = F.floor(F.col("rb") / span).cast("int")
+    keys = ["hi", "lo", "slab"]
+    paired = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_sb - 1)))).select(
+        F.greatest(sb, "other").alias("hi"), F.least(sb, "other").alias("lo"),
+        F.floor(F.col("cb") / slab).cast("int").alias("slab"), "cb", "rb", "x", "mu", "inv")
+    ordered = paired.repartition(min(n_pairs * n_slabs, MAX_TASKS), *keys).sortWithinPartitions(*keys, "cb", "rb")
+
+    def finish(hi, lo, first, block, seen_hi, seen_lo):
+        at_i, at_j = np.flatnonzero(seen_hi), np.flatnonzero(seen_lo)
+        i, j = hi * span * rows + first + at_i, lo * span * rows + at_j
+        block = block[np.ix_(at_i, at_j)]
+        if distance:
+            block = np.where(i[:, None] == j[None], 0.0, np.maximum(block, 0.0))
+        return emit(i, j, block)
+
+    def product_of(batches):
+        state, key = None, None
+        for batch in batches:
+            columns = (batch.column(n).to_pylist() for n in (*keys, "cb", "rb", "x", "mu", "inv"))
+            for hi, lo, s, cb, rb, x, mu, inv in zip(*columns):
+                if (hi, lo, s) != key:
+                    if state is not None:
+                        yield state
+                    state, key = _PairProduct(hi, lo, span, rows, cols), (hi, lo, s)
+                state.take(cb, rb, x, mu, inv)
+        if state is not None:
+            yield state
 
     if n_slabs == 1:
-        def whole(key, table):
-            hi, lo, acc, seen_hi, seen_lo = multiply(key, table)
-            return emit_rows(hi, lo, 0, acc, seen_hi, seen_lo)
-
-        return paired.groupBy("hi", "lo", "slab").applyInArrow(whole, "i long, j long, s double")
-
-    def partial(key, table):
-        hi, lo, acc, seen_hi, seen_lo = multiply(key, table)
-        starts = list(range(0, rows, STRIPE))
-        k = len(starts)
-        return pa.table({
-            "hi": pa.array([hi] * k, pa.int32()), "lo": pa.array([lo] * k, pa.int32()),
-            "first": pa.array(starts, pa.int32()),
-            "part": pa.array([acc[s:s + STRIPE].tobytes() for s in starts], pa.binary()),
-            "seen_hi": pa.array([seen_hi.tobytes()] * k, pa.binary()),
-            "seen_lo": pa.array([seen_lo.tobytes()] * k, pa.binary())})
-
-    def add(key, table):
+        def whole(batches):
+            for state in product_of(batches):
+                for first, block, seen_hi, seen_lo in state.stripes(distance):
+                    yield finish(state.hi, state.lo, first, block, seen_hi, seen_lo)
+
+        return ordered.mapInArrow(whole, schema)
+
+    def partial(batches):
+        for state in product_of(batches):
+            for first, block, seen_hi, seen_lo in state.stripes(distance):
+                yield pa.record_batch({
+                    "hi": pa.array([state.hi], pa.int32()), "lo": pa.array([state.lo], pa.int32()),
+                    "first": pa.array([first], pa.int32()), "part": pa.array([block.tobytes()], pa.binary()),
+                    "seen_hi": pa.array([seen_hi.tobytes()], pa.binary()),
+                    "seen_lo": pa.array([seen_lo.tobytes()], pa.binary())})
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hi, lo, first = (k.as_py() for k in key)
-        total, seen_hi, seen_lo = 0.0, np.zeros(rows, bool), np.zeros(rows, bool)
-        for part, a, b in zip(*(table.column(n).to_pylist() for n in ("part", "seen_hi", "seen_lo"))):
-            total = total + np.frombuffer(part).reshape(-1, rows)
-            seen_hi |= np.frombuffer(a, bool)
-            seen_lo |= np.frombuffer(b, bool)
-        return emit_rows(hi, lo, first, total, seen_hi, seen_lo)
-
-    parts = paired.groupBy("hi", "lo", "slab").applyInArrow(
+        total, seen_hi, seen_lo = 0.0, False, False
+        for batch in batches:
+            for part, a, b in zip(*(batch.column(n).to_pylist() for n in ("part", "seen_hi", "seen_lo"))):
+                total = total + np.frombuffer(part).reshape(-1, span * rows)
+                seen_hi, seen_lo = seen_hi | np.frombuffer(a, bool), seen_lo | np.frombuffer(b, bool)
+        yield finish(hi, lo, first, total, seen_hi, seen_lo)
+
+    add.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    parts = ordered.mapInArrow(
         partial, "hi int, lo int, first int, part binary, seen_hi binary, seen_lo binary")
-    return parts.groupBy("hi", "lo", "first").applyInArrow(add, "i long, j long, s double")
+    return parts.groupBy("hi", "lo", "first").applyInArrow(add, schema)
 
 
 def gram(cells: DataFrame, row: str, col: str, value: str, scaled: bool = False,
-         rows: int = ROWS, cols: int = COLS) -> DataFrame:
+         rows: int = ROWS, cols: int = COLS, **options) -> DataFrame:
     """Sum of products of every two rows over the columns, lower triangle ``(i, j, s)``."""
     tiles = materialise(tile_table(cells, row, col, value, rows, cols, scaled))
-    return row_gram(tiles, rows, cols)
+    return row_gram(tiles, rows, cols, **options)
