@@ -99,12 +99,13 @@ def _per_marker(rows: DataFrame, net: Network, gradient) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = np.stack([np.asarray(v) for v in batch.column("x").to_numpy(zero_copy_only=False)])
-            g = gradient(model, x, batch.column("iid").to_numpy())
-            yield pa.record_batch({"iid": batch.column("iid"), "g": pa.array(list(g), pa.list_(pa.float64()))})
+            iids = batch.column("iid").to_numpy()
+            g = gradient(model, x, iids)
+            yield pa.record_batch({
+                "iid": pa.array(np.repeat(iids, x.shape[1])),
+                "marker": pa.array(np.tile(np.asarray(model.markers, np.int32), len(iids))), "g": pa.array(g.ravel())})
 
-    names = F.array(*(F.lit(int(m)) for m in net.markers))
-    return rows.select("iid", "x").mapInArrow(run, "iid long, g array<double>").select(
-        "iid", F.explode(F.arrays_zip(names.alias("marker"), "g")).alias("c")).select("iid", "c.marker", "c.g")
+    return rows.select("iid", "x").mapInArrow(run, "iid long, marker int, g double")
 
 
 def saliency(rows: DataFrame, net: Network, guided: bool = True) -> DataFrame:

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators.kinship import covariate_kinship, kinship_additive, kinship_dominance
+from locusframe.operators.kinship import covariate_kinship, kinship_additive, kinship_dominance, scaled_cells
 from locusframe.operators.regression import solve_least_squares
+from locusframe.operators.tiles import gram
 
 SIGNIFICANT = 0.05
+MAX_BROADCAST_ROWS = 1 << 22
 
 
 def he_pairs(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
@@ -57,10 +60,44 @@ def cross_products(pairs: DataFrame, names: list[str]) -> DataFrame:
         for a, b in cells))).alias("c")).select("c.a", "c.b", "c.s")
 
 
-def cross_product_matrix(pairs: DataFrame, names: list[str]) -> np.ndarray:
+def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1) -> DataFrame:
+    """The additive and epistatic sums straight from genotypes: blocks of the relationship matrix are
+    reduced where they are computed, and no pair is ever written.
+
+    The phenotype is broadcast; its size is bounded by ``MAX_BROADCAST_ROWS`` and larger ones go through
+    ``he_pairs``.
+    """
+    rows = pheno.join(geno.filter(F.col("marker") == geno.agg(F.min("marker")).first()[0]), "iid", "left_semi")
+    head = rows.select("iid", "y").limit(MAX_BROADCAST_ROWS + 1).toPandas()
+    names = [f"x{k}" for k in range(1, epi + 1)]
+    if len(head) > MAX_BROADCAST_ROWS:
+        return cross_products(*he_pairs(kinship_additive(geno), pheno, epi))
+    head = head.sort_values("iid")
+    spark = geno.sparkSession
+    shipped = spark.sparkContext.broadcast((head.iid.to_numpy(), head.y.to_numpy()))
+    cells, p = scaled_cells(geno.join(pheno.select("iid"), "iid", "left_semi"))
+
+    def sums(i, j, block):
+        ids, y = shipped.value
+        keep = j[None] < i[:, None]
+        x = block[keep] / p
+        yi, yj = y[np.searchsorted(ids, i)], y[np.searchsorted(ids, j)]
+        z = ((yi[:, None] - yj[None]) ** 2)[keep]
+        columns = np.stack([np.ones_like(x), *(x ** k for k in range(1, epi + 1)), z])
+        m = columns @ columns.T
+        a, b = np.triu_indices(len(m))
+        return pa.record_batch({"a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "s": m[a, b]})
+
+    parts = gram(cells, "iid", "marker", "dosage", scaled=True, emit=sums, schema="a int, b int, s double")
+    label = F.array(*(F.lit(c) for c in ("1", *names, "z")))
+    return parts.groupBy("a", "b").agg(F.sum("s").alias("s")).select(
+        F.element_at(label, F.col("a") + 1).alias("a"), F.element_at(label, F.col("b") + 1).alias("b"), "s")
+
+
+def cross_product_matrix(sums: DataFrame, names: list[str]) -> np.ndarray:
     where = {label: k for k, label in enumerate(["1", *names, "z"])}
     m = np.zeros((len(where), len(where)))
-    for a, b, s in cross_products(pairs, names).collect():
+    for a, b, s in sums.collect():
         m[where[a], where[b]] = m[where[b], where[a]] = s
     return m
 
@@ -111,7 +148,7 @@ def he_regression(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: Dat
     """All nested variance-component models: ``vc_model`` and ``vc_component`` tables."""
     spark = grm.sparkSession
     pairs, names = he_pairs(grm, pheno, epi, dominance)
-    m = cross_product_matrix(pairs, names)
+    m = cross_product_matrix(cross_products(pairs, names), names)
     if residual:
         m = residualise(m)
     var_y = pheno.agg(F.var_pop("y")).first()[0]
@@ -122,5 +159,14 @@ def he_regression(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: Dat
 def he_single(pairs: DataFrame, names: list[str], var_y: float) -> tuple[DataFrame, DataFrame]:
     """The one model with all components."""
     spark = pairs.sparkSession
-    models, parts = fit_models(cross_product_matrix(pairs, names), var_y, smallest=len(names))
+    models, parts = fit_models(cross_product_matrix(cross_products(pairs, names), names), var_y, smallest=len(names))
+    return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)
+
+
+def he_regression_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1,
+                                 residual: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All nested additive and epistatic models without a stored relationship matrix."""
+    spark, names = geno.sparkSession, [f"x{k}" for k in range(1, epi + 1)]
+    m = cross_product_matrix(cross_products_from_genotypes(geno, pheno, epi), names)
+    models, parts = fit_models(residualise(m) if residual else m, pheno.agg(F.var_pop("y")).first()[0])
     return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)

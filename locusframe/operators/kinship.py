@@ -14,14 +14,15 @@ from locusframe.operators.transform import dominance_recode, scale_params
 from locusframe.session import materialise
 
 
-def _scaled_cells(geno: DataFrame) -> tuple[DataFrame, int]:
+def scaled_cells(geno: DataFrame) -> tuple[DataFrame, int]:
+    """Genotype cells with the mean and sd of their marker, and the number of markers."""
     params = materialise(scale_params(geno))
     return geno.join(params, "marker").select("iid", "marker", "dosage", "mean", "sd"), params.count()
 
 
 def kinship_additive(geno: DataFrame) -> DataFrame:
     """Mean product of z-scores over markers, for every pair of individuals and the diagonal."""
-    cells, p = _scaled_cells(geno)
+    cells, p = scaled_cells(geno)
     return gram(cells, "iid", "marker", "dosage", scaled=True).select(
         "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
 
@@ -67,7 +68,7 @@ def euclidean_distance(geno: DataFrame) -> DataFrame:
 
 def kinship_gaussian(geno: DataFrame, theta: float = 0.5) -> DataFrame:
     """Gaussian kernel of the distance between z-scored individuals, scaled by marker count."""
-    cells, p = _scaled_cells(geno)
+    cells, p = scaled_cells(geno)
     d2 = gram(cells, "iid", "marker", "dosage", scaled=True, distance=True)
     return d2.select("i", "j", F.exp(-F.col("s") / F.lit(4.0 * p * theta * theta)).alias("k"),
                      F.lit(float(p)).alias("n_snps"))

@@ -21,7 +21,12 @@ INTERCEPT = -1
 
 
 def association_sums(geno: DataFrame, pheno: DataFrame, sparse: bool = False) -> DataFrame:
-    """n, Sx, Sy, Sxx, Sxy, Syy per marker. ``sparse``: zero cells are left out of ``geno``."""
+    """n, Sx, Sy, Sxx, Sxy, Syy per marker. ``sparse``: zero cells are left out of ``geno``.
+
+    The phenotype is stored first, so that its size decides between broadcasting it and shuffling
+    the genotypes.
+    """
+    pheno = materialise(pheno.select("iid", "y"))
     x, y = observed("dosage").cast("double"), F.col("y")
     joined = geno.join(pheno, "iid")
     if not sparse:

@@ -4,6 +4,11 @@ The likelihood depends on the data only through the eigenvalues of the projected
 matrix and the squared projections of y. With standardised markers these come from the smaller of
 the two sides: the p x p product of markers or the n x n relationship matrix. Only that side
 (bounded) reaches the driver; directions with eigenvalue 0 enter as a count and a sum of squares.
+
+Where both sides exceed the bound, the spectrum is replaced by a quadrature from Lanczos steps that
+start at y (for the projections) and at random vectors (for the traces), the stochastic Lanczos
+estimation of the same likelihood. Matrix and vectors stay distributed; the report says which way
+was taken.
 """
 
 from __future__ import annotations
@@ -17,9 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.tails import chi2_1_pvalue
+from locusframe.operators.kinship import kinship_additive
 from locusframe.operators.regression import dense_triangle
-from locusframe.operators.ridge import Moments, marker_moments
-from locusframe.session import MAX_DRIVER_SIDE, collect_bounded
+from locusframe.operators.ridge import Moments, marker_moments, tile_times
+from locusframe.operators.tiles import COLS, ROWS, tile_table
+from locusframe.operators.transform import scale_params
+from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
 
 # The search range of log(delta), the number of grid cells and the edge tolerance.
 LOG_RANGE = (-10.0, 10.0)
@@ -29,27 +37,24 @@ EDGE = 1e-10
 
 @dataclass
 class Spectrum:
-    """Eigenvalues with squared projections of y, plus the zero-eigenvalue directions in bulk."""
+    """Eigenvalues with squared projections of y and multiplicities that add up to ``df``.
+
+    Multiplicities need not be whole numbers: a quadrature of the spectrum has the same form.
+    """
 
     values: np.ndarray
     eta_sq: np.ndarray
-    zeros: int = 0
-    zero_ss: float = 0.0
+    counts: np.ndarray
 
     @property
-    def df(self) -> int:
-        return len(self.values) + self.zeros
+    def df(self) -> float:
+        return float(self.counts.sum())
 
     def sums(self, log_delta):
-        d = np.exp(np.atleast_1d(np.asarray(log_delta, float)))[:, None]
-        w = 1.0 / (self.values + d)
-        d = d[:, 0]
-        rest_ss = self.zero_ss / d if self.zeros else 0.0
-        rest_ss2 = self.zero_ss / (d * d) if self.zeros else 0.0
-        rest_tr = self.zeros / d if self.zeros else 0.0
-        rest_ln = self.zeros * np.log(d) if self.zeros else 0.0
-        return (w @ self.eta_sq + rest_ss, (w * w) @ self.eta_sq + rest_ss2,
-                w.sum(axis=1) + rest_tr, np.log(self.values + np.exp(np.atleast_1d(log_delta))[:, None]).sum(axis=1) + rest_ln)
+        shifted = self.values + np.exp(np.atleast_1d(np.asarray(log_delta, float)))[:, None]
+        inverse = 1.0 / shifted
+        return (inverse @ self.eta_sq, (inverse * inverse) @ self.eta_sq, inverse @ self.counts,
+                np.log(shifted) @ self.counts)
 
     def loglik(self, log_delta):
         q, _, _, ln = self.sums(log_delta)
@@ -90,8 +95,8 @@ def maximise(spec: Spectrum) -> dict:
     else:
         delta, ll, status = math.exp(grid[-1]), float(slope.min()), "no maximum"
     vg = float(spec.sums(math.log(delta))[0][0]) / spec.df
-    mean = spec.values.sum() / spec.df
-    var = (spec.values ** 2).sum() / spec.df - mean * mean
+    mean = spec.values @ spec.counts / spec.df
+    var = spec.values ** 2 @ spec.counts / spec.df - mean * mean
     return {"delta": delta, "vg": vg, "ve": vg * delta, "h2": vg / (vg + vg * delta), "reml_ll": ll,
             "eigen_var": float(var), "status": status}
 
@@ -112,7 +117,11 @@ def spectrum_from_products(ztz: np.ndarray, zty: np.ndarray, yty: float, n: floa
     values, vectors = values[keep], vectors[:, keep]
     eta_sq = (vectors.T @ zty) ** 2 / (m * values)
     zeros = int(n) - n_fixed - len(values)
-    return Spectrum(values, eta_sq, max(zeros, 0), max(float(yty - eta_sq.sum()), 0.0) if zeros > 0 else 0.0)
+    counts = np.ones(len(values))
+    if zeros > 0:
+        values, counts = np.append(values, 0.0), np.append(counts, zeros)
+        eta_sq = np.append(eta_sq, max(float(yty - eta_sq.sum()), 0.0))
+    return Spectrum(values, eta_sq, counts)
 
 
 def spectrum_from_kinship(k: np.ndarray, y: np.ndarray, x: np.ndarray | None = None) -> Spectrum:
@@ -121,7 +130,7 @@ def spectrum_from_kinship(k: np.ndarray, y: np.ndarray, x: np.ndarray | None = N
     x = np.ones((n, 1)) if x is None else x
     basis = np.linalg.qr(x, mode="complete")[0][:, x.shape[1]:]
     values, vectors = np.linalg.eigh(basis.T @ k @ basis)
-    return Spectrum(values[::-1], ((vectors.T @ (basis.T @ y)) ** 2)[::-1])
+    return Spectrum(values, (vectors.T @ (basis.T @ y)) ** 2, np.ones(len(values)))
 
 
 def _report(spark, fit: dict, n: int, var_y_sse: float, side: str) -> DataFrame:
@@ -132,8 +141,14 @@ def _report(spark, fit: dict, n: int, var_y_sse: float, side: str) -> DataFrame:
 
 
 def reml(geno: DataFrame, pheno: DataFrame) -> DataFrame:
-    """Heritability report of all markers together, from the marker side (p bounded)."""
-    return reml_from_moments(geno.sparkSession, marker_moments(geno, pheno))
+    """Heritability report of all markers together, from the smaller side, or by Lanczos quadrature where
+    both are too large for the driver."""
+    too_many = lambda t, c: t.select(c).distinct().limit(MAX_DRIVER_SIDE + 1).count() > MAX_DRIVER_SIDE
+    if not too_many(geno, "marker"):
+        return reml_from_moments(geno.sparkSession, marker_moments(geno, pheno))
+    if not too_many(pheno, "iid"):
+        return reml_from_grm(kinship_additive(geno.join(pheno.select("iid"), "iid", "left_semi")), pheno)
+    return reml_lanczos(geno, pheno)
 
 
 def reml_from_moments(spark, mom: Moments) -> DataFrame:
@@ -149,6 +164,152 @@ def reml_from_grm(grm: DataFrame, pheno: DataFrame, covariates: DataFrame | None
     return _report(grm.sparkSession, maximise(spec), len(y), float(((y - y.mean()) ** 2).sum()), "individuals")
 
 
+def _sums_per_vector(df: DataFrame, left: str, right: str, width: int) -> np.ndarray:
+    """Dot products of the ``width`` vectors of two block columns; one row per task and vector is added up."""
+    def dot(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                total += np.einsum("ij,ij->j", a.values.to_numpy().reshape(-1, width), b.values.to_numpy().reshape(-1, width))
+        yield pa.record_batch({"k": pa.array(range(width), pa.int32()), "v": pa.array(total)})
+
+    rows = df.select(left, right).mapInArrow(dot, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(width)
+    for k, v in rows:
+        out[k] = v
+    return out
+
+
+def _combine(df: DataFrame, width: int, terms: dict[str, np.ndarray], keep: dict[str, str]) -> DataFrame:
+    """A new block column ``w``: the sum of columns times a factor per vector; other columns pass on."""
+    names, out = list(terms), list(keep)
+    schema = "block int, w array<double>" + "".join(f", {n} array<double>" for n in out)
+
+    def run(batches):
+        for batch in batches:
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            w = [sum(columns[n][r].values.to_numpy().reshape(-1, width) * terms[n] for n in names).ravel()
+                 for r in range(batch.num_rows)]
+            cells = {"block": columns["block"], "w": pa.array(w, pa.list_(pa.float64()))}
+            yield pa.record_batch(cells | {n: columns[keep[n]] for n in out})
+
+    used = dict.fromkeys(["block", *names, *keep.values()])
+    return df.select(*used).mapInArrow(run, schema)
+
+
+def start_vectors(pheno: DataFrame, rows: int, probes: int, seed: int) -> DataFrame:
+    """Blocks ``(block, w, one)`` of y and random signs per individual, and of ones at their positions.
+
+    Signs are seeded by individual, so they do not depend on partitioning.
+    """
+    width = probes + 1
+    keyed = pheno.select(F.floor(F.col("iid") / rows).cast("int").alias("block"), "iid", F.col("y").cast("double").alias("y"))
+
+    def pack(key, table):
+        iids = table.column("iid").to_numpy()
+        w, one = np.zeros((rows, width)), np.zeros((rows, width))
+        at = iids % rows
+        w[at, 0] = table.column("y").to_numpy()
+        for place, iid in zip(at, iids):
+            w[place, 1:] = np.random.default_rng([seed, int(iid)]).integers(0, 2, probes) * 2.0 - 1.0
+        one[at] = 1.0
+        blocks = {"block": pa.array([key[0].as_py()], pa.int32())}
+        return pa.table(blocks | {n: pa.array([v.ravel()], pa.list_(pa.float64())) for n, v in (("w", w), ("one", one))})
+
+    return keyed.groupBy("block").applyInArrow(pack, "block int, w array<double>, one array<double>")
+
+
+def lanczos_spectrum(multiply, start: DataFrame, n: int, width: int, steps: int) -> Spectrum:
+    """Quadrature of the spectrum of a centred matrix. ``multiply(vectors)`` maps blocks ``(block, v)`` to
+    their product; ``start`` has blocks ``(block, w, one)``, y first.
+
+    A step is one product and two sums over n-length tables, for all vectors at once. Only two
+    coefficients per vector and step reach the driver.
+    """
+    ones = np.ones(width)
+    mean = _sums_per_vector(start, "w", "one", width) / n
+    state = materialise(_combine(start, width, {"w": ones, "one": -mean}, {"one": "one"}))
+    length_sq = _sums_per_vector(state, "w", "w", width)
+    alphas, betas, before = [], [], np.zeros(width)
+    alive, norm = np.ones(width, bool), np.sqrt(length_sq)
+    state = materialise(_combine(state, width, {"w": np.where(norm > 0, 1.0 / np.where(norm > 0, norm, 1.0), 0.0)},
+                                 {"one": "one", "old": "w"}))
+    for step in range(steps):
+        product = multiply(state.select("block", F.col("w").alias("v")))
+        joined = materialise(state.join(product, "block", "left").withColumn(
+            "v", F.coalesce("v", F.transform("w", lambda _: F.lit(0.0)))))
+        alpha = _sums_per_vector(joined, "v", "w", width)
+        shift = _sums_per_vector(joined, "v", "one", width) / n
+        alphas.append(np.where(alive, alpha, 0.0))
+        if step == steps - 1:
+            break
+        old = before if step else np.zeros(width)
+        rest = materialise(_combine(joined, width, {"v": ones, "w": -alpha, "old": -old, "one": -shift},
+                                    {"one": "one", "old": "w"}))
+        beta = np.sqrt(np.maximum(_sums_per_vector(rest, "w", "w", width), 0.0))
+        alive &= beta > 1e-10
+        betas.append(np.where(alive, beta, 0.0))
+        if not alive.any():
+            break
+        before = betas[-1]
+        state = _combine(rest, width, {"w": np.where(alive, 1.0 / np.where(beta > 0, beta, 1.0), 0.0)}, {"one": "one", "old": "old"})
+    return _quadrature(np.array(alphas), np.array(betas).reshape(-1, width), length_sq, n)
+
+
+def _quadrature(alphas, betas, length_sq, n) -> Spectrum:
+    values, eta_sq, counts = [], [], []
+    width = alphas.shape[1]
+    for k in range(width):
+        # The recurrence of a vector ends with its first zero coefficient.
+        stop = next((s + 1 for s in range(len(betas)) if betas[s, k] == 0.0), len(alphas))
+        t = np.diag(alphas[:stop, k])
+        if stop > 1:
+            t += np.diag(betas[:stop - 1, k], 1) + np.diag(betas[:stop - 1, k], -1)
+        nodes, vectors = np.linalg.eigh(t)
+        share = vectors[0] ** 2
+        values.append(np.maximum(nodes, 0.0))
+        eta_sq.append(share * length_sq[0] if k == 0 else np.zeros(stop))
+        counts.append(np.zeros(stop) if k == 0 else share * (n - 1) / (width - 1))
+    return Spectrum(np.concatenate(values), np.concatenate(eta_sq), np.concatenate(counts))
+
+
+def reml_lanczos(geno: DataFrame, pheno: DataFrame, steps: int = 40, probes: int = 20, seed: int = 1,
+                 rows: int = ROWS, cols: int = COLS) -> DataFrame:
+    """Heritability report by stochastic Lanczos quadrature; n and p unbounded."""
+    both = geno.join(pheno.select("iid"), "iid", "left_semi")
+    params = materialise(scale_params(both))
+    p, width = params.count(), probes + 1
+    tiles = materialise(tile_table(both.join(params, "marker"), "iid", "marker", "dosage", rows, cols, scaled=True))
+    present = pheno.join(both.filter(F.col("marker") == params.first().marker).select("iid"), "iid", "left_semi")
+    start = materialise(start_vectors(present, rows, probes, seed))
+    n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
+
+    def multiply(vectors):
+        across = tile_times(tiles, vectors, rows, cols, transpose=True, width=width)
+        back = tile_times(tiles, across, rows, cols, transpose=False, width=width)
+        return back.select("block", F.transform("v", lambda x: x / F.lit(float(p))).alias("v"))
+
+    spec = lanczos_spectrum(multiply, start, n, width, steps)
+    return _report(geno.sparkSession, maximise(spec), n, float(y_ss), f"lanczos {steps} steps, {probes} probes")
+
+
+def reml_lanczos_from_grm(grm: DataFrame, pheno: DataFrame, steps: int = 40, probes: int = 20, seed: int = 1,
+                          rows: int = ROWS) -> DataFrame:
+    """The same from a stored relationship matrix; n unbounded."""
+    width = probes + 1
+    present = materialise(pheno.join(grm.filter("i = j").select(F.col("i").alias("iid")), "iid", "left_semi").select("iid", "y"))
+    have = present.select("iid")
+    inside = grm.select("i", "j", "k").join(have.withColumnRenamed("iid", "i"), "i", "left_semi").join(
+        have.withColumnRenamed("iid", "j"), "j", "left_semi")
+    both = inside.unionByName(inside.filter("j < i").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
+    tiles = materialise(tile_table(both, "i", "j", "k", rows, rows))
+    start = materialise(start_vectors(present, rows, probes, seed))
+    n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
+    multiply = lambda vectors: tile_times(tiles, vectors, rows, rows, transpose=False, width=width)
+    spec = lanczos_spectrum(multiply, start, n, width, steps)
+    return _report(grm.sparkSession, maximise(spec), n, float(y_ss), f"lanczos {steps} steps, {probes} probes")
+
+
 def _dense_inputs(grm, pheno, covariates=None):
     known = collect_bounded(pheno.join(grm.filter("i = j").select(F.col("i").alias("iid")), "iid", "left_semi")
                             .select("iid", "y"), MAX_DRIVER_SIDE, "phenotypes of a dense fit")
@@ -192,7 +353,7 @@ def reml_from_eigen(eig: DataFrame, pheno: DataFrame) -> DataFrame:
     rows = collect_bounded(etas.orderBy("k"), MAX_DRIVER_SIDE, "eigenvalues")
     values, eta = np.array([r.value for r in rows]), np.array([r.eta for r in rows])
     y_ss = pheno.agg(F.var_pop("y") * F.count(F.lit(1))).first()[0]
-    return _report(eig.sparkSession, maximise(Spectrum(values, eta * eta)), len(rows) + 1, float(y_ss), "eigen summary")
+    return _report(eig.sparkSession, maximise(Spectrum(values, eta * eta, np.ones(len(values)))), len(rows) + 1, float(y_ss), "eigen summary")
 
 
 def h2_se(n, eigen_var) -> Column:

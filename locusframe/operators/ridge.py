@@ -74,7 +74,12 @@ def ridge(geno: DataFrame, pheno: DataFrame, delta: float) -> DataFrame:
 
 
 def ridge_scaled(geno: DataFrame, pheno: DataFrame, scales: DataFrame, delta: float) -> DataFrame:
-    """Effects with a scale per marker ``(marker, d)``: marker j shrinks by ``delta / d_j^2``."""
+    """Effects with a scale per marker ``(marker, d)``: marker j shrinks by ``delta / d_j^2``.
+
+    Markers without a scale get effect 0. Above the driver bound the system is solved by gradients.
+    """
+    if geno.select("marker").distinct().limit(MAX_DRIVER_SIDE + 1).count() > MAX_DRIVER_SIDE:
+        return ridge_cg(geno, pheno, delta, scales=scales)
     mom = marker_moments(geno, pheno)
     known = {r.marker: r.d for r in collect_bounded(scales.select("marker", "d"), MAX_DRIVER_SIDE, "marker scales")}
     d = np.array([known.get(int(m), 0.0) for m in mom.markers])
@@ -132,8 +137,8 @@ def ridge_observation_weighted(geno: DataFrame, pheno: DataFrame, weights: DataF
     return _effects(geno.sparkSession, ids, np.linalg.solve(ztwz + delta * np.eye(len(ids)), zty))
 
 
-def _tile_times(tiles: DataFrame, vectors: DataFrame, rows: int, cols: int, transpose: bool) -> DataFrame:
-    """One product of the tile table with a blocked vector ``(block, v)``; result ``(block, v)``.
+def tile_times(tiles: DataFrame, vectors: DataFrame, rows: int, cols: int, transpose: bool, width: int = 1) -> DataFrame:
+    """One product of the tile table with ``width`` blocked vectors ``(block, v)``; result ``(block, v)``.
 
     A task adds up the blocks it meets before it sends them on, so what is shuffled is at most one
     block per task and output block.
@@ -146,7 +151,8 @@ def _tile_times(tiles: DataFrame, vectors: DataFrame, rows: int, cols: int, tran
         for batch in batches:
             for rb, cb, x, mu, inv, v in zip(*(batch.column(n).to_pylist() for n in ("rb", "cb", "x", "mu", "inv", "v"))):
                 values, _, _ = decode(x, mu, inv, rows, cols)
-                out = np.asarray(v) @ values if transpose else values @ np.asarray(v)
+                many = np.asarray(v).reshape(-1, width)
+                out = ((values.T if transpose else values) @ many).ravel()
                 key = cb if transpose else rb
                 sums[key] = sums[key] + out if key in sums else out
                 if len(sums) > 1024:
@@ -156,7 +162,7 @@ def _tile_times(tiles: DataFrame, vectors: DataFrame, rows: int, cols: int, tran
             yield _blocks(sums)
 
     def add(key, table):
-        total = np.zeros(size)
+        total = np.zeros(size * width)
         for v in table.column("v"):
             total += v.values.to_numpy()
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
@@ -197,18 +203,26 @@ def _axpy(a: str, b: str, factor: float):
 
 
 def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float = 1e-10, max_steps: int = 200,
-             rows: int = ROWS, cols: int = COLS) -> DataFrame:
+             rows: int = ROWS, cols: int = COLS, scales: DataFrame | None = None) -> DataFrame:
     """Effects by conjugate gradients: only scalars reach the driver, any n and p.
 
     A step is two products with the tile table; vectors stay blocked tables written to scratch,
-    so a lost executor repeats one step at most.
+    so a lost executor repeats one step at most. Scales per marker ``(marker, d)`` are folded into
+    the sd of the columns. Raises when ``max_steps`` do not reach the tolerance.
     """
-    params = materialise(scale_params(geno))
-    cells = geno.join(pheno.select("iid"), "iid", "left_semi").join(params, "marker")
+    params = scale_params(geno)
+    if scales is not None:
+        params = params.join(scales.select("marker", "d"), "marker", "left").select(
+            "marker", "mean", "sd", F.coalesce("d", F.lit(0.0)).alias("d"))
+    else:
+        params = params.withColumn("d", F.lit(1.0))
+    params = materialise(params)
+    used = params.filter("d <> 0").select("marker", "mean", (F.col("sd") / F.col("d")).alias("sd"))
+    cells = geno.join(pheno.select("iid"), "iid", "left_semi").join(used, "marker")
     tiles = materialise(tile_table(cells, "iid", "marker", "dosage", rows, cols, scaled=True))
     mean_y = pheno.agg(F.avg("y")).first()[0]
     y = to_blocks(pheno.select("iid", (F.col("y") - F.lit(mean_y)).alias("y")), "iid", "y", rows)
-    right = _tile_times(tiles, y, rows, cols, transpose=True)
+    right = tile_times(tiles, y, rows, cols, transpose=True)
     state = materialise(right.select("block", F.transform("v", lambda _: F.lit(0.0)).alias("x"),
                                      F.col("v").alias("r"), F.col("v").alias("p")))
     rr = start = state.agg(F.sum(_dot("r", "r"))).first()[0]
@@ -216,16 +230,20 @@ def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float =
         if rr is None or rr <= tolerance * tolerance * start:
             break
         direction = state.select("block", F.col("p").alias("v"))
-        across = _tile_times(tiles, direction, rows, cols, transpose=False)
-        back = _tile_times(tiles, across, rows, cols, transpose=True)
+        across = tile_times(tiles, direction, rows, cols, transpose=False)
+        back = tile_times(tiles, across, rows, cols, transpose=True)
         joined = materialise(state.join(back, "block").withColumn("q", _axpy("v", "p", delta)).drop("v"))
         step = rr / joined.agg(F.sum(_dot("p", "q"))).first()[0]
         moved = joined.select("block", _axpy("x", "p", step).alias("x"), _axpy("r", "q", -step).alias("r"), "p")
         new = moved.agg(F.sum(_dot("r", "r"))).first()[0]
         ratio, rr = new / rr, new
         state = materialise(moved.select("block", "x", "r", _axpy("r", "p", ratio).alias("p")))
+    else:
+        if rr > tolerance * tolerance * start:
+            raise ValueError(f"no convergence in {max_steps} steps (residual {(rr / start) ** 0.5:.1e})")
     effects = from_blocks(state, "x", cols, "marker", "beta")
-    return effects.join(params.select("marker"), "marker", "left_semi")
+    return params.select("marker", "d").join(effects, "marker", "left").select(
+        "marker", (F.col("d") * F.coalesce("beta", F.lit(0.0))).alias("beta"))
 
 
 def fit_effects(geno: DataFrame, pheno: DataFrame, delta: float, n: int, p: int) -> DataFrame:

@@ -31,6 +31,19 @@ def oversample_plan(samples: DataFrame, case_ids: DataFrame, seed: int) -> DataF
     return controls.unionByName(drawn)
 
 
-def oversample(table: DataFrame, plan: DataFrame) -> DataFrame:
-    """Repeat the rows of ``table(iid, ..)`` as the plan says; ``row_id`` tells copies apart."""
-    return plan.join(table, "iid")
+def oversample(table: DataFrame, plan: DataFrame, copies_per_task: int = 256) -> DataFrame:
+    """Repeat the rows of ``table(iid, ..)`` as the plan says; ``row_id`` tells copies apart.
+
+    With few cases each one is drawn very often. Its draws are then spread over several keys
+    ``(iid, salt)`` and its rows are sent once to each, so no task writes all copies of one case.
+    """
+    drawn = plan.groupBy("is_case").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("iid").alias("ids"))
+    per_id = max((r.n / max(r.ids, 1) for r in drawn.collect()), default=1.0)
+    salts = max(1, min(4096, round(per_id / copies_per_task)))
+    if salts == 1:
+        return plan.join(table, "iid")
+    salted = plan.withColumn("_salt", F.when(F.col("is_case"), F.pmod("row_id", F.lit(salts))).otherwise(0).cast("int"))
+    cases = plan.filter("is_case").select("iid").distinct().withColumn("_last", F.lit(salts - 1))
+    spread = table.join(cases, "iid", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0))))).drop("_last")
+    return salted.join(spread, ["iid", "_salt"]).drop("_salt")

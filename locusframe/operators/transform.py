@@ -55,11 +55,15 @@ def dominance_recode(geno: DataFrame) -> DataFrame:
 
 
 def standardise_pheno(pheno: DataFrame) -> DataFrame:
-    """z-score of y with the population sd, taken from a scalar subquery."""
+    """z-score of y with the population sd, taken from a scalar subquery.
+
+    The result is stored: its true size lets Spark broadcast it to the genotypes instead of
+    shuffling them.
+    """
     moments = pheno.agg(F.struct(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))).scalar()
     scaled = pheno.select("iid", "y", moments.alias("_m"))
     sd = F.when(F.col("_m.s") == 0, 1.0).otherwise(F.col("_m.s"))
-    return scaled.select("iid", ((F.col("y") - F.col("_m.m")) / sd).alias("y"))
+    return materialise(scaled.select("iid", ((F.col("y") - F.col("_m.m")) / sd).alias("y")))
 
 
 def region_lambda(members: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ CODE_OF_DOSAGE = np.array([3, 2, 0, 1], np.uint8)  # indexed by dosage 0, 1, 2,
 
 GENO_SCHEMA = "iid long, marker int, dosage int"
 READ_CELLS = 1 << 22
+BATCH_CELLS = 1 << 18
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -101,20 +102,24 @@ class BedReader(DataSourceReader):
             return
         stride = -(-self.n // 4)
         fs, path = open_fs(run.path)
-        width = run.to_byte - run.from_byte
+        width, first = run.to_byte - run.from_byte, run.from_byte * 4
+        samples = np.arange(first, min(first + 4 * width, self.n), dtype=np.int64)
+        # Whole runs of markers per batch; slices of one marker come alone.
+        step = max(1, BATCH_CELLS // len(samples)) if width == stride else 1
         with fs.open_input_file(path) as f:
-            for marker in range(run.first, run.last + 1):
-                raw = f.read_at(width, 3 + stride * (marker - run.base) + run.from_byte)
-                codes = np.frombuffer(raw, np.uint8)
-                if len(codes) != width:
+            for marker in range(run.first, run.last + 1, step):
+                count = min(step, run.last + 1 - marker)
+                size = width if step == 1 else stride * count
+                raw = f.read_at(size, 3 + stride * (marker - run.base) + run.from_byte)
+                if len(raw) != size:
                     raise ValueError(f"corrupt genotype file {run.path}: marker {marker} is incomplete")
-                pairs = np.stack([(codes >> s) & 3 for s in (0, 2, 4, 6)], axis=1).ravel()
-                first = run.from_byte * 4
-                pairs = pairs[:min(len(pairs), self.n - first)]
+                codes = np.frombuffer(raw, np.uint8).reshape(count, width)
+                pairs = np.stack([(codes >> s) & 3 for s in (0, 2, 4, 6)], axis=2).reshape(count, -1)
+                dosage = DOSAGE_OF_CODE[pairs[:, :len(samples)]].astype(np.int32)
                 yield pa.record_batch({
-                    "iid": pa.array(np.arange(first, first + len(pairs), dtype=np.int64)),
-                    "marker": pa.array(np.full(len(pairs), marker, np.int32)),
-                    "dosage": pa.array(DOSAGE_OF_CODE[pairs].astype(np.int32))})
+                    "iid": pa.array(np.tile(samples, count)),
+                    "marker": pa.array(np.repeat(np.arange(marker, marker + count, dtype=np.int32), len(samples))),
+                    "dosage": pa.array(dosage.ravel())})
 
 
 def bed_files(path: str, stride: int) -> list[tuple[str, int, int]]:
