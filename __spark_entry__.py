@@ -778,43 +778,73 @@ def _(spark, sf):
 # ---------------------------------------------------------------------------------------------
 # Variance components.
 
-_PAIRS = {"pairs": """
+def _he_sql(pairs: str, k: int) -> dict[str, str]:
+    """Every nested model of ``pairs(x1..xk, z)`` from its sums of products, solved in SQL."""
+    names = ["1.0::double", *(f"x{c}" for c in range(1, k + 1)), "z"]
+    cells = [(a, b) for a in range(k + 2) for b in range(a, k + 2)]
+    s = lambda a, b: f"s_{min(a, b)}_{max(a, b)}"
+    augs = []
+    for size in range(k + 1):
+        rows = (", ".join([*(s(a, b) for b in range(size + 1)), *(str(float(a == b)) for b in range(size + 1)), s(a, k + 1)])
+                for a in range(size + 1))
+        augs.append(f"select {size} as size, [{', '.join(f'[{r}]' for r in rows)}]::double[][] as a from m")
+    return {
+        "pairs": pairs,
+        "m": "select " + ", ".join(f"sum({names[a]} * {names[b]}) as {s(a, b)}" for a, b in cells) + " from pairs",
+        "aug": " union all ".join(augs),
+        "gj": "select size, 1 as k, a from aug union all select size, k + 1, " + _GAUSS["gj"].split("select k + 1, ")[1],
+        "co": f"""
+            select size, c, a[c][2 * (size + 1) + 1] as beta, a[c][size + 1 + c] as inv, [{', '.join(s(a, k + 1) for a in range(k + 1))}][c] as b
+            from (select size, a, unnest(range(1, size + 2)) as c from gj where k = len(a) + 1), m""",
+        "sse": f"""
+            select size, m.{s(k + 1, k + 1)} - sum(beta * b) as sse, m.s_0_0 - size - 1 as df from co, m
+            group by size, m.{s(k + 1, k + 1)}, m.s_0_0""",
+        "part": "select size, c - 1 as component, -beta / 2 as vc, sqrt(sse / df * inv) / 2 as se, beta / sqrt(sse / df * inv) as t, df from co join sse using (size) where c > 1",
+    } | _tail("select size * 10 + component as id, t, df from part")
+
+
+def _he_parts(labels: list[str], where: str = "true") -> str:
+    names = ", ".join(f"'{x}'" for x in labels)
+    return f"""
+        select size as components, cast(component as int) as component, [{names}][component] as label,
+            {_r('vc')} as vc, {_r('p * (size + 1)')} as p, {_r('se')} as vc_se
+        from part join pval on id = size * 10 + component where {where}"""
+
+
+def _rounded_parts(parts: DataFrame) -> DataFrame:
+    return parts.select("components", "component", "label", *(_rd(c).alias(c) for c in ("vc", "p", "vc_se")))
+
+
+_ADD_EPI = """
     select kin.i, kin.j, kin.k as x1, kin.k * kin.k as x2, (a.y - b.y) * (a.y - b.y) as z
-    from kin join phz a on a.iid = kin.i join phz b on b.iid = kin.j where kin.j < kin.i"""}
-_HE = _PAIRS | {
-    "m": """select count(*)::double as n, sum(x1) as s1, sum(x2) as s2, sum(z) as sz, sum(x1 * x1) as s11, sum(x1 * x2) as s12,
-        sum(x2 * x2) as s22, sum(x1 * z) as s1z, sum(x2 * z) as s2z, sum(z * z) as szz from pairs""",
-    "aug": """
-        select 0 as size, [[n, 1, sz]] as a from m
-        union all select 1, [[n, s1, 1, 0, sz], [s1, s11, 0, 1, s1z]] from m
-        union all select 2, [[n, s1, s2, 1, 0, 0, sz], [s1, s11, s12, 0, 1, 0, s1z], [s2, s12, s22, 0, 0, 1, s2z]] from m""",
-    "gj": "select size, 1 as k, a from aug union all select size, k + 1, " + _GAUSS["gj"].split("select k + 1, ")[1],
-    "co": """
-        select size, c, a[c][2 * (size + 1) + 1] as beta, a[c][size + 1 + c] as inv, [sz, s1z, s2z][c] as b
-        from (select size, a, unnest(range(1, size + 2)) as c from gj where k = len(a) + 1), m""",
-    "sse": "select size, m.szz - sum(beta * b) as sse, m.n - size - 1 as df from co, m group by size, m.szz, m.n",
-    "part": "select size, c - 1 as component, -beta / 2 as vc, sqrt(sse / df * inv) / 2 as se, beta / sqrt(sse / df * inv) as t, df from co join sse using (size) where c > 1",
-} | _tail("select size * 10 + component as id, t, df from part")
+    from kin join phz a on a.iid = kin.i join phz b on b.iid = kin.j where kin.j < kin.i"""
+_HE = _he_sql(_ADD_EPI, 2)
 
 
 @_register("he_crossproducts", _sql(f"""
     select a, b, {_r('s', 4)} as s from (
         select unnest(['1', '1', '1', '1', 'x1', 'x1', 'x1', 'x2', 'x2', 'z']) as a,
             unnest(['1', 'x1', 'x2', 'z', 'x1', 'x2', 'z', 'x2', 'z', 'z']) as b,
-            unnest([n, s1, s2, sz, s11, s12, s1z, s22, s2z, szz]) as s from m)""", "kin", "phz", extra={k: _HE[k] for k in ("pairs", "m")}))
+            unnest([s_0_0, s_0_1, s_0_2, s_0_3, s_1_1, s_1_2, s_1_3, s_2_2, s_2_3, s_3_3]) as s from m)""",
+                                    "kin", "phz", extra={k: _HE[k] for k in ("pairs", "m")}))
 def _(spark, sf):
     pairs, names = he.he_pairs(kinship.kinship_additive(_kept(spark, sf)[0]), _phz(spark, sf), epi=2)
     return he.cross_products(pairs, names).select("a", "b", _rd("s", 4).alias("s"))
 
 
+@_register("he_crossproducts_fused", _ORACLES["he_crossproducts"])
+def _(spark, sf):
+    return he.cross_products_from_genotypes(_kept(spark, sf)[0], _phz(spark, sf), 2).select("a", "b", _rd("s", 4).alias("s"))
+
+
 def _he(spark, sf, residual=False, dominance=False):
     kept = _kept(spark, sf)[0]
     dom = kinship.kinship_dominance(kept) if dominance else None
-    return he.he_regression(kinship.kinship_additive(kept), _phz(spark, sf), 2, dom, residual)
+    return jobs.variance_components(fx.pheno(spark, sf), kinship.kinship_additive(kept), 2, dom, residual)
 
 
 @_register("he_models", _sql(f"""
-    select s.size as components, {_r('m.n + m.n * ln(2 * pi()) + m.n * ln(s.sse / m.n) + ln(m.n) * (s.size + 2)', 3)} as bic,
+    select s.size as components, {_r('m.s_0_0 + m.s_0_0 * ln(2 * pi()) + m.s_0_0 * ln(s.sse / m.s_0_0) + ln(m.s_0_0) * (s.size + 2)', 3)} as bic,
         {_r('coalesce(t.vc, 0) / v.v')} as h2, {_r('(coalesce(t.vc, 0) - 1.96 * coalesce(t.se, 0)) / v.v')} as h2_lb,
         {_r('(coalesce(t.vc, 0) + 1.96 * coalesce(t.se, 0)) / v.v')} as h2_ub, {_r('v.v - coalesce(t.vc, 0)')} as ve
     from sse s, m, (select var_pop(y) as v from phz) v
@@ -825,45 +855,119 @@ def _(spark, sf):
     return models.select("components", _rd("bic", 3).alias("bic"), *(_rd(c).alias(c) for c in ("h2", "h2_lb", "h2_ub", "ve")))
 
 
-@_register("he_components", _sql(f"""
-    select size as components, cast(component as int) as component, case component when 1 then 'additive' else 'epistasis 2-way' end as label,
-        {_r('vc')} as vc, {_r('p * (size + 1)')} as p, {_r('se')} as vc_se
-    from part join pval on id = size * 10 + component""", "kin", "phz", extra=_HE))
+@_register("he_components", _sql(_he_parts(he.component_labels(2)), "kin", "phz", extra=_HE))
 def _(spark, sf):
-    return _he(spark, sf)[1].select("components", "component", "label", *(_rd(c).alias(c) for c in ("vc", "p", "vc_se")))
+    return _rounded_parts(_he(spark, sf)[1])
 
 
-@_register("he_residual")
+@_register("he_residual", _sql(_he_parts(he.component_labels(2)), "kin", "phz", extra={"raw": _ADD_EPI} | _he_sql("""
+    select i, j, x1, x2 - (select regr_intercept(x2, x1) from raw) - (select regr_slope(x2, x1) from raw) * x1 as x2, z from raw""", 2)))
 def _(spark, sf):
-    return _he(spark, sf, residual=True)[1]
+    return _rounded_parts(_he(spark, sf, residual=True)[1])
 
 
-@_register("he_dominance")
+@_register("he_dominance", _sql(_he_parts(he.component_labels(2, True)), "kin", "phz", "params", "kept", extra=_DOM | {"raw": _ADD_EPI} | _he_sql(
+    "select raw.i, raw.j, x1, x2, dk.k as x3, z from raw join dk on dk.i = raw.i and dk.j = raw.j", 3)))
 def _(spark, sf):
-    return _he(spark, sf, dominance=True)[1]
+    return _rounded_parts(_he(spark, sf, dominance=True)[1])
 
 
-@_register("he_from_genotypes")
+@_register("he_from_genotypes", _sql(_he_parts(he.component_labels(2, True, ["covariates"]), "size = 4"), "kin", "phz", "params", "kept", "covs", extra=_DOM | {
+    "raw": _ADD_EPI,
+    "cz": "select iid, cov, (value - avg(value) over (partition by cov)) / stddev_pop(value) over (partition by cov) as z from covs",
+    "ck": "select a.iid as i, b.iid as j, sum(a.z * b.z) / 2 as k from cz a join cz b on a.cov = b.cov and b.iid < a.iid group by a.iid, b.iid",
+} | _he_sql("""
+    select raw.i, raw.j, x1, x2, dk.k as x3, ck.k as x4, z from raw
+    join dk on dk.i = raw.i and dk.j = raw.j join ck on ck.i = raw.i and ck.j = raw.j""", 4)))
 def _(spark, sf):
     pairs, names = he.pairs_from_genotypes(_kept(spark, sf)[0], _phz(spark, sf), 2, True, fx.covariates(spark, sf))
-    return he.he_single(pairs, names, 1.0)[1]
+    return _rounded_parts(he.he_single(pairs, names, 1.0, he.component_labels(2, True, ["covariates"]))[1])
+
+
+# The likelihood of blocks ``blk(blk, g, b, yy, n)`` (g = Z'Z / m, b = Z'y) at many shrinkages, by
+# elimination instead of eigenvalues, and its maximum by repeated subdivision of sign changes.
+
+def _reml_sql(levels: int = 7, parts: int = 20) -> dict[str, str]:
+    out: dict[str, str] = {"at0": "select blk, k as id, -10 + 0.2::double * k as ld from blk, (select unnest(range(0, 101)) as k)"}
+
+    def evaluate(level: str) -> None:
+        out[f"m{level}"] = f"""
+            select p.blk, p.id, p.ld, list_transform(g, lambda row, i: list_concat(
+                list_transform(row, lambda v, c: case when c = i then v + exp(ld) else v end),
+                list_transform(row, lambda v, c: case when c = i then 1.0::double else 0 end), [b[i]])) as a
+            from at{level} p join blk using (blk)"""
+        out[f"g{level}"] = f"""
+            select blk, id, ld, 1 as k, 0.0::double as lg, a from m{level} union all
+            select blk, id, ld, k + 1, lg + ln(a[k][k]), list_transform(a, lambda row, i: case when i = k
+                then list_transform(row, lambda v: v / row[k])
+                else list_transform(row, lambda v, c: v - row[k] * a[k][c] / a[k][k]) end) from g{level} where k <= len(a)"""
+        out[f"u{level}"] = f"""
+            select e.blk, e.id, e.ld, exp(e.ld) as d, lg, len(a)::double as m, blk.n, yy,
+                list_sum(list_transform(a, lambda row, i: row[len(a) + i])) as ti,
+                list_dot_product(list_transform(a, lambda row: row[2 * len(a) + 1]), b) as bu,
+                list_dot_product(list_transform(a, lambda row: row[2 * len(a) + 1]), list_transform(a, lambda row: row[2 * len(a) + 1])) as uu
+            from g{level} e join blk using (blk) where k = len(a) + 1"""
+        out[f"e{level}"] = f"""
+            select blk, id, ld, d, n, yy, (yy - bu / m) / d as q,
+                0.5::double * ((n - 1) * ((yy - bu / m - d * uu / m) / (d * d)) / ((yy - bu / m) / d) - ti - (n - 1 - m) / d) as slope,
+                0.5::double * ((n - 1) * (ln((n - 1) / (2 * pi())) - 1 - ln((yy - bu / m) / d)) - lg - (n - 1 - m) * ld) as ll
+            from u{level}"""
+
+    evaluate("0")
+    falls = """
+        select blk, lo, hi from (select blk, slope, lead(slope) over w as nxt, ld as lo, lead(ld) over w as hi from {src} window w as (partition by blk{by} order by id))
+        where slope > 0 and nxt <= 0"""
+    out["c1"] = falls.format(src="e0", by="")
+    for level in range(1, levels + 1):
+        out[f"at{level}"] = f"select blk, k as id, lo + (hi - lo) * k / {parts}.0::double as ld from c{level}, (select unnest(range(0, {parts + 1})) as k)"
+        evaluate(str(level))
+        out[f"c{level + 1}"] = falls.format(src=f"e{level}", by="")
+    out["cand"] = f"""
+        select blk, (lo + hi) / 2 as ld from c{levels + 1}
+        union all select blk, ld from e0 where (id = 0 and slope < 1e-10) or (id = 100 and slope > -1e-10)"""
+    out["atf"] = "select blk, row_number() over () as id, ld from cand"
+    evaluate("f")
+    out["best"] = "select *, q / (n - 1) as vg, d * q / (n - 1) as ve, 1 / (1 + d) as h2 from (select *, row_number() over (partition by blk order by ll desc) as rn from ef) where rn = 1"
+    return out
 
 
-@_register("reml_h2")
+_WHOLE = {
+    "zz": "select a.i, b.i as j, sum(a.z * b.z) / (select max(i) from zr) as s from zr a join zr b using (iid) group by a.i, b.i",
+    "zy": "select i, sum(z * y) as s from zr join phz using (iid) group by i",
+    "blk": """
+        select 0 as blk, (select list(r order by i) from (select i, list(s order by j) as r from zz group by i)) as g,
+            (select list(s order by i) from zy) as b, (select sum(y * y) from phz) as yy, (select count(*) from phz)::double as n""",
+} | _reml_sql()
+_REML_ROW = f"""
+    select {_r('h2')} as h2, {_r('vg')} as vg, {_r('ve')} as ve, {_r('d', 4)} as delta, {_r('ll', 4)} as reml_ll,
+        {_r('sqrt(2 / (n * (s2 / (n - 1) - pow(s1 / (n - 1), 2))))')} as h2_se, n
+    from best, (select sum(case when i = j then s else 0 end) as s1, sum(s * s) as s2 from zz)"""
+
+
+def _reml_row(report: DataFrame) -> DataFrame:
+    return report.select(*(_rd(c).alias(c) for c in ("h2", "vg", "ve")), _rd("delta", 4).alias("delta"),
+                         _rd("reml_ll", 4).alias("reml_ll"), _rd("h2_se").alias("h2_se"), "n")
+
+
+@_register("reml_h2", _sql(_REML_ROW, "zr", "phz", extra=_WHOLE))
 def _(spark, sf):
-    return jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf))
+    return _reml_row(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf)))
 
 
-@_register("reml_from_kinship")
+@_register("reml_from_kinship", _ORACLES["reml_h2"])
 def _(spark, sf):
-    return jobs.heritability(fx.pheno(spark, sf), grm=kinship.kinship_additive(_kept(spark, sf)[0]))
+    return _reml_row(jobs.heritability(fx.pheno(spark, sf), grm=kinship.kinship_additive(_kept(spark, sf)[0])))
 
 
-@_register("reml_from_eigen")
+@_register("reml_from_eigen", _ORACLES["reml_h2"])
 def _(spark, sf):
-    y = _phz(spark, sf)
-    eig = materialise(reml.eigen_summary(kinship.kinship_additive(_kept(spark, sf)[0]), y))
-    return reml.reml_from_eigen(eig, y)
+    eig = materialise(reml.eigen_summary(kinship.kinship_additive(_kept(spark, sf)[0]), _phz(spark, sf)))
+    return _reml_row(jobs.heritability(fx.pheno(spark, sf), eig=eig))
+
+
+@_register("reml_lanczos")
+def _(spark, sf):
+    return reml.reml_lanczos(_kept(spark, sf)[0], _phz(spark, sf), steps=8, probes=8)
 
 
 @_register("reml_lrt")
@@ -892,9 +996,33 @@ def _(spark, sf):
     return scan.region_windows(kept, 16, 8)
 
 
-@_register("scan_regions")
+_SCAN = {
+    "win": """
+        select b as blk, marker, row_number() over (partition by b order by marker) as i, 8 * b as s, least(8 * b + 16, p) as e
+        from (select marker, row_number() over (order by marker) - 1 as idx, count(*) over () as p from params),
+            (select unnest(range(0, (select case when count(*) <= 16 then 1 else 1 + cast(ceil((count(*) - 16) / 8.0) as bigint) end
+                from params))) as b)
+        where idx >= 8 * b and idx < least(8 * b + 16, p)""",
+    "wz": "select w.blk, w.i, z.iid, z.z from win w join z using (marker)",
+    "zz": "select a.blk, a.i, b.i as j, sum(a.z * b.z) as s from wz a join wz b using (blk, iid) group by a.blk, a.i, b.i",
+    "zy": "select blk, i, sum(z * y) as s from wz join pheno using (iid) group by blk, i",
+    "blk": """
+        select blk, g, b, (select var_pop(y) * count(*) from pheno) as yy, (select count(*) from pheno)::double as n
+        from (select blk, list(r order by i) as g from (
+                select blk, i, list(s / m order by j) as r from zz join (select blk, max(i) as m from win group by blk) using (blk) group by blk, i)
+            group by blk) join (select blk, list(s order by i) as b from zy group by blk) using (blk)""",
+} | _reml_sql()
+
+
+@_register("scan_regions", _sql(f"""
+    select cast(blk as int) as block, cast(max(w.s) as int) as start_idx, cast(max(w.e) as int) as end_idx, {_r('max(d)', 3)} as delta,
+        {_r('max(h2)')} as h2, {_r('max(vg)')} as vg, {_r('max(ll)', 4)} as reml_ll,
+        {_r('max(2 * (ll + 0.5::double * (n * (ln(2 * pi()) + ln(yy / (n - 1))) + (n - 1))))', 4)} as lrt
+    from best join win w using (blk) group by blk""", "params", "z", "pheno", extra=_SCAN))
 def _(spark, sf):
-    return reml.likelihood_ratio(scan.scan_regions(fx.geno(spark, sf), fx.pheno(spark, sf), 16, 8))
+    rows = reml.likelihood_ratio(scan.scan_regions(fx.geno(spark, sf), fx.pheno(spark, sf), 16, 8))
+    return rows.select("block", "start_idx", "end_idx", _rd("delta", 3).alias("delta"), _rd("h2").alias("h2"), _rd("vg").alias("vg"),
+                       _rd("reml_ll", 4).alias("reml_ll"), _rd("lrt", 4).alias("lrt"))
 
 
 @_register("scan_regions_covariates")
@@ -905,13 +1033,13 @@ def _(spark, sf):
 # ---------------------------------------------------------------------------------------------
 # Ridge and scores.
 
-def _ridge_sql(scale: str, delta: str) -> dict[str, str]:
+def _ridge_sql(scale: str, delta: str, z: str = "zr", y: str = "phz") -> dict[str, str]:
     """The ridge system of z-scored markers with a scale per marker, solved in SQL."""
     return {
-        "sc": f"select distinct zr.i, zr.marker, {scale} as d from zr left join effect e on e.marker = zr.marker "
+        "sc": f"select distinct zr.i, zr.marker, {scale} as d from {z} zr left join effect e on e.marker = zr.marker "
               "left join member m on m.marker = zr.marker left join rdelta r on r.region_id = m.region_id",
-        "zz": "select a.i, b.i as j, sum(a.z * b.z) as s from zr a join zr b using (iid) group by a.i, b.i",
-        "zy": "select i, sum(z * y) as s from zr join phz using (iid) group by i",
+        "zz": f"select a.i, b.i as j, sum(a.z * b.z) as s from {z} a join {z} b using (iid) group by a.i, b.i",
+        "zy": f"select i, sum(z * y) as s from {z} join {y} using (iid) group by i",
         "aug": f"""
             select list(row order by i) as a from (
                 select x.i, list_append(list(x.s * si.d * sj.d + case when x.i = x.j then {delta} else 0 end order by x.j),
@@ -962,23 +1090,53 @@ def _(spark, sf):
     return ridge.ridge_observation_weighted(_kept(spark, sf)[0], y, w, 10.0).select("marker", _rd("beta").alias("beta"))
 
 
-@_register("region_shrinkage")
+_TRAIN = {
+    "tr_sums": """
+        select marker, count(*)::double as n, sum(case when dosage = -1 then 1 else 0 end)::double as nm,
+            sum(greatest(dosage, 0))::double as s1, sum(greatest(dosage, 0) * greatest(dosage, 0))::double as s2
+        from geno where iid % 5 <> 0 group by marker""",
+    "tr_kept": """
+        select marker, s1 / n as mean, sqrt((n * s2 - s1 * s1) / (n * n)) as sd from tr_sums
+        where nm / n < 1 - 0.95::double and s1 / (2 * n) >= 0.01::double and (n * s2 - s1 * s1) / (n * n) >= 0.02::double""",
+    "tr_z": """
+        select o.iid, o.marker, (o.g - k.mean) / k.sd as z, dense_rank() over (order by o.marker) as i
+        from obs o join tr_kept k using (marker) where o.iid % 5 <> 0""",
+    "tr_y": "select iid, (y - avg(y) over ()) / stddev_pop(y) over () as y from pheno where iid % 5 <> 0",
+}
+_TRAIN_NEEDS = ("geno", "obs", "pheno", "effect", "member", "rdelta")
+
+
+@_register("region_shrinkage", _sql(_BETA, *_RIDGE_NEEDS, extra={
+    "zsome": """
+        select iid, marker, z, dense_rank() over (order by marker) as i from z
+        where marker in (select marker from member join rdelta using (region_id) where delta < exp(10::double))""",
+} | _ridge_sql("1 / sqrt(r.delta)", "1.0::double", "zsome")))
 def _(spark, sf):
     named = fx.marker(spark, sf).withColumn("rsid", F.expr("concat('rs', 1000 + marker)"))
-    return jobs.region_shrinkage(fx.geno(spark, sf), fx.pheno(spark, sf), named, fx.region_member(spark, sf),
-                                 fx.region_delta(spark, sf))[0]
+    effects = jobs.region_shrinkage(fx.geno(spark, sf), fx.pheno(spark, sf), named, fx.region_member(spark, sf),
+                                    fx.region_delta(spark, sf))[0]
+    return effects.select("marker", _rd("beta").alias("beta"))
 
 
-@_register("ridge_blup")
+@_register("ridge_blup", _sql(f"""
+    select iid, {_r('sum((g - m) / s * beta)')} as yhat from (
+        select o.iid, o.marker, o.g, avg(o.g) over w as m,
+            case when stddev_pop(o.g) over w = 0 then 1 else stddev_pop(o.g) over w end as s
+        from obs o where o.iid % 5 = 0 window w as (partition by o.marker)) join beta using (marker) group by iid""",
+                              *_TRAIN_NEEDS, extra=_TRAIN | _ridge_sql("1.0::double", "(0.6::double / 0.4::double)", "tr_z", "tr_y")))
 def _(spark, sf):
     g, y = fx.geno(spark, sf), fx.pheno(spark, sf)
-    return jobs.ridge_blup(_train(g), _train(y), _valid(g), 0.4)[0]
+    return jobs.ridge_blup(_train(g), _train(y), _valid(g), 0.4)[0].select("iid", _rd("yhat").alias("yhat"))
 
 
-@_register("effects_job")
+@_register("effects_job", _sql(f"""
+    select o.iid, {_r('sum((o.g - k.mean) / k.sd * b.beta)')} as yhat
+    from obs o join tr_kept k using (marker) join beta b using (marker) where o.iid % 5 = 0 group by o.iid""",
+                               *_TRAIN_NEEDS, extra=_TRAIN | _ridge_sql("1.0::double", "0.0::double", "tr_z", "tr_y")))
 def _(spark, sf):
     g, y = fx.geno(spark, sf), fx.pheno(spark, sf)
-    return jobs.effects_job(_train(g), _train(y), fx.marker(spark, sf), valid=_valid(g))["predictions"]
+    out = jobs.effects_job(_train(g), _train(y), fx.marker(spark, sf), valid=_valid(g))["predictions"]
+    return out.select("iid", _rd("yhat").alias("yhat"))
 
 
 @_register("prs", _sql(f"select z.iid, {_r('sum(z.z * e.beta)')} as yhat from z join effect e using (marker) group by z.iid", "z", "effect"))

@@ -113,8 +113,12 @@ def residualise(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_models(m: np.ndarray, var_y: float, dominance_at: int | None = None,
-               smallest: int = 0) -> tuple[pd.DataFrame, pd.DataFrame]:
+def component_labels(epi: int, dominance: bool = False, further: list[str] | None = None) -> list[str]:
+    return (["additive"] + [f"epistasis {k}-way" for k in range(2, epi + 1)] + (["dominance"] if dominance else [])
+            + list(further or []))
+
+
+def fit_models(m: np.ndarray, var_y: float, labels: list[str], smallest: int = 0) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Nested models of 0..k components: model table and component table."""
     n, k = m[0, 0], len(m) - 2
     models, parts = [], []
@@ -126,15 +130,7 @@ def fit_models(m: np.ndarray, var_y: float, dominance_at: int | None = None,
         total, spread = vc[hit].sum(), 1.96 * se[hit].sum()
         bic = n + n * np.log(2 * np.pi) + n * np.log(fit["sse"] / n) + np.log(n) * (size + 2)
         models.append((size, bic, total / var_y, (total - spread) / var_y, (total + spread) / var_y, var_y - total))
-        way = 2
-        for c in range(size):
-            if c == 0:
-                label = "additive"
-            elif c == dominance_at:
-                label = "dominance"
-            else:
-                label, way = f"epistasis {way}-way", way + 1
-            parts.append((size, c + 1, label, vc[c], p[c], se[c]))
+        parts.extend((size, c + 1, labels[c], vc[c], p[c], se[c]) for c in range(size))
     return (pd.DataFrame(models, columns=["components", "bic", "h2", "h2_lb", "h2_ub", "ve"]),
             pd.DataFrame(parts, columns=["components", "component", "label", "vc", "p", "vc_se"]))
 
@@ -152,14 +148,14 @@ def he_regression(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: Dat
     if residual:
         m = residualise(m)
     var_y = pheno.agg(F.var_pop("y")).first()[0]
-    models, parts = fit_models(m, var_y, len(names) - 1 if dominance is not None else None)
+    models, parts = fit_models(m, var_y, component_labels(epi, dominance is not None))
     return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)
 
 
-def he_single(pairs: DataFrame, names: list[str], var_y: float) -> tuple[DataFrame, DataFrame]:
+def he_single(pairs: DataFrame, names: list[str], var_y: float, labels: list[str]) -> tuple[DataFrame, DataFrame]:
     """The one model with all components."""
     spark = pairs.sparkSession
-    models, parts = fit_models(cross_product_matrix(cross_products(pairs, names), names), var_y, smallest=len(names))
+    models, parts = fit_models(cross_product_matrix(cross_products(pairs, names), names), var_y, labels, len(names))
     return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)
 
 
@@ -168,5 +164,5 @@ def he_regression_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1
     """All nested additive and epistatic models without a stored relationship matrix."""
     spark, names = geno.sparkSession, [f"x{k}" for k in range(1, epi + 1)]
     m = cross_product_matrix(cross_products_from_genotypes(geno, pheno, epi), names)
-    models, parts = fit_models(residualise(m) if residual else m, pheno.agg(F.var_pop("y")).first()[0])
+    models, parts = fit_models(residualise(m) if residual else m, pheno.agg(F.var_pop("y")).first()[0], component_labels(epi))
     return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)
