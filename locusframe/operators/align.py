@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.ranking import SPAN, index_by_hash, with_row_index
+from locusframe.session import materialise
 
 
 def with_pheno(geno: DataFrame, pheno: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def with_effects(geno: DataFrame, effects: DataFrame, markers: DataFrame) -> Dat
     keyed = markers.select("marker", "rsid", F.col("a1").alias("_a1"), F.col("a2").alias("_a2"))
     oriented = effects.join(keyed, "rsid").filter((F.col("a1") == F.col("_a1")) | (F.col("a1") == F.col("_a2")))
     flipped = F.col("a1") != F.col("_a1")
-    small = oriented.select("marker", "rsid", "beta", flipped.alias("_flip"))
+    small = materialise(oriented.select("marker", "rsid", "beta", flipped.alias("_flip")))
     copies = F.when(F.col("dosage") == -1, F.lit(0)).when(F.col("_flip"), 2 - F.col("dosage")).otherwise(F.col("dosage"))
     return geno.join(small, "marker").select("iid", "marker", "rsid", "beta", copies.alias("dosage"))
 
@@ -45,8 +46,8 @@ def concat_chromosomes(geno: DataFrame, markers: DataFrame) -> tuple[DataFrame,
     """
     sizes = markers.groupBy("chrom_no").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("chrom_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("chrom_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off"))
-    shift = lambda t: (t.join(F.broadcast(offsets), "chrom_no")
+    offsets = materialise(sizes.select("chrom_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off")))
+    shift = lambda t: (t.join(offsets, "chrom_no")
                        .withColumn("marker", (F.col("marker") + F.col("_off")).cast("int")).drop("_off"))
     return shift(geno), shift(markers)
 
@@ -57,7 +58,7 @@ def concat_regions(regions: DataFrame) -> DataFrame:
     last = regions.groupBy("file_no").agg(F.max_by("end_idx", "row_no").alias("_end"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = last.select("file_no", F.coalesce(F.sum("_end").over(before), F.lit(0)).alias("_off"))
-    return regions.join(F.broadcast(offsets), "file_no").select(
+    return regions.join(offsets, "file_no").select(
         "file_no", "row_no",
         (F.col("start_idx") + F.col("_off")).cast("long").alias("start_idx"),
         (F.col("end_idx") + F.col("_off")).cast("long").alias("end_idx"), "delta")

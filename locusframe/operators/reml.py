@@ -25,7 +25,7 @@ from locusframe.functions.tails import chi2_1_pvalue
 from locusframe.operators.kinship import kinship_additive
 from locusframe.operators.regression import dense_triangle
 from locusframe.operators.ridge import Moments, marker_moments, tile_times
-from locusframe.operators.tiles import COLS, ROWS, tile_table
+from locusframe.operators.tiles import COLS, ROWS, block_counts, tile_table
 from locusframe.operators.transform import scale_params
 from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
 
@@ -284,9 +284,11 @@ def reml_lanczos(geno: DataFrame, pheno: DataFrame, steps: int = 40, probes: int
     start = materialise(start_vectors(present, rows, probes, seed))
     n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
 
+    shape = block_counts(tiles)
+
     def multiply(vectors):
-        across = tile_times(tiles, vectors, rows, cols, transpose=True, width=width)
-        back = tile_times(tiles, across, rows, cols, transpose=False, width=width)
+        across = tile_times(tiles, shape, vectors, rows, cols, transpose=True, width=width)
+        back = tile_times(tiles, shape, across, rows, cols, transpose=False, width=width)
         return back.select("block", F.transform("v", lambda x: x / F.lit(float(p))).alias("v"))
 
     spec = lanczos_spectrum(multiply, start, n, width, steps)
@@ -305,7 +307,8 @@ def reml_lanczos_from_grm(grm: DataFrame, pheno: DataFrame, steps: int = 40, pro
     tiles = materialise(tile_table(both, "i", "j", "k", rows, rows))
     start = materialise(start_vectors(present, rows, probes, seed))
     n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
-    multiply = lambda vectors: tile_times(tiles, vectors, rows, rows, transpose=False, width=width)
+    shape = block_counts(tiles)
+    multiply = lambda vectors: tile_times(tiles, shape, vectors, rows, rows, transpose=False, width=width)
     spec = lanczos_spectrum(multiply, start, n, width, steps)
     return _report(grm.sparkSession, maximise(spec), n, float(y_ss), f"lanczos {steps} steps, {probes} probes")
 

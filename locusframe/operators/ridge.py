@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import observed
 from locusframe.operators.regression import dense_triangle, multi_reg
-from locusframe.operators.tiles import COLS, ROWS, decode, gram, tile_table
+from locusframe.operators.tiles import COLS, ROWS, block_counts, decode, gram, tile_table
 from locusframe.operators.transform import scale_params
 from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
 
+VECTOR_BYTES = 256 << 20
+
 
 @dataclass
 class Moments:
@@ -137,14 +139,21 @@ def ridge_observation_weighted(geno: DataFrame, pheno: DataFrame, weights: DataF
     return _effects(geno.sparkSession, ids, np.linalg.solve(ztwz + delta * np.eye(len(ids)), zty))
 
 
-def tile_times(tiles: DataFrame, vectors: DataFrame, rows: int, cols: int, transpose: bool, width: int = 1) -> DataFrame:
+def tile_times(tiles: DataFrame, shape: tuple[int, int], vectors: DataFrame, rows: int, cols: int, transpose: bool,
+               width: int = 1) -> DataFrame:
     """One product of the tile table with ``width`` blocked vectors ``(block, v)``; result ``(block, v)``.
 
-    A task adds up the blocks it meets before it sends them on, so what is shuffled is at most one
-    block per task and output block.
+    ``shape`` is the number of row and column blocks and bounds the vectors' size: below
+    ``VECTOR_BYTES`` they are broadcast and the tiles stay where they are, above it they are joined. A
+    task adds up the blocks it meets before it sends them on, so what is shuffled is at most one block
+    per task and output block.
     """
-    near, far, size = ("rb", "cb", cols) if transpose else ("cb", "rb", rows)
-    joined = tiles.join(vectors.withColumnRenamed("block", near), near).select("rb", "cb", "x", "mu", "inv", "v")
+    near, size = ("rb", cols) if transpose else ("cb", rows)
+    length = shape[0] * rows if transpose else shape[1] * cols
+    side = vectors.withColumnRenamed("block", near)
+    if 8 * length * width <= VECTOR_BYTES:
+        side = F.broadcast(side)
+    joined = tiles.join(side, near).select("rb", "cb", "x", "mu", "inv", "v")
 
     def multiply(batches):
         sums: dict[int, np.ndarray] = {}
@@ -220,9 +229,10 @@ def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float =
     used = params.filter("d <> 0").select("marker", "mean", (F.col("sd") / F.col("d")).alias("sd"))
     cells = geno.join(pheno.select("iid"), "iid", "left_semi").join(used, "marker")
     tiles = materialise(tile_table(cells, "iid", "marker", "dosage", rows, cols, scaled=True))
+    shape = block_counts(tiles)
     mean_y = pheno.agg(F.avg("y")).first()[0]
     y = to_blocks(pheno.select("iid", (F.col("y") - F.lit(mean_y)).alias("y")), "iid", "y", rows)
-    right = tile_times(tiles, y, rows, cols, transpose=True)
+    right = tile_times(tiles, shape, y, rows, cols, transpose=True)
     state = materialise(right.select("block", F.transform("v", lambda _: F.lit(0.0)).alias("x"),
                                      F.col("v").alias("r"), F.col("v").alias("p")))
     rr = start = state.agg(F.sum(_dot("r", "r"))).first()[0]
@@ -230,8 +240,8 @@ def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float =
         if rr is None or rr <= tolerance * tolerance * start:
             break
         direction = state.select("block", F.col("p").alias("v"))
-        across = tile_times(tiles, direction, rows, cols, transpose=False)
-        back = tile_times(tiles, across, rows, cols, transpose=True)
+        across = tile_times(tiles, shape, direction, rows, cols, transpose=False)
+        back = tile_times(tiles, shape, across, rows, cols, transpose=True)
         joined = materialise(state.join(back, "block").withColumn("q", _axpy("v", "p", delta)).drop("v"))
         step = rr / joined.agg(F.sum(_dot("p", "q"))).first()[0]
         moved = joined.select("block", _axpy("x", "p", step).alias("x"), _axpy("r", "q", -step).alias("r"), "p")

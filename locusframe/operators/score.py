@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import observed
 from locusframe.operators.align import with_effects
+from locusframe.session import materialise
 
 
 def polygenic_score(z: DataFrame, effects: DataFrame, value: str = "z") -> DataFrame:
     """``yhat = sum(value x beta)`` per individual; effects are keyed by marker."""
-    return z.join(effects.select("marker", "beta"), "marker").groupBy("iid").agg(
+    small = materialise(effects.select("marker", "beta"))
+    return z.join(small, "marker").groupBy("iid").agg(
         F.sum(F.col(value) * F.col("beta")).alias("yhat"))
 
 
@@ -19,10 +21,10 @@ def score_standardised(geno: DataFrame, effects: DataFrame, params: DataFrame) -
     """The score of z-scored dosages without forming them: ``sum(g b/sd) - sum(mean b/sd)``.
 
     The constant is folded into the small side, so the genotypes meet one joined table and one
-    partial aggregate.
+    partial aggregate. That side is stored because Spark's size estimate of a join is a product.
     """
-    unit = effects.join(params, "marker").select(
-        "marker", (F.col("beta") / F.col("sd")).alias("_u"), (F.col("mean") * F.col("beta") / F.col("sd")).alias("_m"))
+    unit = materialise(effects.join(params, "marker").select(
+        "marker", (F.col("beta") / F.col("sd")).alias("_u"), (F.col("mean") * F.col("beta") / F.col("sd")).alias("_m")))
     return geno.join(unit, "marker").groupBy("iid").agg(
         F.sum(observed("dosage") * F.col("_u") - F.col("_m")).alias("yhat"))
 

@@ -82,7 +82,7 @@ def decode(x: bytes, mu: bytes | None, inv: bytes | None, rows: int, cols: int):
     return values, ~absent.all(axis=1), ~absent.all(axis=0)
 
 
-def _block_counts(tiles: DataFrame) -> tuple[int, int]:
+def block_counts(tiles: DataFrame) -> tuple[int, int]:
     """Numbers of row and column blocks (reads two integer columns)."""
     top = tiles.agg(F.max("rb"), F.max("cb")).first()
     return (0, 0) if top[0] is None else (top[0] + 1, top[1] + 1)
@@ -148,7 +148,7 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
     the default can reduce a block on the spot instead of writing out its pairs.
     """
     spark = tiles.sparkSession
-    n_rb, n_cb = _block_counts(tiles)
+    n_rb, n_cb = block_counts(tiles)
     if n_rb == 0:
         return spark.createDataFrame([], schema)
     span = max(1, min(SUPER, n_rb // 16))

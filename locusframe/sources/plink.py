@@ -22,6 +22,7 @@ from pyspark.sql.datasource import (
 )
 
 from locusframe.functions.ranking import SPAN, with_row_index
+from locusframe.session import materialise
 
 # Fixed values of the file format: header bytes, and the dosage of each 2-bit code 0, 1, 2, 3.
 BED_HEADER = bytes([108, 27, 1])
@@ -302,8 +303,8 @@ def duplicated_markers(renamed: DataFrame) -> DataFrame:
 def read_marker_subset(geno: DataFrame, markers: DataFrame, wanted: DataFrame) -> DataFrame:
     """Genotypes of the listed rsids; fails when one does not exist."""
     hits = wanted.select("rsid").distinct().join(markers.select("rsid", "marker"), "rsid", "left")
-    checked = hits.select("rsid", F.when(F.col("marker").isNull(), F.raise_error(
-        F.concat(F.lit("marker not found: "), F.col("rsid")))).otherwise(F.col("marker")).cast("int").alias("marker"))
+    checked = materialise(hits.select("rsid", F.when(F.col("marker").isNull(), F.raise_error(
+        F.concat(F.lit("marker not found: "), F.col("rsid")))).otherwise(F.col("marker")).cast("int").alias("marker")))
     return geno.join(checked, "marker").select("iid", "marker", "rsid", "dosage")
 
 
