@@ -1211,6 +1211,45 @@ def _(spark, sf):
     return jobs.neural_prediction(_train(g), _train(y), _valid(g), _valid(y), plan)["predictions"]
 
 
+def _train_sql(epochs: int, rate: float, momentum: float, l2: float) -> dict[str, str]:
+    """Full-batch gradient steps of a network with one sigmoid layer, epoch by epoch."""
+    out = {
+        "tz": "select k.iid, k.marker, (k.g - p.mean) / p.sd as z from kept k join tr_params p using (marker)",
+        "ty": "select iid, (y - avg(y) over ()) / stddev_pop(y) over () as y, count(*) over () as n from pheno where iid % 5 <> 0",
+        "wa0": "select i as marker, j as h, w, 0.0::double as v from lw where layer = 0 and i in (select marker from params)",
+        "ba0": "select distinct h, 0.0::double as b, 0.0::double as v from wa0",
+        "wb0": "select i as h, w, 0.0::double as v from lw where layer = 1",
+        "bb0": "select 0.0::double as b, 0.0::double as v",
+    }
+    new = lambda w, g: f"{w} - {rate}::double * ({momentum}::double * v + {g}) as {w}, {momentum}::double * v + {g} as v"
+    for e in range(1, epochs + 1):
+        o = e - 1
+        out |= {
+            f"s{e}": f"select z.iid, w.h, sum(z.z * w.w) + max(b.b) as s from tz z join wa{o} w using (marker) join ba{o} b using (h) where z.iid % 5 <> 0 group by z.iid, w.h",
+            f"r{e}": f"""select iid, 2 * (sum(w.w / (1 + exp(-s.s))) + (select b from bb{o}) - max(y)) / max(n) as r
+                from s{e} s join wb{o} w using (h) join ty using (iid) group by iid""",
+            f"d{e}": f"select s.iid, s.h, r * w.w / (1 + exp(-s.s)) * (1 - 1 / (1 + exp(-s.s))) as d from s{e} s join r{e} using (iid) join wb{o} w using (h)",
+            f"ga{e}": f"select z.marker, d.h, sum(z.z * d.d) as g from tz z join d{e} d using (iid) group by z.marker, d.h",
+            f"wa{e}": f"select marker, h, {new('w', f'(g + {l2}::double * w)')} from wa{o} join ga{e} using (marker, h)",
+            f"ba{e}": f"select h, {new('b', 'g')} from ba{o} join (select h, sum(d) as g from d{e} group by h) using (h)",
+            f"wb{e}": f"select h, {new('w', 'g')} from wb{o} join (select h, sum(r / (1 + exp(-s))) as g from s{e} join r{e} using (iid) group by h) using (h)",
+            f"bb{e}": f"select {new('b', 'g')} from bb{o}, (select sum(r) as g from r{e})",
+        }
+    out["sv"] = f"select z.iid, w.h, sum(z.z * w.w) + max(b.b) as s from tz z join wa{epochs} w using (marker) join ba{epochs} b using (h) where z.iid % 5 = 0 group by z.iid, w.h"
+    out["yv"] = f"select iid, sum(w.w / (1 + exp(-s.s))) + (select b from bb{epochs}) as yhat from sv s join wb{epochs} w using (h) group by iid"
+    return out
+
+
+@_register("mlp_training", _sql(f"select iid, {_r('yhat')} as yhat from yv", "kept", "tr_params", "pheno", "lw", "params",
+                                extra=_train_sql(3, 0.05, 0.9, 0.01)))
+def _(spark, sf):
+    rows, held, names = _training(spark, sf)
+    start = fx.layer_weight(spark, sf).filter((F.col("layer") > 0) | F.col("i").isin(names))
+    plan = nn.TrainingPlan(epochs=3, learn_rate=0.05, momentum=0.9, l2=0.01)
+    trained = nn.train(rows, nn.load_network(start), plan)
+    return nn.predict(held, trained.network).select("iid", _rd("yhat").alias("yhat"))
+
+
 @_register("training_curve")
 def _(spark, sf):
     from locusframe.sources.sinks import training_curve
