@@ -822,19 +822,19 @@ _HE = _he_sql(_ADD_EPI, 2)
 
 
 @_register("he_crossproducts", _sql(f"""
-    select a, b, {_r('s', 4)} as s from (
+    select a, b, {_r('s', 2)} as s from (
         select unnest(['1', '1', '1', '1', 'x1', 'x1', 'x1', 'x2', 'x2', 'z']) as a,
             unnest(['1', 'x1', 'x2', 'z', 'x1', 'x2', 'z', 'x2', 'z', 'z']) as b,
             unnest([s_0_0, s_0_1, s_0_2, s_0_3, s_1_1, s_1_2, s_1_3, s_2_2, s_2_3, s_3_3]) as s from m)""",
                                     "kin", "phz", extra={k: _HE[k] for k in ("pairs", "m")}))
 def _(spark, sf):
     pairs, names = he.he_pairs(kinship.kinship_additive(_kept(spark, sf)[0]), _phz(spark, sf), epi=2)
-    return he.cross_products(pairs, names).select("a", "b", _rd("s", 4).alias("s"))
+    return he.cross_products(pairs, names).select("a", "b", _rd("s", 2).alias("s"))
 
 
 @_register("he_crossproducts_fused", _ORACLES["he_crossproducts"])
 def _(spark, sf):
-    return he.cross_products_from_genotypes(_kept(spark, sf)[0], _phz(spark, sf), 2).select("a", "b", _rd("s", 4).alias("s"))
+    return he.cross_products_from_genotypes(_kept(spark, sf)[0], _phz(spark, sf), 2).select("a", "b", _rd("s", 2).alias("s"))
 
 
 def _he(spark, sf, residual=False, dominance=False):

@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators.kinship import covariate_kinship, kinship_additive, kinship_dominance, scaled_cells
+from locusframe.operators.kinship import covariate_kinship, kinship_additive, kinship_dominance
 from locusframe.operators.regression import solve_least_squares
 from locusframe.operators.tiles import gram
+from locusframe.operators.transform import scale_params
+from locusframe.session import materialise
 
 SIGNIFICANT = 0.05
 MAX_BROADCAST_ROWS = 1 << 22
@@ -75,7 +77,9 @@ def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int =
     head = head.sort_values("iid")
     spark = geno.sparkSession
     shipped = spark.sparkContext.broadcast((head.iid.to_numpy(), head.y.to_numpy()))
-    cells, p = scaled_cells(geno.join(pheno.select("iid"), "iid", "left_semi"))
+    cells = geno.join(pheno.select("iid"), "iid", "left_semi")
+    params = materialise(scale_params(cells))
+    p = params.count()
 
     def sums(i, j, block):
         ids, y = shipped.value
@@ -88,7 +92,7 @@ def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int =
         a, b = np.triu_indices(len(m))
         return pa.record_batch({"a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "s": m[a, b]})
 
-    parts = gram(cells, "iid", "marker", "dosage", scaled=True, emit=sums, schema="a int, b int, s double")
+    parts = gram(cells, "iid", "marker", "dosage", params, emit=sums, schema="a int, b int, s double")
     label = F.array(*(F.lit(c) for c in ("1", *names, "z")))
     return parts.groupBy("a", "b").agg(F.sum("s").alias("s")).select(
         F.element_at(label, F.col("a") + 1).alias("a"), F.element_at(label, F.col("b") + 1).alias("b"), "s")

@@ -14,16 +14,11 @@ from locusframe.operators.transform import dominance_recode, scale_params
 from locusframe.session import materialise
 
 
-def scaled_cells(geno: DataFrame) -> tuple[DataFrame, int]:
-    """Genotype cells with the mean and sd of their marker, and the number of markers."""
-    params = materialise(scale_params(geno))
-    return geno.join(params, "marker").select("iid", "marker", "dosage", "mean", "sd"), params.count()
-
-
 def kinship_additive(geno: DataFrame) -> DataFrame:
     """Mean product of z-scores over markers, for every pair of individuals and the diagonal."""
-    cells, p = scaled_cells(geno)
-    return gram(cells, "iid", "marker", "dosage", scaled=True).select(
+    params = materialise(scale_params(geno))
+    p = params.count()
+    return gram(geno, "iid", "marker", "dosage", params).select(
         "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
 
 
@@ -56,8 +51,8 @@ def kinship_weighted(geno: DataFrame, weights: DataFrame, mode: str = "post", do
     params = materialise(scale_params(source).join(used, "marker").select(
         "marker", "mean", (F.col("sd") / F.sqrt("w")).alias("sd"), "w"))
     total, p = params.agg(F.sum("w"), F.count(F.lit(1))).first()
-    cells = source.join(params.select("marker", "mean", "sd"), "marker")
-    return gram(cells, "iid", "marker", "dosage", scaled=True).select(
+    cells = source.join(params.select("marker"), "marker", "left_semi")
+    return gram(cells, "iid", "marker", "dosage", params).select(
         "i", "j", (F.col("s") / F.lit(total)).alias("k"), F.lit(float(p)).alias("n_snps"))
 
 
@@ -68,8 +63,9 @@ def euclidean_distance(geno: DataFrame) -> DataFrame:
 
 def kinship_gaussian(geno: DataFrame, theta: float = 0.5) -> DataFrame:
     """Gaussian kernel of the distance between z-scored individuals, scaled by marker count."""
-    cells, p = scaled_cells(geno)
-    d2 = gram(cells, "iid", "marker", "dosage", scaled=True, distance=True)
+    params = materialise(scale_params(geno))
+    p = params.count()
+    d2 = gram(geno, "iid", "marker", "dosage", params, distance=True)
     return d2.select("i", "j", F.exp(-F.col("s") / F.lit(4.0 * p * theta * theta)).alias("k"),
                      F.lit(float(p)).alias("n_snps"))
 
@@ -84,13 +80,12 @@ def merge_kinships(grms: list[DataFrame]) -> DataFrame:
 
 def covariate_kinship(covariates: DataFrame) -> DataFrame:
     """Relationship by z-scored covariates ``(iid, cov, value)``; ``cov`` is an integer position."""
-    stats = materialise(covariates.groupBy(F.col("cov").alias("marker")).agg(
+    stats = materialise(covariates.groupBy("cov").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("_sd")).select(
-        "marker", "mean", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd")).alias("sd")))
+        "cov", "mean", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd")).alias("sd")))
     p = stats.count()
-    cells = covariates.withColumnRenamed("cov", "marker").join(stats, "marker").select(
-        "iid", "marker", F.col("value").cast("double").alias("value"), "mean", "sd")
-    return gram(cells, "iid", "marker", "value", scaled=True).select(
+    cells = covariates.select("iid", "cov", F.col("value").cast("double").alias("value"))
+    return gram(cells, "iid", "cov", "value", stats).select(
         "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
 
 

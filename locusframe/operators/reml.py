@@ -279,7 +279,7 @@ def reml_lanczos(geno: DataFrame, pheno: DataFrame, steps: int = 40, probes: int
     both = geno.join(pheno.select("iid"), "iid", "left_semi")
     params = materialise(scale_params(both))
     p, width = params.count(), probes + 1
-    tiles = materialise(tile_table(both.join(params, "marker"), "iid", "marker", "dosage", rows, cols, scaled=True))
+    tiles = materialise(tile_table(both, "iid", "marker", "dosage", rows, cols, params))
     present = pheno.join(both.filter(F.col("marker") == params.first().marker).select("iid"), "iid", "left_semi")
     start = materialise(start_vectors(present, rows, probes, seed))
     n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()

@@ -113,7 +113,7 @@ def ridge_dual(geno: DataFrame, pheno: DataFrame, delta: float) -> DataFrame:
     y[np.searchsorted(ids, [r.iid for r in rows])] = [r.y for r in rows]
     both = geno.join(pheno.select("iid"), "iid", "left_semi")
     cells = both.join(params, "marker").select("iid", "marker", "dosage", "mean", "sd")
-    zzt = dense_triangle(gram(cells, "iid", "marker", "dosage", scaled=True), ids)
+    zzt = dense_triangle(gram(both, "iid", "marker", "dosage", params), ids)
     a = np.linalg.solve(zzt + delta * np.eye(len(ids)), y - y.mean())
     dual = geno.sparkSession.createDataFrame(pa.table({"iid": pa.array(ids), "a": pa.array(a)}))
     z = (observed("dosage") - F.col("mean")) / F.col("sd")
@@ -227,8 +227,10 @@ def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float =
         params = params.withColumn("d", F.lit(1.0))
     params = materialise(params)
     used = params.filter("d <> 0").select("marker", "mean", (F.col("sd") / F.col("d")).alias("sd"))
-    cells = geno.join(pheno.select("iid"), "iid", "left_semi").join(used, "marker")
-    tiles = materialise(tile_table(cells, "iid", "marker", "dosage", rows, cols, scaled=True))
+    cells = geno.join(pheno.select("iid"), "iid", "left_semi")
+    if scales is not None:
+        cells = cells.join(used.select("marker"), "marker", "left_semi")
+    tiles = materialise(tile_table(cells, "iid", "marker", "dosage", rows, cols, used))
     shape = block_counts(tiles)
     mean_y = pheno.agg(F.avg("y")).first()[0]
     y = to_blocks(pheno.select("iid", (F.col("y") - F.lit(mean_y)).alias("y")), "iid", "y", rows)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from locusframe.functions.ranking import index_by_integer
 from locusframe.functions.scalar import MAX_DELTA, observed
 from locusframe.operators.qc import kept_markers, qc_report
+from locusframe.operators.tiles import fill_tile, fragments
 from locusframe.operators.reml import maximise, project_out, spectrum_from_products
 from locusframe.session import materialise
 
@@ -94,22 +95,21 @@ def scan_regions(geno: DataFrame, pheno: DataFrame, block: int = 50, stride: int
     cells = geno.join(pheno.select("iid"), "iid", "left_semi").join(info.select("marker", "idx"), "marker").select(
         "iid", observed("dosage").cast("tinyint").alias("g"), "idx",
         F.explode(F.sequence(low, high)).alias("run")).select(
-        "run", F.floor(F.col("iid") / SCAN_ROWS).alias("slice"),
-        F.pmod("iid", F.lit(SCAN_ROWS)).cast("int").alias("r"),
-        (idx - F.col("run") * (per_run * stride)).cast("int").alias("c"), "g")
+        F.expr(f"iid div {SCAN_ROWS}").alias("rb"), F.col("run").alias("cb"),
+        (F.col("iid") % SCAN_ROWS * width + idx - F.col("run") * (per_run * stride)).alias("pos"),
+        F.col("g").alias("v"))
 
     def products(key, table):
-        run, part = key[0].as_py(), key[1].as_py()
-        x = np.zeros((SCAN_ROWS, width))
-        x[table.column("r").to_numpy(), table.column("c").to_numpy()] = table.column("g").to_numpy()
+        part, run = key[0].as_py(), key[1].as_py()
+        x = fill_tile(table, np.zeros(SCAN_ROWS * width, np.int8)).reshape(SCAN_ROWS, width).astype(np.float32)
         blocks, mats = [], []
         for w in range(per_run):
             if run * per_run + w < n_windows:
                 part_x = x[:, w * stride:w * stride + block]
                 blocks.append(run * per_run + w)
-                mats.append((part_x.T @ part_x).tobytes())
-        return pa.table({"block": pa.array(blocks, pa.int32()), "slice": pa.array([part] * len(blocks), pa.int64()),
-                         "m": pa.array(mats, pa.binary())})
+                # Sums of products of 0, 1, 2 over a slice stay below 2^24, so single precision is exact.
+                mats.append((part_x.T @ part_x).astype(np.float64).tobytes())
+        return pa.table({"block": pa.array(blocks, pa.int32()), "slice": pa.array([part] * len(blocks), pa.int64()), "m": pa.array(mats, pa.binary())})
 
     def add(key, table):
         total = np.zeros(block * block)
@@ -118,7 +118,7 @@ def scan_regions(geno: DataFrame, pheno: DataFrame, block: int = 50, stride: int
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()),
                          "slice": pa.array([key[1].as_py()], pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
 
-    mats = materialise(cells.groupBy("run", "slice").applyInArrow(products, "block int, slice long, m binary"))
+    mats = materialise(fragments(cells).groupBy("rb", "cb").applyInArrow(products, "block int, slice long, m binary"))
     slices = (mats.agg(F.max("slice")).first()[0] or 0) + 1
     while slices > FAN_IN:
         mats = mats.withColumn("slice", F.floor(F.col("slice") / FAN_IN)).groupBy("block", "slice").applyInArrow(

@@ -32,40 +32,107 @@ STRIPE = 64
 MAX_TASKS = 1 << 15
 ABSENT = -128
 
-TILE_SCHEMA = "rb int, cb int, x binary, mu binary, inv binary"
+FRAGMENT_CELLS = 1 << 21
+
+
+def fragments(keyed: DataFrame) -> DataFrame:
+    """Cells ``(rb, cb, pos, v)`` packed per task into runs of one tile: ``(rb, cb, pos, v)`` with binaries.
+
+    Five bytes per cell (twelve for doubles) are shuffled instead of a row, and nothing is sorted cell
+    by cell in the shuffle. A task holds ``FRAGMENT_CELLS`` cells at a time. On the way to Python a
+    genotype cell is one long, since that transfer costs by the field.
+    """
+    whole = dict(keyed.dtypes)["v"] == "tinyint"
+    kind = np.int8 if whole else np.float64
+    rb, cb, pos = F.col("rb").cast("long"), F.col("cb").cast("long"), F.col("pos").cast("long")
+    code = F.shiftleft(rb, 44).bitwiseOR(F.shiftleft(cb, 24)).bitwiseOR(F.shiftleft(pos, 3))
+    fits = (rb >= 0) & (rb < 1 << 19) & (cb >= 0) & (cb < 1 << 20) & (pos < 1 << 21)
+    if whole:
+        fits = fits & F.col("v").between(-1, 6)
+        code = code.bitwiseOR((F.col("v") + 1).cast("long"))
+    code = F.when(fits, code).otherwise(F.raise_error(F.lit("cell outside the range of tiles")).cast("long"))
+    sent = keyed.select(code.alias("k"), *([] if whole else [F.col("v")]))
+
+    def binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+        offsets = (np.append(starts, len(data)) * data.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    def pack(held):
+        table = pa.Table.from_batches(held)
+        codes = table.column("k").to_numpy()
+        key, pos = codes >> 24, ((codes >> 3) & 0x1FFFFF).astype(np.int32)
+        v = ((codes & 7) - 1).astype(np.int8) if whole else table.column("v").to_numpy()
+        if np.any(key[1:] < key[:-1]):
+            order = np.argsort(key, kind="stable")
+            key, pos, v = key[order], pos[order], v[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return pa.record_batch({
+            "rb": pa.array((key[starts] >> 20).astype(np.int32)), "cb": pa.array((key[starts] & 0xFFFFF).astype(np.int32)),
+            "pos": binary(pos, starts), "v": binary(v, starts)})
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= FRAGMENT_CELLS:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return sent.mapInArrow(run, "rb int, cb int, pos binary, v binary")
+
+
+def fill_tile(table: pa.Table, tile: np.ndarray) -> np.ndarray:
+    """Write the fragments of one tile into a flat array."""
+    for pos, v in zip(table.column("pos"), table.column("v")):
+        tile[np.frombuffer(pos.as_buffer(), np.int32)] = np.frombuffer(v.as_buffer(), tile.dtype)
+    return tile
+
+
+def stat_blocks(stats: DataFrame, col: str, cols: int) -> DataFrame:
+    """Mean and 1/sd per column in blocks ``(cb, mu, inv)``; a group is one block."""
+    keyed = stats.select(
+        F.floor(F.col(col) / cols).cast("int").alias("cb"), F.pmod(F.col(col), F.lit(cols)).cast("int").alias("at"),
+        F.col("mean").cast("double").alias("mean"), F.col("sd").cast("double").alias("sd"))
+
+    def pack(key, table):
+        mu, inv, at = np.zeros(cols), np.zeros(cols), table.column("at").to_numpy()
+        mu[at] = table.column("mean").to_numpy()
+        inv[at] = 1.0 / table.column("sd").to_numpy()
+        return pa.table({"cb": pa.array([key[0].as_py()], pa.int32()), "mu": pa.array([mu.tobytes()], pa.binary()),
+                         "inv": pa.array([inv.tobytes()], pa.binary())})
+
+    return keyed.groupBy("cb").applyInArrow(pack, "cb int, mu binary, inv binary")
 
 
 def tile_table(cells: DataFrame, row: str, col: str, value: str, rows: int = ROWS, cols: int = COLS,
-               scaled: bool = False) -> DataFrame:
+               stats: DataFrame | None = None) -> DataFrame:
     """Pack long cells into tiles ``(rb, cb, x, mu, inv)``.
 
-    Integer values become one byte, others eight. With ``scaled`` the cells carry ``mean`` and
-    ``sd`` of their column. The cells are shuffled once; everything after works on tiles.
+    Integer values become one byte, others eight. ``stats(col, mean, sd)`` go along per block of
+    columns. The cells are shuffled once, packed; everything after works on tiles.
     """
     integral = dict(cells.dtypes)[value] in ("tinyint", "smallint", "int")
     kind, fill = (np.int8, ABSENT) if integral else (np.float64, np.nan)
-    stats = [F.col("mean").cast("double"), F.col("sd").cast("double")] if scaled else []
+    r, c = F.col(row).cast("long"), F.col(col).cast("long")
     keyed = cells.select(
-        F.floor(F.col(row) / rows).cast("int").alias("rb"), F.floor(F.col(col) / cols).cast("int").alias("cb"),
-        F.pmod(F.col(row), F.lit(rows)).cast("int").alias("r"), F.pmod(F.col(col), F.lit(cols)).cast("int").alias("c"),
-        F.col(value).cast("tinyint" if integral else "double").alias("v"), *stats)
+        F.expr(f"`{row}` div {rows}").alias("rb"), F.expr(f"`{col}` div {cols}").alias("cb"),
+        (r % rows * cols + c % cols).alias("pos"), F.col(value).cast("tinyint" if integral else "double").alias("v"))
 
-    def pack(key, table):
-        r, c, v = (table.column(n).to_numpy() for n in ("r", "c", "v"))
-        x = np.full((rows, cols), fill, kind)
-        x[r, c] = v
-        mu = inv = None
-        if scaled:
-            mu, inv = np.zeros(cols), np.zeros(cols)
-            mu[c] = table.column("mean").to_numpy()
-            inv[c] = 1.0 / table.column("sd").to_numpy()
-            mu, inv = mu.tobytes(), inv.tobytes()
-        return pa.table({
-            "rb": pa.array([key[0].as_py()], pa.int32()), "cb": pa.array([key[1].as_py()], pa.int32()),
-            "x": pa.array([x.tobytes()], pa.binary()), "mu": pa.array([mu], pa.binary()),
-            "inv": pa.array([inv], pa.binary())})
-
-    return keyed.groupBy("rb", "cb").applyInArrow(pack, TILE_SCHEMA)
+    def assemble(key, table):
+        x = fill_tile(table, np.full(rows * cols, fill, kind))
+        return pa.table({"rb": pa.array([key[0].as_py()], pa.int32()), "cb": pa.array([key[1].as_py()], pa.int32()),
+                         "x": pa.array([x.tobytes()], pa.binary())})
+
+    tiles = fragments(keyed).groupBy("rb", "cb").applyInArrow(assemble, "rb int, cb int, x binary")
+    if stats is None:
+        none = F.lit(None).cast("binary")
+        return tiles.withColumn("mu", none).withColumn("inv", none)
+    blocks = materialise(stat_blocks(stats, col, cols))
+    return tiles.join(blocks, "cb").select("rb", "cb", "x", "mu", "inv")
 
 
 def decode(x: bytes, mu: bytes | None, inv: bytes | None, rows: int, cols: int):
@@ -217,8 +284,9 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
     return parts.groupBy("hi", "lo", "first").applyInArrow(add, schema)
 
 
-def gram(cells: DataFrame, row: str, col: str, value: str, scaled: bool = False,
+def gram(cells: DataFrame, row: str, col: str, value: str, stats: DataFrame | None = None,
          rows: int = ROWS, cols: int = COLS, **options) -> DataFrame:
-    """Sum of products of every two rows over the columns, lower triangle ``(i, j, s)``."""
-    tiles = materialise(tile_table(cells, row, col, value, rows, cols, scaled))
+    """Sum of products of every two rows over the columns, lower triangle ``(i, j, s)``; columns are
+    standardised by ``stats`` where given."""
+    tiles = materialise(tile_table(cells, row, col, value, rows, cols, stats))
     return row_gram(tiles, rows, cols, **options)

@@ -4,7 +4,6 @@ import pytest
 from conftest import square
 
 from locusframe.operators import kinship, qc, tiles, transform
-from locusframe.operators.kinship import scaled_cells
 
 
 def test_qc_order_and_disabled_checks(spark):
@@ -34,8 +33,9 @@ def test_standardise_matches_numpy_and_strict_fails(spark, panel):
 @pytest.mark.parametrize("rows,cols", [(512, 1024), (16, 8), (64, 5), (2, 8), (2, 64), (1, 3)])
 def test_gram_is_the_same_for_every_blocking(monkeypatch, panel, rows, cols):
     monkeypatch.setattr(tiles, "STRIPE", 16)
-    cells, _ = scaled_cells(panel.geno)
-    got = square(tiles.gram(cells, "iid", "marker", "dosage", scaled=True, rows=rows, cols=cols), panel.n, "s")
+    monkeypatch.setattr(tiles, "FRAGMENT_CELLS", 50)
+    params = transform.scale_params(panel.geno)
+    got = square(tiles.gram(panel.geno, "iid", "marker", "dosage", params, rows=rows, cols=cols), panel.n, "s")
     assert np.abs(got - panel.z @ panel.z.T).max() < 1e-10
     raw = square(tiles.gram(panel.geno, "marker", "iid", "dosage", rows=rows, cols=cols), panel.p, "s")
     assert (raw == panel.m.T @ panel.m).all()
