@@ -586,6 +586,15 @@ def _(spark, sf):
     return fit.select("marker", *(_rd(c).alias(c) for c in ("beta", "se", "t")), "df", _rd("sse", 4).alias("sse"), _rd("p").alias("p"))
 
 
+@_register("bic", _sql(f"""
+    select marker, {_r('n + n * ln(2 * pi()) + n * ln(sse / n) + ln(n) * 3', 4)} as bic
+    from (select marker, df + 2 as n, sse from uni where marker >= 0)""", "assoc", extra=_UNI))
+def _(spark, sf):
+    fit = regression.uni_fit(regression.association_sums(_kept(spark, sf)[0], fx.pheno(spark, sf)))
+    n = F.col("df") + 2
+    return fit.select("marker", _rd(scalar.bic(n, F.col("sse"), F.lit(2)), 4).alias("bic"))
+
+
 @_register("association_job", _sql(f"""
     select u.marker, {_r('u.beta')} as beta, {_r('p.p * (select count(*) from uni)')} as p, {_r('r.maf')} as maf
     from uni u join pval p on p.id = u.marker left join params r on r.marker = u.marker""",
@@ -674,13 +683,13 @@ def _(spark, sf):
 
 @_register("predict_significant", _sql(f"""
     select k.iid, {_r('sum(case when u.marker is null then 0 else k.g * u.beta end) + (select beta from sig where marker = -1)')} as yhat
-    from kept k left join sig u using (marker) where k.iid % 5 = 0 group by k.iid""",
+    from kept k left join sig u using (marker) group by k.iid""",
                                        "assoc", extra=_UNI | _tail("select marker as id, beta / se as t, df from uni") | {
     "sig": "select marker, beta from uni join pval on id = marker where p * (select count(*) from uni) <= 0.05"}))
 def _(spark, sf):
     kept = _kept(spark, sf)[0]
     coefs = regression.uni_reg(kept, fx.pheno(spark, sf)).withColumnRenamed("marker", "term")
-    return regression.predict_significant(_terms(_valid(kept)), coefs).select("iid", _rd("yhat").alias("yhat"))
+    return regression.predict_significant(_terms(kept), coefs).select("iid", _rd("yhat").alias("yhat"))
 
 
 # ---------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.operators.network import Network, activate, slope, weight_product
+from locusframe.operators.network import Network, activate, matrix_of, slope, weight_product
 
 SET_BATCH = 1 << 14
 
@@ -98,7 +98,7 @@ def _per_marker(rows: DataFrame, net: Network, gradient) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.asarray(v) for v in batch.column("x").to_numpy(zero_copy_only=False)])
+            x = matrix_of(batch.column("x"))
             iids = batch.column("iid").to_numpy()
             g = gradient(model, x, iids)
             yield pa.record_batch({

@@ -53,6 +53,11 @@ def slope(name: str, x: np.ndarray) -> np.ndarray:
     return np.ones_like(x)
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix, without a loop over rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 @dataclass
 class Network:
     """Weights ``w[l]`` (inputs x outputs) and biases ``b[l]`` per layer; the last layer is linear.
@@ -180,15 +185,23 @@ def training_table(z: DataFrame, pheno: DataFrame, markers: list[int], batch_siz
 
 @dataclass
 class TrainingPlan:
-    """How a network is trained. ``momentum < 0`` switches it off."""
+    """How a network is trained. ``momentum < 0`` switches it off.
+
+    Penalties: ``l2`` on the first layer (times batch size / individuals with ``l2_by_batch``); on the last
+    hidden layer ``l1``, ``ortho`` (distance of W'W from the identity), ``cosine`` (squared cosines between
+    neurons) and ``decorrelation`` (covariance of its activations over the batch).
+    """
 
     epochs: int = 100
     learn_rate: float = 0.005
     momentum: float = -1.0
     optimizer: str = "sgd"
     l2: float = 0.0
+    l2_by_batch: bool = False
     l1: float = 0.0
     ortho: float = 0.0
+    cosine: float = 0.0
+    decorrelation: float = 0.0
     dropout: float = 0.0
     decay: float = 0.0
     decay_after: int = 10
@@ -218,11 +231,11 @@ class Trained:
         return max(scored, key=lambda s: (s[0], -s[1])) if scored else (-1.0, -1)
 
 
-def penalty_gradient(net: Network, plan: TrainingPlan) -> np.ndarray:
-    """Gradient of the penalties: L2 on the first layer; L1 and orthogonality on the last but one."""
+def penalty_gradient(net: Network, plan: TrainingPlan, share: float = 1.0) -> np.ndarray:
+    """Gradient of the penalties on weights; ``share`` is the part of the individuals in the batch."""
     grads = [np.zeros_like(w) for w in net.w]
     if plan.l2:
-        grads[0] += plan.l2 * net.w[0]
+        grads[0] += plan.l2 * (share if plan.l2_by_batch else 1.0) * net.w[0]
     inner = max(len(net.w) - 2, 0)
     if plan.l1:
         grads[inner] += 0.5 * plan.l1 * np.sign(net.w[inner])
@@ -230,11 +243,21 @@ def penalty_gradient(net: Network, plan: TrainingPlan) -> np.ndarray:
         w = net.w[inner]
         sign = np.sign(w.T @ w - np.eye(w.shape[1]))
         grads[inner] += plan.ortho * w @ sign
+    if plan.cosine:
+        norm = np.linalg.norm(net.w[inner], axis=0)
+        unit = net.w[inner] / norm
+        cos = unit.T @ unit
+        np.fill_diagonal(cos, 0.0)
+        pull = unit @ cos
+        grads[inner] += plan.cosine * (pull - unit * (unit * pull).sum(axis=0)) / norm
     return np.concatenate([x.ravel() for g, b in zip(grads, net.b) for x in (g, np.zeros_like(b))])
 
 
-def loss_gradient(net: Network, x: np.ndarray, y: np.ndarray, masks=None) -> tuple[np.ndarray, float]:
-    """Summed gradient of the squared error and the summed error over some rows."""
+def loss_gradient(net: Network, x: np.ndarray, y: np.ndarray, masks=None, decorrelate=None) -> tuple[np.ndarray, float]:
+    """Summed gradient of the squared error and the summed error over some rows.
+
+    ``decorrelate`` (mean, matrix) adds the gradient of the covariance penalty at the last hidden layer.
+    """
     out, pre, inputs = net.forward(x, masks)
     error = out - y.reshape(len(x), -1)
     grads, back = [], 2.0 * error
@@ -242,6 +265,8 @@ def loss_gradient(net: Network, x: np.ndarray, y: np.ndarray, masks=None) -> tup
         grads.append((inputs[layer].T @ back, back.sum(axis=0)))
         if layer:
             back = back @ net.w[layer].T
+            if decorrelate is not None and layer == len(net.w) - 1:
+                back = back + (inputs[layer] - decorrelate[0]) @ decorrelate[1]
             if masks is not None:
                 back = back * masks[layer - 1]
             back = back * slope(net.activation, pre[layer - 1])
@@ -257,25 +282,76 @@ def _dropout_masks(net: Network, iids: np.ndarray, rate: float, seed: int, epoch
     return np.split(keep, np.cumsum(widths)[:-1], axis=1)
 
 
+def covariance_pull(n: float, first: np.ndarray, second: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean activation and the matrix that maps a centred activation to its gradient, from batch sums.
+
+    The cost is half the sum of the squared row sums of the covariance without its diagonal.
+    """
+    mean = first / n
+    cov = second / n - np.outer(mean, mean)
+    np.fill_diagonal(cov, 0.0)
+    sums = cov.sum(axis=1)
+    pull = strength * (sums[:, None] + sums[None])
+    np.fill_diagonal(pull, 0.0)
+    return mean, pull
+
+
+def _batch_covariances(rows: DataFrame, nets: dict[int, Network], plans: dict[int, TrainingPlan], epoch: int) -> dict:
+    """Sums of the last hidden activations over a batch, per model with a decorrelation penalty (one scan)."""
+    asked = {k: n for k, n in nets.items() if plans[k].decorrelation > 0 and len(n.w) > 1}
+    if not asked:
+        return {}
+    shipped = rows.sparkSession.sparkContext.broadcast({k: (vars(n), plans[k].dropout, plans[k].seed) for k, n in asked.items()})
+
+    def partial(batches):
+        models = {k: (Network(**parts), rate, seed) for k, (parts, rate, seed) in shipped.value.items()}
+        sums = {k: 0.0 for k in models}
+        for batch in batches:
+            x = matrix_of(batch.column("x")) if batch.num_rows else np.zeros((0, 0))
+            for k, (net, rate, seed) in models.items():
+                if len(x):
+                    masks = _dropout_masks(net, batch.column("iid").to_numpy(), rate, seed, epoch) if rate > 0 else None
+                    h = np.column_stack([np.ones(len(x)), net.forward(x, masks)[2][-1]])
+                    sums[k] = sums[k] + h.T @ h
+        for k, m in sums.items():
+            if np.ndim(m):
+                yield pa.record_batch({"model": pa.array(np.full(m.size, k, np.int32)),
+                                       "at": pa.array(np.arange(m.size, dtype=np.int32)), "v": pa.array(m.ravel())})
+
+    cells = rows.select("iid", "x").mapInArrow(partial, "model int, at int, v double").groupBy("model", "at").agg(
+        F.sum("v").alias("v")).collect()
+    out = {}
+    for k, net in asked.items():
+        size = net.w[-1].shape[0] + 1
+        m = np.zeros(size * size)
+        for c in cells:
+            if c.model == k:
+                m[c.at] = c.v
+        m = m.reshape(size, size)
+        out[k] = covariance_pull(m[0, 0], m[0, 1:], m[1:, 1:], plans[k].decorrelation)
+    return out
+
+
 def _gradients(rows: DataFrame, nets: dict[int, Network], plans: dict[int, TrainingPlan], epoch: int):
     """Mean gradient per model over ``rows``: one scan, partial sums added by Spark."""
+    pulls = _batch_covariances(rows, nets, plans, epoch)
     shipped = rows.sparkSession.sparkContext.broadcast(
-        {k: (vars(n), plans[k].dropout, plans[k].seed) for k, n in nets.items()})
+        {k: (vars(n), plans[k].dropout, plans[k].seed, pulls.get(k)) for k, n in nets.items()})
 
     def partial(batches):
-        models = {k: (Network(**parts), rate, seed) for k, (parts, rate, seed) in shipped.value.items()}
+        models = {k: (Network(**parts), *rest) for k, (parts, *rest) in shipped.value.items()}
         sums, seen = {k: 0.0 for k in models}, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.asarray(v) for v in batch.column("x").to_numpy(zero_copy_only=False)])
+            x = matrix_of(batch.column("x"))
             y = batch.column("y").to_numpy()
             seen += len(y)
-            for k, (net, rate, seed) in models.items():
+            for k, (net, rate, seed, pull) in models.items():
                 masks = None
                 if rate > 0 and len(net.w) > 1:
                     masks = _dropout_masks(net, batch.column("iid").to_numpy(), rate, seed, epoch)
-                sums[k] = sums[k] + loss_gradient(net, x, y, masks)[0]
+                sums[k] = sums[k] + loss_gradient(net, x, y, masks, pull)[0]
         if seen:
             for k, g in sums.items():
                 for at in range(0, len(g), CHUNK):
@@ -330,7 +406,10 @@ def train_many(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
 
     The incomplete last batch is left out of training. Every step is one job for all models.
     """
-    batches = [r.batch_id for r in rows.filter("not is_remainder").select("batch_id").distinct().orderBy("batch_id").collect()]
+    sizes = rows.groupBy("batch_id", "is_remainder").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_id").collect()
+    total = sum(r.n for r in sizes)
+    share = {r.batch_id: r.n / total for r in sizes if not r.is_remainder}
+    batches = list(share)
     state = {k: Step(*(np.zeros(n.size) for _ in range(3))) for k, n in nets.items()}
     rate = {k: p.learn_rate for k, p in plans.items()}
     done = {k: Trained(n) for k, n in nets.items()}
@@ -339,7 +418,7 @@ def train_many(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
         for batch in batches:
             data = rows.filter(F.col("batch_id") == batch) if len(batches) > 1 else rows.filter("not is_remainder")
             for k, g in _gradients(data, live, plans, epoch).items():
-                g = g + penalty_gradient(live[k], plans[k])
+                g = g + penalty_gradient(live[k], plans[k], share[batch])
                 live[k] = live[k].with_flat(_update(live[k].flat(), g, state[k], plans[k], rate[k]))
         for k, net in live.items():
             done[k].network = net
@@ -453,7 +532,7 @@ def predict_many(rows: DataFrame, nets: dict[int, Network], with_y: bool = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.asarray(v) for v in batch.column("x").to_numpy(zero_copy_only=False)])
+            x = matrix_of(batch.column("x"))
             for k, net in models.items():
                 out = net.forward(x)[0][:, 0]
                 cells = {"model": pa.array(np.full(len(out), k, np.int32)), "iid": batch.column("iid"),

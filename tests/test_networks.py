@@ -25,11 +25,12 @@ def test_gradients_match_differences(activation):
     x, y = rng.standard_normal((7, 6)), rng.standard_normal((7, 2))
     theta = net.flat()
     grad, _ = nn.loss_gradient(net, x, y)
-    plan = nn.TrainingPlan(l2=0.3, l1=0.2, ortho=0.1)
+    plan = nn.TrainingPlan(l2=0.3, l1=0.2, ortho=0.1, cosine=0.4)
 
     def penalty(n):
         w = n.w[1]
-        return (0.5 * 0.3 * (n.w[0] ** 2).sum() + 0.5 * 0.2 * np.abs(w).sum()
+        u = w / np.linalg.norm(w, axis=0)
+        return (0.5 * 0.3 * (n.w[0] ** 2).sum() + 0.5 * 0.2 * np.abs(w).sum() + 0.5 * 0.4 * (np.tril(u.T @ u, -1) ** 2).sum()
                 + 0.5 * 0.1 * np.abs(w.T @ w - np.eye(w.shape[1])).sum())
 
     pen = nn.penalty_gradient(net, plan)
@@ -41,6 +42,32 @@ def test_gradients_match_differences(activation):
         assert abs((penalty(up) - penalty(down)) / 2e-6 - pen[k]) < 1e-5
 
 
+def test_decorrelation_gradient(panel, data):
+    net = nn.init_network(list(range(panel.p)), [4, 3], seed=8)
+    theta = net.flat()
+
+    def cost(n):
+        h = n.forward(panel.z)[2][-1]
+        c = np.cov(h.T, bias=True)
+        np.fill_diagonal(c, 0.0)
+        return 0.5 * 2.0 * (c @ c).sum() + ((n.forward(panel.z)[0][:, 0] - panel.y) ** 2).mean()
+
+    rows = data[0].withColumn("is_remainder", F.lit(False))
+    plan = nn.TrainingPlan(decorrelation=2.0)
+    grad = nn._gradients(rows, {0: net}, {0: plan}, 0)[0]
+    for k in range(0, len(theta), 9):
+        step = np.zeros_like(theta)
+        step[k] = 1e-6
+        num = (cost(net.with_flat(theta + step)) - cost(net.with_flat(theta - step))) / 2e-6
+        assert abs(num - grad[k]) < 1e-6
+
+
+def test_l2_can_shrink_with_the_batch():
+    net = nn.init_network([0, 1], [2], seed=1)
+    a = nn.penalty_gradient(net, nn.TrainingPlan(l2=1.0, l2_by_batch=True), 0.25)
+    assert np.allclose(4 * a, nn.penalty_gradient(net, nn.TrainingPlan(l2=1.0)))
+
+
 def test_layer_widths():
     assert nn.layer_widths(5, 16) == [16, 8, 4, 2]
     assert nn.layer_widths(4, 16, 2) == [16, 16, 8, 8]
