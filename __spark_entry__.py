@@ -893,7 +893,7 @@ def _(spark, sf):
     return _rounded_parts(he.he_single(pairs, names, 1.0, he.component_labels(2, True, ["covariates"]))[1])
 
 
-# The likelihood of blocks ``blk(blk, g, b, yy, n)`` (g = Z'Z / m, b = Z'y) at many shrinkages, by
+# The likelihood of blocks ``blk(blk, g, b, yy, n, df)`` (g = Z'Z / m, b = Z'y) at many shrinkages, by
 # elimination instead of eigenvalues, and its maximum by repeated subdivision of sign changes.
 
 def _reml_sql(levels: int = 7, parts: int = 20) -> dict[str, str]:
@@ -911,15 +911,15 @@ def _reml_sql(levels: int = 7, parts: int = 20) -> dict[str, str]:
                 then list_transform(row, lambda v: v / row[k])
                 else list_transform(row, lambda v, c: v - row[k] * a[k][c] / a[k][k]) end) from g{level} where k <= len(a)"""
         out[f"u{level}"] = f"""
-            select e.blk, e.id, e.ld, exp(e.ld) as d, lg, len(a)::double as m, blk.n, yy,
+            select e.blk, e.id, e.ld, exp(e.ld) as d, lg, len(a)::double as m, blk.n, blk.df, yy,
                 list_sum(list_transform(a, lambda row, i: row[len(a) + i])) as ti,
                 list_dot_product(list_transform(a, lambda row: row[2 * len(a) + 1]), b) as bu,
                 list_dot_product(list_transform(a, lambda row: row[2 * len(a) + 1]), list_transform(a, lambda row: row[2 * len(a) + 1])) as uu
             from g{level} e join blk using (blk) where k = len(a) + 1"""
         out[f"e{level}"] = f"""
-            select blk, id, ld, d, n, yy, (yy - bu / m) / d as q,
-                0.5::double * ((n - 1) * ((yy - bu / m - d * uu / m) / (d * d)) / ((yy - bu / m) / d) - ti - (n - 1 - m) / d) as slope,
-                0.5::double * ((n - 1) * (ln((n - 1) / (2 * pi())) - 1 - ln((yy - bu / m) / d)) - lg - (n - 1 - m) * ld) as ll
+            select blk, id, ld, d, n, df, yy, (yy - bu / m) / d as q,
+                0.5::double * (df * ((yy - bu / m - d * uu / m) / (d * d)) / ((yy - bu / m) / d) - ti - (df - m) / d) as slope,
+                0.5::double * (df * (ln(df / (2 * pi())) - 1 - ln((yy - bu / m) / d)) - lg - (df - m) * ld) as ll
             from u{level}"""
 
     evaluate("0")
@@ -936,7 +936,7 @@ def _reml_sql(levels: int = 7, parts: int = 20) -> dict[str, str]:
         union all select blk, ld from e0 where (id = 0 and slope < 1e-10) or (id = 100 and slope > -1e-10)"""
     out["atf"] = "select blk, row_number() over () as id, ld from cand"
     evaluate("f")
-    out["best"] = "select *, q / (n - 1) as vg, d * q / (n - 1) as ve, 1 / (1 + d) as h2 from (select *, row_number() over (partition by blk order by ll desc) as rn from ef) where rn = 1"
+    out["best"] = "select *, q / df as vg, d * q / df as ve, 1 / (1 + d) as h2 from (select *, row_number() over (partition by blk order by ll desc) as rn from ef) where rn = 1"
     return out
 
 
@@ -945,7 +945,8 @@ _WHOLE = {
     "zy": "select i, sum(z * y) as s from zr join phz using (iid) group by i",
     "blk": """
         select 0 as blk, (select list(r order by i) from (select i, list(s order by j) as r from zz group by i)) as g,
-            (select list(s order by i) from zy) as b, (select sum(y * y) from phz) as yy, (select count(*) from phz)::double as n""",
+            (select list(s order by i) from zy) as b, (select sum(y * y) from phz) as yy, (select count(*) from phz)::double as n,
+            (select count(*) - 1 from phz)::double as df""",
 } | _reml_sql()
 _REML_ROW = f"""
     select {_r('h2')} as h2, {_r('vg')} as vg, {_r('ve')} as ve, {_r('d', 4)} as delta, {_r('ll', 4)} as reml_ll,
@@ -1016,7 +1017,8 @@ _SCAN = {
     "zz": "select a.blk, a.i, b.i as j, sum(a.z * b.z) as s from wz a join wz b using (blk, iid) group by a.blk, a.i, b.i",
     "zy": "select blk, i, sum(z * y) as s from wz join pheno using (iid) group by blk, i",
     "blk": """
-        select blk, g, b, (select var_pop(y) * count(*) from pheno) as yy, (select count(*) from pheno)::double as n
+        select blk, g, b, (select var_pop(y) * count(*) from pheno) as yy, (select count(*) from pheno)::double as n,
+            (select count(*) - 1 from pheno)::double as df
         from (select blk, list(r order by i) as g from (
                 select blk, i, list(s / m order by j) as r from zz join (select blk, max(i) as m from win group by blk) using (blk) group by blk, i)
             group by blk) join (select blk, list(s order by i) as b from zy group by blk) using (blk)""",
@@ -1034,9 +1036,31 @@ def _(spark, sf):
                        _rd("reml_ll", 4).alias("reml_ll"), _rd("lrt", 4).alias("lrt"))
 
 
-@_register("scan_regions_covariates")
+# Markers and y after the intercept and two covariates (made orthogonal to each other) are taken out.
+_SCAN_COV = {
+    "cv0": "select iid, value - avg(value) over () as q0 from covs where cov = 0",
+    "cv1": "select iid, value - avg(value) over () as q1 from covs where cov = 1",
+    "cc": "select iid, q0, q1 - q0 * sum(q0 * q1) over () / sum(q0 * q0) over () as q1 from cv0 join cv1 using (iid)",
+    "rz": """
+        select iid, marker, z - q0 * sum(z * q0) over w / sum(q0 * q0) over w - q1 * sum(z * q1) over w / sum(q1 * q1) over w as z
+        from z join cc using (iid) window w as (partition by marker)""",
+    "ry": """
+        select iid, y - avg(y) over () - q0 * sum(y * q0) over () / sum(q0 * q0) over () - q1 * sum(y * q1) over () / sum(q1 * q1) over () as y
+        from pheno join cc using (iid)""",
+    "win": _SCAN["win"],
+    "wz": "select w.blk, w.i, z.iid, z.z from win w join rz z using (marker)",
+    "zz": _SCAN["zz"],
+    "zy": "select blk, i, sum(z * y) as s from wz join ry using (iid) group by blk, i",
+    "blk": _SCAN["blk"].replace("(select var_pop(y) * count(*) from pheno)", "(select sum(y * y) from ry)").replace("count(*) - 1", "count(*) - 3"),
+} | _reml_sql()
+
+
+@_register("scan_regions_covariates", _sql(f"""
+    select cast(blk as int) as block, {_r('d', 3)} as delta, {_r('h2')} as h2, {_r('vg')} as vg, {_r('ll', 4)} as reml_ll from best""",
+                                           "params", "z", "pheno", "covs", extra=_SCAN_COV))
 def _(spark, sf):
-    return scan.scan_regions(fx.geno(spark, sf), fx.pheno(spark, sf), 16, 8, fx.covariates(spark, sf))
+    rows = scan.scan_regions(fx.geno(spark, sf), fx.pheno(spark, sf), 16, 8, fx.covariates(spark, sf))
+    return rows.select("block", _rd("delta", 3).alias("delta"), _rd("h2").alias("h2"), _rd("vg").alias("vg"), _rd("reml_ll", 4).alias("reml_ll"))
 
 
 # ---------------------------------------------------------------------------------------------
