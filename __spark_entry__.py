@@ -474,6 +474,30 @@ def _(spark, sf):
     return grm_io.read_grm(spark, path)[0].select("i", "j", _rd("k", 4).alias("k"), "n_snps")
 
 
+def _study(spark, sf):
+    n = fx.table(spark, sf, "embeddings").count()
+    path = f"{scratch_dir(spark)}/bed-{os.urandom(8).hex()}"
+    plink.write_plink(fx.geno(spark, sf), path, n)
+    return (n, *jobs.tile_study(spark, path, n))
+
+
+@_register("qc_from_bed", _ORACLES["qc_all"])
+def _(spark, sf):
+    return _study(spark, sf)[2].select("marker", "n", "n_missing", _rd("maf").alias("maf"), _rd("variance").alias("variance"), "reason")
+
+
+@_register("kinship_from_bed", _sql(f"select i, j, {_r('k')} as k, (select count(*) from params)::double as n_snps from kin", "kin", "params"))
+def _(spark, sf):
+    _n, stored, _report, params = _study(spark, sf)
+    return kinship.kinship_from_tiles(stored, params).select("i", "j", _rd("k").alias("k"), "n_snps")
+
+
+@_register("prs_from_bed", _sql(f"select z.iid, {_r('sum(z.z * e.beta)')} as yhat from z join effect e using (marker) group by z.iid", "z", "effect"))
+def _(spark, sf):
+    n, stored, _report, params = _study(spark, sf)
+    return score.score_tiles(stored, fx.effect(spark, sf), params, n).select("iid", _rd("yhat").alias("yhat"))
+
+
 # ---------------------------------------------------------------------------------------------
 # Alignments, set operations, orders.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import maf_score
 from locusframe.operators.qc import drop_zero_weights
-from locusframe.operators.tiles import gram
+from locusframe.operators.tiles import gram, row_gram, with_stats
 from locusframe.operators.transform import dominance_recode, scale_params
 from locusframe.session import materialise
 
@@ -22,6 +22,13 @@ def kinship_additive(geno: DataFrame) -> DataFrame:
         "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
 
 
+def kinship_from_tiles(tiles: DataFrame, params: DataFrame) -> DataFrame:
+    """The additive matrix from a stored tile table and the parameters of the markers to use."""
+    p = params.count()
+    return row_gram(materialise(with_stats(tiles, params))).select(
+        "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
+
+
 def kinship_dominance(geno: DataFrame) -> DataFrame:
     return kinship_additive(dominance_recode(geno))
 

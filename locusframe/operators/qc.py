@@ -8,10 +8,13 @@ back (broadcast while small, sort-merge beyond that).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import observed
+from locusframe.operators.tiles import ABSENT, COLS, ROWS
 from locusframe.session import materialise
 
 # Default thresholds.
@@ -47,10 +50,38 @@ def _variance(n: str, s1: str, s2: str) -> Column:
     return (n_ * b - a * a) / (n_ * n_)
 
 
+def marker_sums_from_tiles(tiles: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFrame:
+    """The same sums from a tile table: a task adds up the columns of each tile, one row per column and tile."""
+    def run(batches):
+        for batch in batches:
+            for cb, x in zip(batch.column("cb").to_pylist(), batch.column("x")):
+                raw = np.frombuffer(x.as_buffer(), np.int8).reshape(rows, cols)
+                here = raw != ABSENT
+                seen = np.flatnonzero(here.any(axis=0))
+                raw, here = raw[:, seen].astype(np.int64), here[:, seen]
+                raw[~here] = 0
+                g = np.maximum(raw, 0)
+                yield pa.record_batch({
+                    "marker": pa.array((cb * cols + seen).astype(np.int32)), "n": here.sum(axis=0),
+                    "n_missing": (raw == -1).sum(axis=0), "s1": g.sum(axis=0), "s2": (g * g).sum(axis=0),
+                    "r1": raw.sum(axis=0), "r2": (raw * raw).sum(axis=0),
+                    "lo": pa.array(np.where(here, g, 127).min(axis=0).astype(np.int32)),
+                    "hi": pa.array(g.max(axis=0).astype(np.int32))})
+
+    sums = ("n", "n_missing", "s1", "s2", "r1", "r2")
+    parts = tiles.select("cb", "x").mapInArrow(
+        run, "marker int, " + ", ".join(f"{c} long" for c in sums) + ", lo int, hi int")
+    return parts.groupBy("marker").agg(*(F.sum(c).alias(c) for c in sums), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def marker_stats(geno: DataFrame, n_samples: int | None = None) -> DataFrame:
     """Counts, allele frequency (not folded), mean, population variance and sd, min and max."""
+    return stats_from_sums(marker_sums(geno, n_samples))
+
+
+def stats_from_sums(sums: DataFrame) -> DataFrame:
     var = _variance("n", "s1", "s2")
-    return marker_sums(geno, n_samples).select(
+    return sums.select(
         "marker", "n", "n_missing",
         F.col("s1").alias("allele_count"),
         (F.col("s1") / (2.0 * F.col("n"))).alias("maf"),
@@ -71,6 +102,12 @@ def qc_report(geno: DataFrame, min_observed: float = MIN_OBSERVED, min_maf: floa
 
     Missing calls count as 0 once the missing check is done; a threshold of -1 disables a check.
     """
+    return judge(marker_stats(geno, n_samples), min_observed, min_maf, min_variance)
+
+
+def judge(stats: DataFrame, min_observed: float = MIN_OBSERVED, min_maf: float = MIN_MAF,
+          min_variance: float = MIN_VARIANCE) -> DataFrame:
+    """The report from marker statistics, wherever they come from."""
     reason = F.lit(None).cast("string")
     checks = [
         ("variance", min_variance, F.col("variance") < F.lit(float(min_variance))),
@@ -80,7 +117,7 @@ def qc_report(geno: DataFrame, min_observed: float = MIN_OBSERVED, min_maf: floa
     for label, threshold, failed in checks:
         if threshold != DISABLED:
             reason = F.when(failed, F.lit(label)).otherwise(reason)
-    return marker_stats(geno, n_samples).withColumn("reason", reason)
+    return stats.withColumn("reason", reason)
 
 
 def kept_markers(report: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from locusframe.functions.tails import chi2_1_pvalue
 from locusframe.operators.kinship import kinship_additive
 from locusframe.operators.regression import dense_triangle
 from locusframe.operators.ridge import Moments, marker_moments, tile_times
-from locusframe.operators.tiles import COLS, ROWS, block_counts, tile_table
+from locusframe.operators.tiles import COLS, ROWS, block_counts, tile_table, with_stats
 from locusframe.operators.transform import scale_params
 from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
 
@@ -278,21 +278,31 @@ def reml_lanczos(geno: DataFrame, pheno: DataFrame, steps: int = 40, probes: int
     """Heritability report by stochastic Lanczos quadrature; n and p unbounded."""
     both = geno.join(pheno.select("iid"), "iid", "left_semi")
     params = materialise(scale_params(both))
-    p, width = params.count(), probes + 1
     tiles = materialise(tile_table(both, "iid", "marker", "dosage", rows, cols, params))
     present = pheno.join(both.filter(F.col("marker") == params.first().marker).select("iid"), "iid", "left_semi")
+    return _lanczos_report(tiles, present, params.count(), steps, probes, seed, rows, cols)
+
+
+def reml_lanczos_tiles(tiles: DataFrame, pheno: DataFrame, params: DataFrame, steps: int = 40, probes: int = 20,
+                       seed: int = 1, rows: int = ROWS, cols: int = COLS) -> DataFrame:
+    """The same from a raw tile table and the parameters of the markers to use; everyone in the tiles has
+    a phenotype."""
+    ready = materialise(with_stats(tiles, params, cols=cols))
+    return _lanczos_report(ready, pheno, params.count(), steps, probes, seed, rows, cols)
+
+
+def _lanczos_report(tiles, present, p, steps, probes, seed, rows, cols) -> DataFrame:
+    width, shape = probes + 1, block_counts(tiles)
     start = materialise(start_vectors(present, rows, probes, seed))
     n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
 
-    shape = block_counts(tiles)
-
     def multiply(vectors):
         across = tile_times(tiles, shape, vectors, rows, cols, transpose=True, width=width)
         back = tile_times(tiles, shape, across, rows, cols, transpose=False, width=width)
         return back.select("block", F.transform("v", lambda x: x / F.lit(float(p))).alias("v"))
 
     spec = lanczos_spectrum(multiply, start, n, width, steps)
-    return _report(geno.sparkSession, maximise(spec), n, float(y_ss), f"lanczos {steps} steps, {probes} probes")
+    return _report(tiles.sparkSession, maximise(spec), n, float(y_ss), f"lanczos {steps} steps, {probes} probes")
 
 
 def reml_lanczos_from_grm(grm: DataFrame, pheno: DataFrame, steps: int = 40, probes: int = 20, seed: int = 1,

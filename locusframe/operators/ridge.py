@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import observed
 from locusframe.operators.regression import dense_triangle, multi_reg
-from locusframe.operators.tiles import COLS, ROWS, block_counts, decode, gram, tile_table
+from locusframe.operators.tiles import COLS, ROWS, block_counts, decode, gram, tile_table, with_stats
 from locusframe.operators.transform import scale_params
 from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
 
@@ -219,18 +219,32 @@ def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float =
     so a lost executor repeats one step at most. Scales per marker ``(marker, d)`` are folded into
     the sd of the columns. Raises when ``max_steps`` do not reach the tolerance.
     """
-    params = scale_params(geno)
-    if scales is not None:
-        params = params.join(scales.select("marker", "d"), "marker", "left").select(
-            "marker", "mean", "sd", F.coalesce("d", F.lit(0.0)).alias("d"))
-    else:
-        params = params.withColumn("d", F.lit(1.0))
-    params = materialise(params)
+    params = materialise(_folded(scale_params(geno), scales))
     used = params.filter("d <> 0").select("marker", "mean", (F.col("sd") / F.col("d")).alias("sd"))
     cells = geno.join(pheno.select("iid"), "iid", "left_semi")
     if scales is not None:
         cells = cells.join(used.select("marker"), "marker", "left_semi")
     tiles = materialise(tile_table(cells, "iid", "marker", "dosage", rows, cols, used))
+    return _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols)
+
+
+def ridge_cg_tiles(tiles: DataFrame, pheno: DataFrame, params: DataFrame, delta: float, tolerance: float = 1e-10,
+                   max_steps: int = 200, rows: int = ROWS, cols: int = COLS, scales: DataFrame | None = None) -> DataFrame:
+    """The same from a raw tile table and ``params(marker, mean, sd)`` of the markers to use; everyone in
+    the tiles has a phenotype."""
+    folded = materialise(_folded(params, scales))
+    used = folded.filter("d <> 0").select("marker", "mean", (F.col("sd") / F.col("d")).alias("sd"))
+    return _gradients(materialise(with_stats(tiles, used, cols=cols)), pheno, folded, delta, tolerance, max_steps, rows, cols)
+
+
+def _folded(params: DataFrame, scales: DataFrame | None) -> DataFrame:
+    if scales is None:
+        return params.select("marker", "mean", "sd", F.lit(1.0).alias("d"))
+    return params.join(scales.select("marker", "d"), "marker", "left").select(
+        "marker", "mean", "sd", F.coalesce("d", F.lit(0.0)).alias("d"))
+
+
+def _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols) -> DataFrame:
     shape = block_counts(tiles)
     mean_y = pheno.agg(F.avg("y")).first()[0]
     y = to_blocks(pheno.select("iid", (F.col("y") - F.lit(mean_y)).alias("y")), "iid", "y", rows)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import observed
 from locusframe.operators.align import with_effects
+from locusframe.operators.ridge import from_blocks, tile_times, to_blocks
+from locusframe.operators.tiles import COLS, ROWS, block_counts, with_stats
 from locusframe.session import materialise
 
 
@@ -29,6 +31,16 @@ def score_standardised(geno: DataFrame, effects: DataFrame, params: DataFrame) -
         F.sum(observed("dosage") * F.col("_u") - F.col("_m")).alias("yhat"))
 
 
+def score_tiles(tiles: DataFrame, effects: DataFrame, params: DataFrame, n_samples: int, rows: int = ROWS,
+                cols: int = COLS) -> DataFrame:
+    """The same from a raw tile table: one product with the effects, no long rows."""
+    used = materialise(params.join(effects.select("marker", "beta"), "marker"))
+    ready = with_stats(tiles, used, cols=cols)
+    shape = block_counts(tiles)
+    out = tile_times(ready, shape, to_blocks(used, "marker", "beta", cols), rows, cols, transpose=False)
+    return from_blocks(out, "v", rows, "iid", "yhat").filter(F.col("iid") < n_samples).withColumn("iid", F.col("iid").cast("long"))
+
+
 def score_by_allele(geno: DataFrame, effects: DataFrame, markers: DataFrame) -> DataFrame:
     """Score by rsid with the effect allele checked; dosage is flipped where the other allele is meant."""
     return with_effects(geno, effects, markers).groupBy("iid").agg(

@@ -131,8 +131,14 @@ def tile_table(cells: DataFrame, row: str, col: str, value: str, rows: int = ROW
     if stats is None:
         none = F.lit(None).cast("binary")
         return tiles.withColumn("mu", none).withColumn("inv", none)
+    return with_stats(tiles, stats, col, cols)
+
+
+def with_stats(tiles: DataFrame, stats: DataFrame, col: str = "marker", cols: int = COLS) -> DataFrame:
+    """Tiles whose columns are standardised by ``stats``; columns without statistics (for instance
+    markers that failed QC) count as 0 everywhere."""
     blocks = materialise(stat_blocks(stats, col, cols))
-    return tiles.join(blocks, "cb").select("rb", "cb", "x", "mu", "inv")
+    return tiles.select("rb", "cb", "x").join(blocks, "cb").select("rb", "cb", "x", "mu", "inv")
 
 
 def decode(x: bytes, mu: bytes | None, inv: bytes | None, rows: int, cols: int):

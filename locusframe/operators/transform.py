@@ -16,8 +16,12 @@ from locusframe.session import materialise
 
 def scale_params(geno: DataFrame, epsilon: float | None = None) -> DataFrame:
     """``marker_stats(marker, mean, sd)`` for standardising; a zero sd becomes 1 so it never divides by zero."""
+    return params_from_stats(marker_stats(geno), epsilon)
+
+
+def params_from_stats(stats: DataFrame, epsilon: float | None = None) -> DataFrame:
     sd = F.col("sd") if epsilon is None else F.col("sd") + F.lit(epsilon)
-    return marker_stats(geno).select("marker", "mean", F.when(sd == 0, 1.0).otherwise(sd).alias("sd"))
+    return stats.select("marker", "mean", F.when(sd == 0, 1.0).otherwise(sd).alias("sd"))
 
 
 def standardise_with(geno: DataFrame, params: DataFrame) -> DataFrame:

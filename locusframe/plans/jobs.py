@@ -22,6 +22,17 @@ def association(geno: DataFrame, pheno: DataFrame, bonferroni: bool = True) -> D
     return regression.uni_reg(kept, pheno, bonferroni).join(report.select("marker", "maf"), "marker", "left")
 
 
+def tile_study(spark: SparkSession, path: str, n_samples: int, **thresholds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A genotype file as stored tiles with its QC report and the standardisation of the kept markers.
+
+    This is the way in for files too large to be spread out as one row per genotype: the tiles feed
+    ``kinship_from_tiles``, ``ridge_cg_tiles``, ``reml_lanczos_tiles`` and ``score_tiles``.
+    """
+    tiles = materialise(plink.read_bed_tiles(spark, path, n_samples))
+    report = materialise(qc.judge(qc.stats_from_sums(qc.marker_sums_from_tiles(tiles)), **thresholds))
+    return tiles, report, materialise(transform.params_from_stats(qc.kept_markers(report)))
+
+
 def dominance_files(spark: SparkSession, prefix: str, out: str) -> None:
     """Recode a data set to dominance contrasts (missing replaced) next to unchanged marker and sample lines."""
     geno, markers, samples = plink.read_plink(spark, prefix)

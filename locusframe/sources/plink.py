@@ -22,6 +22,7 @@ from pyspark.sql.datasource import (
 )
 
 from locusframe.functions.ranking import SPAN, with_row_index
+from locusframe.operators.tiles import ABSENT, COLS, ROWS
 from locusframe.session import materialise
 
 # Fixed values of the file format: header bytes, and the dosage of each 2-bit code 0, 1, 2, 3.
@@ -32,6 +33,7 @@ CODE_OF_DOSAGE = np.array([3, 2, 0, 1], np.uint8)  # indexed by dosage 0, 1, 2,
 GENO_SCHEMA = "iid long, marker int, dosage int"
 READ_CELLS = 1 << 22
 BATCH_CELLS = 1 << 18
+TILE_BYTES = 32 << 20
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -123,6 +125,97 @@ class BedReader(DataSourceReader):
                     "dosage": pa.array(dosage.ravel())})
 
 
+@dataclass
+class TileRun(InputPartition):
+    path: str
+    base: int
+    block: int
+    first: int
+    last: int
+    from_byte: int
+    to_byte: int
+
+
+class BedTileReader(DataSourceReader):
+    """Tiles straight from the packed file: a partition is a block of markers and a range of individuals,
+    one contiguous read per marker. Genotypes never become rows."""
+
+    def __init__(self, options):
+        self.path, self.n = options["path"], int(options["samples"])
+        self.rows, self.cols = int(options.get("rows", ROWS)), int(options.get("cols", COLS))
+
+    def partitions(self):
+        stride = -(-self.n // 4)
+        step = max(TILE_BYTES // self.cols // (self.rows // 4), 1) * (self.rows // 4)
+        runs = []
+        for path, base, count in bed_files(self.path, stride):
+            first = base
+            while first < base + count:
+                block = first // self.cols
+                last = min((block + 1) * self.cols, base + count) - 1
+                runs.extend(TileRun(path, base, block, first, last, b, min(b + step, stride)) for b in range(0, stride, step))
+                first = last + 1
+        return runs
+
+    def read(self, run):
+        fs, path = open_fs(run.path)
+        stride, width, per = -(-self.n // 4), run.to_byte - run.from_byte, self.rows // 4
+        with fs.open_input_file(path) as f:
+            packed = [f.read_at(width, 3 + stride * (m - run.base) + run.from_byte) for m in range(run.first, run.last + 1)]
+        if any(len(p) != width for p in packed):
+            raise ValueError(f"corrupt genotype file {run.path}")
+        codes = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width)
+        for at in range(0, width, per):
+            part = codes[:, at:at + per]
+            dosage = DOSAGE_OF_CODE[np.stack([(part >> s) & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(part), -1)]
+            start = (run.from_byte + at) * 4
+            dosage = dosage[:, :max(0, min(self.n - start, self.rows))]
+            tile = np.full((self.rows, self.cols), ABSENT, np.int8)
+            to = run.first - run.block * self.cols
+            tile[:dosage.shape[1], to:to + len(part)] = dosage.T
+            yield pa.record_batch({
+                "rb": pa.array([start // self.rows], pa.int32()), "cb": pa.array([run.block], pa.int32()),
+                "x": pa.array([tile.tobytes()], pa.binary())})
+
+
+class PlinkTiles(DataSource):
+    @classmethod
+    def name(cls):
+        return "plink_tiles"
+
+    def schema(self):
+        return "rb int, cb int, x binary"
+
+    def reader(self, schema):
+        return BedTileReader(self.options)
+
+
+def read_bed_tiles(spark: SparkSession, path: str, n_samples: int, rows: int = ROWS, cols: int = COLS) -> DataFrame:
+    """Raw tiles ``(rb, cb, x)`` of a genotype file. ``rows`` must be a multiple of 4.
+
+    Part files that end inside a block of markers give two tiles of that block, which are merged.
+    """
+    if rows % 4:
+        raise ValueError("rows per tile must be a multiple of 4")
+    spark.dataSource.register(PlinkTiles)
+    tiles = (spark.read.format("plink_tiles").option("path", path).option("samples", n_samples)
+             .option("rows", rows).option("cols", cols).load())
+    stride = -(-n_samples // 4)
+    files = bed_files(path, stride)
+    split = {base // cols for _, base, _ in files if base % cols}
+    if not split:
+        return tiles
+
+    def merge(key, table):
+        parts = [np.frombuffer(x.as_buffer(), np.int8) for x in table.column("x")]
+        return pa.table({"rb": pa.array([key[0].as_py()], pa.int32()), "cb": pa.array([key[1].as_py()], pa.int32()),
+                         "x": pa.array([np.maximum.reduce(parts).tobytes()], pa.binary())})
+
+    shared = tiles.filter(F.col("cb").isin(sorted(split)))
+    return tiles.filter(~F.col("cb").isin(sorted(split))).unionByName(
+        shared.groupBy("rb", "cb").applyInArrow(merge, "rb int, cb int, x binary"))
+
+
 def bed_files(path: str, stride: int) -> list[tuple[str, int, int]]:
     """Files of a data set as (path, first marker, markers): one .bed file, or a folder of parts
     ``part-<first marker>-<id>.bed`` each with its own header."""

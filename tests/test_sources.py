@@ -7,8 +7,10 @@ import pytest
 from conftest import square
 from pyspark.sql import functions as F
 
-from locusframe.operators import kinship
+from locusframe.operators import kinship, qc, reml, ridge, score, transform
+from locusframe.operators.tiles import tile_table
 from locusframe.plans import jobs
+from locusframe.session import materialise
 from locusframe.sources import grm, plink, sinks, text
 
 
@@ -68,6 +70,43 @@ def test_read_bed_partitions_and_filters(spark, panel, files, monkeypatch):
     assert samples.filter("status = 2").count() == panel.n // 2
 
 
+@pytest.mark.parametrize("rows,cols,layout", [(512, 1024, "file"), (8, 5, "file"), (16, 8, "parts")])
+def test_tiles_straight_from_the_file(spark, panel, files, tmp_path, monkeypatch, rows, cols, layout):
+    monkeypatch.setattr(plink, "TILE_BYTES", 40)
+    path = files + ".bed"
+    if layout == "parts":
+        path = str(tmp_path / "parts.bed")
+        os.mkdir(path)
+        for first, end in ((0, 10), (10, 11), (11, panel.p)):
+            _write_bed(f"{path}/part-{first:012d}-x.bed", panel.raw[:, first:end])
+        assert (_matrix(plink.read_bed(spark, path, panel.n), panel.n, panel.p) == panel.raw).all()
+    raw = plink.read_bed_tiles(spark, path, panel.n, rows, cols)
+    want = {(r.rb, r.cb): r.x for r in tile_table(panel.geno, "iid", "marker", "dosage", rows, cols).collect()}
+    got = {(r.rb, r.cb): r.x for r in raw.collect()}
+    assert got == want
+    sums = qc.marker_sums_from_tiles(raw, rows, cols).toPandas().sort_values("marker").reset_index(drop=True)
+    same = qc.marker_sums(panel.geno).toPandas().sort_values("marker").reset_index(drop=True)
+    assert (sums[sorted(sums)].astype(int) == same[sorted(same)].astype(int)).all().all()
+
+
+def test_analyses_on_tiles_equal_those_on_rows(spark, panel, files):
+    raw = materialise(plink.read_bed_tiles(spark, files + ".bed", panel.n))
+    report = materialise(qc.judge(qc.stats_from_sums(qc.marker_sums_from_tiles(raw))))
+    kept, _ = qc.qc_markers(panel.geno)
+    params = materialise(transform.params_from_stats(qc.kept_markers(report)))
+    k = square(kinship.kinship_from_tiles(raw, params), panel.n)
+    assert np.abs(k - square(kinship.kinship_additive(kept), panel.n)).max() < 1e-10
+    a = ridge.ridge_cg_tiles(raw, panel.pheno, params, 300.0, 1e-6)
+    b = ridge.ridge(kept, panel.pheno, 300.0)
+    pair = a.withColumnRenamed("beta", "a").join(b, "marker").toPandas()
+    assert len(pair) == b.count() == a.count() and np.abs(pair.a - pair.beta).max() < 1e-6
+    s = score.score_tiles(raw, b, params, panel.n).toPandas().sort_values("iid").yhat.to_numpy()
+    t = score.score_standardised(kept, b, params).toPandas().sort_values("iid").yhat.to_numpy()
+    assert len(s) == panel.n and np.abs(s - t).max() < 1e-10
+    one, two = (r.first() for r in (reml.reml_lanczos_tiles(raw, panel.pheno, params, 4, 4), reml.reml_lanczos(kept, panel.pheno, 4, 4)))
+    assert abs(one.h2 - two.h2) < 1e-9 and abs(one.reml_ll - two.reml_ll) < 1e-7
+
+
 def test_corrupt_files_are_refused(spark, tmp_path):
     bad = tmp_path / "a.bed"
     bad.write_bytes(bytes([1, 2, 3, 4]))
