@@ -363,7 +363,10 @@ def read_fam(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
+    """Genotype rows of a file or a folder of parts; filters on ``marker`` decide what is read."""
     spark.dataSource.register(PlinkBed)
+    # Off by default, and a reader that takes filters is refused while it is off.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("plink_bed").option("path", path).option("samples", n_samples).load()
 
 

@@ -207,3 +207,8 @@ def test_file_jobs_and_reports(spark, panel, files, tmp_path):
     sinks.write_profile(panel.pheno.withColumnRenamed("y", "yhat"), str(tmp_path / "profile"))
     sinks.write_pheno(samples.join(panel.pheno, "iid"), str(tmp_path / "pheno"))
     assert text.read_pheno(spark, str(tmp_path / "pheno")).count() == panel.n
+
+
+def test_reader_works_in_a_session_with_default_settings(spark, panel, files):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    assert plink.read_bed(spark, files + ".bed", panel.n).filter("marker = 4").count() == panel.n
