@@ -1442,9 +1442,31 @@ def entry(spark: SparkSession) -> DataFrame:
     return jobs.association(fx.geno(spark, sf), fx.pheno(spark, sf))
 
 
+def _llm() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators; none where those modules are absent."""
+    found, sql = {}, {}
+    try:
+        from locusframe.llm import queries as llm
+    except ModuleNotFoundError as e:
+        if e.name not in ("locusframe.llm", "locusframe.llm.queries"):
+            raise
+        return found, sql
+    found, sql = dict(llm.QUERIES), dict(llm.ORACLES)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name != "corpus_pipeline":
+            raise
+    else:
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _llm()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | _llm()[1]
