@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from locusframe.llm.common import text_slices
+from locusframe.llm.common import per_process, text_slices
 from locusframe.llm.pretokens import Vocabulary, to_bytes, vocabulary
 
 # Words whose ids one worker remembers, and transitions that it keeps; beyond it forgets all and starts anew.
@@ -152,13 +152,9 @@ class Codec:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """One codec per worker process and file."""
+    return per_process(("codec", path), lambda: Codec(path))
 
 
 def encode_column(text: Column, path: str) -> Column:

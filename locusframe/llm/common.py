@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,3 +36,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def stable_order(doc_id: str = "doc_id", seed: int = 0) -> Column:
     """A fixed pseudo-random number per id, for bounded samples that don't depend on the file layout."""
     return F.xxhash64(F.lit(seed), F.col(doc_id))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
+    """Rows ``text, y`` to fit a classifier on: at most ``sample`` labelled ids that aren't held out, with their texts.
+
+    The ids are those first in a fixed pseudo-random order. Ids that are null, and labels that are null, not 0 or 1 or
+    contradict each other, are left out. The ids are few by construction, so they are broadcast and no text is shuffled.
+    """
+    known = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out())
+             .groupBy("doc_id").agg(F.min(column).cast("long").alias("y"), F.max(column).alias("_other")).where("y = _other"))
+    ids = materialise(known.orderBy(stable_order(), "doc_id").limit(sample).select("doc_id", "y"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
+
+
+def per_process(key: tuple, make: Callable[[], object]):
+    """One object per Python process and key, such as a compiled vocabulary.
+
+    The package's functions travel to workers by value, globals and all, so what a worker shall keep from task to
+    task is held by a module object of the process instead.
+    """
+    kept = sys.modules.setdefault("_kept_by_workers", types.ModuleType("_kept_by_workers")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
+from locusframe.llm.common import per_process
+
 # Letters, other digits and white space among the characters for which the short pattern holds.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ȳ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -78,11 +80,6 @@ class Vocabulary:
         return out + self._plain(text[at:])
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+    return per_process(("vocabulary", path), lambda: Vocabulary(path))

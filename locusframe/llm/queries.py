@@ -29,5 +29,12 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op9_bpe_automaton)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.toxicity_mil import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op9_bpe_automaton, op10_toxicity)}
 ORACLES: dict[str, str] = {}

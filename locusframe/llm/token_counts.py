@@ -10,6 +10,7 @@ bounded size. Pre-tokens never travel between tasks, apart from those heaviest f
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,20 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from locusframe.llm.bpe_automaton import Automaton
-from locusframe.llm.common import text_slices
+from locusframe.llm.common import per_process, text_slices
 from locusframe.llm.pretokens import Vocabulary, vocabulary
 
 # Longest word of the first tier, in bytes; longest list of words that one task counts and hands on.
 WORD_BYTES, TASK_COUNTS, TASK_SENDS = 48, 1 << 15, 1 << 12
 CACHE = 1 << 18
 
-_ENCODERS: dict[str, tuple[Vocabulary, Automaton]] = {}
-
 
 def _encoder(path: str) -> tuple[Vocabulary, Automaton]:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = (vocabulary(path), Automaton(vocabulary(path)))
-    return _ENCODERS[path]
+    return per_process(("encoder", path), lambda: (vocabulary(path), Automaton(vocabulary(path))))
 
 
 def _special(_text: str) -> tuple[str]:
@@ -80,9 +77,6 @@ class _Lengths(dict):
         return n
 
 
-_TABLES: dict[int, _Lengths] = {}
-
-
 def token_counter(docs: DataFrame, path: str, entries: int = 1 << 15):
     """A function from a text column to its token count, with the first tier measured on ``docs``."""
     vocab, auto = _encoder(path)
@@ -90,13 +84,11 @@ def token_counter(docs: DataFrame, path: str, entries: int = 1 << 15):
              if (n := len(auto.encode(r.word.encode(), bool(vocab.word_end)))) < 256 and "\n" not in r.word]
     shared = docs.sparkSession.sparkContext.broadcast(("\n".join(w for w, _ in heavy).encode(), bytes(n for _, n in heavy)))
 
+    key = uuid.uuid4().hex
+
     @arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        key = id(shared)
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = _Lengths(*shared.value, path)
-        lengths = _TABLES[key]
+        lengths = per_process(("lengths", key), lambda: _Lengths(*shared.value, path))
         find, split = lengths.__getitem__, lengths.vocab.split
         return pa.array([sum(map(find, split(t, _special))) for part in text_slices(texts) for t in part], pa.int64())
 
