@@ -23,6 +23,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.quality_mil import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.bpe_automaton import round_trip
 
@@ -36,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op9_bpe_automaton, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_quality, op9_bpe_automaton, op10_toxicity)}
 ORACLES: dict[str, str] = {}
