@@ -15,7 +15,7 @@ the labels of their arcs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +25,8 @@ from pyspark.sql.functions import arrow_udf
 from locusframe.llm.common import per_process, text_slices
 from locusframe.llm.pretokens import Vocabulary, to_bytes, vocabulary
 
-# Words whose ids one worker remembers, and transitions that it keeps; beyond it forgets all and starts anew.
-WORD_CACHE, ARC_CACHE = 1 << 18, 1 << 20
+# Half the words whose ids one worker remembers, and the transitions that it keeps before it starts anew.
+WORD_CACHE, ARC_CACHE = 3 << 16, 1 << 20
 
 
 class Automaton:
@@ -114,19 +114,23 @@ class Automaton:
         return tuple(reversed(out))
 
 
-class _Words(dict):
-    """Ids of the words seen so far; a miss runs the automaton."""
+class TwoAges(dict):
+    """A cache of at most ``2 * limit`` words: when the young half is full it becomes the old one, and an old word that is asked
+    for turns young again. ``make`` finds what neither half has."""
 
-    def __init__(self, auto: Automaton):
+    def __init__(self, make: Callable[[object], object], limit: int):
         super().__init__()
-        self.auto = auto
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word):
-        if len(self) >= WORD_CACHE:
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = (word[1],) if isinstance(word, tuple) else self.auto.encode(word.encode("utf-8", "surrogatepass"))
-        self[word] = ids
-        return ids
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        return found
 
 
 class Codec:
@@ -135,7 +139,11 @@ class Codec:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         auto = Automaton(self.vocab)
-        self.words = _Words(auto)
+
+        def ids(word):
+            return (word[1],) if isinstance(word, tuple) else auto.encode(word.encode("utf-8", "surrogatepass"))
+
+        self.words = TwoAges(ids, WORD_CACHE)
         self.labels = auto.label + [b""] * (1 + max(self.vocab.specials.values(), default=0) - auto.size)
         for text, token in self.vocab.specials.items():
             self.labels[token] = text.encode()

@@ -30,6 +30,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.prefix_hashes import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.simhash_golay import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.bpe_automaton import round_trip
 
@@ -43,5 +55,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_quality, op9_bpe_automaton, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_quality, op6_prefix_hashes, op7_simhash_golay, op9_bpe_automaton, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from locusframe.llm.bpe_automaton import Automaton
+from locusframe.llm.bpe_automaton import Automaton, TwoAges
 from locusframe.llm.common import per_process, text_slices
 from locusframe.llm.pretokens import Vocabulary, vocabulary
 
 # Longest word of the first tier, in bytes; longest list of words that one task counts and hands on.
 WORD_BYTES, TASK_COUNTS, TASK_SENDS = 48, 1 << 15, 1 << 12
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 
 def _encoder(path: str) -> tuple[Vocabulary, Automaton]:
@@ -66,15 +66,11 @@ class _Lengths(dict):
         super().__init__(zip(words.decode().split("\n") if counts else (), counts))
         self[("special",)] = 1
         self.vocab, self.auto = _encoder(path)
-        self.cache: dict[str, int] = {}
+        marked = bool(self.vocab.word_end)
+        self.cache = TwoAges(lambda word: len(self.auto.encode(word.encode("utf-8", "surrogatepass"), marked)), CACHE)
 
     def __missing__(self, word: str) -> int:
-        n = self.cache.get(word)
-        if n is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            n = self.cache[word] = len(self.auto.encode(word.encode("utf-8", "surrogatepass"), bool(self.vocab.word_end)))
-        return n
+        return self.cache[word]
 
 
 def token_counter(docs: DataFrame, path: str, entries: int = 1 << 15):
