@@ -42,6 +42,14 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from locusframe.llm.multiprobe import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.bpe_automaton import round_trip
 
@@ -55,5 +63,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_quality, op6_prefix_hashes, op7_simhash_golay, op9_bpe_automaton, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_quality, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
 ORACLES: dict[str, str] = {}
