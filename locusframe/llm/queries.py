@@ -17,6 +17,68 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Weights of the mix: four domains (by the number in a source's name), some languages and sources within them.
+MIX_WEIGHTS = {("d0",): 1, ("d1",): 2, ("d2",): 3, ("d3",): 4, ("d0", "en"): 3, ("d1", "fr"): 2, ("d2", "en"): 5, ("d3", "es"): 3,
+               ("d1", "en", "src1"): 4, ("d2", "en", "src2"): 3, ("d3", "en", "src3"): 2}
+MIX_EPOCHS, MIX_SEED = 2, 1
+
+
+def mix_domain():
+    from pyspark.sql import functions as F
+
+    number = F.expr("try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint)")
+    return F.concat(F.lit("d"), (number % 4).cast("string"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from locusframe.llm.mixing import mix
+
+    picks = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, mix_domain(), epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return picks.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"),
+                        F.col("_tokens").alias("n_tokens"), F.col("_take").alias("taken"))
+
+
+def _mixing_sql() -> str:
+    """The mix in SQL: shares level by level, then one sorted epoch per leaf."""
+    def level(keys: list[str], up: list[str], above: str | None) -> str:
+        depth, name = len(keys), "_".join(keys)
+        given = [(path, w) for path, w in MIX_WEIGHTS.items() if len(path) == depth]
+        weight = "case " + " ".join(
+            "when " + " and ".join(f"{k} = '{p}'" for k, p in zip(keys, path)) + f" then {w}" for path, w in given) + " else 1 end"
+        over = f"partition by {', '.join(up)}" if up else ""
+        order = f"{over} order by cap / w, {keys[-1]} rows unbounded preceding"
+        budget = f"join b_{above} using ({', '.join(up)})" if above else f"cross join (select sum(tokens)::bigint as budget from leaf)"
+        return f"""
+        n_{name} as (select {', '.join(keys)}, (sum(tokens) * {MIX_EPOCHS})::bigint as cap, {weight} as w from leaf group by {', '.join(keys)}),
+        r_{name} as (select n.*, budget as up, sum(cap) over ({order}) as ccap, sum(w) over ({order}) as cw, sum(w) over ({over}) as aw
+            from n_{name} n {budget}),
+        f_{name} as (select *, cap::hugeint * (aw - cw + w) <= (up - (ccap - cap)) * w::hugeint as isfull from r_{name}),
+        s_{name} as (select *, up - sum(if(isfull, cap, 0)) over ({over}) as rest, sum(if(isfull, 0, w)) over ({over}) as ow,
+            sum(if(isfull, 0, w)) over ({order}) as run from f_{name}),
+        b_{name} as (select {', '.join(keys)}, (if(isfull, cap, (rest * run) // ow - (rest * (run - w)) // ow))::bigint as budget
+            from s_{name})"""
+
+    return f"""
+    with sized as (
+        select doc_id, coalesce('d' || (try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint) % 4), '') as domain,
+            coalesce(lang, '') as dlang, coalesce(source, '') as dsource, lang, source,
+            len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents),
+    leaf as (select domain, dlang, dsource, sum(n_tokens)::bigint as tokens from sized where n_tokens > 0 group by all),
+    {level(['domain'], [], None)}, {level(['domain', 'dlang'], ['domain'], 'domain')},
+    {level(['domain', 'dlang', 'dsource'], ['domain', 'dlang'], 'domain_dlang')},
+    plan as (select l.*, budget // tokens as whole, budget % tokens as rest from leaf l join b_domain_dlang_dsource using (domain, dlang, dsource)),
+    ordered as (
+        select s.*, whole, rest, sum(n_tokens) over (partition by domain, dlang, dsource
+            order by md5('{MIX_SEED}:' || whole || ':' || coalesce(doc_id::varchar, 'null')), doc_id, n_tokens rows unbounded preceding) - n_tokens as start
+        from sized s join plan using (domain, dlang, dsource) where n_tokens > 0)
+    select doc_id, domain, lang, source, epoch::int as epoch, n_tokens, n_tokens as taken
+    from (select *, unnest(range(whole)) as epoch from ordered)
+    union all
+    select doc_id, domain, lang, source, whole::int, n_tokens, least(n_tokens, rest - start)::bigint from ordered where start < rest"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.token_counts import token_counts
 
@@ -63,5 +125,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_quality, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
+ORACLES: dict[str, str] = {"op1_mixing": _mixing_sql()}
