@@ -92,6 +92,31 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from locusframe.llm.warc import archive_round_trip
+
+    # pages have no time of capture: one is made from the id
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 61 % 31_536_000)
+    index = archive_round_trip(table(spark, sf_dir, "pages"), captured)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
+
+
+_WARC_SQL = """
+    with payload as (
+        select page_id, sha1(coalesce(html, '')) as h, strlen(coalesce(html, ''))::bigint as payload_bytes from pages),
+    last as (select h, payload_bytes, max(page_id) as first_id, count(*) as n from payload group by all)
+    select page_id, payload_bytes,
+        list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::int, 1) for i in range(32)], 'string_agg', '')
+            as payload_digest,
+        case when n > 1 and first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+        case when n > 1 and page_id is distinct from first_id then first_id end as refers_to,
+        strftime(make_timestamp((1704067200 + page_id * 61 % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
+    from payload join last using (h, payload_bytes)"""
+
+
 def op6_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.prefix_hashes import edited_fingerprints
 
@@ -125,5 +150,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
-ORACLES: dict[str, str] = {"op1_mixing": _mixing_sql()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_warc_merge, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
+ORACLES: dict[str, str] = {"op1_mixing": _mixing_sql(), "op4_warc_merge": _WARC_SQL}
