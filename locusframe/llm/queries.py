@@ -117,6 +117,66 @@ _WARC_SQL = """
     from payload join last using (h, payload_bytes)"""
 
 
+TOOL_SCHEMAS = {
+    name: {"type": "object", "required": ["query", "limit"], "additionalProperties": False, "properties": {
+        "query": {"type": "string", "minLength": 8}, "limit": {"type": "integer", "minimum": 0, "maximum": most}}}
+    for name, most in (("search", 20), ("lookup", 22), ("note", 24))}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Chat messages with tool calls, made from plain conversations.
+
+    An assistant turn becomes a call whose arguments come from its text and that needs the call two turns before, from the
+    fourth turn on; a later user turn becomes the result of the call before it; other turns stay plain text.
+    """
+    from pyspark.sql import functions as F
+
+    def call_id(turn):
+        return F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn")
+    arguments = F.to_json(F.struct(F.left(text, F.lit(40)).alias("query"), (F.length(text) % 25).alias("limit")))
+    name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("note")), (F.floor(turn / 2) % 3 + 1).cast("int"))
+    call = F.to_json(F.struct(F.array(F.struct(
+        call_id(turn).alias("id"), F.when(turn >= 4, call_id(turn - 2)).alias("after"),
+        F.struct(name.alias("name"), arguments.alias("arguments")).alias("function"))).alias("tool_calls")))
+    result = F.to_json(F.struct(call_id(turn - 1).alias("tool_call_id"), text.alias("content")))
+    made = F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & (turn >= 1), result).otherwise(F.col("text"))
+    return conversations.select("conv_id", "turn", made.alias("text"))
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.tool_calls import extract, link
+
+    calls, results = extract(tool_messages(table(spark, sf_dir, "conversations")))
+    return link(calls, results, TOOL_SCHEMAS).drop("errors")
+
+
+_TOOL_SQL = """
+    with recursive calls as (
+        select conv_id, 'call_' || conv_id || '_' || turn as call_id, turn, ['search', 'lookup', 'note'][(turn // 2) % 3 + 1] as name,
+            left(coalesce(text, ''), 40) as query, length(coalesce(text, '')) % 25 as lim,
+            case when turn >= 4 then 'call_' || conv_id || '_' || (turn - 2) end as after
+        from conversations where role = 'assistant'),
+    results as (
+        select conv_id, 'call_' || conv_id || '_' || (turn - 1) as call_id, turn, coalesce(text, '') as content
+        from conversations where role = 'user' and turn >= 1),
+    deep as (
+        select call_id, 0::bigint as depth from calls where after is null or after not in (select call_id from calls)
+        union all select c.call_id, d.depth + 1 from calls c join deep d on c.after = d.call_id),
+    both_sides as (
+        select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as turn, name,
+            coalesce(depth, 0) as depth, case when c.call_id is null then 'orphan' when r.call_id is null then 'unanswered' else 'linked' end as status,
+            coalesce(length(query) >= 8 and lim <= case name when 'search' then 20 when 'lookup' then 22 else 24 end, false) as valid,
+            (c.call_id is not null)::bigint as n_calls, (r.call_id is not null)::bigint as n_results,
+            '{"after":' || coalesce(to_json(after)::varchar, 'null')
+            || ',"arguments":' || case when c.call_id is null then 'null' else '{"limit":' || lim || ',"query":' || to_json(query)::varchar || '}' end
+            || ',"id":' || to_json(coalesce(c.call_id, r.call_id))::varchar || ',"name":' || coalesce(to_json(name)::varchar, 'null')
+            || ',"result":' || coalesce(to_json(content)::varchar, 'null') || '}' as json
+        from calls c full join results r on c.call_id = r.call_id left join deep d on d.call_id = c.call_id)
+    select *, row_number() over (partition by conv_id order by depth, turn, call_id) - 1 as position from both_sides"""
+
+
 def op6_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.prefix_hashes import edited_fingerprints
 
@@ -150,5 +210,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_warc_merge, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
-ORACLES: dict[str, str] = {"op1_mixing": _mixing_sql(), "op4_warc_merge": _WARC_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_warc_merge, op5_tool_calls, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
+ORACLES: dict[str, str] = {"op1_mixing": _mixing_sql(), "op4_warc_merge": _WARC_SQL, "op5_tool_calls": _TOOL_SQL}
