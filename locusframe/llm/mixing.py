@@ -97,42 +97,40 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 def mix(docs: DataFrame, weights: dict[tuple[str, ...], int], domain: Column, total: int | None = None, epochs: int = 4, seed: int = 1,
         tokens: Column | None = None) -> DataFrame:
-    """Every pick of a document: all columns of ``docs``, then ``_domain, _epoch (from 0), _tokens, _take``.
+    """Every pick of a document: ``row`` (all columns of ``docs``), ``domain, epoch (from 0), tokens, take``.
 
     ``domain`` names the top level of the tree; null domains, languages and sources are the empty name. ``tokens`` counts a document's tokens
-    (words by default). ``_take`` is how many of its first tokens the pick contributes: all, or less for the last document of
+    (words by default). ``take`` is how many of its first tokens the pick contributes: all, or less for the last document of
     a leaf. Documents without tokens fill no budget and are never picked. Rows that repeat an id stand next to each other in an
     epoch's order; equal rows are interchangeable. Budgets times weights must stay below 2^63.
     """
     names = {"_domain": F.coalesce(domain, F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))}
     keys = list(names)
-    sized = docs.withColumns({**names, "_tokens": tokens if tokens is not None else word_count(F.col("text"))})
-    slim = materialise(sized.where("_tokens > 0").select("doc_id", "_tokens", *keys))
+    count = tokens if tokens is not None else word_count(F.col("text"))
+    # columns of docs travel packed, so that none of them clashes with those below
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), count.alias("_tokens"),
+                         *(c.alias(k) for k, c in names.items())).where("_tokens > 0")
+    slim = materialise(packed.drop("_row"))
     leaves = slim.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     leaves = leaves.select(*(F.col(k).alias(n) for k, n in zip(keys, LEVELS)), "tokens", "docs")
     plan = materialise(leaf_budgets(leaves, weights, total, epochs)).select(
-        *(F.col(n).alias(k) for k, n in zip(keys, LEVELS)), "tokens", "budget", "docs").withColumns({
-            "_full": F.expr("budget div tokens"), "_rest": F.expr("budget % tokens"),
-            "_digits": F.greatest(F.lit(1), F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("docs") / RUN_DOCS))).cast("int")),
-        }).select(*keys, "_full", "_rest", "_digits")
+        *(F.col(n).alias(k) for k, n in zip(keys, LEVELS)), F.expr("budget div tokens").alias("_full"), F.expr("budget % tokens").alias("_rest"),
+        F.greatest(F.lit(1), F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("docs") / RUN_DOCS))).cast("int")).alias("_digits"))
     # the run in which the last, partial epoch of each leaf ends, and the tokens before it
-    partial = slim.join(plan.where("_rest > 0"), keys).withColumn("_o", _order(seed, F.col("_full"), F.col("doc_id")))
+    partial = slim.join(plan.where("_rest > 0"), keys).withColumn("_o", _order(seed, F.col("_full"), F.col("_id")))
     runs = partial.groupBy(*keys, F.expr("substring(_o, 1, _digits)").alias("_run"), "_rest").agg(F.sum("_tokens").alias("_sum"))
     upto = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = (runs.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum")).where("_before < _rest and _before + _sum >= _rest")
             .select(*keys, F.col("_run").alias("_end_run"), "_before"))
     plan = materialise(plan.join(ends, keys, "left"))
     # picks: whole epochs and the runs before the last one, then the last run in its order
-    rows = docs.withColumns(names).join(plan, keys).withColumn("_o", _order(seed, F.col("_full"), F.col("doc_id")))
+    rows = packed.join(plan, keys).withColumn("_o", _order(seed, F.col("_full"), F.col("_id")))
     rows = rows.withColumn("_at", F.expr("substring(_o, 1, _digits)"))
-    count = tokens if tokens is not None else word_count(F.col("text"))
-    own = list(docs.columns)
-    whole = rows.withColumn("_n", F.expr("cast(_full as int) + int(coalesce(_at < _end_run, false))")).where("_n > 0").withColumn("_tokens", count)
-    whole = whole.where("_tokens > 0").select(*own, "_domain", F.explode(F.expr("sequence(0, _n - 1)")).alias("_epoch"), "_tokens",
-                                              F.col("_tokens").alias("_take"))
-    in_run = Window.partitionBy(*keys).orderBy("_o", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = rows.where("_at = _end_run").withColumn("_tokens", count).where("_tokens > 0")
-    last = last.withColumn("_start", F.sum("_tokens").over(in_run) - F.col("_tokens") + F.col("_before")).where("_start < _rest")
-    last = last.select(*own, "_domain", F.col("_full").cast("int").alias("_epoch"), "_tokens",
-                       F.least("_tokens", F.col("_rest") - F.col("_start")).alias("_take"))
+    shown = [F.col("_row").alias("row"), F.col("_domain").alias("domain"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens")]
+    whole = rows.withColumn("_n", F.expr("cast(_full as int) + int(coalesce(_at < _end_run, false))")).where("_n > 0")
+    whole = whole.withColumn("_epoch", F.explode(F.expr("sequence(0, _n - 1)"))).select(*shown, F.col("_tokens").alias("take"))
+    in_run = Window.partitionBy(*keys).orderBy("_o", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = rows.where("_at = _end_run").withColumn("_start", F.sum("_tokens").over(in_run) - F.col("_tokens") + F.col("_before"))
+    last = last.where("_start < _rest").withColumn("_epoch", F.col("_full").cast("int")).select(
+        *shown, F.least("_tokens", F.col("_rest") - F.col("_start")).alias("take"))
     return whole.unionByName(last)

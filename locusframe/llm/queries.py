@@ -11,7 +11,7 @@ from locusframe.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -36,8 +36,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.mixing import mix
 
     picks = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, mix_domain(), epochs=MIX_EPOCHS, seed=MIX_SEED)
-    return picks.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"),
-                        F.col("_tokens").alias("n_tokens"), F.col("_take").alias("taken"))
+    return picks.select("row.doc_id", "domain", "row.lang", "row.source", "epoch", F.col("tokens").alias("n_tokens"), F.col("take").alias("taken"))
 
 
 def _mixing_sql() -> str:
@@ -82,7 +81,7 @@ def _mixing_sql() -> str:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +199,7 @@ def op8_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusframe.llm.bpe_automaton import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
