@@ -109,7 +109,8 @@ def _check(schemas: dict[str, dict]):
             try:
                 value = json.loads(text if text is not None else "", parse_constant=_no_constant)
                 found = violations(value, schemas[name]) if name in schemas else [f"no schema for {name}"]
-            except (ValueError, RecursionError):
+                canonical(value)
+            except (ValueError, RecursionError):  # no JSON, or nested beyond what Python follows
                 value, found = text, ["arguments aren't JSON"]
             valid.append(not found)
             errors.append("; ".join(found))
