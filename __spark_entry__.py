@@ -24,7 +24,7 @@ from locusframe.operators import network as nn  # noqa: E402
 from locusframe.plans import jobs  # noqa: E402
 from locusframe.session import materialise, scratch_dir  # noqa: E402
 from locusframe.sources import grm as grm_io  # noqa: E402
-from locusframe.sources import plink  # noqa: E402
+from locusframe.sources import plink, sinks, text  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -53,18 +53,18 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
             case when i in (40, 41) then 'rs_dup' else 'rs' || (1000 + i) end as rsid,
             cast(1000 * (i + 1) as bigint) as pos, 'A' as a1, 'C' as a2
         from (select unnest(range(0, (select max(len(embedding)) from embeddings))) as i)"""),
-    "effect": (("marker",), """
+    "copies": (("obs",), "select marker, cast(sum(g) as bigint) as g from obs group by marker"),
+    "effect": (("marker", "copies"), """
         select marker, 'rs' || (1000 + marker) as rsid, case when marker % 5 = 0 then 'C' else 'A' end as a1,
-            ((marker * 37) % 11 - 5) / 10.0::double as beta from marker"""),
+            ((g + marker * 37) % 11 - 5) / 10.0::double as beta from marker join copies using (marker)"""),
     "weight": (("marker",), """
         select marker, case when marker % 13 = 0 then 0::double else 1 + marker / 64.0::double end as w from marker"""),
-    "member": (("marker",), """
-        select cast(marker // 16 as bigint) as region_id, 'rs' || (1000 + marker) as rsid, marker,
-            marker % 16 as position from marker"""),
+    "member": (("marker", "copies"), """
+        select g % 4 as region_id, 'rs' || (1000 + marker) as rsid, marker, marker as position from marker join copies using (marker)"""),
     "rdelta": (("member",), """
         select region_id, case when h2 = 0 then exp(10::double) else (1 - h2) / h2 end as delta
-        from (select distinct region_id, [0::double, 0.1::double, 0.2::double, 0.5::double][region_id % 4 + 1] as h2
-              from member)"""),
+        from (select region_id, [0::double, 0.1::double, 0.2::double, 0.5::double][(count(*) + region_id) % 4 + 1] as h2
+              from member group by region_id)"""),
     "sums": (("geno",), """
         select marker, count(*)::double as n, sum(case when dosage = -1 then 1 else 0 end)::double as n_missing,
             sum(greatest(dosage, 0))::double as s1, sum(greatest(dosage, 0) * greatest(dosage, 0))::double as s2,
@@ -88,12 +88,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select marker, avg(g) as mean, case when stddev_pop(g) = 0 then 1 else stddev_pop(g) end as sd
         from kept where iid % 5 <> 0 group by marker"""),
     "zr": (("z",), "select iid, marker, z, dense_rank() over (order by marker) as i from z"),
-    "lw": (("marker",), """
-        select 0 as layer, m.marker as i, cast(h as int) as j, ((m.marker * 7 + h * 13) % 11 - 5) / 40.0::double as w
-        from marker m, (select unnest(range(0, 8)) as h)
+    "groups": (("obs",), "select marker, cast(iid % 8 as int) as j, cast(sum(g) as bigint) as g from obs group by 1, 2"),
+    "lw": (("groups",), """
+        select 0 as layer, marker as i, j, (g % 11 - 5) / 40.0::double as w from groups
         union all
-        select 1 as layer, cast(h as int) as i, 0 as j, ((h * 5) % 7 - 3) / 5.0::double as w
-        from (select unnest(range(0, 8)) as h)"""),
+        select 1 as layer, j as i, 0 as j, (sum(g)::bigint % 7 - 3) / 5.0::double as w from groups group by j"""),
     "zall": (("obs", "sums"), """
         select o.iid, o.marker, (o.g - s.s1 / s.n) /
             (case when s.n * s.s2 = s.s1 * s.s1 then 1 else sqrt((s.n * s.s2 - s.s1 * s.s1) / (s.n * s.n)) end) as z
@@ -434,11 +433,11 @@ def _(spark, sf):
 
 
 @_register("dup_rename", _sql("""
-    select marker, case when count(*) over (partition by rsid) > 1
-        then rsid || ':dup' || row_number() over (partition by rsid order by marker) else rsid end as rsid, rsid as original
-    from marker""", "marker"))
+    select p_partkey::int as marker, case when count(*) over (partition by p_brand) > 1
+        then p_brand || ':dup' || row_number() over (partition by p_brand order by p_partkey) else p_brand end as rsid, p_brand as original
+    from part"""))
 def _(spark, sf):
-    return plink.rename_duplicates(fx.marker(spark, sf)).select("marker", "rsid", "original")
+    return plink.rename_duplicates(fx.named_part(spark, sf)).select("marker", "rsid", "original")
 
 
 @_register("marker_subset", _sql("""
@@ -474,6 +473,112 @@ def _(spark, sf):
     return grm_io.read_grm(spark, path)[0].select("i", "j", _rd("k", 4).alias("k"), "n_snps")
 
 
+# Text and table round trips: write, read back.
+
+def _place(spark, kind: str) -> str:
+    return f"{scratch_dir(spark)}/{kind}-{os.urandom(8).hex()}"
+
+
+@_register("bim_roundtrip", _sql("select marker, chrom, rsid, 0::double as cm, pos, a1, a2 from marker", "marker"))
+def _(spark, sf):
+    path = _place(spark, "markers")
+    plink.write_lines(plink.bim_lines(fx.marker(spark, sf)), path + ".bim")
+    return plink.read_bim(spark, path)
+
+
+_DENSE = "select iid, (row_number() over (order by iid) - 1)::bigint as place, y from pheno"
+
+
+@_register("fam_roundtrip", _sql("""
+    select place as iid, 'F' || iid as fid, 'I' || iid as iid_str, '0' as father, '0' as mother, 0 as gender, (1 + (y > 6)::int)::double as status
+    from dense""", "pheno", extra={"dense": _DENSE}))
+def _(spark, sf):
+    path = _place(spark, "samples")
+    plink.write_lines(plink.fam_lines(fx.sample(spark, sf)), path + ".fam")
+    return plink.read_fam(spark, path)
+
+
+@_register("pheno_roundtrip", _sql("select iid, y from pheno", "pheno"))
+def _(spark, sf):
+    path, people = _place(spark, "pheno"), fx.sample(spark, sf)
+    sinks.write_pheno(people.join(fx.pheno(spark, sf), "iid"), path)
+    return text.by_position(text.read_pheno(spark, path), people)
+
+
+@_register("effects_roundtrip", _sql("select rsid, a1, beta from effect", "effect"))
+def _(spark, sf):
+    path = _place(spark, "effects")
+    sinks.write_effects(fx.effect(spark, sf), path)
+    return text.read_effects(spark, path)
+
+
+@_register("summary_stats_roundtrip", _sql(f"""
+    select rsid, beta, {_r('(abs(beta) - min(abs(beta)) over ()) / (max(abs(beta)) over () - min(abs(beta)) over ())')} as scaled from effect""", "effect"))
+def _(spark, sf):
+    path = _place(spark, "stats")
+    sinks.write_effects(fx.effect(spark, sf), path)
+    return text.read_summary_stats(spark, path).select("rsid", "beta", _rd("scaled").alias("scaled"))
+
+
+@_register("weights_roundtrip", _sql("select rsid, w from weight join marker using (marker)", "weight", "marker"))
+def _(spark, sf):
+    path = _place(spark, "weights")
+    lines = fx.weight(spark, sf).selectExpr("marker as id", "concat_ws(' ', rsid, w) as value")
+    plink.write_lines(lines.unionByName(spark.range(1).selectExpr("-1 as id", "'rsid weight' as value")), path)
+    return text.read_weights(spark, path)
+
+
+@_register("regions_roundtrip", _sql("""
+    select (row_number() over (order by start_idx, end_idx) - 1)::bigint as row_no, start_idx, end_idx, delta from (
+        select cast(16 * c + 4 * r as int) as start_idx, cast(16 * c + 4 * r + 8 as int) as end_idx, g % 10 + r / 10.0::double as delta
+        from (select marker // 16 as c, cast(sum(g) as bigint) as g from copies group by 1), (select unnest(range(0, 3)) as r))""", "copies"))
+def _(spark, sf):
+    path = _place(spark, "regions")
+    sinks.write_regions(align.concat_regions(fx.region_files(spark, sf)), path)
+    return text.read_regions(spark, path)
+
+
+@_register("list_roundtrip", _sql("select 'I' || iid as iid_str from pheno where y > 6", "pheno"))
+def _(spark, sf):
+    path = _place(spark, "list")
+    plink.write_lines(fx.sample(spark, sf).filter("status = 2").selectExpr("iid as id", "iid_str as value"), path)
+    return text.read_list(spark, path, "iid_str")
+
+
+_SCORED = f"select iid, {_r('sum(g * beta)')} as yhat from obs join effect using (marker) group by iid"
+
+
+@_register("profile_roundtrip", _sql("select (row_number() over (order by iid) - 1)::bigint as line, yhat from scored", "obs", "effect",
+                                     extra={"scored": _SCORED}))
+def _(spark, sf):
+    path = _place(spark, "profile")
+    scored = score.polygenic_score(fx.geno(spark, sf).withColumn("g", scalar.observed("dosage")), fx.effect(spark, sf), "g")
+    sinks.write_profile(scored, path)
+    lines = plink.indexed_lines(spark, path).filter("value <> 'Profile'")
+    from locusframe.functions.ranking import index_by_integer
+    return index_by_integer(lines, "line", "place").select(F.col("place").alias("line"), _rd(F.col("value").cast("double")).alias("yhat"))
+
+
+@_register("predictions_roundtrip", _sql("select iid, yhat from scored", "obs", "effect", extra={"scored": _SCORED}))
+def _(spark, sf):
+    path = _place(spark, "predictions")
+    scored = score.polygenic_score(fx.geno(spark, sf).withColumn("g", scalar.observed("dosage")), fx.effect(spark, sf), "g")
+    sinks.write_predictions(scored, scored.join(fx.pheno(spark, sf), "iid").transform(score.r2), path)
+    return spark.read.parquet(f"{path}/yhat").select("iid", _rd("yhat").alias("yhat"))
+
+
+@_register("params_roundtrip", _sql(f"select marker, {_r('mean')} as mean, {_r('sd')} as sd from params", "params"))
+def _(spark, sf):
+    path = _place(spark, "params")
+    sinks.write_table(transform.scale_params(_kept(spark, sf)[0]), path)
+    return spark.read.parquet(path).select("marker", _rd("mean").alias("mean"), _rd("sd").alias("sd"))
+
+
+@_register("kept_list", _sql("select rsid, marker from marker join report using (marker) where reason is null", "marker", "report"))
+def _(spark, sf):
+    return sinks.kept_marker_list(qc.qc_report(fx.geno(spark, sf)), fx.marker(spark, sf))
+
+
 def _study(spark, sf):
     n = fx.table(spark, sf, "embeddings").count()
     path = f"{scratch_dir(spark)}/bed-{os.urandom(8).hex()}"
@@ -542,8 +647,8 @@ def _(spark, sf):
 
 @_register("concat_regions", _sql("""
     select cast(c as int) as file_no, cast(r as int) as row_no, cast(16 * c + 4 * r as bigint) as start_idx,
-        cast(16 * c + 4 * r + 8 as bigint) as end_idx, c + r / 10.0::double as delta
-    from (select distinct marker // 16 as c from marker), (select unnest(range(0, 3)) as r)""", "marker"))
+        cast(16 * c + 4 * r + 8 as bigint) as end_idx, g % 10 + r / 10.0::double as delta
+    from (select marker // 16 as c, cast(sum(g) as bigint) as g from copies group by 1), (select unnest(range(0, 3)) as r)""", "copies"))
 def _(spark, sf):
     return align.concat_regions(fx.region_files(spark, sf))
 
@@ -651,11 +756,13 @@ def _(spark, sf):
 
 
 @_register("prs_sparse", _sql(f"""
-    select iid, {_r('sum(g * (((marker * 37) % 11 - 5) / 10.0::double))')} as yhat from sparse group by iid""", "sparse"))
+    select o_orderkey as iid, {_r('coalesce(sum(g * beta), 0)')} as yhat
+    from orders left join (select iid, g, beta from sparse join (
+        select cast(l_partkey % 128 as int) as marker, (count(*) % 11 - 5) / 10.0::double as beta from lineitem group by 1) using (marker)) s
+        on s.iid = o_orderkey group by o_orderkey""", "sparse"))
 def _(spark, sf):
-    geno = fx.sparse_geno(spark, sf)
-    effects = spark.range(128).selectExpr("int(id) as marker", "((id * 37) % 11 - 5) / double(10) as beta")
-    return score.polygenic_score(geno, effects, "dosage").select("iid", _rd("yhat").alias("yhat"))
+    everyone = fx.sparse_pheno(spark, sf)
+    return score.polygenic_score(fx.sparse_geno(spark, sf), fx.sparse_effect(spark, sf), "dosage", everyone).select("iid", _rd("yhat").alias("yhat"))
 
 
 # Normal equations of y on an intercept and kept markers, solved in SQL with the inverse alongside.
@@ -1001,7 +1108,7 @@ def _(spark, sf):
 
 @_register("reml_lanczos")
 def _(spark, sf):
-    return reml.reml_lanczos(_kept(spark, sf)[0], _phz(spark, sf), steps=8, probes=8)
+    return reml.reml_lanczos(_kept(spark, sf)[0], _phz(spark, sf))
 
 
 @_register("reml_lrt")
@@ -1080,11 +1187,13 @@ _SCAN_COV = {
 
 
 @_register("scan_regions_covariates", _sql(f"""
-    select cast(blk as int) as block, {_r('d', 3)} as delta, {_r('h2')} as h2, {_r('vg')} as vg, {_r('ll', 4)} as reml_ll from best""",
+    select cast(blk as int) as block, {_r('d', 3)} as delta, {_r('h2')} as h2, {_r('vg')} as vg, {_r('ll', 4)} as reml_ll,
+        {_r('2 * (ll + 0.5::double * (n * (ln(2 * pi()) + ln(yy / (n - 3))) + (n - 3)))', 4)} as lrt from best""",
                                            "params", "z", "pheno", "covs", extra=_SCAN_COV))
 def _(spark, sf):
-    rows = scan.scan_regions(fx.geno(spark, sf), fx.pheno(spark, sf), 16, 8, fx.covariates(spark, sf))
-    return rows.select("block", _rd("delta", 3).alias("delta"), _rd("h2").alias("h2"), _rd("vg").alias("vg"), _rd("reml_ll", 4).alias("reml_ll"))
+    rows = reml.likelihood_ratio(scan.scan_regions(fx.geno(spark, sf), fx.pheno(spark, sf), 16, 8, fx.covariates(spark, sf)))
+    return rows.select("block", _rd("delta", 3).alias("delta"), _rd("h2").alias("h2"), _rd("vg").alias("vg"), _rd("reml_ll", 4).alias("reml_ll"),
+                       _rd("lrt", 4).alias("lrt"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -1126,16 +1235,32 @@ def _(spark, sf):
     return ridge.ridge_cg(_kept(spark, sf)[0], _phz(spark, sf), 500.0, 1e-9).select("marker", _rd("beta").alias("beta"))
 
 
+@_register("ridge_partial_pheno", _sql(f"select way, marker, {_r('beta')} as beta from beta, (select unnest(['direct', 'dual', 'gradients']) as way)",
+                                       "kept", "pheno", "effect", "member", "rdelta", extra={
+    "some_y": "select iid, y from pheno where iid % 3 <> 0",
+    "some_z": """
+        select iid, marker, (g - avg(g) over w) / case when stddev_pop(g) over w = 0 then 1 else stddev_pop(g) over w end as z,
+            dense_rank() over (order by marker) as i
+        from kept where iid in (select iid from some_y) window w as (partition by marker)""",
+    "some_c": "select iid, y - avg(y) over () as y from some_y",
+} | _ridge_sql("1.0::double", "100.0::double", "some_z", "some_c")))
+def _(spark, sf):
+    g, y = _kept(spark, sf)[0], fx.pheno(spark, sf).filter("iid % 3 <> 0")
+    ways = {"direct": ridge.ridge, "dual": ridge.ridge_dual, "gradients": ridge.ridge_cg}
+    parts = [f(g, y, 100.0).select(F.lit(way).alias("way"), "marker", _rd("beta").alias("beta")) for way, f in ways.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @_register("ridge_hetero", _sql(_BETA, *_RIDGE_NEEDS, extra=_ridge_sql("abs(e.beta) / sqrt(0.6::double)", "1.5::double")))
 def _(spark, sf):
-    return ridge.ridge_hetero(_kept(spark, sf)[0], _phz(spark, sf), fx.effect(spark, sf), 0.4).select(
+    return ridge.ridge_hetero(_kept(spark, sf)[0], _phz(spark, sf), fx.effect(spark, sf), 0.4, "direct").select(
         "marker", _rd("beta").alias("beta"))
 
 
 @_register("ridge_region_lambda", _sql(_BETA, *_RIDGE_NEEDS, extra=_ridge_sql("1 / sqrt(r.delta)", "1.0::double")))
 def _(spark, sf):
     lam = transform.region_lambda(fx.region_member(spark, sf), fx.region_delta(spark, sf)).select("marker", "lambda")
-    return ridge.ridge_by_lambda(_kept(spark, sf)[0], _phz(spark, sf), lam).select("marker", _rd("beta").alias("beta"))
+    return ridge.ridge_by_lambda(_kept(spark, sf)[0], _phz(spark, sf), lam, "direct").select("marker", _rd("beta").alias("beta"))
 
 
 @_register("ridge_obs_weighted", _sql(_BETA, *_RIDGE_NEEDS, extra=_ridge_sql("1.0::double", "10.0::double") | {
@@ -1171,7 +1296,7 @@ _TRAIN_NEEDS = ("geno", "obs", "pheno", "effect", "member", "rdelta")
 def _(spark, sf):
     named = fx.marker(spark, sf).withColumn("rsid", F.expr("concat('rs', 1000 + marker)"))
     effects = jobs.region_shrinkage(fx.geno(spark, sf), fx.pheno(spark, sf), named, fx.region_member(spark, sf),
-                                    fx.region_delta(spark, sf))[0]
+                                    fx.region_delta(spark, sf), "direct")[0]
     return effects.select("marker", _rd("beta").alias("beta"))
 
 
@@ -1183,7 +1308,7 @@ def _(spark, sf):
                               *_TRAIN_NEEDS, extra=_TRAIN | _ridge_sql("1.0::double", "(0.6::double / 0.4::double)", "tr_z", "tr_y")))
 def _(spark, sf):
     g, y = fx.geno(spark, sf), fx.pheno(spark, sf)
-    return jobs.ridge_blup(_train(g), _train(y), _valid(g), 0.4)[0].select("iid", _rd("yhat").alias("yhat"))
+    return jobs.ridge_blup(_train(g), _train(y), _valid(g), 0.4, method="individuals")[0].select("iid", _rd("yhat").alias("yhat"))
 
 
 @_register("effects_job", _sql(f"""

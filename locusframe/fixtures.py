@@ -47,11 +47,15 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         "0 as gender", "double(1 + int(y > 6)) as status")
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted alleles of every marker over all individuals."""
+    return geno(spark, sf_dir).groupBy("marker").agg(F.sum(observed("dosage")).cast("long").alias("g"))
+
+
 def effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One effect per marker; names are unique so that a join by rsid is one to one."""
-    return marker(spark, sf_dir).selectExpr(
-        "marker", "concat('rs', 1000 + marker) as rsid", "if(marker % 5 = 0, 'C', 'A') as a1",
-        "((marker * 37) % 11 - 5) / double(10) as beta")
+    """One effect per marker, from its allele count; names are unique so that a join by rsid is one to one."""
+    return marker(spark, sf_dir).join(_copies(spark, sf_dir), "marker").selectExpr(
+        "marker", "concat('rs', 1000 + marker) as rsid", "if(marker % 5 = 0, 'C', 'A') as a1", "((g + marker * 37) % 11 - 5) / double(10) as beta")
 
 
 def weight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +64,16 @@ def weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marker(spark, sf_dir).selectExpr(
-        "marker div 16 as region_id", "concat('rs', 1000 + marker) as rsid", "marker", "marker % 16 as position")
+    """Regions 0 to 3 by allele count, in the order of markers."""
+    return marker(spark, sf_dir).join(_copies(spark, sf_dir), "marker").selectExpr(
+        "g % 4 as region_id", "concat('rs', 1000 + marker) as rsid", "marker", "marker as position")
 
 
 def region_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return region_member(spark, sf_dir).select("region_id").distinct().select(
-        "region_id", F.expr("element_at(array(double(0), double(0.1), double(0.2), double(0.5)), int(region_id % 4) + 1)")
-        .alias("h2")).select("region_id", h2_to_delta("h2").alias("delta"))
+    """Heritability of each region by its number of markers."""
+    sized = region_member(spark, sf_dir).groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
+    h2 = F.expr("element_at(array(double(0), double(0.1), double(0.2), double(0.5)), int((n + region_id) % 4) + 1)")
+    return sized.select("region_id", h2.alias("h2")).select("region_id", h2_to_delta("h2").alias("delta"))
 
 
 def sparse_geno(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +88,22 @@ def sparse_pheno(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("iid"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("y"))
 
 
+def sparse_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One effect per marker of the sparse genotypes, from its number of order lines."""
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 128).cast("int").alias("marker")).agg(
+        F.count(F.lit(1)).alias("n")).selectExpr("marker", "(n % 11 - 5) / double(10) as beta")
+
+
+def named_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as markers that are named by their brand, so that names repeat."""
+    return table(spark, sf_dir, "part").selectExpr("cast(p_partkey as int) as marker", "p_brand as rsid")
+
+
 def layer_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A network of one hidden layer of 8 neurons over all markers, without biases."""
-    first = marker(spark, sf_dir).selectExpr("0 as layer", "marker as i", "explode(sequence(0, 7)) as j").withColumn(
-        "w", F.expr("((i * 7 + j * 13) % 11 - 5) / double(40)"))
-    second = first.select("j").distinct().selectExpr("1 as layer", "j as i", "0 as j").withColumn(
-        "w", F.expr("((i * 5) % 7 - 3) / double(5)"))
+    """A network of one hidden layer of 8 neurons over all markers, without biases, from allele counts of eight groups of people."""
+    counts = geno(spark, sf_dir).groupBy("marker", (F.col("iid") % 8).cast("int").alias("j")).agg(F.sum(observed("dosage")).cast("long").alias("g"))
+    first = counts.selectExpr("0 as layer", "marker as i", "j", "(g % 11 - 5) / double(40) as w")
+    second = counts.groupBy("j").agg(F.sum("g").alias("g")).selectExpr("1 as layer", "j as i", "0 as j", "(g % 7 - 3) / double(5) as w")
     return first.unionByName(second)
 
 
@@ -99,7 +115,8 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region lists of the four chromosomes: blocks of 8 markers every 4, ends exclusive."""
-    chroms = marker(spark, sf_dir).selectExpr("marker div 16 as file_no").groupBy("file_no").count()
-    return chroms.selectExpr("int(file_no) as file_no", "count", "explode(sequence(0, 2)) as row_no").selectExpr(
+    chroms = _copies(spark, sf_dir).selectExpr("marker div 16 as file_no", "g").groupBy("file_no").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("g").alias("g"))
+    return chroms.selectExpr("int(file_no) as file_no", "count", "g", "explode(sequence(0, 2)) as row_no").selectExpr(
         "file_no", "row_no", "4 * row_no as start_idx", "int(least(4 * row_no + 8, count)) as end_idx",
-        "file_no + row_no / double(10) as delta")
+        "g % 10 + row_no / double(10) as delta")

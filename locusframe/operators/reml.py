@@ -5,7 +5,7 @@ matrix and the squared projections of y. With standardised markers these come fr
 the two sides: the p x p product of markers or the n x n relationship matrix. Only that side
 (bounded) reaches the driver; directions with eigenvalue 0 enter as a count and a sum of squares.
 
-Where both sides exceed the bound, the spectrum is replaced by a quadrature from Lanczos steps that
+Where both sides exceed the bound, ``method="lanczos"`` replaces the spectrum by a quadrature from Lanczos steps that
 start at y (for the projections) and at random vectors (for the traces), the stochastic Lanczos
 estimation of the same likelihood. Matrix and vectors stay distributed; the report says which way
 was taken.
@@ -27,7 +27,7 @@ from locusframe.operators.regression import dense_triangle
 from locusframe.operators.ridge import Moments, marker_moments, tile_times
 from locusframe.operators.tiles import COLS, ROWS, block_counts, tile_table, with_stats
 from locusframe.operators.transform import scale_params
-from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
+from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, discard, materialise
 
 # The search range of log(delta), the number of grid cells and the edge tolerance.
 LOG_RANGE = (-10.0, 10.0)
@@ -93,7 +93,7 @@ def maximise(spec: Spectrum) -> dict:
         best = int(np.argmax(lls))
         delta, ll, status = math.exp(found[best]), float(lls[best]), "converged"
     else:
-        delta, ll, status = math.exp(grid[-1]), float(slope.min()), "no maximum"
+        delta, ll, status = math.exp(grid[-1]), float(spec.loglik(grid[-1])[0]), "no maximum"
     vg = float(spec.sums(math.log(delta))[0][0]) / spec.df
     mean = spec.values @ spec.counts / spec.df
     var = spec.values ** 2 @ spec.counts / spec.df - mean * mean
@@ -133,22 +133,28 @@ def spectrum_from_kinship(k: np.ndarray, y: np.ndarray, x: np.ndarray | None = N
     return Spectrum(values, (vectors.T @ (basis.T @ y)) ** 2, np.ones(len(values)))
 
 
-def _report(spark, fit: dict, n: int, var_y_sse: float, side: str) -> DataFrame:
+def _report(spark, fit: dict, n: int, y_ss: float, side: str, n_fixed: int = 1) -> DataFrame:
+    """One row; ``y_ss`` are the squares of y around its ``n_fixed`` fixed effects."""
     row = [(fit["h2"], math.sqrt(2.0 / (n * fit["eigen_var"])) if fit["eigen_var"] > 0 else float("nan"),
-            fit["delta"], fit["ve"], fit["vg"], fit["reml_ll"], float(n), var_y_sse, fit["status"], side)]
+            fit["delta"], fit["ve"], fit["vg"], fit["reml_ll"], float(n), y_ss, float(n_fixed), fit["status"], side)]
     return spark.createDataFrame(row, "h2 double, h2_se double, delta double, ve double, vg double, reml_ll double,"
-                                      " n double, y_ss double, status string, side string")
+                                      " n double, y_ss double, n_fixed double, status string, side string")
 
 
-def reml(geno: DataFrame, pheno: DataFrame) -> DataFrame:
-    """Heritability report of all markers together, from the smaller side, or by Lanczos quadrature where
-    both are too large for the driver."""
-    too_many = lambda t, c: t.select(c).distinct().limit(MAX_DRIVER_SIDE + 1).count() > MAX_DRIVER_SIDE
-    if not too_many(geno, "marker"):
+def reml(geno: DataFrame, pheno: DataFrame, method: str = "markers") -> DataFrame:
+    """Heritability report of all markers together.
+
+    ``method`` says how the spectrum is found, whatever the sizes: ``markers`` (eigenvalues of the products of markers) and
+    ``individuals`` (of the relationship matrix) are exact and raise where that side exceeds the driver's bound; ``lanczos`` has no
+    bound and estimates the traces from random vectors.
+    """
+    if method == "markers":
         return reml_from_moments(geno.sparkSession, marker_moments(geno, pheno))
-    if not too_many(pheno, "iid"):
+    if method == "individuals":
         return reml_from_grm(kinship_additive(geno.join(pheno.select("iid"), "iid", "left_semi")), pheno)
-    return reml_lanczos(geno, pheno)
+    if method == "lanczos":
+        return reml_lanczos(geno, pheno)
+    raise ValueError(f"unknown method {method}")
 
 
 def reml_from_moments(spark, mom: Moments) -> DataFrame:
@@ -158,10 +164,12 @@ def reml_from_moments(spark, mom: Moments) -> DataFrame:
 
 def reml_from_grm(grm: DataFrame, pheno: DataFrame, covariates: DataFrame | None = None) -> DataFrame:
     """Heritability report of a stored relationship matrix (n bounded); ``covariates(iid, cov, value)``
-    are fixed effects next to the intercept."""
+    are fixed effects next to the intercept. Whoever lacks one of them takes no part."""
     ids, k, y, x = _dense_inputs(grm, pheno, covariates)
     spec = spectrum_from_kinship(k, y, x)
-    return _report(grm.sparkSession, maximise(spec), len(y), float(((y - y.mean()) ** 2).sum()), "individuals")
+    fixed = np.ones((len(y), 1)) if x is None else x
+    residual = y - fixed @ np.linalg.lstsq(fixed, y, rcond=None)[0]
+    return _report(grm.sparkSession, maximise(spec), len(y), float(residual @ residual), "individuals", fixed.shape[1])
 
 
 def _sums_per_vector(df: DataFrame, left: str, right: str, width: int) -> np.ndarray:
@@ -244,8 +252,10 @@ def lanczos_spectrum(multiply, start: DataFrame, n: int, width: int, steps: int)
         if step == steps - 1:
             break
         old = before if step else np.zeros(width)
+        used = rest if step else state
         rest = materialise(_combine(joined, width, {"v": ones, "w": -alpha, "old": -old, "one": -shift},
                                     {"one": "one", "old": "w"}))
+        discard(joined, used)
         beta = np.sqrt(np.maximum(_sums_per_vector(rest, "w", "w", width), 0.0))
         alive &= beta > 1e-10
         betas.append(np.where(alive, beta, 0.0))
@@ -267,7 +277,7 @@ def _quadrature(alphas, betas, length_sq, n) -> Spectrum:
             t += np.diag(betas[:stop - 1, k], 1) + np.diag(betas[:stop - 1, k], -1)
         nodes, vectors = np.linalg.eigh(t)
         share = vectors[0] ** 2
-        values.append(np.maximum(nodes, 0.0))
+        values.append(nodes)
         eta_sq.append(share * length_sq[0] if k == 0 else np.zeros(stop))
         counts.append(np.zeros(stop) if k == 0 else share * (n - 1) / (width - 1))
     return Spectrum(np.concatenate(values), np.concatenate(eta_sq), np.concatenate(counts))
@@ -279,7 +289,7 @@ def reml_lanczos(geno: DataFrame, pheno: DataFrame, steps: int = 40, probes: int
     both = geno.join(pheno.select("iid"), "iid", "left_semi")
     params = materialise(scale_params(both))
     tiles = materialise(tile_table(both, "iid", "marker", "dosage", rows, cols, params))
-    present = pheno.join(both.filter(F.col("marker") == params.first().marker).select("iid"), "iid", "left_semi")
+    present = pheno.join(both.select("iid").distinct(), "iid", "left_semi")
     return _lanczos_report(tiles, present, params.count(), steps, probes, seed, rows, cols)
 
 
@@ -324,6 +334,12 @@ def reml_lanczos_from_grm(grm: DataFrame, pheno: DataFrame, steps: int = 40, pro
 
 
 def _dense_inputs(grm, pheno, covariates=None):
+    pheno = pheno.where("y is not null")
+    if covariates is not None:
+        covariates = covariates.where("value is not null")
+        n_cov = covariates.select("cov").distinct().count()
+        complete = covariates.groupBy("iid").agg(F.countDistinct("cov").alias("_k")).where(F.col("_k") == n_cov)
+        pheno = pheno.join(complete, "iid", "left_semi")
     known = collect_bounded(pheno.join(grm.filter("i = j").select(F.col("i").alias("iid")), "iid", "left_semi")
                             .select("iid", "y"), MAX_DRIVER_SIDE, "phenotypes of a dense fit")
     ids = np.array(sorted(r.iid for r in known))
@@ -382,9 +398,9 @@ def h2_se_from_traces(traces: DataFrame) -> DataFrame:
 
 
 def likelihood_ratio(results: DataFrame) -> DataFrame:
-    """p-value of the genetic component for rows with ``reml_ll``, ``n`` and ``y_ss`` (squares around the
-    mean): half the upper tail of chi-square with one degree of freedom."""
-    mse = F.col("y_ss") / (F.col("n") - 1)
+    """p-value of the genetic component for rows with ``reml_ll``, ``n``, ``n_fixed`` and ``y_ss`` (squares around the
+    fixed effects): half the upper tail of chi-square with one degree of freedom."""
+    mse = F.col("y_ss") / (F.col("n") - F.col("n_fixed"))
     null_ll = 0.5 * (-F.col("n") * (F.log(F.lit(2 * math.pi)) + F.log(mse)) - F.col("y_ss") / mse)
     lrt = -2 * (null_ll - F.col("reml_ll"))
     return results.withColumn("null_ll", null_ll).withColumn("lrt", lrt).withColumn("p", chi2_1_pvalue(lrt) / 2)

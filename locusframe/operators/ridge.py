@@ -7,6 +7,7 @@ the driver (size checked); the last keeps matrix and vectors distributed and has
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +19,18 @@ from locusframe.functions.scalar import observed
 from locusframe.operators.regression import dense_triangle, multi_reg
 from locusframe.operators.tiles import COLS, ROWS, block_counts, decode, gram, tile_table, with_stats
 from locusframe.operators.transform import scale_params
-from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
+from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, discard, materialise
 
 VECTOR_BYTES = 256 << 20
 
 
+def people(geno: DataFrame, pheno: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Genotypes and phenotypes of those who have both: every sum of a fit runs over them."""
+    known = pheno.where("y is not null").select("iid", "y")
+    cells = geno.join(known.select("iid"), "iid", "left_semi")
+    return cells, known.join(geno.select("iid").distinct(), "iid", "left_semi")
+
+
 @dataclass
 class Moments:
     """Products of z-scored markers and centred y on the driver (p bounded)."""
@@ -40,6 +48,7 @@ def marker_moments(geno: DataFrame, pheno: DataFrame) -> Moments:
     The dosage products are one tile product over markers; means and sds enter at the end.
     """
     y = F.col("y")
+    pheno = pheno.where("y is not null")
     both = geno.join(pheno.select("iid"), "iid", "left_semi")
     info = materialise(
         geno.join(pheno, "iid").groupBy("marker").agg(
@@ -75,28 +84,30 @@ def ridge(geno: DataFrame, pheno: DataFrame, delta: float) -> DataFrame:
     return _effects(geno.sparkSession, mom.markers, solve_ridge(mom, delta))
 
 
-def ridge_scaled(geno: DataFrame, pheno: DataFrame, scales: DataFrame, delta: float) -> DataFrame:
+def ridge_scaled(geno: DataFrame, pheno: DataFrame, scales: DataFrame, delta: float, method: str = "gradients") -> DataFrame:
     """Effects with a scale per marker ``(marker, d)``: marker j shrinks by ``delta / d_j^2``.
 
-    Markers without a scale get effect 0. Above the driver bound the system is solved by gradients.
+    Markers without a scale get effect 0. ``method``: ``gradients`` for any size, or ``direct`` with p bounded.
     """
-    if geno.select("marker").distinct().limit(MAX_DRIVER_SIDE + 1).count() > MAX_DRIVER_SIDE:
+    if method == "gradients":
         return ridge_cg(geno, pheno, delta, scales=scales)
+    if method != "direct":
+        raise ValueError(f"unknown method {method}")
     mom = marker_moments(geno, pheno)
     known = {r.marker: r.d for r in collect_bounded(scales.select("marker", "d"), MAX_DRIVER_SIDE, "marker scales")}
     d = np.array([known.get(int(m), 0.0) for m in mom.markers])
     return _effects(geno.sparkSession, mom.markers, solve_ridge(mom, delta, d))
 
 
-def ridge_hetero(geno: DataFrame, pheno: DataFrame, priors: DataFrame, h2: float) -> DataFrame:
+def ridge_hetero(geno: DataFrame, pheno: DataFrame, priors: DataFrame, h2: float, method: str = "gradients") -> DataFrame:
     """Heteroskedastic ridge: prior effects ``(marker, beta)`` give marker variance beta^2 / (1 - h2)."""
     scales = priors.select("marker", (F.abs("beta") / F.lit(float(np.sqrt(1.0 - h2)))).alias("d"))
-    return ridge_scaled(geno, pheno, scales, (1.0 - h2) / h2)
+    return ridge_scaled(geno, pheno, scales, (1.0 - h2) / h2, method)
 
 
-def ridge_by_lambda(geno: DataFrame, pheno: DataFrame, lambdas: DataFrame) -> DataFrame:
+def ridge_by_lambda(geno: DataFrame, pheno: DataFrame, lambdas: DataFrame, method: str = "gradients") -> DataFrame:
     """One shrinkage per marker ``(marker, lambda)``, e.g. inherited from regions."""
-    return ridge_scaled(geno, pheno, lambdas.select("marker", (1.0 / F.sqrt("lambda")).alias("d")), 1.0)
+    return ridge_scaled(geno, pheno, lambdas.select("marker", (1.0 / F.sqrt("lambda")).alias("d")), 1.0, method)
 
 
 def ridge_dual(geno: DataFrame, pheno: DataFrame, delta: float) -> DataFrame:
@@ -104,14 +115,12 @@ def ridge_dual(geno: DataFrame, pheno: DataFrame, delta: float) -> DataFrame:
 
     The effects are one partial aggregate per marker over genotypes joined to ``a``.
     """
-    params = materialise(scale_params(geno))
-    one = geno.filter(F.col("marker") == params.first().marker)
-    rows = collect_bounded(pheno.join(one, "iid", "left_semi").select("iid", "y"),
-                           MAX_DRIVER_SIDE, "individuals of a dual solve")
+    both, present = people(geno, pheno)
+    params = materialise(scale_params(both))
+    rows = collect_bounded(present, MAX_DRIVER_SIDE, "individuals of a dual solve")
     ids = np.array(sorted(r.iid for r in rows), np.int64)
     y = np.zeros(len(ids))
     y[np.searchsorted(ids, [r.iid for r in rows])] = [r.y for r in rows]
-    both = geno.join(pheno.select("iid"), "iid", "left_semi")
     cells = both.join(params, "marker").select("iid", "marker", "dosage", "mean", "sd")
     zzt = dense_triangle(gram(both, "iid", "marker", "dosage", params), ids)
     a = np.linalg.solve(zzt + delta * np.eye(len(ids)), y - y.mean())
@@ -124,11 +133,13 @@ def ridge_observation_weighted(geno: DataFrame, pheno: DataFrame, weights: DataF
                                weight_outcome: bool = True) -> DataFrame:
     """``(Z'WZ + delta I)^-1 Z'Wy`` with weights per individual ``(iid, w)``.
 
-    ``weight_outcome=False`` leaves W out of the right side.
+    ``weight_outcome=False`` leaves W out of the right side. Both sides run over those with genotypes, phenotype and weight.
     """
-    params = materialise(scale_params(geno))
+    pheno = pheno.join(weights.where("w is not null").select("iid"), "iid", "left_semi")
+    both, pheno = people(geno, pheno)
+    params = materialise(scale_params(both))
     z = ((observed("dosage") - F.col("mean")) / F.col("sd")).alias("z")
-    cells = geno.join(params, "marker").join(weights, "iid").select("iid", "marker", z, "w")
+    cells = both.join(params, "marker").join(weights, "iid").select("iid", "marker", z, "w")
     root = cells.select("iid", "marker", (F.col("z") * F.sqrt("w")).alias("v"))
     ids = np.array(sorted(r.marker for r in collect_bounded(params.select("marker"), MAX_DRIVER_SIDE, "markers")))
     ztwz = dense_triangle(gram(root, "marker", "iid", "v"), ids)
@@ -170,12 +181,14 @@ def tile_times(tiles: DataFrame, shape: tuple[int, int], vectors: DataFrame, row
         if sums:
             yield _blocks(sums)
 
-    def add(key, table):
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * width)
-        for v in table.column("v"):
-            total += v.values.to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
+        for batch in batches:  # a block at a time: the partial vectors of a group are never held together
+            for v in batch.column("v"):
+                total += v.values.to_numpy()
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
 
+    add.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     parts = joined.mapInArrow(multiply, "block int, v array<double>")
     return parts.groupBy("block").applyInArrow(add, "block int, v array<double>")
 
@@ -211,7 +224,7 @@ def _axpy(a: str, b: str, factor: float):
     return F.zip_with(a, b, lambda p, q: p + F.lit(float(factor)) * q)
 
 
-def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float = 1e-10, max_steps: int = 200,
+def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float = 1e-10, max_steps: int = 1000,
              rows: int = ROWS, cols: int = COLS, scales: DataFrame | None = None) -> DataFrame:
     """Effects by conjugate gradients: only scalars reach the driver, any n and p.
 
@@ -219,9 +232,10 @@ def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float =
     so a lost executor repeats one step at most. Scales per marker ``(marker, d)`` are folded into
     the sd of the columns. Raises when ``max_steps`` do not reach the tolerance.
     """
-    params = materialise(_folded(scale_params(geno), scales))
+    cells, present = people(geno, pheno)
+    pheno = materialise(present)
+    params = materialise(_folded(scale_params(cells), scales))
     used = params.filter("d <> 0").select("marker", "mean", (F.col("sd") / F.col("d")).alias("sd"))
-    cells = geno.join(pheno.select("iid"), "iid", "left_semi")
     if scales is not None:
         cells = cells.join(used.select("marker"), "marker", "left_semi")
     tiles = materialise(tile_table(cells, "iid", "marker", "dosage", rows, cols, used))
@@ -229,7 +243,7 @@ def ridge_cg(geno: DataFrame, pheno: DataFrame, delta: float, tolerance: float =
 
 
 def ridge_cg_tiles(tiles: DataFrame, pheno: DataFrame, params: DataFrame, delta: float, tolerance: float = 1e-10,
-                   max_steps: int = 200, rows: int = ROWS, cols: int = COLS, scales: DataFrame | None = None) -> DataFrame:
+                   max_steps: int = 1000, rows: int = ROWS, cols: int = COLS, scales: DataFrame | None = None) -> DataFrame:
     """The same from a raw tile table and ``params(marker, mean, sd)`` of the markers to use; everyone in
     the tiles has a phenotype."""
     folded = materialise(_folded(params, scales))
@@ -263,7 +277,8 @@ def _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols) ->
         moved = joined.select("block", _axpy("x", "p", step).alias("x"), _axpy("r", "q", -step).alias("r"), "p")
         new = moved.agg(F.sum(_dot("r", "r"))).first()[0]
         ratio, rr = new / rr, new
-        state = materialise(moved.select("block", "x", "r", _axpy("r", "p", ratio).alias("p")))
+        before, state = state, materialise(moved.select("block", "x", "r", _axpy("r", "p", ratio).alias("p")))
+        discard(before, joined)
     else:
         if rr > tolerance * tolerance * start:
             raise ValueError(f"no convergence in {max_steps} steps (residual {(rr / start) ** 0.5:.1e})")
@@ -272,17 +287,18 @@ def _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols) ->
         "marker", (F.col("d") * F.coalesce("beta", F.lit(0.0))).alias("beta"))
 
 
-def fit_effects(geno: DataFrame, pheno: DataFrame, delta: float, n: int, p: int) -> DataFrame:
-    """Choose the way by size: n x n system when n < p, p x p otherwise, conjugate gradients when the
-    smaller side exceeds the driver bound. ``delta = -1`` with n >= p is plain least squares without
-    the intercept's coefficient."""
+def fit_effects(geno: DataFrame, pheno: DataFrame, delta: float, method: str = "gradients") -> DataFrame:
+    """Ridge effects by ``method``, whatever the sizes: ``gradients`` (no bound), or the exact small systems ``markers`` (p bounded) and
+    ``individuals`` (n bounded). ``delta = -1`` is plain least squares without the intercept's coefficient."""
     if delta == -1:
-        if n < p:
-            raise ValueError("more markers than individuals: a shrinkage is required")
+        geno, present = people(geno, pheno)
         params = materialise(scale_params(geno))
+        if present.count() < params.count():
+            raise ValueError("more markers than individuals: a shrinkage is required")
         z = ((observed("dosage") - F.col("mean")) / F.col("sd")).alias("value")
         cells = geno.join(params, "marker").select("iid", F.col("marker").alias("term"), z)
         return multi_reg(cells, pheno).filter("term >= 0").select(F.col("term").alias("marker"), "beta")
-    if min(n, p) > MAX_DRIVER_SIDE:
-        return ridge_cg(geno, pheno, delta)
-    return ridge_dual(geno, pheno, delta) if n < p else ridge(geno, pheno, delta)
+    ways = {"gradients": ridge_cg, "markers": ridge, "individuals": ridge_dual}
+    if method not in ways:
+        raise ValueError(f"unknown method {method}")
+    return ways[method](geno, pheno, delta)

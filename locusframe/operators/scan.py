@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from locusframe.functions.ranking import index_by_integer
 from locusframe.functions.scalar import MAX_DELTA, observed
 from locusframe.operators.qc import kept_markers, qc_report
-from locusframe.operators.tiles import fill_tile, fragments
+from locusframe.operators.regression import dense_triangle
+from locusframe.operators.tiles import fill_tile, fragments, gram
 from locusframe.operators.reml import maximise, project_out, spectrum_from_products
 from locusframe.session import materialise
 
@@ -20,9 +21,11 @@ SCAN_ROWS = 4096
 GROUP_MARKERS = 512
 FAN_IN = 256
 RETRY_MAF = 0.03
+# Terms of the design whose sums one aggregate takes; more terms take more aggregates.
+TERMS = 64
 
 SCHEMA = ("block int, start_idx int, end_idx int, n_markers int, delta double, h2 double, vg double, ve double,"
-          " reml_ll double, n double, y_ss double, status string")
+          " reml_ll double, n double, y_ss double, n_fixed double, status string")
 
 
 def window_count(p: int, block: int, stride: int) -> int:
@@ -55,9 +58,12 @@ def scan_regions(geno: DataFrame, pheno: DataFrame, block: int = 50, stride: int
     a bounded rectangle of genotypes and emits one small matrix per block; sums over slices have a
     bounded fan-in. The eigenproblem of a block has the size of the block. Neighbouring runs
     overlap by ``block - stride`` markers, which is all the genotype data that is sent twice.
+
+    Covariates ``(iid, cov, value)`` are fixed effects, any number of them; the products of the design are a tile product.
+    Whoever lacks a phenotype, genotypes or one of the covariates takes no part.
     """
     report = report if report is not None else materialise(qc_report(geno))
-    pheno = materialise(pheno.select("iid", "y"))
+    pheno = pheno.select("iid", "y")
     info = materialise(index_by_integer(kept_markers(report).select("marker", "maf"), "marker"))
     p = info.count()
     n_windows = window_count(p, block, stride)
@@ -69,30 +75,39 @@ def scan_regions(geno: DataFrame, pheno: DataFrame, block: int = 50, stride: int
     low = F.greatest(F.lit(0), F.ceil((idx - (width - 1)) / F.lit(float(per_run * stride)))).cast("int")
     high = F.least(F.lit((n_windows - 1) // per_run), F.floor(idx / F.lit(float(per_run * stride)))).cast("int")
 
-    both = geno.join(pheno, "iid")
-    cov_names: list = []
+    # everyone with a phenotype, genotypes and all covariates takes part in every sum
+    people = pheno.where("y is not null").join(geno.select("iid").distinct(), "iid", "left_semi")
+    names: list = []
     if covariates is not None:
-        cov_names = sorted(r.cov for r in covariates.select("cov").distinct().limit(1001).collect())
-        wide = covariates.groupBy("iid").pivot("cov", cov_names).agg(F.first("value"))
-        wide = wide.toDF("iid", *(f"c{k}" for k in range(len(cov_names))))
-        both, base = both.join(wide, "iid"), pheno.join(wide, "iid")
-    else:
-        base = pheno
-    fixed = [f"c{k}" for k in range(len(cov_names))]
-    base = base.join(geno.filter(F.col("marker") == info.first().marker), "iid", "left_semi")
-    design = [F.lit(1.0), *(F.col(c) for c in fixed), F.col("y")]
-    size = len(design)
-    top = base.agg(*(F.sum(design[a] * design[b]).alias(f"t_{a}_{b}") for a in range(size) for b in range(a, size))).first()
-    known = np.zeros((size, size))
-    for a in range(size):
-        for b in range(a, size):
-            known[a, b] = known[b, a] = top[f"t_{a}_{b}"]
-
-    # Per marker: sums of dosage with the intercept, the covariates and y.
-    side = materialise(both.join(info.select("marker"), "marker", "left_semi").groupBy("marker").agg(
-        *(F.sum(observed("dosage") * d).alias(f"g{k}") for k, d in enumerate(design))).join(info, "marker"))
-
-    cells = geno.join(pheno.select("iid"), "iid", "left_semi").join(info.select("marker", "idx"), "marker").select(
+        covariates = materialise(covariates.where("value is not null").groupBy("iid", "cov").agg(F.first("value").alias("value")))
+        names = sorted(r.cov for r in covariates.select("cov").distinct().collect())  # a row per covariate
+        complete = covariates.groupBy("iid").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == len(names))
+        people = people.join(complete, "iid", "left_semi")
+    people = materialise(people)
+    n_fixed = len(names) + 1
+    # the design in long form: the intercept, the covariates, y
+    design = people.select("iid", F.lit(0).alias("term"), F.lit(1.0).alias("v")).unionByName(
+        people.select("iid", F.lit(n_fixed).alias("term"), F.col("y").cast("double").alias("v")))
+    if names:
+        place = F.create_map(*(F.lit(x) for pair in zip(names, range(1, n_fixed)) for x in pair))
+        design = design.unionByName(covariates.join(people.select("iid"), "iid", "left_semi").select(
+            "iid", place[F.col("cov")].alias("term"), F.col("value").cast("double").alias("v")))
+    design = materialise(design)
+    known = dense_triangle(gram(design, "term", "iid", "v", cols=4096), np.arange(n_fixed + 1))
+
+    # per marker: sums of dosage with every term of the design, as one array in the order of terms
+    side = info
+    for first in range(0, n_fixed + 1, TERMS):
+        terms = list(range(first, min(first + TERMS, n_fixed + 1)))
+        wide = design.where(F.col("term").between(terms[0], terms[-1])).groupBy("iid").pivot("term", terms).agg(F.first("v"))
+        wide = materialise(wide.toDF("iid", *(f"d{t}" for t in terms)))
+        sums = geno.join(wide, "iid").join(info.select("marker"), "marker", "left_semi").groupBy("marker").agg(
+            *(F.sum(observed("dosage") * F.col(f"d{t}")).alias(f"g{t}") for t in terms))
+        sums = sums.select("marker", F.array(*(f"g{t}" for t in terms)).alias("_g"))
+        side = side.join(sums, "marker").withColumn("g", F.concat("g", "_g") if first else F.col("_g")).drop("_g")
+    side = materialise(side)
+
+    cells = geno.join(people.select("iid"), "iid", "left_semi").join(info.select("marker", "idx"), "marker").select(
         "iid", observed("dosage").cast("tinyint").alias("g"), "idx",
         F.explode(F.sequence(low, high)).alias("run")).select(
         F.expr(f"iid div {SCAN_ROWS}").alias("rb"), F.col("run").alias("cb"),
@@ -126,8 +141,7 @@ def scan_regions(geno: DataFrame, pheno: DataFrame, block: int = 50, stride: int
         slices = -(-slices // FAN_IN)
 
     members = region_windows(info.select("marker"), block, stride).join(side.drop("idx"), "marker")
-    sums = [f"g{k}" for k in range(size)]
-    n_fixed, n_obs = size - 1, known[0, 0]
+    n_obs = known[0, 0]
 
     def fit(key, parts, rows):
         total = np.zeros(block * block)
@@ -136,7 +150,7 @@ def scan_regions(geno: DataFrame, pheno: DataFrame, block: int = 50, stride: int
         rows = rows.sort_by("idx")
         m = rows.num_rows
         dosage = total.reshape(block, block)[:m, :m]
-        with_design = np.column_stack([rows.column(s).to_numpy() for s in sums]).astype(float)
+        with_design = rows.column("g").combine_chunks().flatten().to_numpy().astype(float).reshape(m, -1)
         maf = rows.column("maf").to_numpy()
         start = rows.column("start_idx")[0].as_py()
         out = _fit_block(dosage, with_design, known, n_obs, n_fixed, maf)
@@ -144,7 +158,7 @@ def scan_regions(geno: DataFrame, pheno: DataFrame, block: int = 50, stride: int
             "block": key[0].as_py(), "start_idx": start, "end_idx": start + m, "n_markers": m, **out}.items()},
             schema=pa.schema([("block", pa.int32()), ("start_idx", pa.int32()), ("end_idx", pa.int32()),
                               ("n_markers", pa.int32()), *((c, pa.float64()) for c in
-                                                            ("delta", "h2", "vg", "ve", "reml_ll", "n", "y_ss")),
+                                                            ("delta", "h2", "vg", "ve", "reml_ll", "n", "y_ss", "n_fixed")),
                               ("status", pa.string())]))
 
     return mats.groupBy("block").cogroup(members.groupBy("block")).applyInArrow(fit, SCHEMA)
@@ -155,7 +169,9 @@ def _fit_block(dosage, with_design, known, n, n_fixed, maf):
     mean = with_design[:, 0] / n
     sd = np.sqrt(np.maximum(np.diag(dosage) / n - mean * mean, 0.0))
     sd = np.where(sd == 0, 1.0, sd)
-    y_ss = float(known[-1, -1] - known[0, -1] ** 2 / n)
+    # squares of y around the fixed effects
+    y_ss = float(project_out(known, n_fixed)[-1, -1])
+    common = {"n": n, "y_ss": y_ss, "n_fixed": float(n_fixed)}
     for tried, keep in (("converged", np.ones(len(maf), bool)), ("rare markers dropped", maf >= RETRY_MAF)):
         try:
             m, s = int(keep.sum()), sd[keep]
@@ -172,8 +188,8 @@ def _fit_block(dosage, with_design, known, n, n_fixed, maf):
             spec = spectrum_from_products(left[:-1, :-1], left[:-1, -1], left[-1, -1], n, n_fixed)
             best = maximise(spec)
             status = best["status"] if tried == "converged" else tried
-            return {k: best[k] for k in ("delta", "h2", "vg", "ve", "reml_ll")} | {"n": n, "y_ss": y_ss, "status": status}
+            return {k: best[k] for k in ("delta", "h2", "vg", "ve", "reml_ll")} | common | {"status": status}
         except (np.linalg.LinAlgError, ValueError):
             continue
     return {"delta": MAX_DELTA, "h2": 1.0 / (1.0 + MAX_DELTA), "vg": math.nan, "ve": math.nan, "reml_ll": math.nan,
-            "n": n, "y_ss": y_ss, "status": "default"}
+            **common, "status": "default"}

@@ -12,11 +12,16 @@ from locusframe.operators.tiles import COLS, ROWS, block_counts, with_stats
 from locusframe.session import materialise
 
 
-def polygenic_score(z: DataFrame, effects: DataFrame, value: str = "z") -> DataFrame:
-    """``yhat = sum(value x beta)`` per individual; effects are keyed by marker."""
+def polygenic_score(z: DataFrame, effects: DataFrame, value: str = "z", people: DataFrame | None = None) -> DataFrame:
+    """``yhat = sum(value x beta)`` per individual; effects are keyed by marker.
+
+    In a sparse table whoever has no row has all-zero genotypes: with ``people(iid)`` they score 0 instead of being absent.
+    """
     small = materialise(effects.select("marker", "beta"))
-    return z.join(small, "marker").groupBy("iid").agg(
-        F.sum(F.col(value) * F.col("beta")).alias("yhat"))
+    scores = z.join(small, "marker").groupBy("iid").agg(F.sum(F.col(value) * F.col("beta")).alias("yhat"))
+    if people is None:
+        return scores
+    return people.select("iid").distinct().join(scores, "iid", "left").select("iid", F.coalesce("yhat", F.lit(0.0)).alias("yhat"))
 
 
 def score_standardised(geno: DataFrame, effects: DataFrame, params: DataFrame) -> DataFrame:

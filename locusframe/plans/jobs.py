@@ -75,17 +75,20 @@ def merge_files(spark: SparkSession, prefixes: list[str], out: str) -> None:
 
 
 def heritability(pheno: DataFrame, geno: DataFrame | None = None, grm: DataFrame | None = None,
-                 eig: DataFrame | None = None) -> DataFrame:
-    """Heritability report from genotypes, a relationship matrix or a stored eigen summary."""
+                 eig: DataFrame | None = None, method: str = "markers") -> DataFrame:
+    """Heritability report from genotypes, a relationship matrix or a stored eigen summary.
+
+    ``method`` is that of ``reml.reml``; with a relationship matrix, ``lanczos`` has no bound on the individuals and any other is exact.
+    """
     y = transform.standardise_pheno(pheno)
     if eig is not None:
         return reml.reml_from_eigen(eig, y)
     if grm is not None:
-        return reml.reml_from_grm(grm, y)
+        return reml.reml_lanczos_from_grm(grm, y) if method == "lanczos" else reml.reml_from_grm(grm, y)
     if geno is None:
         raise ValueError("genotypes, a relationship matrix or an eigen summary is required")
     kept, _ = qc.qc_markers(geno)
-    return reml.reml(kept, y)
+    return reml.reml(kept, y, method)
 
 
 def variance_components(pheno: DataFrame, grm: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
@@ -109,7 +112,7 @@ def merge_region_files(spark: SparkSession, prefix: str, out: str) -> None:
 
 
 def ridge_blup(geno: DataFrame, pheno: DataFrame, valid: DataFrame, h2: float, priors: DataFrame | None = None,
-               own_scale: bool = True) -> tuple[DataFrame, DataFrame]:
+               own_scale: bool = True, method: str = "gradients") -> tuple[DataFrame, DataFrame]:
     """Fit on the training set, predict the validation set: ``(predictions, effects)``.
 
     ``own_scale`` standardises the validation set by its own mean and sd, otherwise by the training
@@ -119,10 +122,9 @@ def ridge_blup(geno: DataFrame, pheno: DataFrame, valid: DataFrame, h2: float, p
     kept, report = qc.qc_markers(geno)
     delta = (1.0 - h2) / h2
     if priors is not None:
-        effects = ridge.ridge_hetero(kept, y, priors, h2)
+        effects = ridge.ridge_hetero(kept, y, priors, h2, "gradients" if method == "gradients" else "direct")
     else:
-        n, p = pheno.count(), report.filter("reason is null").count()
-        effects = ridge.fit_effects(kept, y, delta, n, p)
+        effects = ridge.fit_effects(kept, y, delta, method)
     held = valid.join(report.filter("reason is null").select("marker"), "marker", "left_semi")
     params = materialise(transform.scale_params(held if own_scale else kept))
     usable = params.filter(~F.isnan("mean") & ~F.isnan("sd"))
@@ -130,19 +132,17 @@ def ridge_blup(geno: DataFrame, pheno: DataFrame, valid: DataFrame, h2: float, p
 
 
 def effects_job(geno: DataFrame, pheno: DataFrame, markers: DataFrame, delta: float = -1.0, apply_qc: bool = True,
-                valid: DataFrame | None = None) -> dict[str, DataFrame]:
+                valid: DataFrame | None = None, method: str = "gradients") -> dict[str, DataFrame]:
     """Least squares or ridge effects with names and alleles, kept markers, and predictions of a
     validation set on the training scale."""
     y = transform.standardise_pheno(pheno)
     report = None
     if apply_qc:
         kept, report = qc.qc_markers(geno)
-        p = report.filter("reason is null").count()
     else:
         kept = qc.replace_missing(geno)
-        p = markers.count()
     params = materialise(transform.scale_params(kept))
-    effects = materialise(ridge.fit_effects(kept, y, delta, pheno.count(), p))
+    effects = materialise(ridge.fit_effects(kept, y, delta, method))
     out = {"effects": effects.join(markers.select("marker", "rsid", "a1"), "marker").select("marker", "rsid", "a1", "beta"),
            "params": params}
     if report is not None:
@@ -158,7 +158,7 @@ def score_job(geno: DataFrame, effects: DataFrame, markers: DataFrame) -> DataFr
 
 
 def region_shrinkage(geno: DataFrame, pheno: DataFrame, markers: DataFrame, members: DataFrame,
-                     deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+                     deltas: DataFrame, method: str = "gradients") -> tuple[DataFrame, DataFrame]:
     """Effects with one shrinkage per region: ``(effects, ordered)``; markers with the largest shrinkage leave."""
     found, missing = resolve_rsids(members.drop("marker"), markers)
     lost = missing.limit(1).collect()
@@ -168,7 +168,7 @@ def region_shrinkage(geno: DataFrame, pheno: DataFrame, markers: DataFrame, memb
     lambdas = materialise(qc.drop_max_shrinkage(
         transform.region_lambda(ordered, deltas), MAX_DELTA).select("marker", "lambda", "new_idx"))
     kept, _ = qc.qc_markers(geno.join(lambdas, "marker", "left_semi"))
-    return ridge.ridge_by_lambda(kept, transform.standardise_pheno(pheno), lambdas), lambdas
+    return ridge.ridge_by_lambda(kept, transform.standardise_pheno(pheno), lambdas, method), lambdas
 
 
 def neural_prediction(geno: DataFrame, pheno: DataFrame, valid: DataFrame, valid_pheno: DataFrame,

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Largest matrix side that is solved on the driver (a 4096 x 4096 double matrix is 128 MB).
 MAX_DRIVER_SIDE = 4096
-# Largest number of scalar rows any step brings to the driver.
-MAX_DRIVER_ROWS = MAX_DRIVER_SIDE * (MAX_DRIVER_SIDE + 1)
 
 
 def build_session(app: str = "locusframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,14 +30,32 @@ def build_session(app: str = "locusframe", master: str | None = None, **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder on the default file system of a cluster; a local run may use a temporary folder, a cluster
+    whose default file system is local may not.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="locusframe-")
+        context = spark.sparkContext
+        default = context._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(context._jsc.hadoopConfiguration()).toString()
+        if not default.startswith("file:"):
+            root = f"{default.rstrip('/')}/tmp/locusframe-{context.applicationId}"
+        elif context.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="locusframe-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark itself would resolve it against."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a scratch table and read it back.
 
@@ -50,7 +66,19 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove scratch tables that no later step reads, for instance the previous state of an iteration."""
+    for df in stored:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:

@@ -335,11 +335,26 @@ class PlinkBed(DataSource):
         return BedWriter(self.options)
 
 
+def in_file_order(lines: DataFrame, name: str = "line") -> DataFrame:
+    """Number lines by file name, block of the file, and position in the block.
+
+    ``lines`` has ``_file, _start, _m``: the file, the block's start, and an id that grows within a block. Spark packs files into
+    tasks by size, so an id alone doesn't follow the order of a folder's parts. Lines are numbered within their file, in
+    runs of one block; what is ordered in one task is a row per file.
+    """
+    inside = with_row_index(lines, ["_m"], F.col("_start"), by=("_file",), name="_row")
+    sizes = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    return inside.join(offsets, "_file").withColumn(name, (F.col("_row") + F.col("_offset")).cast("long")).drop("_row", "_offset")
+
+
 def indexed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their 0-based number, counted per input split and not in one task."""
+    """Lines of a text file, or of the parts of a folder in the order of their names, with their 0-based number."""
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_m"))
-    return with_row_index(lines.filter(F.trim("value") != ""), ["_m"], F.col("_start"), name="line").select("line", "value")
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_m"))
+    return in_file_order(lines.filter(F.trim("value") != "")).select("line", "value")
 
 
 def _tokens(lines: DataFrame) -> DataFrame:

@@ -186,18 +186,55 @@ def test_ridge_ways_agree(spark, panel):
         obs = np.linalg.solve((panel.z * wi[:, None]).T @ panel.z + 2 * np.eye(panel.p), right)
         got = by_marker(ridge.ridge_observation_weighted(panel.geno, panel.pheno, weights, 2.0, flag))
         assert np.abs(got - obs).max() < 1e-9
-    assert np.abs(by_marker(ridge.fit_effects(panel.geno, panel.pheno, -1, panel.n, panel.p))
+    assert np.abs(by_marker(ridge.fit_effects(panel.geno, panel.pheno, -1))
                   - _ols(np.column_stack([np.ones(panel.n), panel.z]), panel.y)[0][1:]).max() < 1e-8
 
 
-def test_driver_bounds_are_errors_and_large_problems_use_gradients(monkeypatch, panel):
+def test_driver_bounds_are_errors_of_the_direct_ways_only(monkeypatch, panel):
     monkeypatch.setattr(ridge, "MAX_DRIVER_SIDE", 10)
     with pytest.raises(ValueError, match="driver"):
         ridge.ridge(panel.geno, panel.pheno, 1.0)
-    called = []
-    monkeypatch.setattr(ridge, "ridge_cg", lambda *a: called.append(a))
-    ridge.fit_effects(panel.geno, panel.pheno, 1.0, panel.n, panel.p)
-    assert called
+    # the default has no bound and gives the same effects at every size
+    exact = by_marker(ridge.fit_effects(panel.geno, panel.pheno, 1.0))
+    monkeypatch.setattr(ridge, "MAX_DRIVER_SIDE", 4096)
+    for method in ("markers", "individuals"):
+        assert np.abs(by_marker(ridge.fit_effects(panel.geno, panel.pheno, 1.0, method)) - exact).max() < 1e-7
+
+
+def test_ways_agree_when_phenotypes_are_missing(panel):
+    some = panel.pheno.filter("iid % 3 <> 0")
+    rows = np.arange(panel.n) % 3 != 0
+    m, y = panel.m[rows], panel.y[rows]
+    z = (m - m.mean(0)) / np.where(m.std(0) == 0, 1, m.std(0))
+    want = np.linalg.solve(z.T @ z + 2 * np.eye(panel.p), z.T @ (y - y.mean()))
+    for way in (ridge.ridge, ridge.ridge_dual, ridge.ridge_cg):
+        assert np.abs(by_marker(way(panel.geno, some, 2.0)) - want).max() < 1e-7, way.__name__
+
+
+def test_scan_with_covariates_leaves_out_incomplete_people(spark, panel):
+    """Covariates in several aggregates, absent ones, and a likelihood ratio against the fixed effects alone."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((panel.n, 5))
+    table = pd.DataFrame([(i, c, x[i, c]) for i in range(panel.n) for c in range(5) if not (i in (4, 9) and c == i % 5)], columns=["iid", "cov", "value"])
+    cov = spark.createDataFrame(table, "iid long, cov int, value double")
+    complete = [i for i in range(panel.n) if i not in (4, 9)]
+    first = scan.scan_regions(panel.geno, panel.pheno, 8, 8, covariates=cov).toPandas().set_index("block")
+    keep = [i for i in complete]
+    small = panel.geno.filter(~panel.geno.iid.isin(4, 9))
+    again = scan.scan_regions(panel.geno, panel.pheno.filter("iid not in (4, 9)"), 8, 8, covariates=cov.filter("iid not in (4, 9)")).toPandas().set_index("block")
+    assert np.allclose(first.reml_ll, again.reml_ll) and (first.n == len(keep)).all() and (first.n_fixed == 6).all()
+    old, scan.TERMS = scan.TERMS, 2
+    try:
+        chunked = scan.scan_regions(panel.geno, panel.pheno, 8, 8, covariates=cov).toPandas().set_index("block")
+    finally:
+        scan.TERMS = old
+    assert np.allclose(first.delta, chunked.delta)
+    design = np.column_stack([np.ones(len(keep)), x[keep]])
+    res = panel.y[keep] - design @ np.linalg.lstsq(design, panel.y[keep], rcond=None)[0]
+    sse, n = float(res @ res), len(keep)
+    null = 0.5 * (-n * (np.log(2 * np.pi) + np.log(sse / (n - 6))) - (n - 6))
+    tested = reml.likelihood_ratio(spark.createDataFrame(first.reset_index()[["n", "y_ss", "n_fixed", "reml_ll"]])).first()
+    assert abs(tested.null_ll - null) < 1e-8 and small.count() > 0
 
 
 def test_ridge_blup_job_predicts_held_out(panel):
@@ -264,7 +301,7 @@ def test_he_sums_without_pairs(panel):
 def test_scaled_gradients_and_non_convergence(spark, panel):
     d = np.where(np.arange(panel.p) % 4 == 0, 0.0, 0.5 + np.arange(panel.p) / 10)
     scales = spark.createDataFrame(pd.DataFrame({"marker": np.arange(panel.p), "d": d}), "marker int, d double")
-    want = by_marker(ridge.ridge_scaled(panel.geno, panel.pheno, scales, 400.0))
+    want = by_marker(ridge.ridge_scaled(panel.geno, panel.pheno, scales, 400.0, "direct"))
     got = by_marker(ridge.ridge_cg(panel.geno, panel.pheno, 400.0, 1e-7, 12, rows=32, cols=8, scales=scales))
     assert np.abs(got - want).max() < 1e-5 * np.abs(want).max() and (got[::4] == 0).all()
     with pytest.raises(ValueError, match="convergence"):

@@ -212,3 +212,38 @@ def test_file_jobs_and_reports(spark, panel, files, tmp_path):
 def test_reader_works_in_a_session_with_default_settings(spark, panel, files):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
     assert plink.read_bed(spark, files + ".bed", panel.n).filter("marker = 4").count() == panel.n
+
+
+def test_lines_of_unequal_parts_keep_their_order(spark, tmp_path):
+    """Parts of very different sizes, read with several tasks: numbers follow the names of the parts."""
+    import os
+
+    folder = tmp_path / "samples.fam"
+    os.makedirs(folder)
+    want, k = [], 0
+    for part, n in enumerate((3, 900, 1, 200, 40)):
+        with open(folder / f"part-{part:05d}.txt", "w") as f:
+            for _ in range(n):
+                f.write(f"F{k} I{k} 0 0 1 2\n")
+                want.append(f"I{k}")
+                k += 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = plink.read_fam(spark, str(tmp_path / "samples")).toPandas().sort_values("iid")
+            assert list(rows.iid) == list(range(k)) and list(rows.iid_str) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_scratch_tables_are_removed_between_steps(spark, panel):
+    import glob
+
+    from locusframe.operators import ridge
+    from locusframe.session import scratch_dir
+
+    before = len(glob.glob(f"{scratch_dir(spark)}/*"))
+    ridge.ridge_cg(panel.geno, panel.pheno, 50.0, 1e-8).count()
+    # people, parameters, tile statistics and tiles, and the last state; not two tables for each step
+    assert len(glob.glob(f"{scratch_dir(spark)}/*")) - before <= 8
