@@ -51,8 +51,11 @@ def hash_fraction(key: Column, seed: int) -> Column:
 
 
 def index_by_hash(df: DataFrame, key: str, seed: int, name: str = "idx") -> DataFrame:
-    """Position in a seeded random permutation; buckets are the leading hash digits."""
+    """Position in a seeded random permutation; buckets are the leading hash digits, as many as keep a bucket to about ``SPAN`` rows."""
+    rows, digits = df.count(), 1
+    while rows > SPAN * 16**digits:
+        digits += 1
     return with_row_index(
         df.withColumn("_h", hash_order(key, seed)), ["_h", key],
-        F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"), name=name,
+        F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"), name=name,
     ).drop("_h")

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import (
 
 from locusframe.functions.ranking import SPAN, with_row_index
 from locusframe.operators.tiles import ABSENT, COLS, ROWS
-from locusframe.session import materialise
+from locusframe.session import materialise, qualified
 
 # Fixed values of the file format: header bytes, and the dosage of each 2-bit code 0, 1, 2, 3.
 BED_HEADER = bytes([108, 27, 1])
@@ -198,6 +198,7 @@ def read_bed_tiles(spark: SparkSession, path: str, n_samples: int, rows: int = R
     if rows % 4:
         raise ValueError("rows per tile must be a multiple of 4")
     spark.dataSource.register(PlinkTiles)
+    path = qualified(spark, path)
     tiles = (spark.read.format("plink_tiles").option("path", path).option("samples", n_samples)
              .option("rows", rows).option("cols", cols).load())
     stride = -(-n_samples // 4)
@@ -380,6 +381,7 @@ def read_fam(spark: SparkSession, prefix: str) -> DataFrame:
 def read_bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
     """Genotype rows of a file or a folder of parts; filters on ``marker`` decide what is read."""
     spark.dataSource.register(PlinkBed)
+    path = qualified(spark, path)
     # Off by default, and a reader that takes filters is refused while it is off.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("plink_bed").option("path", path).option("samples", n_samples).load()
@@ -435,6 +437,7 @@ def write_plink(geno: DataFrame, path: str, n_samples: int, layout: str = "parts
     """
     spark = geno.sparkSession
     spark.dataSource.register(PlinkBed)
+    path = qualified(spark, path)
     fs, plain = open_fs(path)
     stride = -(-n_samples // 4)
     rows = geno.select("marker", F.col("iid").alias("pos"), "dosage", F.floor(F.col("iid") / 4).alias("byte"))

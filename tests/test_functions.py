@@ -57,3 +57,19 @@ def test_scalars(spark):
     assert row[0] == 3.0 and row[1] == math.exp(10) and abs(row[2] - 0.21 ** 0.75) < 1e-12
     assert abs(row[3] - (100 + 100 * math.log(2 * math.pi) + 100 * math.log(0.5) + math.log(100) * 3)) < 1e-9
     assert row[4] == 2
+
+
+def test_t_tail_at_large_degrees_of_freedom():
+    """The tail tends to the normal one and keeps its digits at the degrees of freedom of all pairs of people."""
+    import math
+
+    from locusframe.functions.tails import t_two_sided
+
+    for df in (1e9, 1e13, 5e15):
+        for t in (1e-3, 0.5, 2.0, 6.0):
+            want = math.erfc(t / math.sqrt(2))
+            assert abs(float(t_two_sided(np.array([t]), np.array([df]))[0]) - want) < 1e-6 * want + 1e-300
+    join = t_two_sided(np.array([3.0, 3.0]), np.array([999_999.0, 1_000_001.0]))
+    assert abs(join[0] - join[1]) < 1e-9 * join[0]
+    near = t_two_sided(np.array([2.0, 2.0]), np.array([19_999.9, 20_000.1]))
+    assert abs(near[0] - near[1]) < 1e-9

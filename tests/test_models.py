@@ -179,7 +179,7 @@ def test_ridge_ways_agree(spark, panel):
     table = spark.createDataFrame(pd.DataFrame({"marker": np.arange(panel.p), "beta": prior}), "marker int, beta double")
     w, d = np.diag(prior ** 2 / 0.7), 0.7 / 0.3
     hetero = w @ panel.z.T @ np.linalg.solve(panel.z @ w @ panel.z.T + d * np.eye(panel.n), panel.y)
-    assert np.abs(by_marker(ridge.ridge_hetero(panel.geno, panel.pheno, table, 0.3)) - hetero).max() < 1e-9
+    assert np.abs(by_marker(ridge.ridge_hetero(panel.geno, panel.pheno, table, 0.3, "direct")) - hetero).max() < 1e-9
     wi = 1.0 + np.arange(panel.n) % 4
     weights = spark.createDataFrame(pd.DataFrame({"iid": np.arange(panel.n), "w": wi}), "iid long, w double")
     for flag, right in ((True, panel.z.T @ (wi * panel.y)), (False, panel.z.T @ panel.y)):
@@ -238,7 +238,7 @@ def test_scan_with_covariates_leaves_out_incomplete_people(spark, panel):
 
 
 def test_ridge_blup_job_predicts_held_out(panel):
-    out, effects = jobs.ridge_blup(panel.geno.filter("iid >= 12"), panel.pheno.filter("iid >= 12"), panel.geno.filter("iid < 12"), 0.5)
+    out, effects = jobs.ridge_blup(panel.geno.filter("iid >= 12"), panel.pheno.filter("iid >= 12"), panel.geno.filter("iid < 12"), 0.5, method="markers")
     assert out.count() == 12 and effects.count() > 0
     tr = panel.m[12:]
     got = effects.toPandas().sort_values("marker")

@@ -137,6 +137,7 @@ def test_grm_files(spark, panel, tmp_path, layout):
     ids = spark.range(panel.n).selectExpr("id as iid", "concat('F', id) as fid", "concat('I', id) as iid_str")
     grm.write_grm(table, prefix, panel.n, ids, layout)
     if layout == "parts":
+        assert np.abs(square(grm.read_grm(spark, prefix)[0], panel.n) - square(table, panel.n)).max() < 1e-6
         for suffix in (".grm.bin", ".grm.N.bin"):
             folder = prefix + suffix + ".parts"
             with open(prefix + suffix, "wb") as f:
