@@ -114,7 +114,7 @@ def fit(sample: np.ndarray, norm: float, recall: float, k: int, tables: int, nei
     lifted = _lift(sample, norm, False)
     spread = float(np.mean([(lifted @ d).std() for d in directions])) or 1.0
     t = Tables(directions, rng.uniform(0, 2 * spread, (tables, k)), 2 * spread, perturbation_sets(k), norm)
-    asked = sample[: min(256, len(sample))]
+    asked = sample[: min(512, len(sample))]
     scores = asked @ sample.T
     scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(neighbours, len(sample) - 1)]
@@ -243,7 +243,7 @@ def _usable(vector: str) -> "F.Column":
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query, neighbours: int = 20, recall: float = 0.95, k: int = 6, tables: int = 2,
+def nearest(vectors: DataFrame, is_query, neighbours: int = 20, recall: float = 0.96, k: int = 6, tables: int = 2,
             sample: int = 16_384) -> DataFrame:
     """The ``neighbours`` rows of largest inner product with every query: ``query_id, rank (from 1), vec_id, score``.
 
