@@ -171,14 +171,15 @@ def _compare(doc: _Doc, after: _Doc) -> tuple:
     edited = PrefixHashes(codes)
     edited_print = fingerprint_of(edited)
     digest = hashlib.sha256(codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc.id, doc.arrays.n, digest, doc.print, edited_print, likeness(doc.print, edited_print), likeness(doc.print, after.print),
+    return (doc.id, doc.arrays.n, digest, bytes.fromhex(doc.print), bytes.fromhex(edited_print), likeness(doc.print, edited_print), likeness(doc.print, after.print),
             common_extension(doc.arrays, 0, edited, 0))
 
 
-_RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+# fingerprints stay bytes in the scratch table, half as long as their digits
+_RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, "
            "near_next double, common_prefix long")
 _WALKED = _RESULT + ", is_edge boolean, first_id long, first_order long, first_text string, last_text string"
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(),
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(),
           pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
@@ -241,4 +242,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     after = placed.join(F.broadcast(n)).select(F.when(F.col("place") == 1, F.col("ranges")).otherwise(F.col("place") - 1).alias("place"),
                                                F.col("first_text").alias("next_text"))
     closed = placed.select("place", "doc_id", "last_text").join(after, "place").select("doc_id", "last_text", "next_text").mapInArrow(_close, _RESULT)
-    return walked.where("not is_edge").select(*names).unionByName(closed)
+    shown = {n: F.lower(F.hex(n)) for n in ("fingerprint", "edited_fingerprint")}
+    return walked.where("not is_edge").select(*names).unionByName(closed).withColumns(shown)
