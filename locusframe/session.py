@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,20 @@ def qualified(spark: SparkSession, path: str) -> str:
     return hadoop.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Spark removes the shuffle files of a query that runs in here when it ends: its result is stored, nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if before is not None:
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a scratch table and read it back.
 
@@ -65,7 +80,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch_path = path
     return stored
