@@ -34,9 +34,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = materialise(simhash_golay.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(
         F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    gone = found.where("least <> doc_id").select("doc_id")
-    repeated = found.where("least = doc_id and n > 1").select("doc_id")
-    once = docs.join(gone.unionByName(repeated), "doc_id", "left_anti")
+    # stored, so that Spark knows their true sizes: short lists of ids are broadcast and no text is shuffled for them
+    gone = materialise(found.where("least <> doc_id or n > 1").select("doc_id"))
+    repeated = materialise(found.where("least = doc_id and n > 1").select("doc_id"))
+    once = docs.join(gone, "doc_id", "left_anti")
     columns = docs.columns
     again = docs.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(F.col("text").alias("_t"), F.struct(*columns).alias("_row")).alias("_s"))
     first = again.groupBy("doc_id").agg(F.min_by("_s", F.coalesce("_s._t", F.lit(""))).alias("_s")).select("_s._row.*")
