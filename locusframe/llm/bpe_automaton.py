@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from locusframe.llm.common import per_process, text_slices
+from locusframe.llm.common import bounded_batches, per_process, text_slices
 from locusframe.llm.pretokens import Vocabulary, to_bytes, vocabulary
 
 # Half the words whose ids one worker remembers, and the transitions that it keeps before it starts anew.
-WORD_CACHE, ARC_CACHE = 3 << 16, 1 << 20
+WORD_CACHE, ARC_CACHE = 3 << 16, 1 << 18
 
 
 class Automaton:
@@ -140,8 +140,12 @@ class Codec:
         self.vocab = vocabulary(path)
         auto = Automaton(self.vocab)
 
+        one = list(range(auto.size))  # cached words share their numbers
+
         def ids(word):
-            return (word[1],) if isinstance(word, tuple) else auto.encode(word.encode("utf-8", "surrogatepass"))
+            if isinstance(word, tuple):
+                return (word[1],)
+            return tuple(map(one.__getitem__, auto.encode(word.encode("utf-8", "surrogatepass"))))
 
         self.words = TwoAges(ids, WORD_CACHE)
         self.labels = auto.label + [b""] * (1 + max(self.vocab.specials.values(), default=0) - auto.size)
@@ -207,4 +211,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
                                           ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", digest(F.col("text")).alias("_d")).select("doc_id", "_d.*")
+    return bounded_batches(docs).select("doc_id", digest(F.col("text")).alias("_d")).select("doc_id", "_d.*")

@@ -13,13 +13,26 @@ from pyspark.sql import functions as F
 from locusframe.session import materialise  # noqa: F401  (scratch tables in spark.checkpoint.dir)
 
 # Rows and bytes of text that a worker turns into Python objects at a time.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Bytes of the batches in which texts go to Python workers, in buffers of the executor and of the worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after setting its session to batches of bounded bytes: thousands of long texts in one batch would take much memory twice."""
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, None)).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
 def text_slices(texts: pa.Array) -> Iterator[list[str]]:
     """The texts of an Arrow array as lists of bounded size; null becomes the empty text."""
     mean = max(1, texts.nbytes // max(1, len(texts)))
@@ -47,16 +60,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.min(column).cast("long").alias("y"), F.max(column).alias("_other")).where("y = _other"))
     ids = materialise(known.orderBy(stable_order(), "doc_id").limit(sample).select("doc_id", "y"))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
+    return bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
 
 
-def per_process(key: tuple, make: Callable[[], object]):
-    """One object per Python process and key, such as a compiled vocabulary.
+def per_process(key: tuple, make: Callable[[], object], version: str = ""):
+    """One object per Python process and key, such as a compiled vocabulary; another ``version`` takes the place of the one before.
 
     The package's functions travel to workers by value, globals and all, so what a worker shall keep from task to
     task is held by a module object of the process instead.
     """
     kept = sys.modules.setdefault("_kept_by_workers", types.ModuleType("_kept_by_workers")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if key not in kept or kept[key][0] != version:
+        kept.pop(key, None)
+        kept[key] = (version, make())
+    return kept[key][1]

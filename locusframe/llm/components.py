@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import materialise
+from locusframe.session import discard
 
 MAX_ROUNDS = 64
 
@@ -35,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     stars = materialise(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        stars = materialise(_small_star(_large_star(stars)))
+        before, stars = stars, materialise(_small_star(_large_star(stars)))
+        discard(before)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from locusframe.llm.common import materialise, per_process, text_slices
+from locusframe.llm.common import bounded_batches, materialise, per_process, text_slices
 
 # Two primes below 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -228,7 +228,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     left are the pairs that span two ranges, one for each range, which meet in a join of that many rows.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_order"), text.alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_order"), text.alias("text"))
     keys = ["doc_id", "_order"]
     walked = materialise(base.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_walk, _WALKED))
     names = [c.split()[0] for c in _RESULT.split(", ")]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from locusframe.llm.byte_words import INK_BYTES, ByteText
-from locusframe.llm.common import held_out, labelled_sample, text_slices
+from locusframe.llm.common import bounded_batches, held_out, labelled_sample, text_slices
 
 PASSAGE_WORDS = 64
 KINDS, WORDS, LOOKS = 256, 256, 8
@@ -178,7 +178,7 @@ def score_texts(model: Params | float, texts: list[str]) -> np.ndarray:
 
 def scorer(docs: DataFrame, model: Params | float):
     """A function from a text column to the quality score of the whole text; null is the empty text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights, whatever the data
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)  # a fixed number of weights, whatever the data
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from locusframe.llm.common import materialise, per_process, text_slices
+from locusframe.llm.common import bounded_batches, materialise, per_process, text_slices
 from locusframe.llm.components import components
 
 SEGMENTS = (22, 21, 21)
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reach from a document. Null and empty texts have fingerprint zero, which is linked like any other. Repeated rows give a row
     each; a null id takes part but never names a component, so a component of null ids only has a null name.
     """
-    printed = materialise(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    printed = materialise(bounded_batches(docs).select("doc_id", fingerprint(F.col("text")).alias("fp")))
     classes = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

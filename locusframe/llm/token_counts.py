@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from locusframe.llm.bpe_automaton import Automaton, TwoAges
-from locusframe.llm.common import per_process, text_slices
+from locusframe.llm.common import bounded_batches, per_process, text_slices
 from locusframe.llm.pretokens import Vocabulary, vocabulary
 
 # Longest word of the first tier, in bytes; longest list of words that one task counts and hands on.
@@ -55,7 +55,7 @@ def frequent_pretokens(docs: DataFrame, path: str, entries: int = 1 << 15) -> Da
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())],
                                          ["word", "seen"])
 
-    heavy = docs.select("text").mapInArrow(count, "word string, seen long")
+    heavy = bounded_batches(docs).select("text").mapInArrow(count, "word string, seen long")
     return heavy.groupBy("word").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "word").limit(entries)
 
 
@@ -84,7 +84,7 @@ def token_counter(docs: DataFrame, path: str, entries: int = 1 << 15):
 
     @arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        lengths = per_process(("lengths", key), lambda: _Lengths(*shared.value, path))
+        lengths = per_process(("lengths",), lambda: _Lengths(*shared.value, path), key)
         find, split = lengths.__getitem__, lengths.vocab.split
         return pa.array([sum(map(find, split(t, _special))) for part in text_slices(texts) for t in part], pa.int64())
 

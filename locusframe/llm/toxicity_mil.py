@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from locusframe.llm.byte_words import WORD_BYTES, ByteText, byte_set
-from locusframe.llm.common import held_out, labelled_sample, text_slices
+from locusframe.llm.common import bounded_batches, held_out, labelled_sample, text_slices
 
 # Lengths in bytes of the word beginnings that are features besides the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
@@ -166,7 +166,7 @@ def _sentence_risks(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndar
 
 def scorer(docs: DataFrame, model: Model):
     """A function from a text column to the toxicity score of the whole text; texts without words score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the data
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the data
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
