@@ -7,15 +7,19 @@ their estimated success: perturbations are ranked by how near the query lies to
 find is merged and ranked by exact inner products.
 
 Directions, cell width and the number of visited buckets are fitted on a sample of bounded size, against brute force on
-that sample: the fewest buckets that reach the wanted recall. The whole table is denser than a sample, so its neighbours are nearer
-and its recall is higher. Every vector is indexed; equal vectors are one entry with its members' smallest ids.
+that sample: the fewest buckets that reach the wanted recall in the mean. These are visited first, and then each query is judged by itself: the
+distance of its last answer bounds those of the true ones, and the chance that the visited buckets hold an entry at that distance
+follows from the normal distribution of projections. A query below the wanted recall, or with too few candidates, goes on through as many
+further perturbations as it needs; where all of them aren't enough it is compared with every entry, block by block. Every vector is indexed;
+equal vectors are one entry with its members' smallest ids.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +30,24 @@ from locusframe.llm.common import materialise
 
 # Index entries of a bucket that one group of rows holds (larger buckets are split), and queries compared with them at a time.
 SLAB, QUERIES = 8192, 512
+# Queries that one copy of the entries serves where every entry is compared, and entries of a block there at least.
+GROUP, LEAST = 4096, 512
+# Rows with vectors that a task sends at a time.
+SENT = 16_384
 # Queries whose best candidates a task holds before it hands them on.
 HELD = 20_000
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Directions (tables x dimensions x K), offsets, cell width, visited perturbations, and the common norm."""
+    """Directions (tables x dimensions x K), offsets, cell width, all perturbations, the common norm, and how many are visited first."""
 
     directions: np.ndarray
     offsets: np.ndarray
     width: float
     sets: list
     norm: float
+    first: int
 
 
 def perturbation_sets(k: int) -> list[tuple[int, ...]]:
@@ -84,14 +93,14 @@ def _steps(t: Tables, above: np.ndarray) -> np.ndarray:
     return np.argsort(np.concatenate([above, 1 - above], axis=1), axis=1, kind="stable")
 
 
-def _probes(t: Tables, x: np.ndarray, table: int) -> np.ndarray:
-    """Names of all visited buckets, one row per query."""
+def _probes(t: Tables, x: np.ndarray, table: int, since: int, until: int) -> np.ndarray:
+    """Names of the buckets of perturbations ``since`` to before ``until``, one row per query."""
     cell, above = _cells(t, x, table)
     k = cell.shape[1]
     rank = _steps(t, above)
-    out = np.empty((len(x), len(t.sets)), np.int64)
+    out = np.empty((len(x), until - since), np.int64)
     rows = np.arange(len(x))
-    for n, chosen in enumerate(t.sets):
+    for n, chosen in enumerate(t.sets[since:until]):
         moved = cell.copy()
         for r in chosen:
             s = rank[:, r]
@@ -100,6 +109,29 @@ def _probes(t: Tables, x: np.ndarray, table: int) -> np.ndarray:
     return out
 
 
+def _below(z: np.ndarray) -> np.ndarray:
+    """Normal distribution function."""
+    return np.array([math.erfc(v) / 2 for v in (z * -math.sqrt(0.5)).ravel().tolist()]).reshape(z.shape)
+
+
+def success(t: Tables, x: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """The chance that the buckets visited so far hold an entry at a distance from each query (rows), by perturbations visited (columns).
+
+    The two projections on one direction differ by a normal number with the distance for its standard deviation.
+    """
+    sd = np.maximum(distance / t.width, 1e-9)[:, None]
+    missed = np.ones((len(x), len(t.sets)))
+    for table in range(len(t.directions)):
+        _, above = _cells(t, x, table)
+        edge = [_below((e - above) / sd) for e in (-1, 0, 1, 2)]
+        own = edge[2] - edge[1]
+        moves = np.concatenate([edge[1] - edge[0], edge[3] - edge[2]], axis=1) / np.maximum(np.concatenate([own, own], axis=1), 1e-300)
+        moves = np.take_along_axis(moves, _steps(t, above), axis=1)
+        each = own.prod(1)[:, None] * np.stack([moves[:, list(s)].prod(1) for s in t.sets], axis=1)
+        missed *= 1 - np.minimum(1, np.cumsum(each, axis=1))
+    return 1 - missed
+
+
 def _lift(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
     """Vectors with the component that gives all the same norm; queries get 0, as their norm changes no order."""
     extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, norm * norm - (x * x).sum(1)))
@@ -113,7 +145,7 @@ def fit(sample: np.ndarray, norm: float, recall: float, k: int, tables: int, nei
     directions = rng.standard_normal((tables, dim, k))
     lifted = _lift(sample, norm, False)
     spread = float(np.mean([(lifted @ d).std() for d in directions])) or 1.0
-    t = Tables(directions, rng.uniform(0, 2 * spread, (tables, k)), 2 * spread, perturbation_sets(k), norm)
+    t = Tables(directions, rng.uniform(0, 2 * spread, (tables, k)), 2 * spread, perturbation_sets(k), norm, 1)
     asked = sample[: min(512, len(sample))]
     scores = asked @ sample.T
     scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
@@ -133,7 +165,7 @@ def fit(sample: np.ndarray, norm: float, recall: float, k: int, tables: int, nei
                     found[i, c] = min(found[i, c], place[ranks])
     order = np.sort(found.ravel())
     need = int(order[min(len(order) - 1, int(np.ceil(recall * len(order))))]) + 1 if len(order) else 1
-    return Tables(t.directions, t.offsets, t.width, t.sets[: min(len(t.sets), need)], norm)
+    return replace(t, first=min(len(t.sets), need))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -249,8 +281,9 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = 20, recall: float =
 
     ``vectors`` has ``vec_id`` and ``embedding``; ``is_query`` is a condition on them. Candidates are all rows but the query's own; ties go
     to the smaller id. Vectors that are null, zero, hold nulls or non-finite numbers, or whose length isn't the most frequent
-    one (ties: the longest) take no part, nor do null ids; a repeated id counts once for each different vector. With fewer candidates than
-    ``neighbours``, those that visited buckets hold are returned.
+    one (ties: the longest) take no part, nor do null ids; a repeated id counts once for each different vector. With at most ``neighbours``
+    candidates all of them are returned. ``recall`` holds for each query: one whose estimated recall is below it visits further buckets,
+    and at last every entry.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable("v"))
@@ -271,37 +304,99 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = 20, recall: float =
     # a bounded sample of entries, to fit the tables on
     drawn = entries.orderBy(F.xxhash64("entry"), "entry").limit(sample).select("v").toArrow()
     t = fit(_matrix(drawn["v"].combine_chunks()), float(np.sqrt(dim.sq)), recall, k, tables, neighbours)
-    shared = spark.sparkContext.broadcast((t.directions, t.offsets, t.width, t.sets, t.norm))  # a few thousand numbers
-
-    def send(probing: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Tables(*shared.value)
-            for batch in batches:
-                for at in range(0, len(batch), 256):
-                    part = batch.slice(at, 256)
-                    x = _matrix(part.column(1))
-                    lifted = _lift(x, own.norm, probing)
-                    for table in range(len(own.directions)):
-                        names = _probes(own, lifted, table) if probing else _bucket(_cells(own, lifted, table)[0], table)[:, None]
-                        who = np.repeat(np.arange(len(x)), names.shape[1])
-                        yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), part.column(0).take(pa.array(who)), _floats(x[who])],
-                                                         ["bucket", "id", "v"])
-        return run
+    shared = spark.sparkContext.broadcast((t.directions, t.offsets, t.width, t.sets, t.norm, t.first))  # a few thousand numbers
+    total, n = entries.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows_of(names: np.ndarray, ids: pa.Array, x: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(who), SENT):
+            part = who[at : at + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + SENT]), ids.take(pa.array(part)), _floats(x[part])], ["bucket", "id", "v"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Tables(*shared.value)
+        for batch in batches:
+            for at in range(0, len(batch), SENT):
+                part = batch.slice(at, SENT)
+                x = _matrix(part.column(1))
+                for table in range(len(own.directions)):
+                    yield from rows_of(_bucket(_cells(own, _lift(x, own.norm, False), table)[0], table), part.column(0), x, np.arange(len(x)))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each query the buckets of perturbations ``since`` to before ``until``."""
+        own = Tables(*shared.value)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                x = _matrix(part.column(1))
+                since, until = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+                low, high = int(since.min()), int(until.max())
+                step = np.arange(low, high)
+                who, which = np.nonzero((step >= since[:, None]) & (step < until[:, None]))
+                for table in range(len(own.directions)):
+                    yield from rows_of(_probes(own, _lift(x, own.norm, True), table, low, high)[who, which], part.column(0), x, who)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries that ``until`` perturbations don't serve, with the number that does (or all, where none does)."""
+        own = Tables(*shared.value)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                x = _matrix(part.column(1))
+                until, last = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+                square = (x * x).sum(1) + own.norm ** 2 - 2 * last.astype(np.float64)  # NaN without enough candidates
+                chance = success(own, _lift(x, own.norm, True), np.sqrt(np.maximum(0, square)))
+                enough = chance >= recall
+                enough[:, :-1] &= np.arange(1, len(own.sets)) >= until[:, None]
+                need = np.where(enough.any(1), enough.argmax(1) + 1, len(own.sets))
+                ok = enough[np.arange(len(x)), until - 1]
+                keep_rows = np.flatnonzero(~ok)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep_rows)), _floats(x[keep_rows]), pa.array(until[keep_rows].astype(np.int32)),
+                                                  pa.array(need[keep_rows].astype(np.int32))], ["entry", "v", "since", "until"])
 
     shape = "bucket long, id long, v array<double>"
-    index = entries.select("entry", "v").mapInArrow(send(False), shape)
+    best = "query long, ids array<long>, scores array<double>"
+    index = entries.select("entry", "v").mapInArrow(send, shape)
     sizes = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     filled = materialise(sizes.select("bucket", F.ceil(F.col("n") / SLAB).cast("int").alias("slabs")))
     placed = index.join(filled.where("slabs > 1"), "bucket", "left").select(
         "bucket", F.coalesce(F.pmod(F.xxhash64("id"), F.col("slabs")).cast("int"), F.lit(0)).alias("slab"), F.lit(0).alias("kind"), "id", "v")
-    # a probe of an empty bucket ends here; one of a split bucket goes to each part
-    probes = wanted.mapInArrow(send(True), shape).join(filled, "bucket").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab"), F.lit(1).alias("kind"), "id", "v")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = placed.unionByName(probes).repartition(n, "bucket", "slab").sortWithinPartitions("bucket", "slab", "kind")
-    best = "query long, ids array<long>, scores array<double>"
-    partial = met.mapInArrow(_compare(keep), best)
-    found = partial.repartition(n, "query").sortWithinPartitions("query").mapInArrow(_merge(keep), best)
+
+    def compared(base: DataFrame, queries: DataFrame) -> DataFrame:
+        met = base.unionByName(queries).repartition(n, "bucket", "slab").sortWithinPartitions("bucket", "slab", "kind")
+        return met.mapInArrow(_compare(keep), best)
+
+    def visited(queries: DataFrame) -> DataFrame:
+        # a probe of an empty bucket ends here; one of a split bucket goes to each part
+        probes = queries.select("entry", "v", "since", "until").mapInArrow(probe, shape).join(filled, "bucket").select(
+            "bucket", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab"), F.lit(1).alias("kind"), "id", "v")
+        return compared(placed, probes)
+
+    def against_all(queries: DataFrame, count: int) -> DataFrame:
+        groups, blocks = -(-count // GROUP), max(-(-total // SLAB), min(n, -(-total // LEAST)))
+        base = entries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("bucket"), F.pmod(F.xxhash64("entry"), F.lit(blocks))
+                              .cast("int").alias("slab"), F.lit(0).alias("kind"), F.col("entry").alias("id"), "v")
+        return compared(base, queries.select(F.pmod(F.xxhash64("entry"), F.lit(groups)).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+                                             .alias("slab"), F.lit(1).alias("kind"), F.col("entry").alias("id"), "v"))
+
+    def merged(parts: DataFrame) -> DataFrame:
+        return parts.repartition(n, "query").sortWithinPartitions("query").mapInArrow(_merge(keep), best)
+
+    def unserved(queries: DataFrame, found: DataFrame) -> DataFrame:
+        """Queries (``entry, v, until``) that need more than they have visited. What holds all entries is served."""
+        last = found.select(F.col("query").alias("entry"), F.size("ids").alias("n"), F.when(F.size("ids") >= keep, F.element_at("scores", keep)).alias("last"))
+        open_ = queries.join(last, "entry", "left").where(F.coalesce("n", F.lit(0)) < total)
+        judged = open_.select("entry", "v", "until", F.coalesce("last", F.lit(float("nan"))).alias("last"))
+        return materialise(judged.mapInArrow(judge, "entry long, v array<double>, since int, until int"))
+
+    found = materialise(merged(visited(wanted.select("entry", "v", F.lit(0).alias("since"), F.lit(t.first).alias("until")))))
+    more = unserved(wanted.select("entry", "v", F.lit(t.first).alias("until")), found)
+    further = more.where("since < until")
+    if further.count():
+        found = materialise(merged(found.unionByName(visited(further))))
+    rest = unserved(more.select("entry", "v", "until"), found)
+    count = rest.count()
+    if count:
+        found = merged(found.unionByName(against_all(rest, count)))
     # entries back to members, the few best of each query's entry, then one list per query without its own row
     pairs = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("_p")).select(
         "query", F.col("_p.ids").alias("entry"), F.col("_p.scores").alias("score"))

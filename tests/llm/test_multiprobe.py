@@ -62,3 +62,27 @@ def test_perturbations_cost_more_and_more():
     sets = perturbation_sets(3)
     assert sets[0] == () and sets[1] == (0,) and len(sets) == len(set(sets)) == 27
     assert all(len({min(r, 5 - r) for r in s}) == len(s) for s in sets)
+
+
+def test_all_candidates_where_there_are_at_most_as_many(spark):
+    few = [(0, [1.0, 0.0], 0, "c", 1), (1, [0.9, 0.1], 0, "c", 1), (2, [0.8, 0.1], 0, "c", 1), (3, [-50.0, 3.0], 0, "c", 1), (20, [0.0, 90.0], 0, "c", 1)]
+    for recall in (0.5, 0.96):
+        got = nearest(frame(spark, few), F.col("vec_id") % 20 == 0, recall=recall).toPandas()
+        assert {q: list(own.sort_values("rank").vec_id) for q, own in got.groupby("query_id")} == {0: [1, 2, 20, 3], 20: [3, 1, 2, 0]}
+
+
+def test_recall_of_each_query_in_clusters_and_between(spark):
+    rng = np.random.default_rng(4)
+    dense = rng.standard_normal(8) + 0.02 * rng.standard_normal((900, 8))
+    x = np.concatenate([dense, 3 * rng.standard_normal((100, 8))])
+    order = rng.permutation(len(x))
+    x = np.asarray(x[order], np.float32).astype(float)
+    ids = np.arange(len(x))
+    queries = np.flatnonzero((ids % 20 == 0) | (order >= 900))
+    chosen = F.col("vec_id").isin(queries.tolist())
+    got = nearest(frame(spark, [(int(i), v.tolist(), 0, "c", 1) for i, v in zip(ids, x)]), chosen).toPandas()
+    want = brute(ids, x, queries, 20)
+    found = {q: set(own.vec_id) for q, own in got.groupby("query_id")}
+    shares = [len(found.get(q, set()) & {v for v, _ in best}) / 20 for q, best in want.items()]
+    assert (got.groupby("query_id")["rank"].count() == 20).all() and len(found) == len(want)
+    assert min(shares) >= 0.8 and np.mean(shares) >= 0.96
