@@ -102,12 +102,13 @@ def dense_triangle(lower: DataFrame, ids: np.ndarray) -> np.ndarray:
 def multi_reg(cells: DataFrame, pheno: DataFrame, bonferroni: bool = True, add_intercept: bool = True) -> DataFrame:
     """Joint least squares of y on the columns of ``cells(iid, term, value)``, ``term >= 0``.
 
+    The people of the fit are those with a phenotype and any cell; a cell that isn't there is zero.
     One row per coefficient (term -1 is the intercept) with beta, se, t, p, df, sse and mse.
     """
     x = cells.select("iid", (F.col("term") + 2).alias("term"), F.col("value").cast("double").alias("value"))
-    x = x.join(pheno.select("iid"), "iid", "left_semi")
+    rows = materialise(pheno.select("iid", "y").join(cells.select("iid").distinct(), "iid", "left_semi"))
+    x = x.join(rows.select("iid"), "iid", "left_semi")
     terms = cells.select("term").distinct().limit(MAX_DRIVER_SIDE + 1).toPandas()["term"].to_numpy()
-    rows = pheno.join(cells.filter(F.col("term") == int(terms[0])).select("iid"), "iid", "left_semi")
     stacked = x.unionByName(rows.select("iid", F.lit(0).alias("term"), F.col("y").alias("value")))
     if add_intercept:
         stacked = stacked.unionByName(rows.select("iid", F.lit(1).alias("term"), F.lit(1.0).alias("value")))

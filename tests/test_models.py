@@ -46,6 +46,22 @@ def test_joint_and_single_regressions(panel):
     assert pred == panel.n
 
 
+def test_joint_regression_of_sparse_cells(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (60, 4)).astype(float)
+    x[:, :] *= rng.random(x.shape) < 0.4
+    x[0], x[1:5, 0] = [0, 1, 2, 0], 0
+    y = rng.standard_normal(60)
+    there = x.any(1)
+    cells = spark.createDataFrame([(int(i), int(t), float(x[i, t])) for i, t in zip(*np.nonzero(x))] + [(99, 1, 2.0)], "iid long, term int, value double")
+    pheno = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "iid long, y double")
+    beta, se, p, sse = _ols(np.column_stack([np.ones(there.sum()), x[there]]), y[there])
+    got = regression.multi_reg(cells, pheno).toPandas().sort_values("term")
+    assert np.allclose(got.beta, beta) and np.allclose(got.se, se) and np.allclose(got.p, p * 5) and (got.df == there.sum() - 5).all()
+    res = regression.squared_residuals(cells, pheno, regression.multi_reg(cells, pheno)).toPandas()
+    assert len(res) == there.sum() and abs(res.res.sum() - sse) < 1e-8
+
+
 def _dense_reml(k, y, x):
     """Straight n x n likelihood on a fine grid with refinement."""
     n, q = x.shape
