@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from locusframe.operators.kinship import covariate_kinship, kinship_additive, kinship_dominance
 from locusframe.operators.regression import solve_least_squares
-from locusframe.operators.tiles import gram
+from locusframe.operators.tiles import row_gram, tile_table, with_side
 from locusframe.operators.transform import scale_params
 from locusframe.session import materialise
 
 SIGNIFICANT = 0.05
-MAX_BROADCAST_ROWS = 1 << 22
 
 
 def he_pairs(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
@@ -62,37 +61,35 @@ def cross_products(pairs: DataFrame, names: list[str]) -> DataFrame:
         for a, b in cells))).alias("c")).select("c.a", "c.b", "c.s")
 
 
+def _people(geno: DataFrame, pheno: DataFrame) -> DataFrame:
+    """Those with any genotype and a phenotype: ``iid, y``."""
+    return materialise(pheno.filter(F.col("y").isNotNull()).select("iid", "y").join(geno.select("iid").distinct(), "iid", "left_semi"))
+
+
 def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1) -> DataFrame:
     """The additive and epistatic sums straight from genotypes: blocks of the relationship matrix are
     reduced where they are computed, and no pair is ever written.
 
-    The phenotype is broadcast; its size is bounded by ``MAX_BROADCAST_ROWS`` and larger ones go through
-    ``he_pairs``.
+    The people are those with genotypes and a phenotype, also for the scale of the markers. The phenotypes travel in
+    blocks beside the tiles.
     """
-    rows = pheno.join(geno.filter(F.col("marker") == geno.agg(F.min("marker")).first()[0]), "iid", "left_semi")
-    head = rows.select("iid", "y").limit(MAX_BROADCAST_ROWS + 1).toPandas()
     names = [f"x{k}" for k in range(1, epi + 1)]
-    if len(head) > MAX_BROADCAST_ROWS:
-        return cross_products(*he_pairs(kinship_additive(geno), pheno, epi))
-    head = head.sort_values("iid")
-    spark = geno.sparkSession
-    shipped = spark.sparkContext.broadcast((head.iid.to_numpy(), head.y.to_numpy()))
-    cells = geno.join(pheno.select("iid"), "iid", "left_semi")
+    people = _people(geno, pheno)
+    cells = geno.join(people.select("iid"), "iid", "left_semi")
     params = materialise(scale_params(cells))
     p = params.count()
 
-    def sums(i, j, block):
-        ids, y = shipped.value
+    def sums(i, j, block, yi, yj):
         keep = j[None] < i[:, None]
         x = block[keep] / p
-        yi, yj = y[np.searchsorted(ids, i)], y[np.searchsorted(ids, j)]
         z = ((yi[:, None] - yj[None]) ** 2)[keep]
         columns = np.stack([np.ones_like(x), *(x ** k for k in range(1, epi + 1)), z])
         m = columns @ columns.T
         a, b = np.triu_indices(len(m))
         return pa.record_batch({"a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "s": m[a, b]})
 
-    parts = gram(cells, "iid", "marker", "dosage", params, emit=sums, schema="a int, b int, s double")
+    tiles = materialise(with_side(tile_table(cells, "iid", "marker", "dosage", stats=params), people, "iid", "y"))
+    parts = row_gram(tiles, emit=sums, schema="a int, b int, s double")
     label = F.array(*(F.lit(c) for c in ("1", *names, "z")))
     return parts.groupBy("a", "b").agg(F.sum("s").alias("s")).select(
         F.element_at(label, F.col("a") + 1).alias("a"), F.element_at(label, F.col("b") + 1).alias("b"), "s")
@@ -168,5 +165,6 @@ def he_regression_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1
     """All nested additive and epistatic models without a stored relationship matrix."""
     spark, names = geno.sparkSession, [f"x{k}" for k in range(1, epi + 1)]
     m = cross_product_matrix(cross_products_from_genotypes(geno, pheno, epi), names)
-    models, parts = fit_models(residualise(m) if residual else m, pheno.agg(F.var_pop("y")).first()[0], component_labels(epi))
+    var_y = _people(geno, pheno).agg(F.var_pop("y")).first()[0]
+    models, parts = fit_models(residualise(m) if residual else m, var_y, component_labels(epi))
     return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)

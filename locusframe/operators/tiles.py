@@ -141,6 +141,20 @@ def with_stats(tiles: DataFrame, stats: DataFrame, col: str = "marker", cols: in
     return tiles.select("rb", "cb", "x").join(blocks, "cb").select("rb", "cb", "x", "mu", "inv")
 
 
+def with_side(tiles: DataFrame, numbers: DataFrame, row: str, value: str, rows: int = ROWS) -> DataFrame:
+    """Tiles with one number per row, as a column ``side`` of blocks; rows without a number have 0."""
+    keyed = numbers.select(F.expr(f"`{row}` div {rows}").cast("int").alias("rb"), F.pmod(F.col(row), F.lit(rows)).cast("int").alias("at"),
+                           F.col(value).cast("double").alias("v"))
+
+    def pack(key, table):
+        side = np.zeros(rows)
+        side[table.column("at").to_numpy()] = table.column("v").to_numpy()
+        return pa.table({"rb": pa.array([key[0].as_py()], pa.int32()), "side": pa.array([side.tobytes()], pa.binary())})
+
+    blocks = materialise(keyed.groupBy("rb").applyInArrow(pack, "rb int, side binary"))
+    return tiles.join(blocks, "rb").select(*tiles.columns, "side")
+
+
 def decode(x: bytes, mu: bytes | None, inv: bytes | None, rows: int, cols: int):
     """Tile values as doubles (absent cells 0, missing calls 0 copies) and the present rows and columns."""
     kind = np.int8 if len(x) == rows * cols else np.float64
@@ -170,9 +184,10 @@ class _PairProduct:
         self.acc = np.zeros((size, size))
         self.norm = {hi: np.zeros(size), lo: np.zeros(size)}
         self.seen = {hi: np.zeros(size, bool), lo: np.zeros(size, bool)}
+        self.side = {hi: np.zeros(size), lo: np.zeros(size)}
         self.cb, self.tiles = None, {}
 
-    def take(self, cb, rb, x, mu, inv):
+    def take(self, cb, rb, x, mu, inv, side=None):
         if cb != self.cb:
             self.fold()
             self.cb = cb
@@ -181,6 +196,8 @@ class _PairProduct:
         self.tiles[(block, at)] = values
         self.norm[block][at:at + self.rows] += np.einsum("ij,ij->i", values, values)
         self.seen[block][at:at + self.rows] |= present
+        if side is not None:
+            self.side[block][at:at + self.rows] = np.frombuffer(side)
 
     def fold(self):
         r = self.rows
@@ -193,7 +210,7 @@ class _PairProduct:
         self.tiles = {}
 
     def stripes(self, distance: bool):
-        """(first row, values, rows present, columns present) of every stripe with a present row."""
+        """(first row, values, rows present, columns present, numbers of rows, of columns) of every stripe with a present row."""
         self.fold()
         hi, lo = self.hi, self.lo
         for first in range(0, len(self.acc), STRIPE):
@@ -202,7 +219,7 @@ class _PairProduct:
                 part = self.acc[rows]
                 if distance:
                     part = self.norm[hi][rows, None] + self.norm[lo][None] - 2.0 * part
-                yield first, part, self.seen[hi][rows], self.seen[lo]
+                yield first, part, self.seen[hi][rows], self.seen[lo], self.side[hi][rows], self.side[lo]
 
 
 def pair_rows(i: np.ndarray, j: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
@@ -218,8 +235,11 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
     squared distances of rows.
 
     ``emit(i, j, block)`` turns a block of finished results into rows of ``schema``; another one than
-    the default can reduce a block on the spot instead of writing out its pairs.
+    the default can reduce a block on the spot instead of writing out its pairs. With tiles of ``with_side``
+    it also gets the numbers of the rows i and of the rows j.
     """
+    sided = "side" in tiles.columns
+    side = ["side"] if sided else []
     spark = tiles.sparkSession
     n_rb, n_cb = block_counts(tiles)
     if n_rb == 0:
@@ -234,59 +254,64 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
     keys = ["hi", "lo", "slab"]
     paired = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_sb - 1)))).select(
         F.greatest(sb, "other").alias("hi"), F.least(sb, "other").alias("lo"),
-        F.floor(F.col("cb") / slab).cast("int").alias("slab"), "cb", "rb", "x", "mu", "inv")
+        F.floor(F.col("cb") / slab).cast("int").alias("slab"), "cb", "rb", "x", "mu", "inv", *side)
     ordered = paired.repartition(min(n_pairs * n_slabs, MAX_TASKS), *keys).sortWithinPartitions(*keys, "cb", "rb")
 
-    def finish(hi, lo, first, block, seen_hi, seen_lo):
+    def finish(hi, lo, first, block, seen_hi, seen_lo, side_hi, side_lo):
         at_i, at_j = np.flatnonzero(seen_hi), np.flatnonzero(seen_lo)
         i, j = hi * span * rows + first + at_i, lo * span * rows + at_j
         block = block[np.ix_(at_i, at_j)]
         if distance:
             block = np.where(i[:, None] == j[None], 0.0, np.maximum(block, 0.0))
-        return emit(i, j, block)
+        return emit(i, j, block, side_hi[at_i], side_lo[at_j]) if sided else emit(i, j, block)
 
     def product_of(batches):
         state, key = None, None
         for batch in batches:
-            columns = (batch.column(n).to_pylist() for n in (*keys, "cb", "rb", "x", "mu", "inv"))
-            for hi, lo, s, cb, rb, x, mu, inv in zip(*columns):
+            columns = (batch.column(n).to_pylist() for n in (*keys, "cb", "rb", "x", "mu", "inv", *side))
+            for hi, lo, s, cb, rb, *tile in zip(*columns):
                 if (hi, lo, s) != key:
                     if state is not None:
                         yield state
                     state, key = _PairProduct(hi, lo, span, rows, cols), (hi, lo, s)
-                state.take(cb, rb, x, mu, inv)
+                state.take(cb, rb, *tile)
         if state is not None:
             yield state
 
     if n_slabs == 1:
         def whole(batches):
             for state in product_of(batches):
-                for first, block, seen_hi, seen_lo in state.stripes(distance):
-                    yield finish(state.hi, state.lo, first, block, seen_hi, seen_lo)
+                for first, block, *along in state.stripes(distance):
+                    yield finish(state.hi, state.lo, first, block, *along)
 
         return ordered.mapInArrow(whole, schema)
 
     def partial(batches):
         for state in product_of(batches):
-            for first, block, seen_hi, seen_lo in state.stripes(distance):
+            for first, block, seen_hi, seen_lo, side_hi, side_lo in state.stripes(distance):
                 yield pa.record_batch({
                     "hi": pa.array([state.hi], pa.int32()), "lo": pa.array([state.lo], pa.int32()),
                     "first": pa.array([first], pa.int32()), "part": pa.array([block.tobytes()], pa.binary()),
                     "seen_hi": pa.array([seen_hi.tobytes()], pa.binary()),
-                    "seen_lo": pa.array([seen_lo.tobytes()], pa.binary())})
+                    "seen_lo": pa.array([seen_lo.tobytes()], pa.binary()),
+                    "side_hi": pa.array([side_hi.tobytes() if sided else None], pa.binary()),
+                    "side_lo": pa.array([side_lo.tobytes() if sided else None], pa.binary())})
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hi, lo, first = (k.as_py() for k in key)
-        total, seen_hi, seen_lo = 0.0, False, False
+        total, seen_hi, seen_lo, side_hi, side_lo = 0.0, False, False, 0.0, 0.0
         for batch in batches:
-            for part, a, b in zip(*(batch.column(n).to_pylist() for n in ("part", "seen_hi", "seen_lo"))):
+            for part, a, b, u, v in zip(*(batch.column(n).to_pylist() for n in ("part", "seen_hi", "seen_lo", "side_hi", "side_lo"))):
                 total = total + np.frombuffer(part).reshape(-1, span * rows)
-                seen_hi, seen_lo = seen_hi | np.frombuffer(a, bool), seen_lo | np.frombuffer(b, bool)
-        yield finish(hi, lo, first, total, seen_hi, seen_lo)
+                a, b = np.frombuffer(a, bool), np.frombuffer(b, bool)
+                if sided:  # a slab knows the numbers of the rows that it has seen
+                    side_hi, side_lo = np.where(a, np.frombuffer(u), side_hi), np.where(b, np.frombuffer(v), side_lo)
+                seen_hi, seen_lo = seen_hi | a, seen_lo | b
+        yield finish(hi, lo, first, total, seen_hi, seen_lo, side_hi, side_lo)
 
     add.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     parts = ordered.mapInArrow(
-        partial, "hi int, lo int, first int, part binary, seen_hi binary, seen_lo binary")
+        partial, "hi int, lo int, first int, part binary, seen_hi binary, seen_lo binary, side_hi binary, side_lo binary")
     return parts.groupBy("hi", "lo", "first").applyInArrow(add, schema)
 
 

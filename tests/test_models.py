@@ -314,6 +314,16 @@ def test_he_sums_without_pairs(panel):
     assert np.allclose(a.vc, b.vc) and np.allclose(a.p, b.p)
 
 
+def test_he_sums_of_sparse_genotypes(panel):
+    geno = panel.geno.filter("(iid + marker) % 3 <> 0 and iid <> 4")
+    pheno = panel.pheno.filter("iid % 7 <> 5")
+    both = geno.join(pheno.select("iid"), "iid", "left_semi")
+    pairs, names = he.he_pairs(kinship.kinship_additive(both), pheno, 2)
+    want = {(r.a, r.b): r.s for r in he.cross_products(pairs, names).collect()}
+    got = {(r.a, r.b): r.s for r in he.cross_products_from_genotypes(geno, pheno, 2).collect()}
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-8 for k in want)
+
+
 def test_scaled_gradients_and_non_convergence(spark, panel):
     d = np.where(np.arange(panel.p) % 4 == 0, 0.0, 0.5 + np.arange(panel.p) / 10)
     scales = spark.createDataFrame(pd.DataFrame({"marker": np.arange(panel.p), "d": d}), "marker int, d double")
