@@ -2,31 +2,32 @@
 
 The merges are compiled, one after another, into a deterministic automaton whose arcs are labelled with tokens. It
 starts as one state with an arc per byte. The gadget of a merge ``u v`` gives ``u`` a state of its own, a copy of
-the state that ``u`` led to but without the arc ``v``, and adds an arc ``uv`` wherever an arc ``u`` leaves. Arcs with one
-label always end in one state, so the automaton is held as a state per token, and each state as its parent and
-the one arc that it lost. An arc that a merge added exists where the arc of its left part does. The table of
-transitions is filled from those rules as words ask for them.
-
-A word is encoded by running over its bytes: the accepted path of every prefix is unique, so each position holds
-the last arc of its prefix, and a step tries the arcs that may end there. Ids are turned back to text by emitting
-the labels of their arcs.
+the state that ``u`` led to but without the arc ``v``, adds an arc ``uv`` wherever an arc ``u`` leaves, and spells the new label into
+the table of byte transitions. Arcs with one label always end in one state, so ``state_of`` holds the end of every arc; a
+state is the token that it was copied for and the step of its copy. A path that spells a word is its tokenization.
+
+A word is encoded by running over its bytes, one step of the byte table each. A position's entry names the arcs whose labels
+end there, and the accepted path of every prefix is unique, so the first of them that leaves the state at its start is
+the last arc of the prefix. Ids are turned back to text by emitting the labels of their arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from locusframe.llm.common import bounded_batches, per_process, text_slices
-from locusframe.llm.pretokens import Vocabulary, to_bytes, vocabulary
+from locusframe.llm.pretokens import Vocabulary, to_bytes
 
-# Half the words whose ids one worker remembers, and the transitions that it keeps before it starts anew.
-WORD_CACHE, ARC_CACHE = 3 << 16, 1 << 18
+# Bytes of the young half of a worker's words with their ids, and the arc tests that it keeps before it starts anew.
+WORD_CACHE, ARC_CACHE = 40 << 20, 1 << 18
 
 
 class Automaton:
@@ -34,102 +35,159 @@ class Automaton:
 
     def __init__(self, vocab: Vocabulary):
         size = max(vocab.ids.values()) + 1
+        self.size = size
         self.label: list[bytes] = [b""] * size
         end = vocab.word_end
-        self.by_label: dict[tuple[bytes, bool], int] = {}
+        self.marked = [False] * size
+        known = []
         for letters, token in vocab.ids.items():
-            last = bool(end) and letters.endswith(end)
-            spelled = letters[: -len(end)] if last else letters
+            self.marked[token] = bool(end) and letters.endswith(end)
             try:
-                self.label[token] = to_bytes(spelled)
+                self.label[token] = to_bytes(letters[: -len(end)] if self.marked[token] else letters)
             except KeyError:  # a special string: no arc has it
                 continue
-            self.by_label[self.label[token], last] = token
+            known.append(token)
+        self.length = list(map(len, self.label))
         self.left, self.right, self.made = [-1] * size, [-1] * size, [-1] * size
         self.rule: dict[int, int] = {}
-        self.size = size
-        self._arcs: dict[int, bool] = {}
-        # states[k] = (parent state, label of the lost arc); state 0 has an arc for every byte
-        self.states: list[tuple[int, int]] = [(-1, -1)]
+        # state 0 has an arc for every byte; any other is the copy made for an arc at a step
+        self.copied_for, self.copied_at = [-1], [-1]
         self.state_of = [0] * size
+        # the byte table while it grows: parent, byte and depth of each entry, and the arcs that end there
+        self._edges: dict[int, int] = {}
+        self._parent, self._byte = [0], [0]
+        self._arcs_at: dict[int, list[int]] = {}
+        self._entry = [0] * size
+        for token in known:
+            if self.length[token] == 1:
+                self._spell(token, 0, self.label[token])
         for step, (a, b) in enumerate(vocab.merges):
             self._gadget(vocab.ids[a], vocab.ids[b], vocab.ids[a + b], step)
-        self.longest = max(map(len, self.label))
+        self._known_arcs: dict[int, bool] = {}
+        self._fill_table()
+
+    def _spell(self, token: int, entry: int, label: bytes) -> None:
+        """Extend the byte table by a label, from an entry on, and let ``token`` end there."""
+        for b in label:
+            key = entry << 8 | b
+            after = self._edges.get(key)
+            if after is None:
+                after = self._edges[key] = len(self._parent)
+                self._parent.append(entry)
+                self._byte.append(b)
+            entry = after
+        self._entry[token] = entry
+        self._arcs_at.setdefault(entry, []).append(token)
 
     def _gadget(self, u: int, v: int, uv: int, step: int) -> None:
-        if not self._leaves(u, v, step):  # no path has u before v: the merge changes nothing
+        if not self._leaves(self.state_of[u], v):  # no path has u before v: the merge changes nothing
             return
         after = self.state_of[v]
-        self.states.append((self.state_of[u], v))
-        self.state_of[u] = len(self.states) - 1
+        self.copied_for.append(u)
+        self.copied_at.append(step)
+        self.state_of[u] = len(self.copied_for) - 1
         self.left[uv], self.right[uv], self.made[uv], self.state_of[uv] = u, v, step, after
         self.rule[u * self.size + v] = step
+        self._spell(uv, self._entry[u], self.label[v])
 
-    def _leaves(self, u: int, t: int, now: int) -> bool:
-        """Whether the state that ``u`` led to before merge ``now`` has an arc ``t``.
+    def _leaves(self, state: int, t: int) -> bool:
+        """Whether a state has an arc ``t``.
 
-        The state lost ``t`` if a merge ``u t`` came earlier. Otherwise a younger ``t`` has its arc where its left
-        part had one, and a younger ``u`` led to the state of its right part when it was made.
+        A copy made for ``u`` lost the arc of its own merge and those of earlier copies for ``u``. A ``t`` younger than the
+        state has its arc where its left part had one; a younger ``u`` led to the state of its right part when it was made.
         """
-        made, rule = self.made, self.rule
+        if state == 0:
+            return True
+        made, rule, size = self.made, self.rule, self.size
+        u, lost_until, now = self.copied_for[state], self.copied_at[state], 1 << 60
         while True:
-            if rule.get(u * self.size + t, now) < now:
+            if rule.get(u * size + t, now) <= lost_until:
                 return False
             if made[t] >= max(made[u], 0):
-                now, t = made[t] + 1, self.left[t]  # the copy that step made[t] cut is among those that got its arc
+                lost_until, t = min(lost_until, made[t]), self.left[t]  # the copies cut until then are among those that got its arc
             elif made[u] >= 0:
-                now, u = made[u], self.right[u]
+                lost_until, u = made[u] - 1, self.right[u]
             else:
                 return True
 
-    def arc(self, u: int, t: int) -> bool:
-        """The table of transitions: may ``t`` follow ``u`` in the finished automaton?"""
-        key = u * self.size + t
-        known = self._arcs.get(key)
-        if known is None:
-            if len(self._arcs) >= ARC_CACHE:
-                self._arcs.clear()
-            known = self._arcs[key] = self._leaves(u, t, len(self.states) + len(self.rule) + (1 << 30))
-        return known
+    def _fill_table(self) -> None:
+        """The byte table as an array: from every entry (a beginning of labels) and byte to the longest beginning that ends
+        there, and for each entry the arcs whose labels end there, longest first, without and with the word's end."""
+        n = len(self._parent)
+        parent, byte = np.array(self._parent), np.array(self._byte)
+        depth = np.zeros(n, np.int64)
+        for k in range(1, n):  # a parent comes before its children
+            depth[k] = depth[parent[k]] + 1
+        fail = np.zeros(n, np.int64)
+        table = np.zeros((n, 256), np.int32)
+        self.ends: list[tuple[int, ...]] = [()] * n
+        self.word_ends: list[tuple[int, ...]] = [()] * n
+        level = np.zeros(1, np.int64)
+        for d in range(1, int(depth.max(initial=0)) + 2):
+            if d > 1:
+                table[level] = table[fail[level]]
+            after = np.flatnonzero(depth == d)
+            if d > 1:
+                fail[after] = table[parent[after], byte[after]]
+            table[parent[after], byte[after]] = after
+            level = after
+        for k in np.argsort(depth, kind="stable").tolist():
+            own, less = self._arcs_at.get(k, ()), int(fail[k])
+            self.ends[k] = tuple(t for t in own if not self.marked[t]) + self.ends[less]
+            self.word_ends[k] = tuple(t for t in own if self.marked[t]) + self.word_ends[less]
+        self.table = memoryview(table.reshape(-1))
+        del self._edges, self._parent, self._byte, self._arcs_at, self._entry
 
     def encode(self, word: bytes, marked: bool = False) -> tuple[int, ...]:
         """The labels of the accepted path that spells ``word``; ``marked``: its last symbol carries the word's end."""
-        whole = self.by_label.get((word, marked))
         n = len(word)
-        if whole is not None and (n == 1 or self.made[whole] >= 0):
-            return (whole,)
-        last: list[int] = [-1] * (n + 1)
-        get, arc = self.by_label.get, self.arc
-        for i in range(1, n + 1):
-            here = marked and i == n
-            for j in range(max(0, i - self.longest), i):
-                t = get((word[j:i], here))
-                if t is not None and (j == 0 or arc(last[j], t)) and (i - j == 1 or self.made[t] >= 0):
-                    last[i] = t
-                    break
+        last, states = [-1] * (n + 1), [0] * (n + 1)
+        table, ends, length, state_of, size, known = self.table, self.ends, self.length, self.state_of, self.size, self._known_arcs
+        entry = 0
+        for i, b in enumerate(word, 1):
+            entry = table[entry << 8 | b]
+            for t in self.word_ends[entry] if marked and i == n else ends[entry]:
+                state = states[i - length[t]]
+                if state:
+                    has = known.get(state * size + t)
+                    if has is None:
+                        if len(known) >= ARC_CACHE:
+                            known.clear()
+                        has = known[state * size + t] = self._leaves(state, t)
+                    if not has:
+                        continue
+                elif i > length[t] and last[i - length[t]] < 0:
+                    continue
+                last[i], states[i] = t, state_of[t]
+                break
         out = []
         while n > 0:
             out.append(last[n])
-            n -= len(self.label[last[n]])
+            n -= length[last[n]]
         return tuple(reversed(out))
 
 
 class TwoAges(dict):
-    """A cache of at most ``2 * limit`` words: when the young half is full it becomes the old one, and an old word that is asked
-    for turns young again. ``make`` finds what neither half has."""
+    """A cache bounded in bytes: when the young half reaches ``limit`` it becomes the old one, and an old word that is asked
+    for turns young again. ``make`` finds what neither half has; a word too long for a half isn't kept."""
 
     def __init__(self, make: Callable[[object], object], limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.bytes = make, limit, {}, 0
 
     def __missing__(self, word):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
-        self[word] = found
+        # about what Python takes for the entry, the word and up to one number a character
+        cost = 220 + 9 * len(word)
+        if cost <= self.limit:
+            if self.bytes + cost > self.limit:
+                self.old = dict(self)
+                self.clear()
+                self.bytes = 0
+            self.bytes += cost
+            self[word] = found
         return found
 
 
@@ -137,7 +195,7 @@ class Codec:
     """Encoder and decoder of one vocabulary in one worker."""
 
     def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+        self.vocab = Vocabulary(path)
         auto = Automaton(self.vocab)
 
         one = list(range(auto.size))  # cached words share their numbers
@@ -153,12 +211,10 @@ class Codec:
             self.labels[token] = text.encode()
         self.decimals = [str(i) for i in range(len(self.labels))]
 
-    def encode(self, text: str) -> list[int]:
-        words = self.words
-        out: list[int] = []
-        for word in map(words.__getitem__, self.vocab.split(text, lambda s: ("special", self.vocab.specials[s]))):
-            out += word
-        return out
+    def encode(self, text: str, specials: bool = True) -> list[int]:
+        """Token ids; special strings are ordinary text unless ``specials``."""
+        split = self.vocab.split(text, lambda s: ("special", self.vocab.specials[s])) if specials else self.vocab.plain(text)
+        return list(itertools.chain.from_iterable(map(self.words.__getitem__, split)))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
@@ -166,7 +222,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """One codec per worker process and file."""
-    return per_process(("codec", path), lambda: Codec(path))
+    return per_process("bpe", ("codec", path), lambda: Codec(path))
 
 
 def encode_column(text: Column, path: str) -> Column:

@@ -17,7 +17,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 def _power_tables(n: int) -> list[np.ndarray]:
     """base^i and base^-i for i < n, kept by the process for the largest n so far."""
-    tables = per_process(("powers",), lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    tables = per_process("words", ("powers",), lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
     if len(tables[0]) < n:
         for k, factor in enumerate((BASE, _INVERSE)):
             steps = np.full(1 << int(n - 1).bit_length(), factor, np.uint64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -63,14 +65,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int
     return bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
 
 
-def per_process(key: tuple, make: Callable[[], object], version: str = ""):
+def per_process(use: str, key: tuple, make: Callable[[], object], version: str = ""):
     """One object per Python process and key, such as a compiled vocabulary; another ``version`` takes the place of the one before.
 
-    The package's functions travel to workers by value, globals and all, so what a worker shall keep from task to
+    A process keeps the objects of one ``use`` only: the first object of another use, as in the next stage of a pipeline,
+    releases them all. The package's functions travel to workers by value, globals and all, so what a worker shall keep from task to
     task is held by a module object of the process instead.
     """
     kept = sys.modules.setdefault("_kept_by_workers", types.ModuleType("_kept_by_workers")).__dict__
+    if kept.get("use") != use:
+        for old in [k for k in kept if isinstance(k, tuple)]:
+            del kept[old]
+        kept["use"] = use
+        _give_back()
     if key not in kept or kept[key][0] != version:
         kept.pop(key, None)
         kept[key] = (version, make())
     return kept[key][1]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where its C library can do that."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -29,7 +29,7 @@ SPAN, KEPT = 16, 64
 
 def _tables(n: int) -> list[list[np.ndarray]]:
     """Powers of the bases and their inverses for positions below n, kept by the process."""
-    held = per_process(("prefix powers",), lambda: [[np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2])
+    held = per_process("prefix hashes", ("prefix powers",), lambda: [[np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2])
     size = len(held[0][0])
     if size < n:
         size = 1 << int(n - 1).bit_length()

@@ -13,8 +13,6 @@ from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-from locusframe.llm.common import per_process
-
 # Letters, other digits and white space among the characters for which the short pattern holds.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ȳ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -59,10 +57,11 @@ class Vocabulary:
         self._lower = spec["normalizer"] is not None
         self._short = _WORDS if self._lower else _WITH_SPACE
 
-    def _plain(self, text: str) -> list:
-        """The pre-tokens of a text without special strings."""
-        if not _ODD.search(text):
-            return self._short.findall(text.lower() if self._lower else text)
+    def plain(self, text: str) -> list:
+        """The pre-tokens of a text in which no string is special."""
+        lowered = text.lower() if self._lower else text  # some letters leave the plain range when lowered
+        if not _ODD.search(lowered) and not (self._lower and _ODD.search(text)):
+            return self._short.findall(lowered)
         if self._lower:
             text = self._library.normalizer.normalize_str(text)
         return [to_bytes(piece).decode("utf-8") for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
@@ -70,16 +69,11 @@ class Vocabulary:
     def split(self, text: str, special: Callable[[str], object] = lambda s: (s,)) -> list:
         """All pre-tokens in order; a special string appears as what ``special`` makes of it."""
         if self._special is None or not self._special.search(text):
-            return self._plain(text)
+            return self.plain(text)
         out: list = []
         at = 0
         for m in self._special.finditer(text):
-            out += self._plain(text[at:m.start()])
+            out += self.plain(text[at:m.start()])
             out.append(special(m[0]))
             at = m.end()
-        return out + self._plain(text[at:])
-
-
-def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary per worker process and file."""
-    return per_process(("vocabulary", path), lambda: Vocabulary(path))
+        return out + self.plain(text[at:])

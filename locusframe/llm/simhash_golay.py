@@ -70,7 +70,7 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Side 2 meets side 2; side 0 meets side 1. A key holds its kind in the top bits, so kinds never meet.
     """
-    table = per_process(("golay",), decoder)
+    table = per_process("simhash", ("golay",), decoder)
     cut, at = [], 64
     for bits in SEGMENTS:
         at -= bits

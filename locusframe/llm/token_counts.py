@@ -21,15 +21,21 @@ from pyspark.sql.functions import arrow_udf
 
 from locusframe.llm.bpe_automaton import Automaton, TwoAges
 from locusframe.llm.common import bounded_batches, per_process, text_slices
-from locusframe.llm.pretokens import Vocabulary, vocabulary
+from locusframe.llm.pretokens import Vocabulary
 
 # Longest word of the first tier, in bytes; longest list of words that one task counts and hands on.
 WORD_BYTES, TASK_COUNTS, TASK_SENDS = 48, 1 << 15, 1 << 12
-CACHE = 1 << 17
+# Bytes of the young half of a worker's cache.
+CACHE = 24 << 20
+
+
+def _vocabulary(path: str) -> Vocabulary:
+    """One vocabulary per worker process and file."""
+    return per_process("counts", ("vocabulary", path), lambda: Vocabulary(path))
 
 
 def _encoder(path: str) -> tuple[Vocabulary, Automaton]:
-    return per_process(("encoder", path), lambda: (vocabulary(path), Automaton(vocabulary(path))))
+    return per_process("counts", ("encoder", path), lambda: (_vocabulary(path), Automaton(_vocabulary(path))))
 
 
 def _special(_text: str) -> tuple[str]:
@@ -44,7 +50,7 @@ def frequent_pretokens(docs: DataFrame, path: str, entries: int = 1 << 15) -> Da
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, seen = vocabulary(path), Counter()
+        vocab, seen = _vocabulary(path), Counter()
         for batch in batches:
             for part in text_slices(batch.column(0)):
                 for t in part:
@@ -84,7 +90,7 @@ def token_counter(docs: DataFrame, path: str, entries: int = 1 << 15):
 
     @arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        lengths = per_process(("lengths",), lambda: _Lengths(*shared.value, path), key)
+        lengths = per_process("counts", ("lengths",), lambda: _Lengths(*shared.value, path), key)
         find, split = lengths.__getitem__, lengths.vocab.split
         return pa.array([sum(map(find, split(t, _special))) for part in text_slices(texts) for t in part], pa.int64())
 

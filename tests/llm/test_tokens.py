@@ -99,8 +99,44 @@ def test_automaton_equals_merging_by_rank():
 
 def test_caches_stay_bounded():
     made = []
-    cache = TwoAges(lambda w: made.append(w) or w * 2, 3)
-    for w in [1, 2, 3, 4, 1, 5, 6, 7, 8, 1]:
+    cache = TwoAges(lambda w: made.append(w) or w * 2, 1000)
+    for w in ["a", "b", "c", "d", "a", "e", "f", "g", "h", "a", "x" * 500]:
         assert cache[w] == 2 * w
-    assert len(cache) <= 3 and len(cache.old) <= 3
-    assert Codec(BYTE).encode("") == []
+    assert len(cache) <= 4 and len(cache.old) <= 4 and "x" * 500 not in cache
+    assert made.count("b") == 1 and Codec(BYTE).encode("") == []
+
+
+def test_words_run_over_the_tables():
+    """Without the table of byte transitions, or without the states that arcs end in, words come out wrong or not at all."""
+    want = {w: Codec(BYTE).encode(w) for w in (" tokenization", " the", "unbelievable")}
+    for name, empty in (("table", lambda t: memoryview(bytes(4 * len(t))).cast("i")), ("state_of", lambda t: [0] * len(t))):
+        codec = Codec(BYTE)
+        auto = Automaton(codec.vocab)
+        setattr(auto, name, empty(getattr(auto, name)))
+        got = {}
+        for w in want:
+            try:
+                got[w] = list(auto.encode(w.encode()))
+            except (IndexError, RecursionError):
+                got[w] = None
+        assert got != want
+
+
+def test_every_letter_of_the_short_patterns(spark):
+    """Each code point below U+0234 alone, within a word and next to a digit, as the libraries split, lower and encode it."""
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    texts = [f"{c} a{c}b {c}1{c}{c} {c}'s" for c in map(chr, range(1, 0x234))]
+    rng = random.Random(3)
+    texts += ["".join(chr(rng.randrange(1, 0x234)) for _ in range(30)) for _ in range(500)]
+    codec = Codec(BYTE)
+    assert [codec.encode(t) for t in texts] == [byte.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs, WORD).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(word.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_special_strings_as_text():
+    lib = Tokenizer.from_file(BYTE)
+    lib.encode_special_tokens = True
+    text = "a<|endoftext|> b"
+    assert Codec(BYTE).encode(text, specials=False) == lib.encode(text, add_special_tokens=False).ids
