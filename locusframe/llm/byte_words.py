@@ -30,7 +30,16 @@ class ByteText:
     """The bytes of texts set one after another, each followed by a line end."""
 
     def __init__(self, texts: list[str], lower: bool):
-        parts = [(t.lower() if lower else t).encode("utf-8", "replace") for t in texts]
+        self._set([(t.lower() if lower else t).encode("utf-8", "replace") for t in texts])
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> "ByteText":
+        """The same of texts that are bytes already."""
+        out = cls.__new__(cls)
+        out._set(parts)
+        return out
+
+    def _set(self, parts: list[bytes]) -> None:
         self.bytes = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
         self.lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]

@@ -209,5 +209,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_warc_merge, op5_tool_calls, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity)}
+def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from locusframe.llm.lattice_lm import scores
+
+    # held out: the crc32 of the id's text leaves 2 when divided by 7
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    found = scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ~out, F.col("lang"))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.alignment import aligned_counts
+
+    return aligned_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_warc_merge, op5_tool_calls, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity,
+                                                   op12_lattice_lm, op13_alignment)}
 ORACLES: dict[str, str] = {"op1_mixing": _mixing_sql(), "op4_warc_merge": _WARC_SQL, "op5_tool_calls": _TOOL_SQL}
