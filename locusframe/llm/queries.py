@@ -209,6 +209,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusframe.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -227,5 +233,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_warc_merge, op5_tool_calls, op6_prefix_hashes, op7_simhash_golay, op8_multiprobe, op9_bpe_automaton, op10_toxicity,
-                                                   op12_lattice_lm, op13_alignment)}
+                                                   op11_whitening, op12_lattice_lm, op13_alignment)}
 ORACLES: dict[str, str] = {"op1_mixing": _mixing_sql(), "op4_warc_merge": _WARC_SQL, "op5_tool_calls": _TOOL_SQL}
