@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from locusframe.llm.byte_words import INK_BYTES, ByteText
-from locusframe.llm.common import bounded_batches, held_out, labelled_sample, text_slices
+from locusframe.llm.common import bounded_batches, held_out, labelled_sample, materialise, text_slices
 
 PASSAGE_WORDS = 64
 KINDS, WORDS, LOOKS = 256, 256, 8
@@ -67,6 +67,8 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         begins[starts[starts < len(triple)]] = 1
         spot = np.cumsum(begins) - 1
         inside = spot >= 0
+        for k in (1, 2):  # no triple reaches into the next text
+            inside[data.starts[1:] - k] = False
         out[:, :KINDS] = _shares(triple[inside].astype(np.int64), passage[spot[inside]], n, KINDS)
         h = data.hashes(starts, ends)
         out[:, KINDS : KINDS + WORDS] = _shares((h % np.uint64(WORDS)).astype(np.int64), passage, n, WORDS)
@@ -144,28 +146,37 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64
     return p
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, bag: int = 48, epochs: int = 12) -> Params | float:
-    """Fit on labelled rows that aren't held out: at most ``sample`` documents (see ``labelled_sample``).
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, most_passages: int = 150_000, epochs: int = 12) -> Params | float:
+    """Fit on labelled rows that aren't held out: at most ``sample`` documents (see ``labelled_sample``) with at most ``most_passages`` passages.
 
-    Of a sampled document at most ``bag`` passages, evenly spread over the whole text, take part in fitting. Where the labels hold
-    one class or none, the result is a constant score: that class, or 0.5.
+    A sampled document takes part with all of its passages or, where they would exceed the bound, not at all. Where the labels hold one class
+    or none, the result is a constant score: that class, or 0.5.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
+            at = 0
             for part in text_slices(batch.column(0)):
                 x, owner = passages(part)
-                for own in np.split(x, np.flatnonzero(np.diff(owner)) + 1) if len(part) else ():
-                    spread = np.linspace(0, len(own) - 1, min(bag, len(own))).astype(int)
-                    packed.append(own[spread].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1)], ["bag", "y"])
+                bags = [own.tobytes() for own in np.split(x, np.flatnonzero(np.diff(owner)) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1).slice(at, len(part)), batch.column(2).slice(at, len(part))],
+                                                 ["bag", "y", "order"])
+                at += len(part)
 
-    rows = labelled_sample(docs, labels, "quality", sample).mapInArrow(pack, "bag binary, y long").toArrow()
+    rows = labelled_sample(docs, labels, "quality", sample).withColumn("order", F.xxhash64("text"))
+    bags = rows.mapInArrow(pack, "bag binary, y long, order long")
+    bags = materialise(bags.withColumn("at", F.monotonically_increasing_id()))
+    total, chosen = 0, []
+    for r in bags.select("at", "order", (F.octet_length("bag") / WIDTH).cast("long").alias("n")).orderBy("order", "at").collect():  # a row per sampled document
+        if total + r.n <= most_passages:
+            total += r.n
+            chosen.append((r.at,))
+    kept = docs.sparkSession.createDataFrame(chosen, "at long")
+    rows = bags.join(F.broadcast(kept), "at").orderBy("order", "y").select("bag", "y").toArrow()  # in one order, however the files lie
     y = rows["y"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 0.5
-    return fit([np.frombuffer(b, np.uint8).reshape(-1, WIDTH) for b in rows["bag"].to_pylist()], y, epochs)
+    return fit([np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, WIDTH) for b in rows["bag"]], y, epochs)
 
 
 def score_texts(model: Params | float, texts: list[str]) -> np.ndarray:

@@ -116,9 +116,11 @@ _WARC_SQL = """
     from payload join last using (h, payload_bytes)"""
 
 
+# Longest text that a tool takes; longer arguments stay whole and aren't valid.
+TOOL_QUERY = 1200
 TOOL_SCHEMAS = {
     name: {"type": "object", "required": ["query", "limit"], "additionalProperties": False, "properties": {
-        "query": {"type": "string", "minLength": 8}, "limit": {"type": "integer", "minimum": 0, "maximum": most}}}
+        "query": {"type": "string", "minLength": 8, "maxLength": TOOL_QUERY}, "limit": {"type": "integer", "minimum": 0, "maximum": most}}}
     for name, most in (("search", 20), ("lookup", 22), ("note", 24))}
 
 
@@ -134,7 +136,7 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
         return F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
 
     text, turn = F.coalesce("text", F.lit("")), F.col("turn")
-    arguments = F.to_json(F.struct(F.left(text, F.lit(40)).alias("query"), (F.length(text) % 25).alias("limit")))
+    arguments = F.to_json(F.struct(text.alias("query"), (F.length(text) % 25).alias("limit")))
     name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("note")), (F.floor(turn / 2) % 3 + 1).cast("int"))
     call = F.to_json(F.struct(F.array(F.struct(
         call_id(turn).alias("id"), F.when(turn >= 4, call_id(turn - 2)).alias("after"),
@@ -154,7 +156,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOOL_SQL = """
     with recursive calls as (
         select conv_id, 'call_' || conv_id || '_' || turn as call_id, turn, ['search', 'lookup', 'note'][(turn // 2) % 3 + 1] as name,
-            left(coalesce(text, ''), 40) as query, length(coalesce(text, '')) % 25 as lim,
+            coalesce(text, '') as query, length(coalesce(text, '')) % 25 as lim,
             case when turn >= 4 then 'call_' || conv_id || '_' || (turn - 2) end as after
         from conversations where role = 'assistant'),
     results as (
@@ -166,7 +168,7 @@ _TOOL_SQL = """
     both_sides as (
         select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as turn, name,
             coalesce(depth, 0) as depth, case when c.call_id is null then 'orphan' when r.call_id is null then 'unanswered' else 'linked' end as status,
-            coalesce(length(query) >= 8 and lim <= case name when 'search' then 20 when 'lookup' then 22 else 24 end, false) as valid,
+            coalesce(length(query) between 8 and 1200 and lim <= case name when 'search' then 20 when 'lookup' then 22 else 24 end, false) as valid,
             (c.call_id is not null)::bigint as n_calls, (r.call_id is not null)::bigint as n_results,
             '{"after":' || coalesce(to_json(after)::varchar, 'null')
             || ',"arguments":' || case when c.call_id is null then 'null' else '{"limit":' || lim || ',"query":' || to_json(query)::varchar || '}' end

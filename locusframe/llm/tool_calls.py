@@ -1,6 +1,7 @@
 """Tool calls of conversations: link calls with their results, order them, validate arguments, serialise canonical JSON.
 
-Calls and results meet in a hash join by conversation and identifier. A call may name another one whose result it needs; these
+Calls and results meet in a hash join by conversation and identifier: both sides are dealt by them, and each task builds a hash table of its
+share of the results. A call may name another one whose result it needs; these
 references form a forest, whose depths are found by pointer doubling: every round joins each open reference with the reference of
 its target, so chains of any length take a logarithmic number of rounds, and whatever is still open when a round settles nothing lies on a
 cycle. Depth, then turn, is a topological order; positions are counted per run of turns, so a conversation may hold any share of all rows.
@@ -127,14 +128,14 @@ def depths(calls: DataFrame) -> DataFrame:
     A reference to a key that isn't there counts as none. Calls on a cycle, or that need one on a cycle, have a null depth.
     """
     known = calls.select(F.col("key").alias("up"))
-    jumps = materialise(calls.join(known.withColumn("_there", F.lit(1)), "up", "left").select(
+    jumps = materialise(calls.join(known.withColumn("_there", F.lit(1)).hint("shuffle_hash"), "up", "left").select(
         "key", F.when(F.col("_there") == 1, F.col("up")).alias("up"), F.coalesce("_there", F.lit(0)).cast("long").alias("depth")))
     still = None
     while (now := jumps.where("up is not null").count()) and now != still:
         still = now
         done = jumps.where("up is null")
         target = jumps.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = jumps.where("up is not null").join(target, "up").select("key", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        moved = jumps.where("up is not null").join(target.hint("shuffle_hash"), "up").select("key", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
         jumps = materialise(done.unionByName(moved))
     return jumps.select("key", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
@@ -160,14 +161,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     got = got.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), "_r", "n_results")
     # without an identifier nothing is linked, so the equality of identifiers leaves nulls apart on both sides
     same = F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("ri"))
-    both = one.join(got, same, "full_outer").select(
+    both = one.join(got.hint("shuffle_hash"), same, "full_outer").select(
         F.when(F.col("n_calls").isNull(), F.col("rc")).otherwise(F.col("conv_id")).alias("conv_id"), F.coalesce("call_id", "ri").alias("call_id"),
         "_c.name", "_c.arguments", "_c.after", F.coalesce("_c.turn", "_r.turn").alias("turn"), F.col("_r.content").alias("content"),
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"))
     both = materialise(both.withColumn("key", _key("call_id")).withColumn("up", F.when(F.col("after") != "", _key("after"))))
     levels = depths(both.where("key is not null and n_calls > 0").select("key", "up"))
     levels = levels.select(F.col("key").alias("_k"), F.col("depth").alias("_d"))
-    placed = both.join(levels, F.col("key") == F.col("_k"), "left").withColumn(
+    placed = both.join(levels.hint("shuffle_hash"), F.col("key") == F.col("_k"), "left").withColumn(
         "depth", F.when(F.col("_k").isNull(), F.lit(0).cast("long")).otherwise(F.col("_d"))).drop("_k", "_d")
     status = F.when(F.col("n_calls") == 0, "orphan").when(F.col("depth").isNull(), "cyclic").when(F.col("n_results") == 0, "unanswered").otherwise("linked")
     checked = placed.withColumn("status", status).withColumn(

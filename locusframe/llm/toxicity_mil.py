@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -30,11 +31,10 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 @dataclass(frozen=True)
 class Model:
-    """Weight per bucket and bias of a sentence; ``prior`` is the score of a text without words."""
+    """Weight per bucket and bias of a sentence."""
 
     weights: np.ndarray
     bias: float
-    prior: float = 0.0
 
 
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -95,26 +95,23 @@ def _bags(sample: DataFrame, chosen: list[int]) -> tuple[np.ndarray, ...]:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, at = batch.column(1).to_pylist(), 0
-            out = []
             for part in text_slices(batch.column(0)):
                 buckets, sentence, owner, n = _features(part)
                 spot = place[buckets]
                 pairs = np.unique(sentence[spot >= 0] * len(chosen) + spot[spot >= 0])
-                of = owner[pairs // len(chosen)]
-                total = np.bincount(owner, minlength=len(part))
-                for i in range(len(part)):
-                    own = pairs[of == i]
-                    out.append((toxic[at + i], int(total[i]), (own // len(chosen)).tolist(), (own % len(chosen)).tolist()))
+                per_text = np.bincount(owner[pairs // len(chosen)], minlength=len(part))
+                offsets = pa.array(np.append(0, np.cumsum(per_text)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (pairs // len(chosen), pairs % len(chosen))]
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + len(part)], pa.int64()), pa.array(np.bincount(owner, minlength=len(part))), *lists],
+                                                 ["toxic", "sentences", "of", "feature"])
                 at += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (
-                pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["toxic", "sentences", "of", "feature"])
 
-    schema = "toxic long, sentences long, of array<long>, feature array<long>"
-    rows = sample.mapInArrow(bags, schema).toArrow()
+    schema = "toxic long, sentences long, of array<int>, feature array<int>"
+    rows = sample.mapInArrow(bags, schema).toArrow().combine_chunks()
     y, total = rows["toxic"].to_numpy(), rows["sentences"].to_numpy()
-    sizes = np.array([len(x) for x in rows["of"].to_pylist()], np.int64)
-    of = np.concatenate([np.asarray(x, np.int64) for x in rows["of"].to_pylist()] + [np.zeros(0, np.int64)])
-    feature = np.concatenate([np.asarray(x, np.int64) for x in rows["feature"].to_pylist()] + [np.zeros(0, np.int64)])
+    lists = [pa.chunked_array(rows[c].chunks, pa.list_(pa.int32())) for c in ("of", "feature")]
+    sizes = pc.list_value_length(lists[0]).to_numpy().astype(np.int64)
+    of, feature = (pc.list_flatten(x).to_numpy().astype(np.int64) for x in lists)
     doc = np.repeat(np.arange(len(y)), sizes)
     pair = np.unique(doc * (1 << 40) + of % (1 << 40), return_inverse=True)
     return y, total, pair[0] >> 40, pair[1], feature
@@ -155,38 +152,64 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, keep: int =
     return Model(weights, bias)
 
 
-def _sentence_risks(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _sentence_risks(weights: np.ndarray, bias: float, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """-log(1 - score) of every sentence with words, and the text that it belongs to."""
     buckets, sentence, owner, n = _features(texts)
-    used = np.flatnonzero(model.weights[buckets])
+    used = np.flatnonzero(weights[buckets])
     pairs = np.unique(sentence[used] * BUCKETS + buckets[used])
-    z = np.bincount(pairs // BUCKETS, model.weights[pairs % BUCKETS], n) + model.bias
+    z = np.bincount(pairs // BUCKETS, weights[pairs % BUCKETS], n) + bias
     return np.logaddexp(0, z), owner
 
 
+def _shared(docs: DataFrame, model: Model):
+    """The model for the workers, as plain values: BUCKETS weights, whatever the data."""
+    return bounded_batches(docs).sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+
 def scorer(docs: DataFrame, model: Model):
     """A function from a text column to the toxicity score of the whole text; texts without words score 0."""
-    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the data
+    shared = _shared(docs, model)
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         out = []
         for part in text_slices(texts):
-            risk, owner = _sentence_risks(shared.value, part)
+            risk, owner = _sentence_risks(*shared.value, part)
             out.append(1 - np.exp(-np.bincount(owner, risk, len(part))))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return score
 
 
+def _judge(docs: DataFrame, model: Model, threshold: float):
+    """A function from a text column to its score, its number of offending sentences, and the place of the worst one."""
+    shared = _shared(docs, model)
+
+    @arrow_udf("score double, offending long, worst_sentence long")
+    def judge(texts: pa.Array) -> pa.Array:
+        score, offending, worst = [np.zeros(0)], [np.zeros(0, np.int64)], []
+        for part in text_slices(texts):
+            risk, owner = _sentence_risks(*shared.value, part)
+            score.append(1 - np.exp(-np.bincount(owner, risk, len(part))))
+            hot = 1 - np.exp(-risk) >= threshold
+            offending.append(np.bincount(owner[hot], minlength=len(part)))
+            first = np.searchsorted(owner, np.arange(len(part) + 1))
+            worst += [int(np.argmax(risk[a:b])) if n else None for a, b, n in zip(first, first[1:], offending[-1])]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(score)), pa.array(np.concatenate(offending)), pa.array(worst, pa.int64())],
+                                          ["score", "offending", "worst_sentence"])
+
+    return judge
+
+
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Score every text: ``doc_id, held_out, score, predicted``.
+    """Score every text: ``doc_id, held_out, score, predicted, offending, worst_sentence``.
 
-    A null text or one without words has no sentences and scores 0. Repeated rows and ids give a row each; other
-    columns are ignored.
+    ``offending`` sentences score ``threshold`` or more by themselves, and ``worst_sentence`` is the place (from 0, among sentences with words) of
+    the highest score where there are any, else null. A null text or one without words has no sentences and scores 0. Repeated rows and ids give a
+    row each; other columns are ignored.
     """
-    rows = docs.select("doc_id", held_out().alias("held_out"), scorer(docs, model)(F.col("text")).alias("score"))
-    return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select("doc_id", held_out().alias("held_out"), _judge(docs, model, threshold)(F.col("text")).alias("_j"))
+    return rows.select("doc_id", "held_out", "_j.score", (F.col("_j.score") >= threshold).cast("int").alias("predicted"), "_j.offending", "_j.worst_sentence")
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -194,13 +217,13 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -
 
     Sentences end at ``. ! ?`` and line ends; ``start`` counts code points.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, rows = batch.column(0), 0, []
             for part in text_slices(batch.column(1)):
-                risk, owner = _sentence_risks(shared.value, part)
+                risk, owner = _sentence_risks(*shared.value, part)
                 hot = np.flatnonzero(1 - np.exp(-risk) >= threshold)
                 first = np.searchsorted(owner, np.arange(len(part)))
                 for i in np.unique(owner[hot]):

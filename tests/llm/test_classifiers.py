@@ -90,3 +90,23 @@ def test_without_usable_labels(spark, mid, odd_docs):
         assert len(good) == odd_docs.count() and all(r.predicted == 1 for r in good)
     assert toxicity_mil.toxicity(docs.where("false"), toxicity_mil.train(docs.where("false"), labels)).count() == 0
     assert quality_mil.quality(docs.where("false"), quality_mil.train(docs.where("false"), labels)).count() == 0
+
+
+def test_counted_sentences_are_those_located(spark):
+    docs, labels = (spark.read.parquet(f"{MID}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity_mil.train(docs, labels)
+    located = {}
+    for r in toxicity_mil.offending_sentences(docs, model).collect():
+        located.setdefault(r.doc_id, []).append((r.score, -r.sentence))
+    scored = toxicity_mil.toxicity(docs, model).collect()
+    assert {r.doc_id: (r.offending, r.worst_sentence) for r in scored if r.offending} == {
+        i: (len(x), -max(x)[1]) for i, x in located.items()}
+    assert all(r.worst_sentence is None for r in scored if not r.offending)
+
+
+def test_a_document_too_long_for_the_bound_is_left_out_whole(spark):
+    """With a bound of a few passages only short bags are fitted on; none is cut."""
+    docs = spark.createDataFrame([(i, "good words here " * (2 if i % 2 else 3000)) for i in range(1, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    assert quality_mil.train(docs, labels, most_passages=20, epochs=1) == 1.0
+    assert isinstance(quality_mil.train(docs, labels, epochs=1), dict)

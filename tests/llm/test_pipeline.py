@@ -27,7 +27,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     docs, labels = (spark.read.parquet(f"{MID}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.toPandas()
     model = toxicity_mil.train(docs, labels)
-    risk, owner = toxicity_mil._sentence_risks(model, rows.text.tolist())
+    risk, owner = toxicity_mil._sentence_risks(model.weights, model.bias, rows.text.tolist())
     toxic = {i: 0.0 for i in range(len(rows))}
     for r, o in zip(risk, owner):
         toxic[int(o)] += r
