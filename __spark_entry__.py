@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from locusframe import fixtures as fx  # noqa: E402
 from locusframe.functions import scalar  # noqa: E402
-from locusframe.operators import align, explain, kinship, qc, regression, reml, ridge, sampling, scan, score, tiles, transform  # noqa: E402
+from locusframe.operators import align, explain, grm_tiles, kinship, qc, regression, reml, ridge, sampling, scan, score, tiles, transform  # noqa: E402
 from locusframe.operators import haseman_elston as he  # noqa: E402
 from locusframe.operators import network as nn  # noqa: E402
 from locusframe.plans import jobs  # noqa: E402
@@ -396,7 +396,8 @@ def _(spark, sf):
 
 @_register("epistasis_power", _sql(f"select i, j, {_r('k * k * k')} as k from kin", "kin"))
 def _(spark, sf):
-    return kinship.epistasis(kinship.kinship_additive(_kept(spark, sf)[0]), 3).select("i", "j", _rd("k").alias("k"))
+    cubed = kinship.epistasis(kinship.kinship_additive(_kept(spark, sf)[0], form="tiles"), 3)
+    return grm_tiles.pairs(cubed).select("i", "j", _rd("k").alias("k"))
 
 
 @_register("h2_delta", _sql(f"select region_id, {_r('delta')} as delta, {_r('1 / (1 + delta)')} as h2 from rdelta", "rdelta"))
@@ -715,6 +716,18 @@ def _(spark, sf):
     return fit.select("marker", *(_rd(c).alias(c) for c in ("beta", "se", "t")), "df", _rd("sse", 4).alias("sse"), _rd("p").alias("p"))
 
 
+@_register("uni_reg_partial_pheno", _sql(f"""
+    select u.marker, {_r('u.beta')} as beta, {_r('u.se')} as se, {_r('u.beta / u.se')} as t, u.df, {_r('u.sse', 4)} as sse,
+        {_r('p.p * (select count(*) from uni)')} as p from uni u join pval p on p.id = u.marker""", "kept", "pheno", extra={
+    "some_y": "select iid, y from pheno where iid % 3 <> 0",
+    "some_assoc": _CTES["assoc"][1].replace("join pheno p", "join some_y p"),
+    "fits": _UNI["fits"].replace("from assoc", "from some_assoc"), "uni": _UNI["uni"].replace("from pheno", "from some_y"),
+} | _tail("select marker as id, beta / se as t, df from uni")))
+def _(spark, sf):
+    fit = regression.uni_reg(_kept(spark, sf)[0], _some_pheno(spark, sf))
+    return fit.select("marker", *(_rd(c).alias(c) for c in ("beta", "se", "t")), "df", _rd("sse", 4).alias("sse"), _rd("p").alias("p"))
+
+
 @_register("bic", _sql(f"""
     select marker, {_r('n + n * ln(2 * pi()) + n * ln(sse / n) + ln(n) * 3', 4)} as bic
     from (select marker, df + 2 as n, sse from uni where marker >= 0)""", "assoc", extra=_UNI))
@@ -795,6 +808,20 @@ def _(spark, sf):
     return fit.select("term", *(_rd(c).alias(c) for c in ("beta", "se", "t", "p")), "df", _rd("sse", 4).alias("sse"), _rd("mse").alias("mse"))
 
 
+def _some_multi() -> dict[str, str]:
+    part = {"some_y": "select iid, y from pheno where iid % 3 <> 0", "some_kept": "select * from kept where iid in (select iid from some_y)"}
+    return part | {k: v.replace("from pheno", "from some_y").replace("join pheno", "join some_y").replace("from kept", "from some_kept")
+                   for k, v in _MULTI.items()}
+
+
+@_register("multi_reg_partial_pheno", _sql(f"""
+    select f.marker as term, {_r('beta')} as beta, {_r('se')} as se, {_r('p * (select count(*) from fit)')} as p, df, {_r('sse', 4)} as sse
+    from fit f join pval v on v.id = f.marker""", "kept", "pheno", extra=_some_multi() | _tail("select marker as id, beta / se as t, df from fit")))
+def _(spark, sf):
+    fit = regression.multi_reg(_terms(_kept(spark, sf)[0]), _some_pheno(spark, sf))
+    return fit.select("term", *(_rd(c).alias(c) for c in ("beta", "se", "p")), "df", _rd("sse", 4).alias("sse"))
+
+
 @_register("squared_residuals", _sql(f"""
     select iid, {_r('(y - yhat) * (y - yhat)', 5)} as res from pheno join (
         select iid, sum(v * beta) as yhat from cell join fit using (marker) group by iid) using (iid)""",
@@ -885,8 +912,8 @@ def _(spark, sf):
 @_register("kinship_merge", _sql(f"select i, j, {_r('k')} as k, (select count(*) from params)::double as n_snps from kin", "kin", "params"))
 def _(spark, sf):
     kept = _kept(spark, sf)[0]
-    halves = [kinship.kinship_additive(kept.filter(c)) for c in ("marker < 32", "marker >= 32")]
-    return kinship.merge_kinships(halves).select("i", "j", _rd("k").alias("k"), "n_snps")
+    halves = [kinship.kinship_additive(kept.filter(c), form="tiles") for c in ("marker < 32", "marker >= 32")]
+    return grm_tiles.pairs(kinship.merge_kinships(halves)).select("i", "j", _rd("k").alias("k"), "n_snps")
 
 
 @_register("kinship_covariates", _sql(f"""
@@ -901,7 +928,7 @@ def _(spark, sf):
     select count(*) filter (where i = j) as n, {_r('sum(k) filter (where i = j)', 4)} as trace,
         {_r('sum(case when i = j then k * k else 2 * k * k end)', 4)} as sum_sq from kin""", "kin"))
 def _(spark, sf):
-    t = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0]))
+    t = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0], form="tiles"))
     return t.select("n", _rd("trace", 4).alias("trace"), _rd("sum_sq", 4).alias("sum_sq"))
 
 
@@ -968,8 +995,8 @@ _HE = _he_sql(_ADD_EPI, 2)
             unnest([s_0_0, s_0_1, s_0_2, s_0_3, s_1_1, s_1_2, s_1_3, s_2_2, s_2_3, s_3_3]) as s from m)""",
                                     "kin", "phz", extra={k: _HE[k] for k in ("pairs", "m")}))
 def _(spark, sf):
-    pairs, names = he.he_pairs(kinship.kinship_additive(_kept(spark, sf)[0]), _phz(spark, sf), epi=2)
-    return he.cross_products(pairs, names).select("a", "b", _rd("s", 2).alias("s"))
+    grm = kinship.kinship_additive(_kept(spark, sf)[0], form="tiles")
+    return he.cross_products(grm, _phz(spark, sf), epi=2).select("a", "b", _rd("s", 2).alias("s"))
 
 
 @_register("he_crossproducts_fused", _ORACLES["he_crossproducts"])
@@ -979,8 +1006,9 @@ def _(spark, sf):
 
 def _he(spark, sf, residual=False, dominance=False):
     kept = _kept(spark, sf)[0]
-    dom = kinship.kinship_dominance(kept) if dominance else None
-    return jobs.variance_components(fx.pheno(spark, sf), kinship.kinship_additive(kept), 2, dom, residual)
+    if dominance:
+        return he.he_regression_from_genotypes(kept, _phz(spark, sf), 2, residual, dominance=True)
+    return jobs.variance_components(fx.pheno(spark, sf), kinship.kinship_additive(kept, form="tiles"), 2, None, residual)
 
 
 @_register("he_models", _sql(f"""
@@ -1020,8 +1048,42 @@ def _(spark, sf):
     select raw.i, raw.j, x1, x2, dk.k as x3, ck.k as x4, z from raw
     join dk on dk.i = raw.i and dk.j = raw.j join ck on ck.i = raw.i and ck.j = raw.j""", 4)))
 def _(spark, sf):
-    pairs, names = he.pairs_from_genotypes(_kept(spark, sf)[0], _phz(spark, sf), 2, True, fx.covariates(spark, sf))
-    return _rounded_parts(he.he_single(pairs, names, 1.0, he.component_labels(2, True, ["covariates"]))[1])
+    fit = he.he_regression_from_genotypes(_kept(spark, sf)[0], _phz(spark, sf), 2, dominance=True, covariates=fx.covariates(spark, sf), only_full=True)
+    return _rounded_parts(fit[1])
+
+
+# Where some have no phenotype, everything runs over the others: their marker scales, their pairs, the spread of y.
+_SOME = {
+    "some_y": "select iid, y from pheno where iid % 3 <> 0",
+    "some_kept": "select * from kept where iid in (select iid from some_y)",
+    "some_phz": "select iid, (y - avg(y) over ()) / stddev_pop(y) over () as y from some_y",
+}
+_SOME_KIN = _SOME | {
+    "some_z": """
+        select iid, marker, (g - avg(g) over w) / case when stddev_pop(g) over w = 0 then 1 else stddev_pop(g) over w end as z
+        from some_kept window w as (partition by marker)""",
+    "some_kin": """
+        select a.iid as i, b.iid as j, sum(a.z * b.z) / (select count(distinct marker) from some_z) as k
+        from some_z a join some_z b on a.marker = b.marker and b.iid <= a.iid group by a.iid, b.iid""",
+}
+
+
+def _some_pheno(spark, sf):
+    """The phenotype without every third individual's value."""
+    return fx.pheno(spark, sf).select("iid", F.expr("if(iid % 3 = 0, null, y)").alias("y"))
+
+
+@_register("he_partial_pheno", _sql(_he_parts(he.component_labels(2)), "kept", "pheno", extra=_SOME_KIN | _he_sql(
+    _ADD_EPI.replace("kin.", "some_kin.").replace("from kin", "from some_kin").replace("phz", "some_phz"), 2)))
+def _(spark, sf):
+    return _rounded_parts(jobs.variance_components_from_genotypes(_kept(spark, sf)[0], _some_pheno(spark, sf), 2)[1])
+
+
+@_register("he_stored_partial_pheno", _sql(_he_parts(he.component_labels(2)), "kin", "kept", "pheno", extra=_SOME | _he_sql(
+    _ADD_EPI.replace("phz", "some_phz"), 2)))
+def _(spark, sf):
+    grm = kinship.kinship_additive(_kept(spark, sf)[0], form="tiles")
+    return _rounded_parts(jobs.variance_components(_some_pheno(spark, sf), grm, 2)[1])
 
 
 # The likelihood of blocks ``blk(blk, g, b, yy, n, df)`` (g = Z'Z / m, b = Z'y) at many shrinkages, by
@@ -1131,7 +1193,7 @@ def _(spark, sf):
         select (count(*) filter (where i = j))::double as n, sum(k) filter (where i = j) as tr,
             sum(case when i = j then k * k else 2 * k * k end) as ss from kin)""", "kin"))
 def _(spark, sf):
-    traces = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0]))
+    traces = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0], form="tiles"))
     return reml.h2_se_from_traces(traces).select(_rd("h2_se").alias("h2_se"))
 
 

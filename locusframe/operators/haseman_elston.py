@@ -1,7 +1,10 @@
 """Haseman-Elston regression of squared phenotype differences on relatedness.
 
-Every nested model follows from one cross-product matrix over pairs, which is a single aggregate
-over the stored triangle; no pair design matrix is kept and only (k + 2)^2 sums reach the driver.
+Every nested model follows from one cross-product matrix over pairs, whose (k + 2)^2 sums are all that reaches the driver. They come from
+stored matrices tile by tile, or straight from genotypes and covariates: the tile tables of all components stream
+through one product, and each block of pairs is reduced where it is computed. No pair is ever a row.
+
+The people of a fit are those with a phenotype who are in all matrices.
 """
 
 from __future__ import annotations
@@ -12,91 +15,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators.kinship import covariate_kinship, kinship_additive, kinship_dominance
+from locusframe.operators import grm_tiles
+from locusframe.operators.kinship import covariate_stats
 from locusframe.operators.regression import solve_least_squares
-from locusframe.operators.tiles import row_gram, tile_table, with_side
-from locusframe.operators.transform import scale_params
+from locusframe.operators.tiles import row_gram, stacked, tile_table, with_side
+from locusframe.operators.transform import dominance_recode, scale_params
 from locusframe.session import materialise
 
 SIGNIFICANT = 0.05
 
 
-def he_pairs(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
-             extra: list[DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
-    """Predictor columns ``x1..xk`` and outcome ``z = (y_i - y_j)^2`` for every pair j < i.
+def _labels(names: list[str]) -> list[str]:
+    return ["1", *names, "z"]
+
+
+def _products(columns: list[np.ndarray], z: np.ndarray) -> np.ndarray:
+    """Upper triangle of the products of (1, columns.., z), flat."""
+    design = np.stack([np.ones_like(z), *columns, z])
+    return (design @ design.T)[np.triu_indices(len(design))]
+
+
+def _components(matrices: list[np.ndarray], epi: int) -> list[np.ndarray]:
+    """The first matrix, its powers 2..epi, and the others."""
+    return [matrices[0], *(matrices[0] ** k for k in range(2, epi + 1)), *matrices[1:]]
+
+
+def _sum_rows(spark, sums: np.ndarray, names: list[str]) -> DataFrame:
+    labels = _labels(names)
+    a, b = np.triu_indices(len(labels))
+    return spark.createDataFrame([(labels[i], labels[j], float(s)) for i, j, s in zip(a, b, sums)], "a string, b string, s double")
+
+
+def component_names(epi: int, further: int = 0) -> list[str]:
+    return [f"x{k}" for k in range(1, epi + further + 1)]
 
-    Order: additive, its powers 2..epi, dominance, further matrices. The phenotype joins twice on
-    ids; Spark broadcasts it while it is small.
+
+def cross_products(grm: DataFrame, pheno: DataFrame, epi: int = 1, further: list[DataFrame] | None = None) -> DataFrame:
+    """Sums of products of (1, x1..xk, z) over all pairs j < i of stored matrices as rows ``(a, b, s)``, ``a <= b``.
+
+    x1 is the value of ``grm``, then come its powers 2..epi and the values of ``further`` matrices; ``z = (y_i - y_j)^2``. Matrices are tile
+    tables, or long rows that are packed into tiles first.
     """
-    pairs = grm.filter("j < i").select("i", "j", F.col("k").alias("x1"))
-    names = ["x1"]
-    for power in range(2, epi + 1):
-        names.append(f"x{power}")
-        pairs = pairs.withColumn(names[-1], F.pow("x1", F.lit(float(power))))
-    for other in ([dominance] if dominance is not None else []) + list(extra or []):
-        names.append(f"x{len(names) + 1}")
-        pairs = pairs.join(other.select("i", "j", F.col("k").alias(names[-1])), ["i", "j"])
-    left = pheno.select(F.col("iid").alias("i"), F.col("y").alias("_yi"))
-    right = pheno.select(F.col("iid").alias("j"), F.col("y").alias("_yj"))
-    diff = F.col("_yi") - F.col("_yj")
-    return pairs.join(left, "i").join(right, "j").select("i", "j", *names, (diff * diff).alias("z")), names
-
-
-def pairs_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1, dominance: bool = False,
-                         covariates: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """The same pairs straight from genotypes (and covariates as a further component)."""
-    dom = kinship_dominance(geno) if dominance else None
-    extra = [covariate_kinship(covariates)] if covariates is not None else None
-    return he_pairs(kinship_additive(geno), pheno, epi, dom, extra)
-
-
-def cross_products(pairs: DataFrame, names: list[str]) -> DataFrame:
-    """Sums of products of (1, x1..xk, z) over all pairs as rows ``(a, b, s)``, ``a <= b``."""
-    cols = [F.lit(1.0), *(F.col(c) for c in names), F.col("z")]
-    labels = ["1", *names, "z"]
-    cells = [(a, b) for a in range(len(cols)) for b in range(a, len(cols))]
-    sums = pairs.agg(*(F.sum(cols[a] * cols[b]).alias(f"s_{a}_{b}") for a, b in cells))
-    return sums.select(F.explode(F.array(*(
-        F.struct(F.lit(labels[a]).alias("a"), F.lit(labels[b]).alias("b"), F.col(f"s_{a}_{b}").alias("s"))
-        for a, b in cells))).alias("c")).select("c.a", "c.b", "c.s")
-
-
-def _people(geno: DataFrame, pheno: DataFrame) -> DataFrame:
-    """Those with any genotype and a phenotype: ``iid, y``."""
-    return materialise(pheno.filter(F.col("y").isNotNull()).select("iid", "y").join(geno.select("iid").distinct(), "iid", "left_semi"))
-
-
-def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1) -> DataFrame:
-    """The additive and epistatic sums straight from genotypes: blocks of the relationship matrix are
-    reduced where they are computed, and no pair is ever written.
-
-    The people are those with genotypes and a phenotype, also for the scale of the markers. The phenotypes travel in
-    blocks beside the tiles.
+    matrices = [grm_tiles.tiled(g) for g in [grm, *(further or [])]]
+    joined = matrices[0].select("rb", "cb", F.col("k").alias("k0"))
+    for c, other in enumerate(matrices[1:], 1):
+        joined = joined.join(other.select("rb", "cb", F.col("k").alias(f"k{c}")), ["rb", "cb"])
+    names = component_names(epi, len(matrices) - 1)
+    count = len(matrices)
+
+    def of(row: dict) -> np.ndarray:
+        values = [grm_tiles.values_of(row[f"k{c}"]) for c in range(count)]
+        z = (np.frombuffer(row["vi"])[:, None] - np.frombuffer(row["vj"])[None]) ** 2
+        known = ~np.isnan(z)
+        for v in values:
+            known &= ~np.isnan(v)
+        known &= (row["rb"] * grm_tiles.TILE_ROWS + np.arange(grm_tiles.TILE_ROWS))[:, None] != (
+            row["cb"] * grm_tiles.TILE_COLS + np.arange(grm_tiles.TILE_COLS))[None]
+        return _products(_components([v[known] for v in values], epi), z[known])
+
+    cells = len(np.triu_indices(len(names) + 2)[0])
+    sums = grm_tiles.summed(grm_tiles.beside(joined, pheno, "y"), of, [str(c) for c in range(cells)])
+    return _sum_rows(grm.sparkSession, np.array(list(sums.values())), names)
+
+
+def people(geno: DataFrame, pheno: DataFrame, covariates: DataFrame | None = None) -> DataFrame:
+    """Those with any genotype, a phenotype and every covariate: ``iid, y``."""
+    known = pheno.filter(F.col("y").isNotNull()).select("iid", "y").join(geno.select("iid").distinct(), "iid", "left_semi")
+    if covariates is not None:
+        known = known.join(complete_cases(covariates), "iid", "left_semi")
+    return materialise(known)
+
+
+def complete_cases(covariates: DataFrame) -> DataFrame:
+    """``iid`` of those with a value of every covariate."""
+    given = covariates.where("value is not null")
+    many = given.agg(F.countDistinct("cov")).first()[0]
+    return given.groupBy("iid").agg(F.countDistinct("cov").alias("_n")).where(F.col("_n") == many).select("iid")
+
+
+def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1, dominance: bool = False,
+                                  covariates: DataFrame | None = None) -> DataFrame:
+    """The same sums straight from genotypes: blocks of all relationship matrices are reduced where they are computed, and no pair is ever written.
+
+    Components: additive, its powers 2..epi, dominance, covariates ``(iid, cov, value)``. The people are those with genotypes, a phenotype and
+    all covariates, also for the scale of the markers. The phenotypes travel in blocks beside the tiles.
     """
-    names = [f"x{k}" for k in range(1, epi + 1)]
-    people = _people(geno, pheno)
-    cells = geno.join(people.select("iid"), "iid", "left_semi")
-    params = materialise(scale_params(cells))
-    p = params.count()
+    known = people(geno, pheno, covariates)
+    cells = geno.join(known.select("iid"), "iid", "left_semi")
+    tables, sizes = [], []
+    for source in [cells, *([dominance_recode(cells)] if dominance else [])]:
+        params = materialise(scale_params(source))
+        sizes.append(params.count())
+        tables.append(tile_table(source, "iid", "marker", "dosage", stats=params))
+    if covariates is not None:
+        given = covariates.where("value is not null").join(known.select("iid"), "iid", "left_semi").select(
+            "iid", "cov", F.col("value").cast("double").alias("value"))
+        stats = covariate_stats(given)
+        sizes.append(stats.count())
+        tables.append(tile_table(given, "iid", "cov", "value", stats=stats))
+    many = len(tables)
+    names = component_names(epi, many - 1)
 
     def sums(i, j, block, yi, yj):
+        block = block[None] if many == 1 else block
         keep = j[None] < i[:, None]
-        x = block[keep] / p
         z = ((yi[:, None] - yj[None]) ** 2)[keep]
-        columns = np.stack([np.ones_like(x), *(x ** k for k in range(1, epi + 1)), z])
-        m = columns @ columns.T
-        a, b = np.triu_indices(len(m))
-        return pa.record_batch({"a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "s": m[a, b]})
+        s = _products(_components([block[c][keep] / sizes[c] for c in range(many)], epi), z)
+        return pa.record_batch({"label": pa.array(range(len(s)), pa.int32()), "s": s})
 
-    tiles = materialise(with_side(tile_table(cells, "iid", "marker", "dosage", stats=params), people, "iid", "y"))
-    parts = row_gram(tiles, emit=sums, schema="a int, b int, s double")
-    label = F.array(*(F.lit(c) for c in ("1", *names, "z")))
-    return parts.groupBy("a", "b").agg(F.sum("s").alias("s")).select(
-        F.element_at(label, F.col("a") + 1).alias("a"), F.element_at(label, F.col("b") + 1).alias("b"), "s")
+    tiles = stacked(tables) if many > 1 else tables[0]
+    tiles = materialise(with_side(tiles, known, "iid", "y"))
+    parts = row_gram(tiles, emit=sums, schema="label int, s double", parts=many)
+    found = {r.label: r.s for r in parts.groupBy("label").agg(F.sum("s").alias("s")).collect()}
+    cells_of = len(np.triu_indices(len(names) + 2)[0])
+    return _sum_rows(geno.sparkSession, np.array([found.get(c, 0.0) for c in range(cells_of)]), names)
 
 
 def cross_product_matrix(sums: DataFrame, names: list[str]) -> np.ndarray:
-    where = {label: k for k, label in enumerate(["1", *names, "z"])}
+    where = {label: k for k, label in enumerate(_labels(names))}
     m = np.zeros((len(where), len(where)))
     for a, b, s in sums.collect():
         m[where[a], where[b]] = m[where[b], where[a]] = s
@@ -140,31 +176,36 @@ MODEL_SCHEMA = "components int, bic double, h2 double, h2_lb double, h2_ub doubl
 PART_SCHEMA = "components int, component int, label string, vc double, p double, vc_se double"
 
 
-def he_regression(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
-                  residual: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All nested variance-component models: ``vc_model`` and ``vc_component`` tables."""
-    spark = grm.sparkSession
-    pairs, names = he_pairs(grm, pheno, epi, dominance)
-    m = cross_product_matrix(cross_products(pairs, names), names)
-    if residual:
-        m = residualise(m)
-    var_y = pheno.agg(F.var_pop("y")).first()[0]
-    models, parts = fit_models(m, var_y, component_labels(epi, dominance is not None))
+def _tables(spark, sums: DataFrame, names: list[str], var_y: float, labels: list[str], residual: bool, smallest: int) -> tuple[DataFrame, DataFrame]:
+    m = cross_product_matrix(sums, names)
+    models, parts = fit_models(residualise(m) if residual else m, var_y, labels, smallest)
     return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)
 
 
-def he_single(pairs: DataFrame, names: list[str], var_y: float, labels: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The one model with all components."""
-    spark = pairs.sparkSession
-    models, parts = fit_models(cross_product_matrix(cross_products(pairs, names), names), var_y, labels, len(names))
-    return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)
-
+def he_regression(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
+                  residual: bool = False, further: list[DataFrame] | None = None, labels: list[str] | None = None,
+                  only_full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Variance-component models of stored matrices: ``vc_model`` and ``vc_component`` tables.
 
-def he_regression_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1,
-                                 residual: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All nested additive and epistatic models without a stored relationship matrix."""
-    spark, names = geno.sparkSession, [f"x{k}" for k in range(1, epi + 1)]
-    m = cross_product_matrix(cross_products_from_genotypes(geno, pheno, epi), names)
-    var_y = _people(geno, pheno).agg(F.var_pop("y")).first()[0]
-    models, parts = fit_models(residualise(m) if residual else m, var_y, component_labels(epi))
-    return spark.createDataFrame(models, MODEL_SCHEMA), spark.createDataFrame(parts, PART_SCHEMA)
+    All nested models, or with ``only_full`` the one with all components. ``further`` matrices have their ``labels``.
+    """
+    others = [*([dominance] if dominance is not None else []), *(further or [])]
+    matrices = [grm_tiles.tiled(g) if grm_tiles.is_tiled(g) else materialise(grm_tiles.tiled(g)) for g in [grm, *others]]
+    known = pheno.filter(F.col("y").isNotNull()).select("iid", "y")
+    for m in matrices:
+        known = known.join(grm_tiles.individuals(m), "iid", "left_semi")
+    known = materialise(known)
+    names = component_names(epi, len(others))
+    var_y = known.agg(F.var_pop("y")).first()[0]
+    return _tables(grm.sparkSession, cross_products(matrices[0], known, epi, matrices[1:]), names, var_y,
+                   component_labels(epi, dominance is not None, labels), residual, len(names) if only_full else 0)
+
+
+def he_regression_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1, residual: bool = False, dominance: bool = False,
+                                 covariates: DataFrame | None = None, only_full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same models without a stored relationship matrix; covariates are a further component."""
+    names = component_names(epi, dominance + (covariates is not None))
+    sums = cross_products_from_genotypes(geno, pheno, epi, dominance, covariates)
+    var_y = people(geno, pheno, covariates).agg(F.var_pop("y")).first()[0]
+    labels = component_labels(epi, dominance, ["covariates"] if covariates is not None else None)
+    return _tables(geno.sparkSession, sums, names, var_y, labels, residual, len(names) if only_full else 0)

@@ -1,36 +1,52 @@
-"""Relationship matrices as tables ``grm(i, j, k, n_snps)`` with ``j <= i``."""
+"""Relationship matrices, as symmetric tile tables (``form="tiles"``, see ``grm_tiles``) or as long rows ``grm(i, j, k, n_snps)``, ``j <= i``."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import maf_score
+from locusframe.operators import grm_tiles
 from locusframe.operators.qc import drop_zero_weights
 from locusframe.operators.tiles import gram, row_gram, with_stats
 from locusframe.operators.transform import dominance_recode, scale_params
 from locusframe.session import materialise
 
 
-def kinship_additive(geno: DataFrame) -> DataFrame:
+def _finish(value: Callable[[np.ndarray], np.ndarray], n_snps: float, form: str) -> dict:
+    """How ``row_gram`` writes a matrix whose values are a function of products."""
+    if form == "tiles":
+        return {"emit": grm_tiles.tile_writer(value, n_snps), "schema": grm_tiles.SCHEMA}
+    if form != "pairs":
+        raise ValueError(f"unknown form {form}")
+
+    def emit(i: np.ndarray, j: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        at_i, at_j = np.nonzero(j[None] <= i[:, None])
+        k = value(block)[at_i, at_j]
+        return pa.record_batch({"i": i[at_i], "j": j[at_j], "k": k, "n_snps": np.full(len(k), n_snps)})
+
+    return {"emit": emit, "schema": "i long, j long, k double, n_snps double"}
+
+
+def kinship_additive(geno: DataFrame, form: str = "pairs") -> DataFrame:
     """Mean product of z-scores over markers, for every pair of individuals and the diagonal."""
     params = materialise(scale_params(geno))
     p = params.count()
-    return gram(geno, "iid", "marker", "dosage", params).select(
-        "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
+    return gram(geno, "iid", "marker", "dosage", params, **_finish(lambda s: s / p, float(p), form))
 
 
-def kinship_from_tiles(tiles: DataFrame, params: DataFrame) -> DataFrame:
+def kinship_from_tiles(tiles: DataFrame, params: DataFrame, form: str = "pairs") -> DataFrame:
     """The additive matrix from a stored tile table and the parameters of the markers to use."""
     p = params.count()
-    return row_gram(materialise(with_stats(tiles, params))).select(
-        "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
+    return row_gram(materialise(with_stats(tiles, params)), **_finish(lambda s: s / p, float(p), form))
 
 
-def kinship_dominance(geno: DataFrame) -> DataFrame:
-    return kinship_additive(dominance_recode(geno))
+def kinship_dominance(geno: DataFrame, form: str = "pairs") -> DataFrame:
+    return kinship_additive(dominance_recode(geno), form)
 
 
 def marker_weights(report: DataFrame, ld_weights: DataFrame | None = None,
@@ -44,7 +60,8 @@ def marker_weights(report: DataFrame, ld_weights: DataFrame | None = None,
     return drop_zero_weights(out)
 
 
-def kinship_weighted(geno: DataFrame, weights: DataFrame, mode: str = "post", dominance: bool = False) -> DataFrame:
+def kinship_weighted(geno: DataFrame, weights: DataFrame, mode: str = "post", dominance: bool = False,
+                     form: str = "pairs") -> DataFrame:
     """Relationship matrix with marker weights ``(marker, w)``.
 
     ``mode='reference'`` scales columns before they are standardised, where positive weights
@@ -54,13 +71,12 @@ def kinship_weighted(geno: DataFrame, weights: DataFrame, mode: str = "post", do
     source = dominance_recode(geno) if dominance else geno
     used = materialise(drop_zero_weights(weights))
     if mode == "reference":
-        return kinship_additive(source.join(used.select("marker"), "marker", "left_semi"))
+        return kinship_additive(source.join(used.select("marker"), "marker", "left_semi"), form)
     params = materialise(scale_params(source).join(used, "marker").select(
         "marker", "mean", (F.col("sd") / F.sqrt("w")).alias("sd"), "w"))
     total, p = params.agg(F.sum("w"), F.count(F.lit(1))).first()
     cells = source.join(params.select("marker"), "marker", "left_semi")
-    return gram(cells, "iid", "marker", "dosage", params).select(
-        "i", "j", (F.col("s") / F.lit(total)).alias("k"), F.lit(float(p)).alias("n_snps"))
+    return gram(cells, "iid", "marker", "dosage", params, **_finish(lambda s: s / total, float(p), form))
 
 
 def euclidean_distance(geno: DataFrame) -> DataFrame:
@@ -68,41 +84,46 @@ def euclidean_distance(geno: DataFrame) -> DataFrame:
     return gram(geno, "iid", "marker", "dosage", distance=True).select("i", "j", F.sqrt("s").alias("d"))
 
 
-def kinship_gaussian(geno: DataFrame, theta: float = 0.5) -> DataFrame:
+def kinship_gaussian(geno: DataFrame, theta: float = 0.5, form: str = "pairs") -> DataFrame:
     """Gaussian kernel of the distance between z-scored individuals, scaled by marker count."""
     params = materialise(scale_params(geno))
     p = params.count()
-    d2 = gram(geno, "iid", "marker", "dosage", params, distance=True)
-    return d2.select("i", "j", F.exp(-F.col("s") / F.lit(4.0 * p * theta * theta)).alias("k"),
-                     F.lit(float(p)).alias("n_snps"))
+    return gram(geno, "iid", "marker", "dosage", params, distance=True,
+                **_finish(lambda s: np.exp(-s / (4.0 * p * theta * theta)), float(p), form))
 
 
 def merge_kinships(grms: list[DataFrame]) -> DataFrame:
-    """Average weighted by SNP counts over the pairs of ids present in all matrices."""
-    stacked = reduce(DataFrame.unionByName, [g.select("i", "j", "k", "n_snps") for g in grms])
-    return stacked.groupBy("i", "j").agg(
-        (F.sum(F.col("k") * F.col("n_snps")) / F.sum("n_snps")).alias("k"), F.sum("n_snps").alias("n_snps"),
-        F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == len(grms)).drop("_c")
+    """Average weighted by SNP counts over the pairs of ids present in all matrices. Tile tables give a tile table, and long rows
+    long rows; both meet tile by tile."""
+    merged = grm_tiles.merge([grm_tiles.tiled(g) for g in grms])
+    return merged if all(map(grm_tiles.is_tiled, grms)) else grm_tiles.pairs(merged)
 
 
-def covariate_kinship(covariates: DataFrame) -> DataFrame:
-    """Relationship by z-scored covariates ``(iid, cov, value)``; ``cov`` is an integer position."""
-    stats = materialise(covariates.groupBy("cov").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("_sd")).select(
+def covariate_stats(covariates: DataFrame) -> DataFrame:
+    """Mean and sd of each covariate, stored; a zero sd becomes 1."""
+    return materialise(covariates.groupBy("cov").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("_sd")).select(
         "cov", "mean", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd")).alias("sd")))
+
+
+def covariate_kinship(covariates: DataFrame, form: str = "pairs") -> DataFrame:
+    """Relationship by z-scored covariates ``(iid, cov, value)``; ``cov`` is an integer position."""
+    stats = covariate_stats(covariates)
     p = stats.count()
     cells = covariates.select("iid", "cov", F.col("value").cast("double").alias("value"))
-    return gram(cells, "iid", "cov", "value", stats).select(
-        "i", "j", (F.col("s") / p).alias("k"), F.lit(float(p)).alias("n_snps"))
+    return gram(cells, "iid", "cov", "value", stats, **_finish(lambda s: s / p, float(p), form))
 
 
 def epistasis(grm: DataFrame, power: int) -> DataFrame:
     """Element-wise power of a relationship matrix."""
+    if grm_tiles.is_tiled(grm):
+        return grm_tiles.power(grm, power)
     return grm.withColumn("k", F.pow("k", F.lit(float(power))))
 
 
 def trace_stats(grm: DataFrame) -> DataFrame:
-    """n, trace and sum of squares over the full symmetric matrix, from the stored triangle."""
+    """n, trace and sum of squares over the full symmetric matrix, from tiles or from the stored triangle."""
+    if grm_tiles.is_tiled(grm):
+        return grm_tiles.trace_stats(grm)
     off = F.col("i") != F.col("j")
     return grm.agg(
         F.count_if(~off).alias("n"),

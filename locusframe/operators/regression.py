@@ -21,12 +21,12 @@ INTERCEPT = -1
 
 
 def association_sums(geno: DataFrame, pheno: DataFrame, sparse: bool = False) -> DataFrame:
-    """n, Sx, Sy, Sxx, Sxy, Syy per marker. ``sparse``: zero cells are left out of ``geno``.
+    """n, Sx, Sy, Sxx, Sxy, Syy per marker, over those with a phenotype. ``sparse``: zero cells are left out of ``geno``.
 
     The phenotype is stored first, so that its size decides between broadcasting it and shuffling
     the genotypes.
     """
-    pheno = materialise(pheno.select("iid", "y"))
+    pheno = materialise(pheno.where("y is not null").select("iid", "y"))
     x, y = observed("dosage").cast("double"), F.col("y")
     joined = geno.join(pheno, "iid")
     if not sparse:
@@ -106,7 +106,7 @@ def multi_reg(cells: DataFrame, pheno: DataFrame, bonferroni: bool = True, add_i
     One row per coefficient (term -1 is the intercept) with beta, se, t, p, df, sse and mse.
     """
     x = cells.select("iid", (F.col("term") + 2).alias("term"), F.col("value").cast("double").alias("value"))
-    rows = materialise(pheno.select("iid", "y").join(cells.select("iid").distinct(), "iid", "left_semi"))
+    rows = materialise(pheno.where("y is not null").select("iid", "y").join(cells.select("iid").distinct(), "iid", "left_semi"))
     x = x.join(rows.select("iid"), "iid", "left_semi")
     terms = cells.select("term").distinct().limit(MAX_DRIVER_SIDE + 1).toPandas()["term"].to_numpy()
     stacked = x.unionByName(rows.select("iid", F.lit(0).alias("term"), F.col("y").alias("value")))
@@ -142,8 +142,9 @@ def linear_predictor(cells: DataFrame, coefs: DataFrame) -> DataFrame:
 
 
 def squared_residuals(cells: DataFrame, pheno: DataFrame, coefs: DataFrame) -> DataFrame:
+    """Squared difference of y and its prediction, of those with a phenotype."""
     yhat = linear_predictor(cells, coefs)
-    return yhat.join(pheno, "iid").select("iid", F.pow(F.col("y") - F.col("yhat"), F.lit(2.0)).alias("res"))
+    return yhat.join(pheno.where("y is not null"), "iid").select("iid", F.pow(F.col("y") - F.col("yhat"), F.lit(2.0)).alias("res"))
 
 
 def predict_significant(cells: DataFrame, coefs: DataFrame, only_significant: bool = True,

@@ -17,6 +17,7 @@ of blocks, not a pair of individuals.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,19 +179,19 @@ def block_counts(tiles: DataFrame) -> tuple[int, int]:
 class _PairProduct:
     """Running product of two super-blocks while their tiles stream by in column order."""
 
-    def __init__(self, hi: int, lo: int, span: int, rows: int, cols: int):
+    def __init__(self, hi: int, lo: int, span: int, rows: int, cols: int, parts: int = 1):
         self.hi, self.lo, self.span, self.rows, self.cols = hi, lo, span, rows, cols
         size = span * rows
-        self.acc = np.zeros((size, size))
+        self.acc = np.zeros((parts, size, size))
         self.norm = {hi: np.zeros(size), lo: np.zeros(size)}
         self.seen = {hi: np.zeros(size, bool), lo: np.zeros(size, bool)}
         self.side = {hi: np.zeros(size), lo: np.zeros(size)}
-        self.cb, self.tiles = None, {}
+        self.at, self.tiles = None, {}
 
-    def take(self, cb, rb, x, mu, inv, side=None):
-        if cb != self.cb:
+    def take(self, part, cb, rb, x, mu, inv, side=None):
+        if (part, cb) != self.at:
             self.fold()
-            self.cb = cb
+            self.at = (part, cb)
         values, present, _ = decode(x, mu, inv, self.rows, self.cols)
         block, at = rb // self.span, (rb % self.span) * self.rows
         self.tiles[(block, at)] = values
@@ -206,20 +207,20 @@ class _PairProduct:
                 continue
             for (other, to), right in self.tiles.items():
                 if other == self.lo and (self.hi != self.lo or to <= at):
-                    self.acc[at:at + r, to:to + r] += left @ right.T
+                    self.acc[self.at[0], at:at + r, to:to + r] += left @ right.T
         self.tiles = {}
 
     def stripes(self, distance: bool):
         """(first row, values, rows present, columns present, numbers of rows, of columns) of every stripe with a present row."""
         self.fold()
         hi, lo = self.hi, self.lo
-        for first in range(0, len(self.acc), STRIPE):
+        for first in range(0, self.acc.shape[1], STRIPE):
             rows = slice(first, first + STRIPE)
             if self.seen[hi][rows].any():
-                part = self.acc[rows]
+                block = self.acc[:, rows]
                 if distance:
-                    part = self.norm[hi][rows, None] + self.norm[lo][None] - 2.0 * part
-                yield first, part, self.seen[hi][rows], self.seen[lo], self.side[hi][rows], self.side[lo]
+                    block = self.norm[hi][rows, None] + self.norm[lo][None] - 2.0 * block
+                yield first, block, self.seen[hi][rows], self.seen[lo], self.side[hi][rows], self.side[lo]
 
 
 def pair_rows(i: np.ndarray, j: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
@@ -229,22 +230,31 @@ def pair_rows(i: np.ndarray, j: np.ndarray, block: np.ndarray) -> pa.RecordBatch
     return pa.record_batch({"i": gi[keep], "j": gj[keep], "s": block[keep]})
 
 
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """Several tile tables over the same rows as one, with their number in a column ``part``."""
+    whole = [t.withColumn("part", F.lit(k)) for k, t in enumerate(tables)]
+    return reduce(DataFrame.unionByName, whole)
+
+
 def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: bool = False,
-             emit: Callable = pair_rows, schema: str = "i long, j long, s double") -> DataFrame:
+             emit: Callable = pair_rows, schema: str = "i long, j long, s double", parts: int = 1) -> DataFrame:
     """``X X'`` of a stored tile table as long rows ``(i, j, s)`` with ``j <= i``, or with ``distance`` the
     squared distances of rows.
 
     ``emit(i, j, block)`` turns a block of finished results into rows of ``schema``; another one than
     the default can reduce a block on the spot instead of writing out its pairs. With tiles of ``with_side``
-    it also gets the numbers of the rows i and of the rows j.
+    it also gets the numbers of the rows i and of the rows j. The products of ``parts`` ``stacked`` tables are taken in one
+    stream, and a block then holds one matrix for each of them.
     """
+    if parts == 1:
+        tiles = tiles.withColumn("part", F.lit(0))
     sided = "side" in tiles.columns
     side = ["side"] if sided else []
     spark = tiles.sparkSession
     n_rb, n_cb = block_counts(tiles)
     if n_rb == 0:
         return spark.createDataFrame([], schema)
-    span = max(1, min(SUPER, n_rb // 16))
+    span = max(1, min(int(SUPER / parts**0.5), n_rb // 16))
     n_sb = -(-n_rb // span)
     n_pairs = n_sb * (n_sb + 1) // 2
     n_slabs = max(1, min(n_cb, -(-4 * spark.sparkContext.defaultParallelism // n_pairs)))
@@ -254,13 +264,14 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
     keys = ["hi", "lo", "slab"]
     paired = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_sb - 1)))).select(
         F.greatest(sb, "other").alias("hi"), F.least(sb, "other").alias("lo"),
-        F.floor(F.col("cb") / slab).cast("int").alias("slab"), "cb", "rb", "x", "mu", "inv", *side)
-    ordered = paired.repartition(min(n_pairs * n_slabs, MAX_TASKS), *keys).sortWithinPartitions(*keys, "cb", "rb")
+        F.floor(F.col("cb") / slab).cast("int").alias("slab"), "part", "cb", "rb", "x", "mu", "inv", *side)
+    ordered = paired.repartition(min(n_pairs * n_slabs, MAX_TASKS), *keys).sortWithinPartitions(*keys, "part", "cb", "rb")
 
     def finish(hi, lo, first, block, seen_hi, seen_lo, side_hi, side_lo):
         at_i, at_j = np.flatnonzero(seen_hi), np.flatnonzero(seen_lo)
         i, j = hi * span * rows + first + at_i, lo * span * rows + at_j
-        block = block[np.ix_(at_i, at_j)]
+        block = block[np.ix_(range(parts), at_i, at_j)]
+        block = block[0] if parts == 1 else block
         if distance:
             block = np.where(i[:, None] == j[None], 0.0, np.maximum(block, 0.0))
         return emit(i, j, block, side_hi[at_i], side_lo[at_j]) if sided else emit(i, j, block)
@@ -268,13 +279,13 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
     def product_of(batches):
         state, key = None, None
         for batch in batches:
-            columns = (batch.column(n).to_pylist() for n in (*keys, "cb", "rb", "x", "mu", "inv", *side))
-            for hi, lo, s, cb, rb, *tile in zip(*columns):
+            columns = (batch.column(n).to_pylist() for n in (*keys, "part", "cb", "rb", "x", "mu", "inv", *side))
+            for hi, lo, s, part, cb, rb, *tile in zip(*columns):
                 if (hi, lo, s) != key:
                     if state is not None:
                         yield state
-                    state, key = _PairProduct(hi, lo, span, rows, cols), (hi, lo, s)
-                state.take(cb, rb, *tile)
+                    state, key = _PairProduct(hi, lo, span, rows, cols, parts), (hi, lo, s)
+                state.take(part, cb, rb, *tile)
         if state is not None:
             yield state
 
@@ -302,7 +313,7 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
         total, seen_hi, seen_lo, side_hi, side_lo = 0.0, False, False, 0.0, 0.0
         for batch in batches:
             for part, a, b, u, v in zip(*(batch.column(n).to_pylist() for n in ("part", "seen_hi", "seen_lo", "side_hi", "side_lo"))):
-                total = total + np.frombuffer(part).reshape(-1, span * rows)
+                total = total + np.frombuffer(part).reshape(parts, -1, span * rows)
                 a, b = np.frombuffer(a, bool), np.frombuffer(b, bool)
                 if sided:  # a slab knows the numbers of the rows that it has seen
                     side_hi, side_lo = np.where(a, np.frombuffer(u), side_hi), np.where(b, np.frombuffer(v), side_lo)
@@ -310,9 +321,9 @@ def row_gram(tiles: DataFrame, rows: int = ROWS, cols: int = COLS, distance: boo
         yield finish(hi, lo, first, total, seen_hi, seen_lo, side_hi, side_lo)
 
     add.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    parts = ordered.mapInArrow(
+    slabs = ordered.mapInArrow(
         partial, "hi int, lo int, first int, part binary, seen_hi binary, seen_lo binary, side_hi binary, side_lo binary")
-    return parts.groupBy("hi", "lo", "first").applyInArrow(add, schema)
+    return slabs.groupBy("hi", "lo", "first").applyInArrow(add, schema)
 
 
 def gram(cells: DataFrame, row: str, col: str, value: str, stats: DataFrame | None = None,

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.operators import haseman_elston, kinship, network, qc, regression, reml, ridge, sampling, scan, score, transform
+from locusframe.operators import grm_tiles, haseman_elston, kinship, network, qc, regression, reml, ridge, sampling, scan, score, transform
 from locusframe.operators.align import concat_regions, region_order, resolve_rsids
 from locusframe.functions.scalar import MAX_DELTA
 from locusframe.session import materialise
@@ -88,13 +88,26 @@ def heritability(pheno: DataFrame, geno: DataFrame | None = None, grm: DataFrame
     if geno is None:
         raise ValueError("genotypes, a relationship matrix or an eigen summary is required")
     kept, _ = qc.qc_markers(geno)
-    return reml.reml(kept, y, method)
+    return reml.reml(kept, trait(pheno, kept), method, covariates)
+
+
+def trait(pheno: DataFrame, ids: DataFrame) -> DataFrame:
+    """The standardised phenotype of those who have one and are in ``ids(iid)``: who takes no part in a fit has no part in its scale."""
+    known = pheno.where("y is not null").select("iid", "y")
+    return transform.standardise_pheno(known.join(ids.select("iid").distinct(), "iid", "left_semi"))
 
 
 def variance_components(pheno: DataFrame, grm: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
                         residual: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Haseman-Elston models of a stored relationship matrix."""
-    return haseman_elston.he_regression(grm, transform.standardise_pheno(pheno), epi, dominance, residual)
+    """Haseman-Elston models of a stored relationship matrix, in tiles or long rows."""
+    inside = grm_tiles.individuals(grm) if grm_tiles.is_tiled(grm) else grm.where("i = j").select(F.col("i").alias("iid"))
+    return haseman_elston.he_regression(grm, trait(pheno, inside), epi, dominance, residual)
+
+
+def variance_components_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1, dominance: bool = False,
+                                       covariates: DataFrame | None = None, residual: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same models straight from genotypes; covariates are a further component."""
+    return haseman_elston.he_regression_from_genotypes(geno, trait(pheno, geno), epi, residual, dominance, covariates)
 
 
 def region_scan_files(spark: SparkSession, prefix: str, pheno_path: str, out: str, block: int = 50, stride: int = 25) -> None:

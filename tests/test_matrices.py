@@ -2,8 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import square
+from pyspark.sql import functions as F
 
-from locusframe.operators import kinship, qc, tiles, transform
+from locusframe.operators import grm_tiles, kinship, qc, tiles, transform
 
 
 def test_qc_order_and_disabled_checks(spark):
@@ -74,3 +75,28 @@ def test_weights_cancel_before_scaling_and_merge_is_the_whole(spark, panel):
     assert kinship.merge_kinships([parts[0], lost]).filter("i = 5 or j = 5").count() == 0
     t = kinship.trace_stats(kinship.kinship_additive(panel.geno)).first()
     assert abs(t.sum_sq - (k ** 2).sum()) < 1e-8 and abs(t.trace - np.trace(k)) < 1e-9
+
+
+def test_tile_tables_hold_the_same_matrices(spark, panel):
+    """Tiles to pairs and back, powers, kernels, merges with missing individuals, traces: against dense matrices."""
+    k = panel.z @ panel.z.T / panel.p
+    tiles = kinship.kinship_additive(panel.geno, form="tiles")
+    assert np.allclose(square(grm_tiles.pairs(tiles), panel.n), k)
+    shifted = grm_tiles.pairs(tiles).selectExpr("i + 480 as i", "j + 480 as j", "k", "n_snps")  # over a border of tiles
+    back = grm_tiles.from_pairs(shifted)
+    assert back.count() > 1 and np.allclose(square(grm_tiles.pairs(back).selectExpr("i - 480 as i", "j - 480 as j", "k"), panel.n), k)
+    assert sorted(r.iid for r in grm_tiles.individuals(back).collect()) == list(range(480, 480 + panel.n))
+    assert np.allclose(square(grm_tiles.pairs(kinship.epistasis(tiles, 3)), panel.n), k**3)
+    halves = [kinship.kinship_additive(panel.geno.filter(c), form="tiles") for c in ("marker < 9", "marker >= 9")]
+    merged = grm_tiles.pairs(kinship.merge_kinships(halves))
+    assert np.allclose(square(merged, panel.n), k) and merged.where(f"n_snps <> {panel.p}").count() == 0
+    few = kinship.kinship_additive(panel.geno.filter("marker >= 9 and iid <> 5"), form="tiles")
+    assert grm_tiles.pairs(kinship.merge_kinships([halves[0], few])).where("i = 5 or j = 5").count() == 0
+    counted = grm_tiles.pairs(tiles).withColumn("n_snps", 1.0 + (F.col("i") + F.col("j")) % 3)  # a count per pair
+    assert grm_tiles.pairs(grm_tiles.from_pairs(counted)).exceptAll(counted).count() == 0
+    t, dense = kinship.trace_stats(back).first(), (k**2).sum()
+    assert t.n == panel.n and abs(t.trace - np.trace(k)) < 1e-9 and abs(t.sum_sq - dense) < 1e-8
+    d2 = ((panel.z[:, None] - panel.z[None]) ** 2).sum(-1)
+    assert np.allclose(square(grm_tiles.pairs(kinship.kinship_gaussian(panel.geno, form="tiles")), panel.n), np.exp(-d2 / panel.p))
+    none = panel.geno.where("false")
+    assert kinship.kinship_additive(none, form="tiles").count() == 0

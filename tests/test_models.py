@@ -304,24 +304,78 @@ def test_lanczos_quadrature_is_exact_for_full_steps_and_close_with_random_probes
         assert abs(spec.sums(ld)[0][0] / want - 1) < 1e-6
 
 
-def test_he_sums_without_pairs(panel):
-    pairs, names = he.he_pairs(kinship.kinship_additive(panel.geno), panel.pheno, 3)
-    want = {(r.a, r.b): r.s for r in he.cross_products(pairs, names).collect()}
-    got = {(r.a, r.b): r.s for r in he.cross_products_from_genotypes(panel.geno, panel.pheno, 3).collect()}
-    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-8 for k in want)
-    a = he.he_regression(kinship.kinship_additive(panel.geno), panel.pheno, 2)[1].toPandas()
-    b = he.he_regression_from_genotypes(panel.geno, panel.pheno, 2)[1].toPandas()
+def he_sums_by_pairs(matrices, y, epi):
+    """Products of (1, x.., z) over all pairs, from square matrices on the driver."""
+    at = np.tril_indices(len(y), -1)
+    x = [matrices[0][at] ** k for k in range(1, epi + 1)] + [m[at] for m in matrices[1:]]
+    design = np.stack([np.ones(len(at[0])), *x, (y[at[0]] - y[at[1]]) ** 2])
+    return (design @ design.T)[np.triu_indices(len(design))]
+
+
+def sums_of(table, k):
+    labels = ["1", *(f"x{c}" for c in range(1, k + 1)), "z"]
+    found = {(r.a, r.b): r.s for r in table.collect()}
+    return np.array([found[labels[a], labels[b]] for a, b in zip(*np.triu_indices(len(labels)))])
+
+
+def test_he_sums_without_pairs(spark, panel):
+    rng = np.random.default_rng(8)
+    cov = rng.standard_normal((panel.n, 2))
+    covariates = spark.createDataFrame([(i, c, float(cov[i, c])) for i in range(panel.n) for c in range(2)], "iid long, cov int, value double")
+    zc = (cov - cov.mean(0)) / cov.std(0)
+    dom = np.minimum(panel.raw, 1).clip(0)
+    zd = (dom - dom.mean(0)) / np.where(dom.std(0) == 0, 1, dom.std(0))
+    k, d, c = panel.z @ panel.z.T / panel.p, zd @ zd.T / panel.p, zc @ zc.T / 2
+    want = he_sums_by_pairs([k], panel.y, 3)
+    assert np.allclose(sums_of(he.cross_products_from_genotypes(panel.geno, panel.pheno, 3), 3), want)
+    for form in ("tiles", "pairs"):
+        assert np.allclose(sums_of(he.cross_products(kinship.kinship_additive(panel.geno, form=form), panel.pheno, 3), 3), want)
+    want = he_sums_by_pairs([k, d, c], panel.y, 2)
+    assert np.allclose(sums_of(he.cross_products_from_genotypes(panel.geno, panel.pheno, 2, True, covariates), 4), want)
+    stored = [kinship.kinship_dominance(panel.geno, form="tiles"), kinship.covariate_kinship(covariates)]
+    assert np.allclose(sums_of(he.cross_products(kinship.kinship_additive(panel.geno, form="tiles"), panel.pheno, 2, stored), 4), want)
+    a = he.he_regression(kinship.kinship_additive(panel.geno), panel.pheno, 2, stored[0])[1].toPandas()
+    b = he.he_regression_from_genotypes(panel.geno, panel.pheno, 2, dominance=True)[1].toPandas()
     assert np.allclose(a.vc, b.vc) and np.allclose(a.p, b.p)
 
 
-def test_he_sums_of_sparse_genotypes(panel):
+def test_he_sums_of_sparse_genotypes(spark, panel):
+    """Some have no cell of a marker, some no phenotype, some no covariate: all sums run over the others."""
     geno = panel.geno.filter("(iid + marker) % 3 <> 0 and iid <> 4")
-    pheno = panel.pheno.filter("iid % 7 <> 5")
-    both = geno.join(pheno.select("iid"), "iid", "left_semi")
-    pairs, names = he.he_pairs(kinship.kinship_additive(both), pheno, 2)
-    want = {(r.a, r.b): r.s for r in he.cross_products(pairs, names).collect()}
-    got = {(r.a, r.b): r.s for r in he.cross_products_from_genotypes(geno, pheno, 2).collect()}
-    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-8 for k in want)
+    pheno = panel.pheno.selectExpr("iid", "if(iid % 7 = 5, null, y) as y")
+    covariates = spark.createDataFrame([(i, 0, float(i % 11) if i % 13 else None) for i in range(panel.n)], "iid long, cov int, value double")
+    ids = np.array([i for i in range(panel.n) if i % 7 != 5 and i != 4 and i % 13])
+    z = np.zeros((len(ids), panel.p))
+    for j in range(panel.p):
+        have = (ids + j) % 3 != 0
+        x = panel.m[ids[have], j]
+        z[have, j] = (x - x.mean()) / (x.std() or 1)
+    c = ids % 11
+    zc = (c - c.mean()) / c.std()
+    want = he_sums_by_pairs([z @ z.T / panel.p, np.outer(zc, zc)], panel.y[ids], 2)
+    assert np.allclose(sums_of(he.cross_products_from_genotypes(geno, pheno, 2, covariates=covariates), 3), want)
+
+
+def test_people_without_phenotype_take_no_part(spark, panel):
+    pheno = panel.pheno.selectExpr("iid", "if(iid % 3 = 0, null, y) as y")
+    ids = np.arange(panel.n)[np.arange(panel.n) % 3 != 0]
+    x, y = panel.m[ids], panel.y[ids]
+    got = {r.marker: r for r in regression.uni_reg(panel.geno, pheno).collect()}
+    for j in range(panel.p):
+        design = np.stack([np.ones(len(ids)), x[:, j]], axis=1)
+        assert abs(got[j].beta - np.linalg.lstsq(design, y, rcond=None)[0][1]) < 1e-9 and got[j].df == len(ids) - 2
+    cells = panel.geno.selectExpr("iid", "marker as term", "double(greatest(dosage, 0)) as value").where("term < 5")
+    design = np.column_stack([np.ones(len(ids)), x[:, :5]])
+    want = np.linalg.lstsq(design, y, rcond=None)[0]
+    fit = {r.term: r for r in regression.multi_reg(cells, pheno).collect()}
+    assert np.allclose([fit[t].beta for t in range(-1, 5)], want) and fit[0].df == len(ids) - 6
+    res = regression.squared_residuals(cells, pheno, regression.multi_reg(cells, pheno))
+    assert res.where("res is null").count() == 0
+    k = square(kinship.kinship_additive(panel.geno), panel.n)[np.ix_(ids, ids)]
+    stored = he.he_regression(kinship.kinship_additive(panel.geno, form="tiles"), pheno, 1)[1].where("components = 1").first()
+    at = np.tril_indices(len(ids), -1)
+    slope = np.polyfit(k[at], (y[at[0]] - y[at[1]]) ** 2, 1)[0]
+    assert abs(stored.vc + slope / 2) < 1e-9
 
 
 def test_scaled_gradients_and_non_convergence(spark, panel):
