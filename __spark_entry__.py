@@ -1154,12 +1154,12 @@ def _reml_row(report: DataFrame) -> DataFrame:
 
 @_register("reml_h2", _sql(_REML_ROW, "zr", "phz", extra=_WHOLE))
 def _(spark, sf):
-    return _reml_row(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf)))
+    return _reml_row(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf), method="markers"))
 
 
 @_register("reml_from_kinship", _ORACLES["reml_h2"])
 def _(spark, sf):
-    return _reml_row(jobs.heritability(fx.pheno(spark, sf), grm=kinship.kinship_additive(_kept(spark, sf)[0])))
+    return _reml_row(jobs.heritability(fx.pheno(spark, sf), grm=kinship.kinship_additive(_kept(spark, sf)[0]), method="exact"))
 
 
 @_register("reml_from_eigen", _ORACLES["reml_h2"])
@@ -1184,7 +1184,7 @@ _LRT = f"""
 
 @_register("reml_lrt", _sql(_LRT, "zr", "phz", extra=_WHOLE))
 def _(spark, sf):
-    tested = reml.likelihood_ratio(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf)))
+    tested = reml.likelihood_ratio(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf), method="markers"))
     return tested.select(*(_rd(c, 4).alias(c) for c in ("reml_ll", "null_ll", "lrt")), _rd("p").alias("p"))
 
 

@@ -201,3 +201,45 @@ def individuals(tiles: DataFrame) -> DataFrame:
 
     diagonal = tiles.where(F.col("cb") == F.floor(F.col("rb") * TILE_ROWS / TILE_COLS))
     return diagonal.select("rb", "cb", "k").mapInArrow(unpack, "iid long")
+
+
+def times(tiles: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """Product of the full symmetric matrix with ``width`` blocked vectors ``(block, v)`` of ``TILE_COLS`` values each; result ``(block, v)``.
+
+    A tile adds to the block of its rows and, for the other triangle, to that of its columns. Tasks add up blocks before they send them.
+    """
+    per = TILE_COLS // TILE_ROWS
+    stored = materialise(vectors)
+    of_cols, of_rows = (stored.select(F.col("block").alias(at), F.col("v").alias(v)) for at, v in (("cb", "v"), ("_block", "u")))
+    joined = tiles.select("rb", "cb", "k", F.floor(F.col("rb") / per).cast("int").alias("_block")).join(of_cols, "cb").join(of_rows, "_block")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.record_batch({"block": pa.array(list(sums), pa.int32()), "v": pa.array([x.ravel() for x in sums.values()], pa.list_(pa.float64()))})
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                rb, cb = batch.column("rb")[r].as_py(), batch.column("cb")[r].as_py()
+                k = np.nan_to_num(values_of(batch.column("k")[r].as_py()))
+                v, u = (batch.column(c)[r].values.to_numpy().reshape(TILE_COLS, width) for c in ("v", "u"))
+                first = rb % per * TILE_ROWS
+                rows, cols = (sums.setdefault(b, np.zeros((TILE_COLS, width))) for b in (rb // per, cb))
+                rows[first : first + TILE_ROWS] += k @ v
+                strict = np.where((rb * TILE_ROWS + np.arange(TILE_ROWS))[:, None] == (cb * TILE_COLS + np.arange(TILE_COLS))[None], 0.0, k)
+                cols += strict.T @ u[first : first + TILE_ROWS]
+                if len(sums) > 256:
+                    yield sent()
+                    sums = {}
+        yield sent()
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TILE_COLS * width)
+        for batch in batches:
+            for v in batch.column("v"):
+                total += v.values.to_numpy()
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
+
+    add.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return joined.mapInArrow(multiply, "block int, v array<double>").groupBy("block").applyInArrow(add, "block int, v array<double>")

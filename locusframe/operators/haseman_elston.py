@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators import grm_tiles
+from locusframe.operators.align import complete_cases
 from locusframe.operators.kinship import covariate_stats
 from locusframe.operators.regression import solve_least_squares
 from locusframe.operators.tiles import row_gram, stacked, tile_table, with_side
@@ -86,13 +87,6 @@ def people(geno: DataFrame, pheno: DataFrame, covariates: DataFrame | None = Non
     return materialise(known)
 
 
-def complete_cases(covariates: DataFrame) -> DataFrame:
-    """``iid`` of those with a value of every covariate."""
-    given = covariates.where("value is not null")
-    many = given.agg(F.countDistinct("cov")).first()[0]
-    return given.groupBy("iid").agg(F.countDistinct("cov").alias("_n")).where(F.col("_n") == many).select("iid")
-
-
 def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1, dominance: bool = False,
                                   covariates: DataFrame | None = None) -> DataFrame:
     """The same sums straight from genotypes: blocks of all relationship matrices are reduced where they are computed, and no pair is ever written.

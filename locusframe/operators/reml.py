@@ -5,9 +5,9 @@ matrix and the squared projections of y. With standardised markers these come fr
 the two sides: the p x p product of markers or the n x n relationship matrix. Only that side
 (bounded) reaches the driver; directions with eigenvalue 0 enter as a count and a sum of squares.
 
-Where both sides exceed the bound, ``method="lanczos"`` replaces the spectrum by a quadrature from Lanczos steps that
+``method="lanczos"`` replaces the spectrum by a quadrature from Lanczos steps that
 start at y (for the projections) and at random vectors (for the traces), the stochastic Lanczos
-estimation of the same likelihood. Matrix and vectors stay distributed; the report says which way
+estimation of the same likelihood, for any size. Matrix, vectors and fixed effects stay distributed; the report says which way
 was taken.
 """
 
@@ -15,17 +15,22 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions.ranking import hash_fraction, index_by_integer
+from locusframe.functions.scalar import observed
 from locusframe.functions.tails import chi2_1_pvalue
+from locusframe.operators import grm_tiles
+from locusframe.operators.align import complete_cases
 from locusframe.operators.kinship import kinship_additive
 from locusframe.operators.regression import dense_triangle
 from locusframe.operators.ridge import Moments, marker_moments, tile_times
-from locusframe.operators.tiles import COLS, ROWS, block_counts, tile_table, with_stats
+from locusframe.operators.tiles import COLS, ROWS, block_counts, gram, tile_table, with_stats
 from locusframe.operators.transform import scale_params
 from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, discard, materialise
 
@@ -141,22 +146,60 @@ def _report(spark, fit: dict, n: int, y_ss: float, side: str, n_fixed: int = 1)
                                       " n double, y_ss double, n_fixed double, status string, side string")
 
 
-def reml(geno: DataFrame, pheno: DataFrame, method: str = "markers") -> DataFrame:
-    """Heritability report of all markers together.
+def fit_people(ids: DataFrame, pheno: DataFrame, covariates: DataFrame | None = None) -> DataFrame:
+    """``iid, y`` of those in ``ids`` who have a phenotype and all covariates; stored."""
+    known = pheno.where("y is not null").select("iid", F.col("y").cast("double").alias("y")).join(ids.select("iid").distinct(), "iid", "left_semi")
+    return materialise(known if covariates is None else known.join(complete_cases(covariates), "iid", "left_semi"))
 
-    ``method`` says how the spectrum is found, whatever the sizes: ``markers`` (eigenvalues of the products of markers) and
-    ``individuals`` (of the relationship matrix) are exact and raise where that side exceeds the driver's bound; ``lanczos`` has no
-    bound and estimates the traces from random vectors.
+
+def fixed_effects(people: DataFrame, covariates: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The design in long form ``(iid, term, v)`` with the intercept as term 0, and its number of terms. Of rows that repeat an individual's
+    covariate the smallest value counts."""
+    design = people.select("iid", F.lit(0).alias("term"), F.lit(1.0).alias("v"))
+    if covariates is None:
+        return design, 1
+    given = covariates.where("value is not null").join(people.select("iid"), "iid", "left_semi").groupBy("iid", "cov").agg(
+        F.min(F.col("value").cast("double")).alias("v"))
+    names = materialise(index_by_integer(given.select("cov").distinct(), "cov", "at"))
+    cells = given.join(F.broadcast(names) if names.count() <= MAX_DRIVER_SIDE else names, "cov")
+    return design.unionByName(cells.select("iid", (F.col("at") + 1).cast("int").alias("term"), "v")), 1 + names.count()
+
+
+def reml(geno: DataFrame, pheno: DataFrame, method: str = "markers", covariates: DataFrame | None = None) -> DataFrame:
+    """Heritability report of all markers together; ``covariates(iid, cov, value)`` are fixed effects next to the intercept.
+
+    ``method`` says how the spectrum is found, whatever the sizes: ``lanczos`` has no bound and estimates the traces from random vectors;
+    ``markers`` (eigenvalues of the products of markers) and ``individuals`` (of the relationship matrix) are exact and raise where that side
+    exceeds the driver's bound. Whoever lacks genotypes, the phenotype or a covariate takes no part.
     """
+    if method == "lanczos":
+        return reml_lanczos(geno, pheno, covariates=covariates)
     if method == "markers":
-        return reml_from_moments(geno.sparkSession, marker_moments(geno, pheno))
+        return reml_from_moments(geno.sparkSession, marker_moments(geno, pheno)) if covariates is None else _reml_of_products(geno, pheno, covariates)
     if method == "individuals":
-        return reml_from_grm(kinship_additive(geno.join(pheno.select("iid"), "iid", "left_semi")), pheno)
-    if method == "lanczos":
-        return reml_lanczos(geno, pheno)
+        people = fit_people(geno, pheno, covariates)
+        return reml_from_grm(kinship_additive(geno.join(people.select("iid"), "iid", "left_semi")), people, covariates)
     raise ValueError(f"unknown method {method}")
 
 
+def _reml_of_products(geno: DataFrame, pheno: DataFrame, covariates: DataFrame) -> DataFrame:
+    """The marker side with fixed effects: products of the design, standardised markers and y (their number bounded)."""
+    people = fit_people(geno, pheno, covariates)
+    design, n_fixed = fixed_effects(people, covariates)
+    cells = geno.join(people.select("iid"), "iid", "left_semi")
+    params = materialise(scale_params(cells))
+    markers = np.array(sorted(r.marker for r in collect_bounded(params.select("marker"), MAX_DRIVER_SIDE - n_fixed, "markers of an exact spectrum")))
+    z = ((observed("dosage") - F.col("mean")) / F.col("sd")).alias("v")
+    stack = design.unionByName(people.select("iid", F.lit(n_fixed).alias("term"), F.col("y").alias("v"))).unionByName(
+        cells.join(params, "marker").select("iid", (F.col("marker") + n_fixed + 1).alias("term"), z))
+    full = dense_triangle(gram(stack, "term", "iid", "v", cols=4096), np.concatenate([np.arange(n_fixed + 1), markers + n_fixed + 1]))
+    order = [*range(n_fixed), *range(n_fixed + 1, len(full)), n_fixed]
+    n = full[0, 0]
+    left = project_out(full[np.ix_(order, order)], n_fixed)
+    spec = spectrum_from_products(left[:-1, :-1], left[:-1, -1], left[-1, -1], n, n_fixed)
+    return _report(geno.sparkSession, maximise(spec), int(n), float(left[-1, -1]), "markers", n_fixed)
+
+
 def reml_from_moments(spark, mom: Moments) -> DataFrame:
     spec = spectrum_from_products(mom.ztz, mom.zty, mom.yty, mom.n, 1)
     return _report(spark, maximise(spec), int(mom.n), mom.yty, "markers")
@@ -172,101 +215,211 @@ def reml_from_grm(grm: DataFrame, pheno: DataFrame, covariates: DataFrame | None
     return _report(grm.sparkSession, maximise(spec), len(y), float(residual @ residual), "individuals", fixed.shape[1])
 
 
-def _sums_per_vector(df: DataFrame, left: str, right: str, width: int) -> np.ndarray:
-    """Dot products of the ``width`` vectors of two block columns; one row per task and vector is added up."""
-    def dot(batches):
-        total = np.zeros(width)
+def _summed(df: DataFrame, of, size: int) -> np.ndarray:
+    """Sum over blocks of ``of(columns of a row as arrays)``, ``size`` numbers: one row per task and number is added up."""
+    names = df.columns
+
+    def run(batches):
+        total = np.zeros(size)
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                total += np.einsum("ij,ij->j", a.values.to_numpy().reshape(-1, width), b.values.to_numpy().reshape(-1, width))
-        yield pa.record_batch({"k": pa.array(range(width), pa.int32()), "v": pa.array(total)})
+            for r in range(batch.num_rows):
+                total += of({n: batch.column(n)[r].values.to_numpy() for n in names}).ravel()
+        yield pa.record_batch({"k": pa.array(range(size), pa.int32()), "v": pa.array(total)})
 
-    rows = df.select(left, right).mapInArrow(dot, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(width)
-    for k, v in rows:
+    out = np.zeros(size)
+    for k, v in df.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[k] = v
     return out
 
 
-def _combine(df: DataFrame, width: int, terms: dict[str, np.ndarray], keep: dict[str, str]) -> DataFrame:
-    """A new block column ``w``: the sum of columns times a factor per vector; other columns pass on."""
-    names, out = list(terms), list(keep)
-    schema = "block int, w array<double>" + "".join(f", {n} array<double>" for n in out)
+def _blockwise(df: DataFrame, of: dict, keep: tuple[str, ...] = ()) -> DataFrame:
+    """New block columns, each a function of a row's arrays; the columns ``keep`` pass on."""
+    names, out = [c for c in df.columns if c != "block"], list(of)
+    schema = "block int" + "".join(f", {n} array<double>" for n in [*out, *keep])
 
     def run(batches):
         for batch in batches:
-            columns = {n: batch.column(n) for n in batch.schema.names}
-            w = [sum(columns[n][r].values.to_numpy().reshape(-1, width) * terms[n] for n in names).ravel()
-                 for r in range(batch.num_rows)]
-            cells = {"block": columns["block"], "w": pa.array(w, pa.list_(pa.float64()))}
-            yield pa.record_batch(cells | {n: columns[keep[n]] for n in out})
+            rows = [{n: batch.column(n)[r].values.to_numpy() for n in names} for r in range(batch.num_rows)]
+            cells = {n: pa.array([of[n](row).ravel() for row in rows], pa.list_(pa.float64())) for n in out}
+            yield pa.record_batch({"block": batch.column("block")} | cells | {n: batch.column(n) for n in keep})
 
-    used = dict.fromkeys(["block", *names, *keep.values()])
-    return df.select(*used).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
-def start_vectors(pheno: DataFrame, rows: int, probes: int, seed: int) -> DataFrame:
-    """Blocks ``(block, w, one)`` of y and random signs per individual, and of ones at their positions.
+def start_vectors(people: DataFrame, rows: int, probes: int, seed: int) -> DataFrame:
+    """Blocks ``(block, w)`` of y and ``probes`` random signs per individual.
 
-    Signs are seeded by individual, so they do not depend on partitioning.
+    The signs are bits of ``md5('seed:iid.word')``, 32 to a word, so they follow from the individual and the seed alone.
     """
     width = probes + 1
-    keyed = pheno.select(F.floor(F.col("iid") / rows).cast("int").alias("block"), "iid", F.col("y").cast("double").alias("y"))
+    words = F.array(*(hash_fraction(F.concat(F.col("iid").cast("string"), F.lit(f".{k}")), seed) for k in range(-(-probes // 32))))
+    keyed = people.select(F.expr(f"iid div {rows}").cast("int").alias("block"), F.pmod("iid", F.lit(rows)).cast("int").alias("at"),
+                          F.col("y").cast("double").alias("y"), words.alias("bits"))
 
     def pack(key, table):
-        iids = table.column("iid").to_numpy()
-        w, one = np.zeros((rows, width)), np.zeros((rows, width))
-        at = iids % rows
+        w, at = np.zeros((rows, width)), table.column("at").to_numpy()
         w[at, 0] = table.column("y").to_numpy()
-        for place, iid in zip(at, iids):
-            w[place, 1:] = np.random.default_rng([seed, int(iid)]).integers(0, 2, probes) * 2.0 - 1.0
-        one[at] = 1.0
-        blocks = {"block": pa.array([key[0].as_py()], pa.int32())}
-        return pa.table(blocks | {n: pa.array([v.ravel()], pa.list_(pa.float64())) for n, v in (("w", w), ("one", one))})
+        bits = table.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+        w[at, 1:] = (bits[:, :, None] >> np.arange(32) & 1).reshape(len(at), -1)[:, :probes] * 2.0 - 1.0
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.ravel()], pa.list_(pa.float64()))})
+
+    return keyed.groupBy("block").applyInArrow(pack, "block int, w array<double>")
+
 
-    return keyed.groupBy("block").applyInArrow(pack, "block int, w array<double>, one array<double>")
+def orthonormal_design(design: DataFrame, terms: int, rows: int) -> tuple[DataFrame, int]:
+    """The design as blocks ``(block, x, have)``: orthonormal columns that span the same, and 1 for each individual of the fit.
 
+    Only the products of the terms reach the driver. Terms that follow from others are left out; returned with the rank.
+    """
+    if terms > MAX_DRIVER_SIDE:
+        raise ValueError(f"{terms} fixed effects exceed the driver bound of {MAX_DRIVER_SIDE}")
+    keyed = design.select(F.expr(f"iid div {rows}").cast("int").alias("block"), F.pmod("iid", F.lit(rows)).cast("int").alias("at"), "term", "v")
+
+    def pack(key, table):
+        x = np.zeros((rows, terms))
+        x[table.column("at").to_numpy(), table.column("term").to_numpy()] = table.column("v").to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([x.ravel()], pa.list_(pa.float64())),
+                         "have": pa.array([x[:, 0]], pa.list_(pa.float64()))})
+
+    raw = materialise(keyed.groupBy("block").applyInArrow(pack, "block int, x array<double>, have array<double>"))
+    products = _summed(raw.select("x"), lambda r: (m := r["x"].reshape(-1, terms)).T @ m, terms * terms).reshape(terms, terms)
+    size = np.diag(products)
+    scale = np.where(size > 0, 1 / np.sqrt(np.where(size > 0, size, 1.0)), 0.0)
+    values, vectors = np.linalg.eigh(products * np.outer(scale, scale))
+    keep = values > 1e-10 * values.max()
+    turn = scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
+    return materialise(_blockwise(raw, {"x": lambda r: r["x"].reshape(-1, terms) @ turn}, ("have",))), int(keep.sum())
+
+
+# Loss of orthogonality between Lanczos vectors at which they are made orthogonal again, and what is left then.
+LOST, CLEAN = 1e-9, 1e-15
+
+
+class _Orthogonality:
+    """Estimated products of the latest Lanczos vectors with all earlier ones (a recurrence of the coefficients), for each start vector."""
+
+    def __init__(self, width: int):
+        self.before, self.now, self.again = np.zeros((0, width)), np.ones((1, width)), False
+
+    def step(self, alphas: list, betas: list) -> bool:
+        """Take in the coefficients of a step; true where the vector it made needs to be made orthogonal to all others."""
+        j = len(alphas) - 1
+        beta = np.where(betas[j] > 0, betas[j], np.inf)
+        after = np.full((j + 2, len(beta)), CLEAN)
+        for k in range(j):
+            v = betas[k] * self.now[k + 1] + (alphas[k] - alphas[j]) * self.now[k]
+            if k:
+                v += betas[k - 1] * self.now[k - 1]
+            if j:
+                v -= betas[j - 1] * (self.before[k] if k < len(self.before) else 0.0)
+            after[k] = (v + np.sign(v) * CLEAN) / beta
+        after[j + 1] = 1.0
+        lost = bool(self.again or np.abs(after[: j + 1]).max() > LOST)
+        if lost:  # the next vector depends on two: both are made orthogonal
+            after[: j + 1] = CLEAN
+            self.again = not self.again
+        self.before, self.now = self.now, after
+        return lost
+
+
+def _made_orthogonal(rest: DataFrame, basis: list[DataFrame], width: int) -> DataFrame:
+    """``rest(block, w)`` without its parts along the stored vectors, all blocks for themselves between two passes."""
+    stored = reduce(DataFrame.unionByName, [b.select("block", F.lit(k).alias("step"), F.col("w").alias("q")) for k, b in enumerate(basis)])
+    many = len(basis)
+
+    def parts(batches):
+        total = np.zeros((many, width))
+        for batch in batches:
+            for r in range(batch.num_rows):
+                total[batch.column("step")[r].as_py()] += np.einsum(
+                    "ij,ij->j", *(batch.column(c)[r].values.to_numpy().reshape(-1, width) for c in ("q", "w")))
+        yield pa.record_batch({"k": pa.array(range(many * width), pa.int32()), "v": pa.array(total.ravel())})
+
+    along = np.zeros(many * width)
+    for k, v in rest.select("block", "w").join(stored, "block").mapInArrow(parts, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        along[k] = v
+    along = along.reshape(many, width)
+
+    def subtract(key, one, others):
+        w = one.column("w")[0].values.to_numpy().reshape(-1, width).copy()
+        for step, q in zip(others.column("step").to_pylist(), others.column("q").combine_chunks()):
+            w -= q.values.to_numpy().reshape(-1, width) * along[step]
+        return pa.table({"block": one.column("block"), "w": pa.array([w.ravel()], pa.list_(pa.float64()))})
 
-def lanczos_spectrum(multiply, start: DataFrame, n: int, width: int, steps: int) -> Spectrum:
-    """Quadrature of the spectrum of a centred matrix. ``multiply(vectors)`` maps blocks ``(block, v)`` to
-    their product; ``start`` has blocks ``(block, w, one)``, y first.
+    return rest.select("block", "w").groupBy("block").cogroup(stored.groupBy("block")).applyInArrow(subtract, "block int, w array<double>")
 
-    A step is one product and two sums over n-length tables, for all vectors at once. Only two
-    coefficients per vector and step reach the driver.
+
+def lanczos_spectrum(multiply, start: DataFrame, design: DataFrame, rank: int, n: int, width: int, steps: int) -> tuple[Spectrum, float]:
+    """Quadrature of the spectrum of a matrix without its fixed effects, and the squares of y around them.
+
+    ``multiply(vectors)`` maps blocks ``(block, v)`` to their product; ``start`` has blocks ``(block, w)``, y first; ``design`` is
+    that of ``orthonormal_design``. Every vector is kept orthogonal to the design, for all vectors at once by a small product per step, and
+    to the earlier Lanczos vectors where an estimate says that rounding has lost it. A step is one product and two sums over n-length tables;
+    its coefficients are all that reaches the driver.
     """
-    ones = np.ones(width)
-    mean = _sums_per_vector(start, "w", "one", width) / n
-    state = materialise(_combine(start, width, {"w": ones, "one": -mean}, {"one": "one"}))
-    length_sq = _sums_per_vector(state, "w", "w", width)
-    alphas, betas, before = [], [], np.zeros(width)
-    alive, norm = np.ones(width, bool), np.sqrt(length_sq)
-    state = materialise(_combine(state, width, {"w": np.where(norm > 0, 1.0 / np.where(norm > 0, norm, 1.0), 0.0)},
-                                 {"one": "one", "old": "w"}))
+    grid = lambda r, c, k: r[c].reshape(-1, k)
+    steps = min(steps, n - rank)
+
+    def clean(vectors: DataFrame) -> DataFrame:
+        joined = materialise(vectors.join(design, "block"))
+        along = _summed(joined.select("w", "x"), lambda r: grid(r, "x", rank).T @ grid(r, "w", width), rank * width).reshape(rank, width)
+        out = materialise(_blockwise(joined, {"w": lambda r: grid(r, "w", width) * r["have"][:, None] - grid(r, "x", rank) @ along}))
+        discard(joined)
+        return out
+
+    def lengths(vectors: DataFrame) -> np.ndarray:
+        return _summed(vectors.select("w"), lambda r: np.square(grid(r, "w", width)).sum(0), width)
+
+    def unit(vectors: DataFrame, length: np.ndarray) -> DataFrame:
+        inverse = np.where(length > 0, 1.0 / np.where(length > 0, length, 1.0), 0.0)
+        return materialise(_blockwise(vectors.select("block", "w"), {"w": lambda r: grid(r, "w", width) * inverse}))
+
+    first = clean(clean(start))
+    length_sq = lengths(first)
+    least = 1e-10 * np.sqrt(length_sq)
+    alive = length_sq > 0
+    basis = [unit(first, np.sqrt(length_sq))]
+    discard(first)
+    alphas, betas, watch = [], [], _Orthogonality(width)
     for step in range(steps):
-        product = multiply(state.select("block", F.col("w").alias("v")))
-        joined = materialise(state.join(product, "block", "left").withColumn(
-            "v", F.coalesce("v", F.transform("w", lambda _: F.lit(0.0)))))
-        alpha = _sums_per_vector(joined, "v", "w", width)
-        shift = _sums_per_vector(joined, "v", "one", width) / n
+        product = multiply(basis[-1].select("block", F.col("w").alias("v")))
+        joined = basis[-1].select("block", F.col("w").alias("now")).join(product, "block", "left").join(design, "block")
+        if step:
+            joined = joined.join(basis[-2].select("block", F.col("w").alias("old")), "block")
+        joined = materialise(joined.withColumn("v", F.coalesce("v", F.transform("now", lambda _: F.lit(0.0)))))
+        found = _summed(joined.select("v", "now", "x", "have"), lambda r: np.concatenate([
+            np.einsum("ij,ij->j", grid(r, "v", width), grid(r, "now", width)),
+            (grid(r, "x", rank).T @ (grid(r, "v", width) * r["have"][:, None])).ravel()]), (1 + rank) * width)
+        alpha, along = found[:width], found[width:].reshape(rank, width)
         alphas.append(np.where(alive, alpha, 0.0))
         if step == steps - 1:
+            discard(joined)
             break
-        old = before if step else np.zeros(width)
-        used = rest if step else state
-        rest = materialise(_combine(joined, width, {"v": ones, "w": -alpha, "old": -old, "one": -shift},
-                                    {"one": "one", "old": "w"}))
-        discard(joined, used)
-        beta = np.sqrt(np.maximum(_sums_per_vector(rest, "w", "w", width), 0.0))
-        alive &= beta > 1e-10
-        betas.append(np.where(alive, beta, 0.0))
+        beta = betas[-1] if step else np.zeros(width)
+
+        def rest_of(r, alpha=alpha, beta=beta, along=along):
+            out = grid(r, "v", width) * r["have"][:, None] - grid(r, "now", width) * alpha - grid(r, "x", rank) @ along
+            return out - grid(r, "old", width) * beta if "old" in r else out
+
+        rest = materialise(_blockwise(joined, {"w": rest_of}))
+        discard(joined)
+        norm = np.sqrt(lengths(rest))
+        if watch.step(alphas, [*betas, np.where(alive, norm, 0.0)]):
+            moved = clean(_made_orthogonal(rest, basis, width))
+            discard(rest)
+            rest, norm = moved, np.sqrt(lengths(moved))
+        alive = alive & (norm > least)
+        betas.append(np.where(alive, norm, 0.0))
         if not alive.any():
             break
-        before = betas[-1]
-        state = _combine(rest, width, {"w": np.where(alive, 1.0 / np.where(beta > 0, beta, 1.0), 0.0)}, {"one": "one", "old": "old"})
-    return _quadrature(np.array(alphas), np.array(betas).reshape(-1, width), length_sq, n)
+        basis.append(unit(rest, betas[-1]))
+        discard(rest)
+    discard(*basis)
+    return _quadrature(np.array(alphas), np.array(betas).reshape(-1, width), length_sq, n - rank), float(length_sq[0])
 
 
-def _quadrature(alphas, betas, length_sq, n) -> Spectrum:
+def _quadrature(alphas, betas, length_sq, df) -> Spectrum:
+    """Nodes and weights of all recurrences; those of the vectors after y share the ``df`` eigenvalues by their lengths."""
     values, eta_sq, counts = [], [], []
     width = alphas.shape[1]
     for k in range(width):
@@ -279,67 +432,61 @@ def _quadrature(alphas, betas, length_sq, n) -> Spectrum:
         share = vectors[0] ** 2
         values.append(nodes)
         eta_sq.append(share * length_sq[0] if k == 0 else np.zeros(stop))
-        counts.append(np.zeros(stop) if k == 0 else share * (n - 1) / (width - 1))
+        counts.append(np.zeros(stop) if k == 0 else share * df * length_sq[k] / length_sq[1:].sum())
     return Spectrum(np.concatenate(values), np.concatenate(eta_sq), np.concatenate(counts))
 
 
-def reml_lanczos(geno: DataFrame, pheno: DataFrame, steps: int = 40, probes: int = 20, seed: int = 1,
-                 rows: int = ROWS, cols: int = COLS) -> DataFrame:
-    """Heritability report by stochastic Lanczos quadrature; n and p unbounded."""
-    both = geno.join(pheno.select("iid"), "iid", "left_semi")
+def reml_lanczos(geno: DataFrame, pheno: DataFrame, steps: int = 40, probes: int = 20, seed: int = 1, rows: int = ROWS, cols: int = COLS,
+                 covariates: DataFrame | None = None) -> DataFrame:
+    """Heritability report by stochastic Lanczos quadrature; n and p unbounded, with any fixed effects."""
+    people = fit_people(geno, pheno, covariates)
+    both = geno.join(people.select("iid"), "iid", "left_semi")
     params = materialise(scale_params(both))
     tiles = materialise(tile_table(both, "iid", "marker", "dosage", rows, cols, params))
-    present = pheno.join(both.select("iid").distinct(), "iid", "left_semi")
-    return _lanczos_report(tiles, present, params.count(), steps, probes, seed, rows, cols)
+    return _lanczos_report(tiles, people, params.count(), steps, probes, seed, rows, cols, covariates)
 
 
 def reml_lanczos_tiles(tiles: DataFrame, pheno: DataFrame, params: DataFrame, steps: int = 40, probes: int = 20,
-                       seed: int = 1, rows: int = ROWS, cols: int = COLS) -> DataFrame:
-    """The same from a raw tile table and the parameters of the markers to use; everyone in the tiles has
-    a phenotype."""
+                       seed: int = 1, rows: int = ROWS, cols: int = COLS, covariates: DataFrame | None = None) -> DataFrame:
+    """The same from a raw tile table and the parameters of the markers to use; people of the tiles without a phenotype take no part."""
     ready = materialise(with_stats(tiles, params, cols=cols))
-    return _lanczos_report(ready, pheno, params.count(), steps, probes, seed, rows, cols)
+    people = fit_people(pheno, pheno, covariates)
+    return _lanczos_report(ready, people, params.count(), steps, probes, seed, rows, cols, covariates)
 
 
-def _lanczos_report(tiles, present, p, steps, probes, seed, rows, cols) -> DataFrame:
+def _lanczos_report(tiles, people, p, steps, probes, seed, rows, cols, covariates) -> DataFrame:
     width, shape = probes + 1, block_counts(tiles)
-    start = materialise(start_vectors(present, rows, probes, seed))
-    n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
 
     def multiply(vectors):
         across = tile_times(tiles, shape, vectors, rows, cols, transpose=True, width=width)
         back = tile_times(tiles, shape, across, rows, cols, transpose=False, width=width)
         return back.select("block", F.transform("v", lambda x: x / F.lit(float(p))).alias("v"))
 
-    spec = lanczos_spectrum(multiply, start, n, width, steps)
-    return _report(tiles.sparkSession, maximise(spec), n, float(y_ss), f"lanczos {steps} steps, {probes} probes")
+    return _quadrature_report(tiles.sparkSession, multiply, people, covariates, steps, probes, seed, rows)
+
+
+def _quadrature_report(spark, multiply, people, covariates, steps, probes, seed, rows) -> DataFrame:
+    n = people.count()
+    design, rank = orthonormal_design(*fixed_effects(people, covariates), rows)
+    start = materialise(start_vectors(people, rows, probes, seed))
+    spec, y_ss = lanczos_spectrum(multiply, start, design, rank, n, probes + 1, steps)
+    return _report(spark, maximise(spec), n, y_ss, f"lanczos {steps} steps, {probes} probes", rank)
 
 
 def reml_lanczos_from_grm(grm: DataFrame, pheno: DataFrame, steps: int = 40, probes: int = 20, seed: int = 1,
-                          rows: int = ROWS) -> DataFrame:
-    """The same from a stored relationship matrix; n unbounded."""
-    width = probes + 1
-    present = materialise(pheno.join(grm.filter("i = j").select(F.col("i").alias("iid")), "iid", "left_semi").select("iid", "y"))
-    have = present.select("iid")
-    inside = grm.select("i", "j", "k").join(have.withColumnRenamed("iid", "i"), "i", "left_semi").join(
-        have.withColumnRenamed("iid", "j"), "j", "left_semi")
-    both = inside.unionByName(inside.filter("j < i").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
-    tiles = materialise(tile_table(both, "i", "j", "k", rows, rows))
-    start = materialise(start_vectors(present, rows, probes, seed))
-    n, y_ss = present.agg(F.count(F.lit(1)), F.var_pop("y") * F.count(F.lit(1))).first()
-    shape = block_counts(tiles)
-    multiply = lambda vectors: tile_times(tiles, shape, vectors, rows, rows, transpose=False, width=width)
-    spec = lanczos_spectrum(multiply, start, n, width, steps)
-    return _report(grm.sparkSession, maximise(spec), n, float(y_ss), f"lanczos {steps} steps, {probes} probes")
+                          covariates: DataFrame | None = None) -> DataFrame:
+    """The same from a stored relationship matrix, in tiles or long rows; n unbounded."""
+    tiles = grm_tiles.tiled(grm) if grm_tiles.is_tiled(grm) else materialise(grm_tiles.from_pairs(grm))
+    people = fit_people(grm_tiles.individuals(tiles), pheno, covariates)
+    return _quadrature_report(grm.sparkSession, lambda v: grm_tiles.times(tiles, v, probes + 1), people, covariates, steps, probes, seed,
+                              grm_tiles.TILE_COLS)
 
 
 def _dense_inputs(grm, pheno, covariates=None):
     pheno = pheno.where("y is not null")
     if covariates is not None:
         covariates = covariates.where("value is not null")
-        n_cov = covariates.select("cov").distinct().count()
-        complete = covariates.groupBy("iid").agg(F.countDistinct("cov").alias("_k")).where(F.col("_k") == n_cov)
-        pheno = pheno.join(complete, "iid", "left_semi")
+        pheno = pheno.join(complete_cases(covariates), "iid", "left_semi")
     known = collect_bounded(pheno.join(grm.filter("i = j").select(F.col("i").alias("iid")), "iid", "left_semi")
                             .select("iid", "y"), MAX_DRIVER_SIDE, "phenotypes of a dense fit")
     ids = np.array(sorted(r.iid for r in known))
@@ -381,7 +528,11 @@ def reml_from_eigen(eig: DataFrame, pheno: DataFrame) -> DataFrame:
     etas = parts.join(pheno, "iid").groupBy("k", "value").agg(F.sum(F.col("v") * F.col("y")).alias("eta"))
     rows = collect_bounded(etas.orderBy("k"), MAX_DRIVER_SIDE, "eigenvalues")
     values, eta = np.array([r.value for r in rows]), np.array([r.eta for r in rows])
-    y_ss = pheno.agg(F.var_pop("y") * F.count(F.lit(1))).first()[0]
+    inside = eig.select(F.explode("ids").alias("iid")).distinct()
+    n, known, y_ss = pheno.where("y is not null").join(inside, "iid", "right").agg(
+        F.count(F.lit(1)), F.count("y"), F.var_pop("y") * F.count(F.lit(1))).first()
+    if known < n:
+        raise ValueError(f"{n - known} of the {n} people of the eigen summary have no phenotype: it has to be taken anew without them")
     return _report(eig.sparkSession, maximise(Spectrum(values, eta * eta, np.ones(len(values)))), len(rows) + 1, float(y_ss), "eigen summary")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.operators import grm_tiles, haseman_elston, kinship, network, qc, regression, reml, ridge, sampling, scan, score, transform
-from locusframe.operators.align import concat_regions, region_order, resolve_rsids
+from locusframe.operators.align import complete_cases, concat_regions, region_order, resolve_rsids
 from locusframe.functions.scalar import MAX_DELTA
 from locusframe.session import materialise
 from locusframe.sources import grm as grm_io
@@ -75,20 +75,31 @@ def merge_files(spark: SparkSession, prefixes: list[str], out: str) -> None:
 
 
 def heritability(pheno: DataFrame, geno: DataFrame | None = None, grm: DataFrame | None = None,
-                 eig: DataFrame | None = None, method: str = "markers") -> DataFrame:
-    """Heritability report from genotypes, a relationship matrix or a stored eigen summary.
+                 eig: DataFrame | None = None, method: str = "lanczos", covariates: DataFrame | None = None) -> DataFrame:
+    """Heritability report from genotypes, a relationship matrix (tiles or long rows) or a stored eigen summary.
 
-    ``method`` is that of ``reml.reml``; with a relationship matrix, ``lanczos`` has no bound on the individuals and any other is exact.
+    ``method`` is that of ``reml.reml``: ``lanczos`` has no bound on people or markers; with a relationship matrix any other is exact.
+    ``covariates(iid, cov, value)`` are fixed effects (not with an eigen summary, which holds its own projection).
     """
-    y = transform.standardise_pheno(pheno)
     if eig is not None:
-        return reml.reml_from_eigen(eig, y)
+        if covariates is not None:
+            raise ValueError("an eigen summary has no further fixed effects")
+        return reml.reml_from_eigen(eig, trait(pheno, eig.select(F.explode("ids").alias("iid"))))
     if grm is not None:
-        return reml.reml_lanczos_from_grm(grm, y) if method == "lanczos" else reml.reml_from_grm(grm, y)
+        inside = grm_tiles.individuals(grm) if grm_tiles.is_tiled(grm) else grm.where("i = j").select(F.col("i").alias("iid"))
+        y = trait(pheno, _complete(inside, covariates))
+        if method == "lanczos":
+            return reml.reml_lanczos_from_grm(grm, y, covariates=covariates)
+        return reml.reml_from_grm(grm_tiles.pairs(grm) if grm_tiles.is_tiled(grm) else grm, y, covariates)
     if geno is None:
         raise ValueError("genotypes, a relationship matrix or an eigen summary is required")
     kept, _ = qc.qc_markers(geno)
-    return reml.reml(kept, trait(pheno, kept), method, covariates)
+    return reml.reml(kept, trait(pheno, _complete(kept, covariates)), method, covariates)
+
+
+def _complete(ids: DataFrame, covariates: DataFrame | None) -> DataFrame:
+    ids = ids.select("iid").distinct()
+    return ids if covariates is None else ids.join(complete_cases(covariates), "iid", "left_semi")
 
 
 def trait(pheno: DataFrame, ids: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from locusframe import fixtures as fx
 from locusframe.functions.tails import t_two_sided
 from locusframe.operators import haseman_elston as he
-from locusframe.operators import kinship, qc, regression, reml, ridge, scan, score, transform
+from locusframe.operators import grm_tiles, kinship, qc, regression, reml, ridge, scan, score, transform
 from locusframe.plans import jobs
 
 
@@ -281,7 +281,7 @@ def test_lanczos_quadrature_is_exact_for_full_steps_and_close_with_random_probes
     run = reml.reml_lanczos(panel.geno, panel.pheno, steps=12, probes=60, rows=32, cols=8).first()
     assert run.side.startswith("lanczos") and abs(run.y_ss - exact.y_ss) < 1e-9
     assert abs(run.h2 - exact.h2) < 0.1 and abs(run.vg + run.ve - exact.vg - exact.ve) < 0.1
-    stored = reml.reml_lanczos_from_grm(kinship.kinship_additive(panel.geno), panel.pheno, steps=12, probes=60, rows=32).first()
+    stored = reml.reml_lanczos_from_grm(kinship.kinship_additive(panel.geno), panel.pheno, steps=12, probes=60).first()
     assert abs(stored.h2 - run.h2) < 1e-6
     # The part that starts at y has no randomness: its quadrature gives the quadratic form itself.
     k = panel.z @ panel.z.T / panel.p
@@ -339,6 +339,59 @@ def test_he_sums_without_pairs(spark, panel):
     assert np.allclose(a.vc, b.vc) and np.allclose(a.p, b.p)
 
 
+def dense_reml(k, y, x):
+    return reml.maximise(reml.spectrum_from_kinship(k, y, x))
+
+
+def test_reml_with_fixed_effects_by_every_way(spark, panel):
+    """Two covariates, one that follows from another, people without y or a covariate: dense matrices, markers, tiles, and full Lanczos steps."""
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal((panel.n, 2))
+    rows = [(i, k, float(v)) for i in range(panel.n) for k, v in enumerate([c[i, 0], c[i, 1] if i % 13 else None, 2 * c[i, 0] + 1]) if v is not None]
+    covariates = spark.createDataFrame(rows, "iid long, cov int, value double")
+    two = covariates.where("cov < 2")
+    pheno = panel.pheno.selectExpr("iid", "if(iid % 6 = 0, null, y) as y")
+    ids = np.array([i for i in range(panel.n) if i % 6 and i % 13])
+    z = panel.m[ids]
+    z = (z - z.mean(0)) / np.where(z.std(0) == 0, 1, z.std(0))
+    y, x, k = panel.y[ids], np.column_stack([np.ones(len(ids)), c[ids]]), z @ z.T / panel.p
+    want = dense_reml(k, y, x)
+    for method in ("markers", "individuals"):
+        got = reml.reml(panel.geno, pheno, method, two).first()
+        assert abs(got.h2 - want["h2"]) < 1e-6 and abs(got.reml_ll - want["reml_ll"]) < 1e-6 and got.n_fixed == 3 and got.n == len(ids)
+    # unit vectors in place of random signs make the traces exact, and full steps the spectrum
+    few = ids[:20]
+    z = panel.m[few]
+    z = (z - z.mean(0)) / np.where(z.std(0) == 0, 1, z.std(0))
+    y, x, k = panel.y[few], np.column_stack([np.ones(len(few)), c[few]]), z @ z.T / panel.p
+    want = dense_reml(k, y, x)
+    people = reml.fit_people(panel.geno, panel.pheno.where(F.col("iid").isin(few.tolist())), covariates)
+    design, rank = reml.orthonormal_design(*reml.fixed_effects(people, covariates), grm_tiles.TILE_COLS)
+    assert rank == 3 and people.count() == len(few)
+    w = np.zeros((grm_tiles.TILE_COLS, len(few) + 1))
+    w[few, 0], w[few, 1 + np.arange(len(few))] = y, 1.0
+    start = spark.createDataFrame([(0, w.ravel().tolist())], "block int, w array<double>")
+    tiles = kinship.kinship_additive(panel.geno.where(F.col("iid").isin(few.tolist())), form="tiles").cache()
+    spec, y_ss = reml.lanczos_spectrum(lambda v: grm_tiles.times(tiles, v, len(few) + 1), start, design, rank, len(few), len(few) + 1, 99)
+    got = reml.maximise(spec)
+    assert abs(spec.df - (len(few) - 3)) < 1e-8 and all(abs(got[q] - want[q]) < 1e-6 * max(1, abs(want[q])) for q in ("h2", "reml_ll", "eigen_var", "vg"))
+    residual = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert abs(y_ss - residual @ residual) < 1e-9
+
+
+def test_lanczos_without_some_phenotypes(spark, panel):
+    pheno = panel.pheno.selectExpr("iid", "if(iid % 3 = 0, null, y) as y")
+    exact = reml.reml(panel.geno, pheno, "individuals").first()
+    runs = [reml.reml_lanczos(panel.geno, pheno, steps=10, probes=40, rows=32, cols=8).first(),
+            reml.reml_lanczos_from_grm(kinship.kinship_additive(panel.geno.where("iid % 3 <> 0"), form="tiles"), pheno, steps=10, probes=40).first()]
+    for r in runs:
+        assert r.n == exact.n and abs(r.y_ss - exact.y_ss) < 1e-9 and abs(r.h2 - exact.h2) < 0.15
+    assert abs(runs[0].h2 - runs[1].h2) < 1e-6
+    eig = reml.eigen_summary(kinship.kinship_additive(panel.geno), panel.pheno)
+    with pytest.raises(ValueError, match="taken anew"):
+        reml.reml_from_eigen(eig, pheno)
+
+
 def test_he_sums_of_sparse_genotypes(spark, panel):
     """Some have no cell of a marker, some no phenotype, some no covariate: all sums run over the others."""
     geno = panel.geno.filter("(iid + marker) % 3 <> 0 and iid <> 4")
