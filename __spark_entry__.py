@@ -1268,6 +1268,22 @@ def _(spark, sf):
                        _rd("lrt", 4).alias("lrt"))
 
 
+# All kept markers together, with the intercept and both covariates as fixed effects.
+_WHOLE_COV = {
+    **{k: _SCAN_COV[k] for k in ("cv0", "cv1", "cc", "rz")},
+    "ry": _SCAN_COV["ry"].replace("from pheno", "from phz"),
+    "rzi": "select iid, z, dense_rank() over (order by marker) as i from rz",
+    "zz": "select a.i, b.i as j, sum(a.z * b.z) / (select max(i) from rzi) as s from rzi a join rzi b using (iid) group by a.i, b.i",
+    "zy": "select i, sum(z * y) as s from rzi join ry using (iid) group by i",
+    "blk": _WHOLE["blk"].replace("(select sum(y * y) from phz)", "(select sum(y * y) from ry)").replace("count(*) - 1", "count(*) - 3"),
+} | _reml_sql()
+
+
+@_register("reml_covariates", _sql(_REML_ROW.replace("n - 1", "n - 3"), "z", "phz", "covs", extra=_WHOLE_COV))
+def _(spark, sf):
+    return _reml_row(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf), method="markers", covariates=fx.covariates(spark, sf)))
+
+
 # ---------------------------------------------------------------------------------------------
 # Ridge and scores.
 

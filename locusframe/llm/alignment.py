@@ -12,7 +12,9 @@ adds up the counts of its links (see ``two_tier``).
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,8 @@ from locusframe.llm.bpe_automaton import Codec, TwoAges
 from locusframe.llm.common import bounded_batches, materialise, per_process, text_slices
 from locusframe.llm.two_tier import frequent, sums_by_row
 
-# Bytes of the young half of each side's words, and pairs that a task counts at a time.
-WORD_CACHE, PAIRS_HELD = 48 << 20, 1 << 22
+# Bytes of the young half of the remembered chunks, and pairs that a task counts at a time.
+WORD_CACHE, PAIRS_HELD = 72 << 20, 1 << 22
 # Pairs in the broadcast tier.
 FREQUENT_PAIRS = 1 << 20
 
@@ -77,60 +79,64 @@ def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(a, cuts), np.searchsorted(b, cuts)
 
 
-class _Pieces:
-    """A sentencepiece model whose pieces hold spaces at their beginning only, so that a text can be encoded word by word."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        spelled = [self.model.id_to_piece(i) for i in range(len(self.model))]
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)]
-        self.apart = not any(re.search("[^▁]▁", p) for p in spelled)
-        self.space = self.model.piece_to_id("▁")
-        self.words = TwoAges(self._word, WORD_CACHE)
-
-    def _word(self, word: str) -> bytes:
-        ids = self.model.encode(word[1:]) if len(word) > 1 else [self.space]
-        return np.array(ids, np.int32).tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text that isn't empty; the model adds the space before it."""
-        if not self.apart or "▁" in text:
-            return np.array(self.model.encode(text), np.int32)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, re.findall(" +[^ ]*", " " + text))), np.int32)
+# A run of spaces after ink or at the start, what follows it, and further spaces that follow other white space. No token of either side crosses
+# from one to the next, so a text can be encoded chunk by chunk.
+_CHUNK = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 
 
 class Pair:
     """Both tokenizers of an alignment in one worker: byte-level BPE (A) and sentencepiece (B)."""
 
     def __init__(self, path_a: str, path_b: str):
+        import sentencepiece
+
         codec = Codec(path_a)
-        self.split, self.bytes_a = codec.vocab.plain, codec.labels
-        make = codec.words.make
-        self.words = TwoAges(lambda w: np.array(make(w), np.int32).tobytes(), WORD_CACHE)
-        self.pieces = _Pieces(path_b)
-        self.bytes_b = self.pieces.bytes
+        self.split, self.bytes_a, self.ids_of = codec.vocab.plain, codec.labels, codec.words.make
+        self.words = TwoAges(self.ids_of, WORD_CACHE // 2)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        spelled = [self.model.id_to_piece(i) for i in range(len(self.model))]
+        if any(re.search("[^▁]▁", p) for p in spelled):
+            raise ValueError(f"{path_b} has pieces that reach over a space")
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)]
+        self.space = self.model.piece_to_id("▁")
+        self.fresh: dict[str, tuple[bytes, bytes] | None] = {}
+        self.chunks = TwoAges(lambda chunk: self.fresh[chunk], WORD_CACHE)
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         # decimal ids and what follows them: within a group, and at the end of its side
         self.written = [f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))] + [f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))]
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides; None where the tokens' bytes aren't a space and the text."""
-        if not text:
-            return None
-        spaced = " " + text
-        whole = spaced.encode("utf-8", "surrogatepass")
-        a = np.frombuffer(b"".join(map(self.words.__getitem__, self.split(spaced))), np.int32)
-        b = self.pieces.encode(text)
-        for ids, spelled in ((a, self.bytes_a), (b, self.bytes_b)):
-            if b"".join(map(spelled.__getitem__, ids.tolist())) != whole:
-                return None
-        return a, b
-
-    def align(self, text: str) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, str]:
+    def _encode(self, chunks: list[str]) -> None:
+        """Ids of either side of new chunks, as bytes of 32 bit numbers; none where a side spells something else."""
+        find = self.words.__getitem__
+        for chunk, ids_b in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1)):
+            ids_a = list(itertools.chain.from_iterable(map(find, self.split(chunk))))
+            if chunk == " ":  # the model adds no space to nothing
+                ids_b = [self.space]
+            whole = chunk.encode("utf-8", "surrogatepass")
+            same = b"".join(map(self.bytes_a.__getitem__, ids_a)) == whole == b"".join(map(self.bytes_b.__getitem__, ids_b))
+            self.fresh[chunk] = (array("i", ids_a).tobytes(), array("i", ids_b).tobytes()) if same else None
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides of a slice of texts; none for texts that are empty or that a side spells differently."""
+        cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        new = set().union(*cut).difference(self.chunks, self.chunks.old)
+        self.fresh = {}
+        self._encode(list(new))
+        out = []
+        for chunks in cut:
+            try:
+                found = list(map(self.chunks.__getitem__, chunks))
+            except KeyError:  # what was remembered fell out of both halves while the slice was read
+                self._encode(list(set(chunks).difference(self.fresh)))
+                found = list(map(self.chunks.__getitem__, chunks))
+            if not chunks or None in found:
+                out.append(None)
+            else:
+                out.append(tuple(np.frombuffer(b"".join([f[side] for f in found]), np.int32) for side in (0, 1)))
+        return out
+
+    def align(self, found: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, str]:
         """Ids of either side, the number of groups, the linked pairs as ``a * size_b + b``, and the digest of the groups."""
-        found = self.ids(text)
         if found is None:
             none = np.zeros(0, np.int32)
             return none, none, 0, np.zeros(0, np.int64), ""
@@ -170,8 +176,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for part in text_slices(batch.column(2)):
                 numbers: list[tuple[int, int, int, int]] = []
                 digests, pairs, times = [], [], []
-                for text in part:
-                    a, b, n, linked, digest = both.align(text)
+                for ids in both.ids(part):
+                    a, b, n, linked, digest = both.align(ids)
                     found, often = np.unique(linked, return_counts=True)
                     numbers.append((len(a), len(b), n, len(linked)))
                     digests.append(digest)

@@ -101,10 +101,18 @@ def test_groups_and_links_of_random_cuts():
         assert list(zip(i.tolist(), j.tolist())) == want
 
 
-def test_words_encode_like_whole_texts():
+def test_chunks_encode_like_whole_texts():
     both = Pair(A, B)
+    lib = Tokenizer.from_file(A)
+    lib.encode_special_tokens = True
     rng = random.Random(1)
-    assert both.pieces.apart
-    for _ in range(2000):
-        text = "".join(rng.choice([" ", "  ", "a", "b", "\n", "é", "日", "th", "ing", "1", ".", "<0x0A>", "<s>", "\t"]) for _ in range(rng.randrange(1, 40)))
-        assert both.pieces.encode(text).tolist() == both.pieces.model.encode(text)
+    texts = ["".join(rng.choice([" ", "  ", "a", "b", "\n", "é", "日", "th", "ing", "1", ".", "<0x0A>", "<s>", "\t", "\x1c", "\x85", "\u00a0", "\u2028", "'s"])
+                     for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["", "x▁y", " "]
+    for limit in (1 << 20, 2000):  # with chunks that stay, and chunks that fall out within a slice
+        both.chunks.limit = limit
+        for at in range(0, len(texts), 500):
+            for text, found in zip(texts[at : at + 500], both.ids(texts[at : at + 500])):
+                if not text or "▁" in text:
+                    assert found is None
+                else:
+                    assert found[0].tolist() == lib.encode(" " + text, add_special_tokens=False).ids and found[1].tolist() == both.model.encode(text)
