@@ -716,6 +716,18 @@ def _(spark, sf):
     return fit.select("marker", *(_rd(c).alias(c) for c in ("beta", "se", "t")), "df", _rd("sse", 4).alias("sse"), _rd("p").alias("p"))
 
 
+@_register("uni_reg_from_bed", _sql(f"""
+    select t.trait, u.marker, {_r('u.beta * t.f')} as beta, {_r('u.se * t.f')} as se, {_r('u.beta / u.se')} as t, u.df, {_r('u.sse * t.f * t.f', 4)} as sse,
+        {_r('p.p * (select count(*) from uni)')} as p
+    from uni u join pval p on p.id = u.marker, (values ('y', 1.0::double), ('double', 2.0::double)) t(trait, f)""", "assoc",
+                                    extra=_UNI | _tail("select marker as id, beta / se as t, df from uni")))
+def _(spark, sf):
+    _n, stored, _report, params = _study(spark, sf)
+    traits = fx.pheno(spark, sf).select("iid", F.explode(F.create_map(F.lit("y"), F.col("y"), F.lit("double"), 2 * F.col("y"))).alias("trait", "y"))
+    fit = regression.uni_reg_tiles(stored, traits, params)
+    return fit.select("trait", "marker", *(_rd(c).alias(c) for c in ("beta", "se", "t")), "df", _rd("sse", 4).alias("sse"), _rd("p").alias("p"))
+
+
 @_register("uni_reg_partial_pheno", _sql(f"""
     select u.marker, {_r('u.beta')} as beta, {_r('u.se')} as se, {_r('u.beta / u.se')} as t, u.df, {_r('u.sse', 4)} as sse,
         {_r('p.p * (select count(*) from uni)')} as p from uni u join pval p on p.id = u.marker""", "kept", "pheno", extra={

@@ -7,17 +7,22 @@ the k x k result (k bounded) reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import observed
 from locusframe.functions.tails import t_pvalue, t_two_sided
-from locusframe.operators.tiles import gram
-from locusframe.session import MAX_DRIVER_SIDE, materialise
+from locusframe.operators.tiles import ABSENT, COLS, ROWS, gram
+from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
 
 INTERCEPT = -1
+# Bytes of sums that a task holds before it sends them on.
+TASK_BYTES = 64 << 20
 
 
 def association_sums(geno: DataFrame, pheno: DataFrame, sparse: bool = False) -> DataFrame:
@@ -42,19 +47,88 @@ def association_sums(geno: DataFrame, pheno: DataFrame, sparse: bool = False) ->
         F.col("_t.syy").alias("syy"))
 
 
+def association_sums_from_tiles(tiles: DataFrame, pheno: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFrame:
+    """The same sums in one pass over a packed tile table, for one phenotype ``(iid, y)`` or many ``(iid, trait, y)`` at once.
+
+    Each tile meets the phenotypes of its rows and is reduced to products with them, ``X'[1 y y^2]`` and the column squares; tasks add those up per
+    block of markers before they send them. Only cells that are there count, and for each trait only those who have it. No genotype is a row.
+    """
+    many = "trait" in pheno.columns
+    known = pheno.where("y is not null").select("iid", *(["trait"] if many else []), F.col("y").cast("double").alias("y"))
+    traits = sorted(r.trait for r in collect_bounded(known.select("trait").distinct(), MAX_DRIVER_SIDE, "traits")) if many else [None]
+    place = {t: k for k, t in enumerate(traits)}
+    width = len(traits)
+    trait = F.col("trait").cast("string") if many else F.lit(None).cast("string")
+    keyed = known.select(F.expr(f"iid div {rows}").cast("int").alias("rb"), F.pmod("iid", F.lit(rows)).cast("int").alias("at"),
+                         trait.alias("trait"), "y")
+    named = {None if t is None else str(t): k for t, k in place.items()}
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.full((rows, width), np.nan)
+        out[table.column("at").to_numpy(), [named[t] for t in table.column("trait").to_pylist()]] = table.column("y").to_numpy()
+        return pa.table({"rb": pa.array([key[0].as_py()], pa.int32()), "side": pa.array([out.tobytes()], pa.binary())})
+
+    pack.__annotations__ = {"key": tuple, "table": pa.Table, "return": pa.Table}
+    side = materialise(keyed.groupBy("rb").applyInArrow(pack, "rb int, side binary"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.record_batch({"cb": pa.array(list(sums), pa.int32()), "s": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+        for batch in batches:
+            for cb, x, y in zip(*(batch.column(c).to_pylist() for c in ("cb", "x", "side"))):
+                raw = np.frombuffer(x, np.int8).reshape(rows, cols)
+                there = raw != ABSENT
+                g = np.where(there, np.maximum(raw, 0), 0).astype(float)
+                y = np.frombuffer(y).reshape(rows, width)
+                have, y = (~np.isnan(y)).astype(float), np.nan_to_num(y)
+                one = there.astype(float)
+                out = np.stack([one.T @ have, g.T @ have, one.T @ y, (g * g).T @ have, g.T @ y, one.T @ (y * y)])
+                sums[cb] = sums[cb] + out if cb in sums else out
+                if len(sums) * out.nbytes > TASK_BYTES:
+                    yield sent()
+                    sums = {}
+        yield sent()
+
+    names = ["n", "sx", "sy", "sxx", "sxy", "syy"]
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, cols, width))
+        for batch in batches:
+            for s in batch.column("s"):
+                total += np.frombuffer(s.as_buffer()).reshape(total.shape)
+        marker, at = np.nonzero(total[0])
+        yield pa.record_batch({"marker": pa.array((key[0].as_py() * cols + marker).astype(np.int32)), "at": pa.array(at.astype(np.int32))}
+                              | {c: pa.array(total[k, marker, at]) for k, c in enumerate(names)})
+
+    add.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    parts = tiles.select("rb", "cb", "x").join(side, "rb").select("cb", "x", "side").mapInArrow(products, "cb int, s binary")
+    out = parts.groupBy("cb").applyInArrow(add, "marker int, at int, " + ", ".join(f"{c} double" for c in names))
+    if not many:
+        return out.drop("at")
+    labels = tiles.sparkSession.createDataFrame([(k, t) for t, k in place.items()], f"at int, trait {dict(known.dtypes)['trait']}")
+    return out.join(F.broadcast(labels), "at").select("trait", "marker", *names)  # a row per trait, their number checked above
+
+
+def _keys(sums: DataFrame) -> list[str]:
+    return [c for c in ("trait", "marker") if c in sums.columns]
+
+
 def uni_fit(sums: DataFrame) -> DataFrame:
-    """beta, se, t, df and sse per marker from its sums; null where a marker does not vary."""
+    """beta, se, t, df and sse per marker (and trait) from its sums; null where a marker does not vary."""
     n = F.col("n")
     cxx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
     cyy = F.col("syy") - F.col("sy") * F.col("sy") / n
     return (
-        sums.select("marker", n.alias("n"), cxx.alias("cxx"), cxy.alias("cxy"), cyy.alias("cyy"))
+        sums.select(*_keys(sums), n.alias("n"), cxx.alias("cxx"), cxy.alias("cxy"), cyy.alias("cyy"))
         .withColumn("beta", F.try_divide("cxy", "cxx"))
         .withColumn("df", F.col("n") - 2)
         .withColumn("sse", F.col("cyy") - F.col("beta") * F.col("cxy"))
         .withColumn("se", F.sqrt(F.col("sse") / F.col("df") / F.col("cxx")))
-        .select("marker", "beta", "se", F.try_divide("beta", "se").alias("t"), "df", "sse"))
+        .select(*_keys(sums), "beta", "se", F.try_divide("beta", "se").alias("t"), "df", "sse"))
 
 
 def uni_reg(geno: DataFrame, pheno: DataFrame, bonferroni: bool = True, sparse: bool = False) -> DataFrame:
@@ -62,17 +136,32 @@ def uni_reg(geno: DataFrame, pheno: DataFrame, bonferroni: bool = True, sparse:
 
     The Bonferroni factor counts the intercept and the product is not capped at 1.
     """
-    sums = materialise(association_sums(geno, pheno, sparse))
+    return uni_reg_from_sums(association_sums(geno, pheno, sparse), bonferroni)
+
+
+def uni_reg_tiles(tiles: DataFrame, pheno: DataFrame, markers: DataFrame | None = None, bonferroni: bool = True) -> DataFrame:
+    """The same from a packed tile table, one pass for all phenotypes ``(iid[, trait], y)``; ``markers`` are those to test."""
+    sums = association_sums_from_tiles(tiles, pheno)
+    return uni_reg_from_sums(sums if markers is None else sums.join(markers.select("marker"), "marker", "left_semi"), bonferroni)
+
+
+def uni_reg_from_sums(sums: DataFrame, bonferroni: bool = True) -> DataFrame:
+    """Regressions of stored sums, per trait where there are several, and the intercept-only models."""
+    sums = materialise(sums)
+    by = _keys(sums)[:-1]
     # Every marker has every individual, so any row of the sums holds the totals of y.
-    base = sums.agg(F.max_by(F.struct("n", "sy", "syy"), "n").alias("_b")).select("_b.*")
+    base = sums.groupBy(*by).agg(F.max_by(F.struct("n", "sy", "syy"), "n").alias("_b"), F.count(F.lit(1)).alias("_m")).select(*by, "_b.*", "_m")
     sse = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    intercept = base.select(
-        F.lit(INTERCEPT).alias("marker"), (F.col("sy") / F.col("n")).alias("beta"),
+    intercept = base.where("_m > 0").select(
+        *by, F.lit(INTERCEPT).alias("marker"), (F.col("sy") / F.col("n")).alias("beta"),
         F.sqrt(sse / (F.col("n") - 1) / F.col("n")).alias("se"), (F.col("n") - 1).alias("df"), sse.alias("sse"),
-    ).select("marker", "beta", "se", (F.col("beta") / F.col("se")).alias("t"), "df", "sse")
+    ).select(*by, "marker", "beta", "se", (F.col("beta") / F.col("se")).alias("t"), "df", "sse")
     fits = uni_fit(sums).unionByName(intercept)
-    factor = float(sums.count() + 1) if bonferroni else 1.0
-    return fits.withColumn("p", t_pvalue("t", "df") * F.lit(factor))
+    if not bonferroni:
+        return fits.withColumn("p", t_pvalue("t", "df"))
+    tests = base.select(*by, (F.col("_m") + 1).cast("double").alias("_tests"))
+    fits = fits.join(tests, by) if by else fits.withColumn("_tests", tests.select("_tests").scalar())
+    return fits.withColumn("p", t_pvalue("t", "df") * F.col("_tests")).drop("_tests")
 
 
 def solve_least_squares(m: np.ndarray, n: float, bonferroni: bool) -> dict:

@@ -22,6 +22,12 @@ def association(geno: DataFrame, pheno: DataFrame, bonferroni: bool = True) -> D
     return regression.uni_reg(kept, pheno, bonferroni).join(report.select("marker", "maf"), "marker", "left")
 
 
+def association_files(spark: SparkSession, path: str, n_samples: int, pheno: DataFrame, bonferroni: bool = True, **thresholds) -> DataFrame:
+    """The same straight from a packed genotype file, for one phenotype ``(iid, y)`` or many ``(iid, trait, y)`` in one pass over its tiles."""
+    stored, report, params = tile_study(spark, path, n_samples, **thresholds)
+    return regression.uni_reg_tiles(stored, pheno, params, bonferroni).join(report.select("marker", "maf"), "marker", "left")
+
+
 def tile_study(spark: SparkSession, path: str, n_samples: int, **thresholds) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A genotype file as stored tiles with its QC report and the standardisation of the kept markers.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from locusframe import fixtures as fx
 from locusframe.functions.tails import t_two_sided
 from locusframe.operators import haseman_elston as he
-from locusframe.operators import grm_tiles, kinship, qc, regression, reml, ridge, scan, score, transform
+from locusframe.operators import grm_tiles, kinship, qc, regression, reml, ridge, scan, score, tiles, transform
 from locusframe.plans import jobs
 
 
@@ -439,3 +439,17 @@ def test_scaled_gradients_and_non_convergence(spark, panel):
     assert np.abs(got - want).max() < 1e-5 * np.abs(want).max() and (got[::4] == 0).all()
     with pytest.raises(ValueError, match="convergence"):
         ridge.ridge_cg(panel.geno, panel.pheno, 0.01, 1e-12, 2)
+
+
+def test_association_from_tiles(spark, panel):
+    """Several traits with different people each, cells that aren't there, tiles of a few rows and columns."""
+    geno = panel.geno.filter("(iid + marker) % 5 <> 0")
+    pheno = panel.pheno.selectExpr("iid", "explode(map('a', if(iid % 4 = 0, null, y), 'b', iid * y)) as (trait, y)")
+    table = tiles.tile_table(geno, "iid", "marker", "dosage", 16, 8)
+    names = ["trait", "marker", "n", "sx", "sy", "sxx", "sxy", "syy"]
+    got = regression.association_sums_from_tiles(table, pheno, 16, 8).select(names).toPandas().sort_values(names[:2]).reset_index(drop=True)
+    want = pd.concat([regression.association_sums(geno, pheno.where(F.col("trait") == t)).toPandas().assign(trait=t) for t in "ab"])
+    pd.testing.assert_frame_equal(got, want[names].sort_values(names[:2]).reset_index(drop=True), check_dtype=False)
+    whole = tiles.tile_table(panel.geno, "iid", "marker", "dosage")
+    one = regression.uni_reg_tiles(whole, panel.pheno).toPandas().sort_values("marker")
+    assert np.allclose(one.p, regression.uni_reg(panel.geno, panel.pheno).toPandas().sort_values("marker").p)
