@@ -1280,6 +1280,14 @@ def _(spark, sf):
                        _rd("lrt", 4).alias("lrt"))
 
 
+@_register("scan_from_bed", _ORACLES["scan_regions_covariates"])
+def _(spark, sf):
+    _n, stored, report, _params = _study(spark, sf)
+    rows = reml.likelihood_ratio(scan.scan_tiles(stored, fx.pheno(spark, sf), 16, 8, fx.covariates(spark, sf), report))
+    return rows.select("block", _rd("delta", 3).alias("delta"), _rd("h2").alias("h2"), _rd("vg").alias("vg"), _rd("reml_ll", 4).alias("reml_ll"),
+                       _rd("lrt", 4).alias("lrt"))
+
+
 # All kept markers together, with the intercept and both covariates as fixed effects.
 _WHOLE_COV = {
     **{k: _SCAN_COV[k] for k in ("cv0", "cv1", "cc", "rz")},

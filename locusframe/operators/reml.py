@@ -232,6 +232,21 @@ def _summed(df: DataFrame, of, size: int) -> np.ndarray:
     return out
 
 
+def summed_blocks(df: DataFrame, of, size: int) -> np.ndarray:
+    """Sum of ``of(values)`` over the one column of binary blocks."""
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for x in batch.column(0):
+                total += of(np.frombuffer(x.as_buffer())).ravel()
+        yield pa.record_batch({"k": pa.array(range(size), pa.int32()), "v": pa.array(total)})
+
+    out = np.zeros(size)
+    for k, v in df.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[k] = v
+    return out
+
+
 def _blockwise(df: DataFrame, of: dict, keep: tuple[str, ...] = ()) -> DataFrame:
     """New block columns, each a function of a row's arrays; the columns ``keep`` pass on."""
     names, out = [c for c in df.columns if c != "block"], list(of)

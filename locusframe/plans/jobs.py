@@ -135,6 +135,13 @@ def region_scan_files(spark: SparkSession, prefix: str, pheno_path: str, out: st
     sinks.write_table(sinks.kept_marker_list(report, markers), out + "_markers")
 
 
+def region_scan_tiles(spark: SparkSession, path: str, n_samples: int, pheno: DataFrame, block: int = 50, stride: int = 25,
+                      covariates: DataFrame | None = None, **thresholds) -> DataFrame:
+    """The scan straight from a packed genotype file, without a row per genotype."""
+    stored, report, _params = tile_study(spark, path, n_samples, **thresholds)
+    return scan.scan_tiles(stored, pheno, block, stride, covariates, report)
+
+
 def merge_region_files(spark: SparkSession, prefix: str, out: str) -> None:
     """Append ``<prefix>1.txt, <prefix>2.txt, ..`` into one region file."""
     merged = concat_regions(text.read_region_files(spark, prefix))

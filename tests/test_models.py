@@ -239,11 +239,8 @@ def test_scan_with_covariates_leaves_out_incomplete_people(spark, panel):
     small = panel.geno.filter(~panel.geno.iid.isin(4, 9))
     again = scan.scan_regions(panel.geno, panel.pheno.filter("iid not in (4, 9)"), 8, 8, covariates=cov.filter("iid not in (4, 9)")).toPandas().set_index("block")
     assert np.allclose(first.reml_ll, again.reml_ll) and (first.n == len(keep)).all() and (first.n_fixed == 6).all()
-    old, scan.TERMS = scan.TERMS, 2
-    try:
-        chunked = scan.scan_regions(panel.geno, panel.pheno, 8, 8, covariates=cov).toPandas().set_index("block")
-    finally:
-        scan.TERMS = old
+    small_tiles = tiles.tile_table(panel.geno, "iid", "marker", "dosage", 16, 4)  # blocks lie across tiles
+    chunked = scan.scan_tiles(small_tiles, panel.pheno, 8, 8, cov, rows=16, cols=4).toPandas().set_index("block")
     assert np.allclose(first.delta, chunked.delta)
     design = np.column_stack([np.ones(len(keep)), x[keep]])
     res = panel.y[keep] - design @ np.linalg.lstsq(design, panel.y[keep], rcond=None)[0]
