@@ -820,6 +820,12 @@ def _(spark, sf):
     return fit.select("term", *(_rd(c).alias(c) for c in ("beta", "se", "t", "p")), "df", _rd("sse", 4).alias("sse"), _rd("mse").alias("mse"))
 
 
+@_register("multi_reg_blocked", _ORACLES["multi_reg"])
+def _(spark, sf):
+    fit = regression.multi_reg(_terms(_kept(spark, sf)[0]), fx.pheno(spark, sf), blocked=True)
+    return fit.select("term", *(_rd(c).alias(c) for c in ("beta", "se", "t", "p")), "df", _rd("sse", 4).alias("sse"), _rd("mse").alias("mse"))
+
+
 def _some_multi() -> dict[str, str]:
     part = {"some_y": "select iid, y from pheno where iid % 3 <> 0", "some_kept": "select * from kept where iid in (select iid from some_y)"}
     return part | {k: v.replace("from pheno", "from some_y").replace("join pheno", "join some_y").replace("from kept", "from some_kept")

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions.ranking import index_by_integer
 from locusframe.functions.scalar import observed
 from locusframe.functions.tails import t_pvalue, t_two_sided
-from locusframe.operators.tiles import ABSENT, COLS, ROWS, gram
+from locusframe.operators import cholesky
+from locusframe.operators.tiles import ABSENT, COLS, ROWS, gram, tile_table
 from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, materialise
 
 INTERCEPT = -1
@@ -188,23 +190,26 @@ def dense_triangle(lower: DataFrame, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def multi_reg(cells: DataFrame, pheno: DataFrame, bonferroni: bool = True, add_intercept: bool = True) -> DataFrame:
-    """Joint least squares of y on the columns of ``cells(iid, term, value)``, ``term >= 0``.
+def multi_reg(cells: DataFrame, pheno: DataFrame, bonferroni: bool = True, add_intercept: bool = True, blocked: bool = False) -> DataFrame:
+    """Joint least squares of y on the columns of ``cells(iid, term, value)``, ``term >= 0``, any number of them.
 
     The people of the fit are those with a phenotype and any cell; a cell that isn't there is zero.
-    One row per coefficient (term -1 is the intercept) with beta, se, t, p, df, sse and mse.
+    One row per coefficient (term -1 is the intercept) with beta, se, t, p, df, sse and mse. The normal equations are solved exactly: on the
+    driver where they are small, else (and with ``blocked``) by blocked Cholesky factors on a tile table, with the same result.
     """
     x = cells.select("iid", (F.col("term") + 2).alias("term"), F.col("value").cast("double").alias("value"))
     rows = materialise(pheno.where("y is not null").select("iid", "y").join(cells.select("iid").distinct(), "iid", "left_semi"))
     x = x.join(rows.select("iid"), "iid", "left_semi")
-    terms = cells.select("term").distinct().limit(MAX_DRIVER_SIDE + 1).toPandas()["term"].to_numpy()
-    stacked = x.unionByName(rows.select("iid", F.lit(0).alias("term"), F.col("y").alias("value")))
     if add_intercept:
-        stacked = stacked.unionByName(rows.select("iid", F.lit(1).alias("term"), F.lit(1.0).alias("value")))
+        x = x.unionByName(rows.select("iid", F.lit(1).alias("term"), F.lit(1.0).alias("value")))
+    terms = cells.select("term").distinct().limit(MAX_DRIVER_SIDE - 1).toPandas()["term"].to_numpy()
+    n = rows.count()
+    if blocked or len(terms) >= MAX_DRIVER_SIDE - 1:
+        return _blocked_fit(x, rows, n, bonferroni)
+    stacked = x.unionByName(rows.select("iid", F.lit(0).alias("term"), F.col("y").alias("value")))
     ids = np.sort(np.concatenate([[0], [1] if add_intercept else [], terms + 2])).astype(int)
     full = dense_triangle(gram(stacked, "term", "iid", "value"), ids)
     order = np.r_[1:len(ids), 0]
-    n = rows.count()
     fit = solve_least_squares(full[np.ix_(order, order)], n, bonferroni)
     out = pd.DataFrame({"term": ids[1:] - 2, "beta": fit["beta"], "se": fit["se"], "t": fit["t"], "p": fit["p"]})
     return cells.sparkSession.createDataFrame(out).selectExpr(
@@ -213,6 +218,31 @@ def multi_reg(cells: DataFrame, pheno: DataFrame, bonferroni: bool = True, add_i
         f"double({fit['sse'] / fit['df']!r}) as mse")
 
 
+def numbered_gram(cells: DataFrame, key: str, value: str, side: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Products of the columns ``key`` of long cells ``(iid, key, value)`` as blocks for ``cholesky``, with the dense numbers
+    ``(key, idx)`` of the columns and how many there are."""
+    side = side or cholesky.SIDE
+    names = materialise(index_by_integer(cells.select(key).distinct(), key))
+    numbered = cells.join(names, key).select("idx", "iid", value)
+    tiles = materialise(tile_table(numbered, "idx", "iid", value, side, COLS))
+    return materialise(cholesky.gram_blocks(tiles, side, COLS, side)), names, names.count()
+
+
+def _blocked_fit(x: DataFrame, rows: DataFrame, n: int, bonferroni: bool) -> DataFrame:
+    """The joint fit of stacked columns ``x(iid, term, value)`` with terms from 1 (the intercept) on."""
+    x = materialise(x)
+    blocks, names, k = numbered_gram(x, "term", "value")
+    right = materialise(x.join(rows, "iid").groupBy("term").agg(F.sum(F.col("value") * F.col("y")).alias("v")).join(names, "term"))
+    solved = materialise(cholesky.solve(blocks, right, k).join(right, "idx"))
+    explained = solved.agg(F.sum(F.col("beta") * F.col("v"))).first()[0]
+    df = float(n - k)
+    sse = max(rows.agg(F.sum(F.col("y") * F.col("y"))).first()[0] - explained, 0.0)
+    se = F.sqrt(F.lit(sse / df) * F.col("inverse"))
+    fit = solved.select((F.col("term") - 2).cast("int").alias("term"), "beta", se.alias("se"), (F.col("beta") / se).alias("t"), F.lit(df).alias("df"))
+    return fit.select("term", "beta", "se", "t", (t_pvalue("t", "df") * F.lit(float(k) if bonferroni else 1.0)).alias("p"), "df",
+                      F.lit(sse).alias("sse"), F.lit(sse / df).alias("mse"))
+
+
 def generic_reg(cells: DataFrame, pheno: DataFrame, n: int, p: int, bonferroni: bool = True) -> DataFrame:
     """One regression per column when there are too few rows for a joint fit, else the joint fit."""
     if n <= p + 1:

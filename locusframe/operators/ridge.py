@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import observed
-from locusframe.operators.regression import dense_triangle, multi_reg
+from locusframe.operators import cholesky
+from locusframe.operators.regression import dense_triangle, multi_reg, numbered_gram
 from locusframe.operators.tiles import COLS, ROWS, block_counts, decode, gram, tile_table, with_stats
 from locusframe.operators.transform import scale_params
 from locusframe.session import MAX_DRIVER_SIDE, collect_bounded, discard, materialise
@@ -133,7 +134,8 @@ def ridge_observation_weighted(geno: DataFrame, pheno: DataFrame, weights: DataF
                                weight_outcome: bool = True) -> DataFrame:
     """``(Z'WZ + delta I)^-1 Z'Wy`` with weights per individual ``(iid, w)``.
 
-    ``weight_outcome=False`` leaves W out of the right side. Both sides run over those with genotypes, phenotype and weight.
+    ``weight_outcome=False`` leaves W out of the right side. Both sides run over those with genotypes, phenotype and weight. The system is
+    solved exactly: on the driver where it is small, else by blocked Cholesky factors, with the same result.
     """
     pheno = pheno.join(weights.where("w is not null").select("iid"), "iid", "left_semi")
     both, pheno = people(geno, pheno)
@@ -141,10 +143,14 @@ def ridge_observation_weighted(geno: DataFrame, pheno: DataFrame, weights: DataF
     z = ((observed("dosage") - F.col("mean")) / F.col("sd")).alias("z")
     cells = both.join(params, "marker").join(weights, "iid").select("iid", "marker", z, "w")
     root = cells.select("iid", "marker", (F.col("z") * F.sqrt("w")).alias("v"))
-    ids = np.array(sorted(r.marker for r in collect_bounded(params.select("marker"), MAX_DRIVER_SIDE, "markers")))
-    ztwz = dense_triangle(gram(root, "marker", "iid", "v"), ids)
     factor = F.col("w") if weight_outcome else F.lit(1.0)
     right = cells.join(pheno, "iid").groupBy("marker").agg(F.sum(F.col("z") * factor * F.col("y")).alias("r"))
+    if params.count() > MAX_DRIVER_SIDE:
+        blocks, names, p = numbered_gram(materialise(root), "marker", "v")
+        solved = cholesky.solve(blocks, right.join(names, "marker").select("idx", F.col("r").alias("v")), p, delta)
+        return solved.join(names, "idx").select(F.col("marker").cast("int").alias("marker"), "beta")
+    ids = np.array(sorted(r.marker for r in collect_bounded(params.select("marker"), MAX_DRIVER_SIDE, "markers")))
+    ztwz = dense_triangle(gram(root, "marker", "iid", "v"), ids)
     known = {r.marker: r.r for r in right.collect()}
     zty = np.array([known[int(m)] for m in ids])
     return _effects(geno.sparkSession, ids, np.linalg.solve(ztwz + delta * np.eye(len(ids)), zty))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from locusframe import fixtures as fx
 from locusframe.functions.tails import t_two_sided
 from locusframe.operators import haseman_elston as he
-from locusframe.operators import grm_tiles, kinship, qc, regression, reml, ridge, scan, score, tiles, transform
+from locusframe.operators import cholesky, grm_tiles, kinship, qc, regression, reml, ridge, scan, score, tiles, transform
 from locusframe.plans import jobs
 
 
@@ -450,3 +450,25 @@ def test_association_from_tiles(spark, panel):
     whole = tiles.tile_table(panel.geno, "iid", "marker", "dosage")
     one = regression.uni_reg_tiles(whole, panel.pheno).toPandas().sort_values("marker")
     assert np.allclose(one.p, regression.uni_reg(panel.geno, panel.pheno).toPandas().sort_values("marker").p)
+
+
+def test_blocked_factors_solve_like_the_dense_system(monkeypatch, spark, panel):
+    """Blocks of 8 on 24 terms, with the driver's bound at 8: the same coefficients, errors and p-values; the same weighted ridge."""
+    cells = _cells(panel).withColumn("term", F.col("term") * 3 + 1)
+    pheno = panel.pheno.selectExpr("iid", "if(iid % 9 = 0, null, y) as y")
+    weights = panel.pheno.selectExpr("iid", "1 + iid % 3 as w")
+    def both():
+        fit = regression.multi_reg(cells, pheno).toPandas().sort_values("term")
+        weighted = [by_marker(ridge.ridge_observation_weighted(panel.geno, panel.pheno, weights, 3.0, w)) for w in (True, False)]
+        return fit, weighted
+    want, want_weighted = both()
+    monkeypatch.setattr(regression, "MAX_DRIVER_SIDE", 8)
+    monkeypatch.setattr(ridge, "MAX_DRIVER_SIDE", 8)
+    monkeypatch.setattr(cholesky, "SIDE", 8)
+    monkeypatch.setattr(cholesky.solve, "__defaults__", (0.0, 8))
+    got, got_weighted = both()
+    assert list(got.term) == list(want.term) and all(np.allclose(got[c], want[c], rtol=1e-8) for c in ("beta", "se", "t", "p", "df", "sse", "mse"))
+    assert all(np.allclose(a, b) for a, b in zip(got_weighted, want_weighted))
+    collinear = cells.unionByName(cells.where("term = 1").withColumn("term", F.lit(500)))
+    with pytest.raises(np.linalg.LinAlgError):
+        regression.multi_reg(collinear, pheno)
