@@ -580,6 +580,58 @@ def _(spark, sf):
     return sinks.kept_marker_list(qc.qc_report(fx.geno(spark, sf)), fx.marker(spark, sf))
 
 
+@_register("bim_parts", """
+    select cast(row_number() over (order by p_partkey) - 1 as int) as marker, cast(1 + p_size % 22 as varchar) as chrom, 'rs' || p_partkey as rsid,
+        p_size / 8.0::double as cm, cast(p_partkey * 100 + p_size as bigint) as pos, substr(p_type, 1, 1) as a1, substr(p_name, 1, 1) as a2 from part""")
+def _(spark, sf):
+    path = _place(spark, "part-markers")
+    plink.write_lines(plink.bim_lines(fx.part_marker(spark, sf)), path + ".bim")
+    return plink.read_bim(spark, path)
+
+
+@_register("weights_of_counts", "select 'rs' || l_partkey as rsid, count(*) / 4.0::double as w from lineitem group by l_partkey")
+def _(spark, sf):
+    path = _place(spark, "count-weights")
+    lines = fx.count_weight(spark, sf).selectExpr("marker as id", "concat_ws(' ', rsid, w) as value")
+    plink.write_lines(lines.unionByName(spark.range(1).selectExpr("-1 as id", "'rsid weight' as value")), path)
+    return text.read_weights(spark, path)
+
+
+@_register("region_members_roundtrip", """
+    select cast(p_size % 7 as int) as region_id, 'rs' || p_partkey as rsid,
+        cast(row_number() over (partition by p_size % 7 order by p_partkey) - 1 as bigint) as position from part""")
+def _(spark, sf):
+    path = _place(spark, "members") + "/m_"
+    members = fx.table(spark, sf, "part").selectExpr("int(p_size % 7) as region_id", "concat('rs', p_partkey) as rsid", "p_partkey as position")
+    sinks.write_region_members(members, path)
+    return text.read_region_members(spark, path)
+
+
+@_register("region_deltas_roundtrip", f"""
+    select cast(row_number() over (order by l_partkey) - 1 as int) as region_id, {_r('(1 - h2) / h2')} as delta
+    from (select l_partkey, count(*) / (10.0::double + count(*)) as h2 from lineitem group by l_partkey)""")
+def _(spark, sf):
+    path = _place(spark, "report")
+    h2 = fx.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    lines = h2.selectExpr("l_partkey * 2 as id", "concat('Her_K', l_partkey, ' ', n / (double(10) + n), ' 0.01') as value")
+    plink.write_lines(lines.unionByName(h2.selectExpr("l_partkey * 2 + 1 as id", "concat('Var_K', l_partkey, ' ', n) as value")), path)
+    return text.read_region_deltas(spark, path).select("region_id", _rd("delta").alias("delta"))
+
+
+@_register("region_files_roundtrip", """
+    select cast(n_regionkey + 1 as int) as file_no, cast(row_number() over (partition by n_regionkey order by c_custkey) - 1 as bigint) as row_no,
+        cast(c_custkey as int) as start_idx, cast(c_custkey + 10 as int) as end_idx, c_custkey / 8.0::double as delta
+    from customer join nation on n_nationkey = c_nationkey where n_regionkey < 3""")
+def _(spark, sf):
+    """Region files 1 to 3 and 5: reading stops at the missing number."""
+    path = _place(spark, "files") + "/scan"
+    rows = fx.table(spark, sf, "customer").join(fx.table(spark, sf, "nation"), F.expr("n_nationkey = c_nationkey")).selectExpr(
+        "n_regionkey as k", "int(c_custkey) as start_idx", "int(c_custkey + 10) as end_idx", "c_custkey / double(8) as delta")
+    for k, number in ((0, 1), (1, 2), (2, 3), (4, 5)):
+        sinks.write_regions(rows.where(F.col("k") == k), f"{path}{number}.txt")
+    return text.read_region_files(spark, path)
+
+
 def _study(spark, sf):
     n = fx.table(spark, sf, "embeddings").count()
     path = f"{scratch_dir(spark)}/bed-{os.urandom(8).hex()}"
@@ -1046,6 +1098,15 @@ def _(spark, sf):
     return _rounded_parts(_he(spark, sf)[1])
 
 
+@_register("vc_report", f"""
+    select c.*, m.bic, m.h2 from ({_ORACLES['he_components']}) c join ({_ORACLES['he_models']}) m using (components)""")
+def _(spark, sf):
+    path = _place(spark, "vc")
+    sinks.write_vc_report(*_he(spark, sf), path)
+    models = spark.read.parquet(f"{path}/vc_model").select("components", _rd("bic", 3).alias("bic"), _rd("h2").alias("h2"))
+    return _rounded_parts(spark.read.parquet(f"{path}/vc_component")).join(models, "components")
+
+
 @_register("he_residual", _sql(_he_parts(he.component_labels(2)), "kin", "phz", extra={"raw": _ADD_EPI} | _he_sql("""
     select i, j, x1, x2 - (select regr_intercept(x2, x1) from raw) - (select regr_slope(x2, x1) from raw) * x1 as x2, z from raw""", 2)))
 def _(spark, sf):
@@ -1175,6 +1236,19 @@ def _(spark, sf):
     return _reml_row(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf), method="markers"))
 
 
+@_register("h2_report", _sql(f"""
+    select t.name, t.value from best, (select sum(case when i = j then s else 0 end) as s1, sum(s * s) as s2 from zz), lateral (values
+        ('h2', {_r('h2')}), ('h2_se', {_r('sqrt(2 / (n * (s2 / (n - 1) - pow(s1 / (n - 1), 2))))')}), ('delta', {_r('d', 4)}), ('ve', {_r('ve')}),
+        ('vg', {_r('vg')}), ('reml_ll', {_r('ll', 4)})) t(name, value)""", "zr", "phz", extra=_WHOLE))
+def _(spark, sf):
+    path = _place(spark, "h2")
+    sinks.write_h2_report(jobs.heritability(fx.pheno(spark, sf), geno=fx.geno(spark, sf), method="markers"), path)
+    parts = F.split("value", "=")
+    value = parts[1].cast("double")
+    digits = F.when(parts[0].isin("delta", "reml_ll"), F.round(value, 4)).otherwise(F.round(value, 6))
+    return spark.read.text(path).select(parts[0].alias("name"), digits.alias("value"))
+
+
 @_register("reml_from_kinship", _ORACLES["reml_h2"])
 def _(spark, sf):
     return _reml_row(jobs.heritability(fx.pheno(spark, sf), grm=kinship.kinship_additive(_kept(spark, sf)[0]), method="exact"))

@@ -99,6 +99,19 @@ def named_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("cast(p_partkey as int) as marker", "p_brand as rsid")
 
 
+def part_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marker per part, in the order of parts: chromosome by size, position by key, alleles by type and name."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as marker", "cast(1 + p_size % 22 as string) as chrom", "concat('rs', p_partkey) as rsid", "p_size / double(8) as cm",
+        "bigint(p_partkey * 100 + p_size) as pos", "substr(p_type, 1, 1) as a1", "substr(p_name, 1, 1) as a2")
+
+
+def count_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weight per part from its number of order lines."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        "l_partkey as marker", "concat('rs', l_partkey) as rsid", "n / double(4) as w")
+
+
 def layer_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A network of one hidden layer of 8 neurons over all markers, without biases, from allele counts of eight groups of people."""
     counts = geno(spark, sf_dir).groupBy("marker", (F.col("iid") % 8).cast("int").alias("j")).agg(F.sum(observed("dosage")).cast("long").alias("g"))

@@ -25,6 +25,16 @@ def write_regions(regions: DataFrame, path: str) -> None:
     _text(regions, path, ["start_idx", "end_idx"], ["start_idx", "end_idx", "delta"])
 
 
+def write_region_members(members: DataFrame, path: str) -> None:
+    """``(region_id, rsid, position)`` as one folder of sorted lines per region, ``region0 ..``, next to their highest number."""
+    ids = sorted(r.region_id for r in members.select("region_id").distinct().collect())  # a folder each
+    for k in ids:
+        own = members.where(F.col("region_id") == k)
+        own.repartitionByRange("position").sortWithinPartitions("position").select("rsid").write.mode("overwrite").text(f"{path}region{k}")
+    top = members.sparkSession.createDataFrame([(str(ids[-1] if ids else 0),)], "value string")
+    top.coalesce(1).write.mode("overwrite").text(f"{path}region_number")
+
+
 def write_effects(effects: DataFrame, path: str, with_allele: bool = True) -> None:
     columns = ["rsid", "a1", "beta"] if with_allele else ["rsid", "beta"]
     _text(effects, path, ["marker"], columns, sep=" " if with_allele else "\t")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,25 +41,24 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("t")[0].alias("rsid"), F.col("t")[1].cast("double").alias("w"))
 
 
-def _order_in_file(lines: DataFrame) -> DataFrame:
+def _numbered_files(spark: SparkSession, pattern: str, number: str) -> DataFrame:
+    """Lines of many files with the number in each file's name and the position in the file. A folder of parts counts as
+    one file, its parts in the order of their names."""
     from locusframe.functions.ranking import with_row_index
-    return with_row_index(lines, ["_m"], F.col("_start"), by=("file_no",), name="row_no")
 
-
-def _numbered_files(spark: SparkSession, pattern: str, number: str) -> DataFrame:
-    """Lines of many files with the number in each file's name and the position in the file."""
     lines = spark.read.text(pattern).filter(F.trim("value") != "").select(
-        F.split(F.trim("value"), r"\s+").alias("t"),
-        F.regexp_extract(F.col("_metadata.file_name"), number, 1).alias("_no"),
+        F.split(F.trim("value"), r"\s+").alias("t"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_m"))
-    return _order_in_file(lines.filter("_no <> ''").withColumn("file_no", F.col("_no").cast("int")))
+    lines = lines.withColumn("_no", F.regexp_extract("_file", f"/{number}(?:/part-[^/]*)?$", 1)).filter("_no <> ''")
+    return with_row_index(lines.withColumn("file_no", F.col("_no").cast("int")), ["_m"], F.struct("_file", "_start"), by=("file_no",), name="row_no")
 
 
 def read_region_members(spark: SparkSession, prefix: str) -> DataFrame:
     """``(region_id, rsid, position)`` from files ``region0`` (background) to ``regionN``; the count is in
     ``region_number``."""
     count = int(spark.read.text(prefix + "region_number").first()[0].strip())
-    return _numbered_files(spark, prefix + "region[0-9]*", r"region(\d+)$").filter(F.col("file_no") <= count).select(
+    stem = re.escape(prefix.rsplit("/", 1)[-1])
+    return _numbered_files(spark, prefix + "region[0-9]*", stem + r"region(\d+)").filter(F.col("file_no") <= count).select(
         F.col("file_no").alias("region_id"), F.col("t")[0].alias("rsid"), F.col("row_no").alias("position"))
 
 
@@ -81,7 +82,7 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 def read_region_files(spark: SparkSession, prefix: str) -> DataFrame:
     """Regions of ``<prefix>1.txt, <prefix>2.txt, ..`` up to the first missing number."""
     stem = prefix.rsplit("/", 1)[-1]
-    rows = _numbered_files(spark, prefix + "*.txt", f"^{stem}" + r"(\d+)\.txt$")
+    rows = _numbered_files(spark, prefix + "*.txt", re.escape(stem) + r"(\d+)\.txt")
     numbers = {r.file_no for r in rows.select("file_no").distinct().collect()}
     last = next(k for k in range(1, len(numbers) + 2) if k not in numbers) - 1
     t = F.col("t")
