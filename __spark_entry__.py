@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from locusframe import fixtures as fx  # noqa: E402
-from locusframe.functions import scalar  # noqa: E402
+from locusframe.functions import draws, scalar  # noqa: E402
 from locusframe.operators import align, explain, grm_tiles, kinship, qc, regression, reml, ridge, sampling, scan, score, tiles, transform  # noqa: E402
 from locusframe.operators import haseman_elston as he  # noqa: E402
 from locusframe.operators import network as nn  # noqa: E402
@@ -1730,11 +1730,25 @@ def _(spark, sf):
     return explain.mean_saliency(explain.saliency(nn.wide(z, net.markers), net)).select("marker", _rd("saliency").alias("saliency"))
 
 
-@_register("smoothgrad")
+# Noise is drawn by (seed, individual, sample * 64 + input), the same on both sides.
+@_register("smoothgrad", _sql(f"""
+    select marker, {_r('avg(g)')} as saliency from (
+        select p.iid, a.i as marker, p.sample, abs(sum(greatest(b.w, 0) * a.w / (1 + exp(-p.s)) * (1 - 1 / (1 + exp(-p.s))))) as g
+        from noisy p join lw b on b.layer = 1 and b.i = p.h join lw a on a.layer = 0 and a.j = p.h group by p.iid, a.i, p.sample)
+    group by marker""", "pre", "lw", "zall", extra={
+    "wide": "select iid, 0.15::double * (max(z) - min(z)) as wide, count(*) as p from zall group by iid",
+    "place": "select iid, wide, sample, k, sample * p + k as spot from wide, (select unnest(range(8)) as sample), (select unnest(range(64)) as k) where k < p",
+    "noise": f"""
+        select iid, sample, k, wide * sqrt(-2 * ln({draws.uniform_sql(1, 'iid', '2 * spot')})) * cos(2 * pi() * {draws.uniform_sql(1, 'iid', '2 * spot + 1')}) as e
+        from place""",
+    "noisy": """
+        select p.iid, n.sample, p.h, max(p.s) + sum(n.e * w.w) as s from pre p join noise n on n.iid = p.iid
+        join lw w on w.layer = 0 and w.i = n.k and w.j = p.h group by p.iid, n.sample, p.h"""}))
 def _(spark, sf):
     z, _ = _zall(spark, sf)
     net = _net(spark, sf)
-    return explain.mean_saliency(explain.smoothgrad(nn.wide(z, net.markers), net))
+    smooth = explain.mean_saliency(explain.smoothgrad(nn.wide(z, net.markers), net, samples=8))
+    return smooth.select("marker", _rd("saliency").alias("saliency"))
 
 
 @_register("activation_map", _sql(f"""

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.functions.draws import normal
 from locusframe.operators.network import Network, activate, matrix_of, slope, weight_product
 
 SET_BATCH = 1 << 14
@@ -113,20 +114,27 @@ def saliency(rows: DataFrame, net: Network, guided: bool = True) -> DataFrame:
     return _per_marker(rows, net, lambda model, x, _: input_gradient(model, x, guided))
 
 
+# Noisy inputs that a task holds at a time.
+NOISY_CELLS = 1 << 21
+
+
 def smoothgrad(rows: DataFrame, net: Network, spread: float = 0.15, samples: int = 50, mode: str = "absolute",
                seed: int = 1, guided: bool = True) -> DataFrame:
     """Mean gradient over noisy copies of each individual; noise is scaled by the individual's range.
 
-    Copies are made where the individual is and never shuffled. Noise is seeded per individual, so the
-    result does not depend on partitioning.
+    Copies are made where the individual is and never shuffled. The noise of sample s at the k-th of p inputs is the normal draw of
+    ``functions.draws`` for (seed, iid, s * p + k), so it depends on nothing else, and other engines can repeat it.
     """
     def smooth(model, x, iids):
-        out = np.zeros_like(x)
-        for row, iid in enumerate(iids):
-            rng = np.random.default_rng([seed, int(iid)])
-            noise = rng.standard_normal((samples, x.shape[1])) * spread * (x[row].max() - x[row].min())
-            g = input_gradient(model, x[row] + noise, guided)
-            out[row] = (np.abs(g) if mode == "absolute" else g * g if mode == "squared" else g).mean(axis=0)
+        out, p = np.zeros_like(x), x.shape[1]
+        many = max(1, NOISY_CELLS // (samples * p))
+        for at in range(0, len(x), many):
+            part = x[at:at + many]
+            noise = normal(seed, iids[at:at + many, None], np.arange(samples * p)[None]).reshape(len(part), samples, p)
+            wide = spread * (part.max(axis=1) - part.min(axis=1))
+            noisy = part[:, None] + noise * wide[:, None, None]
+            g = input_gradient(model, noisy.reshape(-1, p), guided).reshape(noisy.shape)
+            out[at:at + many] = (np.abs(g) if mode == "absolute" else g * g if mode == "squared" else g).mean(axis=1)
         return out
 
     return _per_marker(rows, net, smooth)

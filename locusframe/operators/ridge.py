@@ -279,10 +279,12 @@ def _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols) ->
         across = tile_times(tiles, shape, direction, rows, cols, transpose=False)
         back = tile_times(tiles, shape, across, rows, cols, transpose=True)
         joined = materialise(state.join(back, "block").withColumn("q", _axpy("v", "p", delta)).drop("v"))
-        step = rr / joined.agg(F.sum(_dot("p", "q"))).first()[0]
-        moved = joined.select("block", _axpy("x", "p", step).alias("x"), _axpy("r", "q", -step).alias("r"), "p")
-        new = moved.agg(F.sum(_dot("r", "r"))).first()[0]
+        pq, rq, qq = joined.agg(F.sum(_dot("p", "q")), F.sum(_dot("r", "q")), F.sum(_dot("q", "q"))).first()
+        step = rr / pq
+        # the squares of r - step * q, from products already known
+        new = max(rr - 2 * step * rq + step * step * qq, 0.0)
         ratio, rr = new / rr, new
+        moved = joined.select("block", _axpy("x", "p", step).alias("x"), _axpy("r", "q", -step).alias("r"), "p")
         before, state = state, materialise(moved.select("block", "x", "r", _axpy("r", "p", ratio).alias("p")))
         discard(before, joined)
     else:

@@ -73,3 +73,17 @@ def test_t_tail_at_large_degrees_of_freedom():
     assert abs(join[0] - join[1]) < 1e-9 * join[0]
     near = t_two_sided(np.array([2.0, 2.0]), np.array([19_999.9, 20_000.1]))
     assert abs(near[0] - near[1]) < 1e-9
+
+
+def test_counted_draws_are_the_same_in_sql():
+    import duckdb
+
+    from locusframe.functions import draws
+
+    ids, places = np.arange(0, 4000, 37), np.arange(0, 5000, 411)
+    got = draws.uniform(7, ids[:, None], places[None]).ravel()
+    want = duckdb.sql(f"""select {draws.uniform_sql(7, 'i', 'p')} from (select unnest({ids.tolist()}) as i), (select unnest({places.tolist()}) as p)
+        order by i, p""").fetchall()
+    assert np.array_equal(got, [r[0] for r in want]) and ((got > 0) & (got < 1)).all()
+    z = draws.normal(3, np.arange(2000)[:, None], np.arange(50)[None])
+    assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01 and abs(np.corrcoef(z[:, 0], z[:, 1])[0, 1]) < 0.08
