@@ -12,7 +12,6 @@ adds up the counts of its links (see ``two_tier``).
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -22,53 +21,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.bpe_automaton import Codec, TwoAges
+from locusframe.llm.bpe_automaton import TwoAges
 from locusframe.llm.common import bounded_batches, materialise, per_process, text_slices
+from locusframe.llm.pretokens import ODD, to_bytes
 from locusframe.llm.two_tier import frequent, sums_by_row
 
 # Bytes of the young half of the remembered chunks, and pairs that a task counts at a time.
-WORD_CACHE, PAIRS_HELD = 72 << 20, 1 << 22
+WORD_CACHE, PAIRS_HELD = 120 << 20, 1 << 22
+# Length of the first block of a stretch, and of the last one, within which its end is found token by token.
+FIRST_BLOCK, NEAR = 4, 16
 # Pairs in the broadcast tier.
 FREQUENT_PAIRS = 1 << 20
 
 
-def groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Numbers of tokens of either side up to the end of each group, from the tokens' end offsets.
+def stretches(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Groups from the tokens' end offsets, as runs: numbers of tokens of either side up to a run's end, and its groups.
 
-    The last offsets are equal, and offsets grow; tokens without bytes aren't allowed.
+    A run of several groups is a stretch of one-to-one tokens, and an irregular group is a run by itself. The last offsets are equal, and offsets
+    grow; tokens without bytes aren't allowed.
     """
     n = len(a)
     i = j = 0
-    ends_a: list[int] = []
-    ends_b: list[int] = []
+    to_a: list[int] = []
+    to_b: list[int] = []
+    many: list[int] = []
     while i < n:
         if a[i] == b[j]:
-            step, growing = 1, True
-            while step:
-                part = a[i : i + step]
-                if part == b[j : j + len(part)] and part:
-                    ends_a += range(i + 1, i + len(part) + 1)
-                    ends_b += range(j + 1, j + len(part) + 1)
+            start, step = i, FIRST_BLOCK
+            while (part := a[i : i + step]) and part == b[j : j + len(part)]:  # blocks of doubling length at the shift j - i
+                i += len(part)
+                j += len(part)
+                step *= 2
+            while step > NEAR:  # the stretch ends within a block: halve it
+                step //= 2
+                if (part := a[i : i + step]) and part == b[j : j + len(part)]:
                     i += len(part)
                     j += len(part)
-                    step = step * 2 if growing else step // 2
-                else:
-                    growing = False
-                    step //= 2
+            for x, y in zip(a[i : i + step], b[j : j + step]):
+                if x != y:
+                    break
+                i += 1
+                j += 1
+            to_a.append(i)
+            to_b.append(j)
+            many.append(i - start)
         else:
             x, y = a[i], b[j]
             i += 1
             j += 1
-            while x != y:
+            while x != y:  # the side that is behind moves on until both end together: the new shift
                 if x < y:
                     x = a[i]
                     i += 1
                 else:
                     y = b[j]
                     j += 1
-            ends_a.append(i)
-            ends_b.append(j)
-    return ends_a, ends_b
+            to_a.append(i)
+            to_b.append(j)
+            many.append(1)
+    return to_a, to_b, many
+
+
+def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens of either side up to the end of each group."""
+    to_a, to_b, many = (np.array(x, np.int64) for x in stretches(a.tolist(), b.tolist()))
+    back = np.repeat(np.cumsum(many), many) - 1 - np.arange(many.sum())  # groups from each one to the end of its run
+    return np.repeat(to_a, many) - back, np.repeat(to_b, many) - back
 
 
 def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +97,10 @@ def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(a, cuts), np.searchsorted(b, cuts)
 
 
-# A run of spaces after ink or at the start, what follows it, and further spaces that follow other white space. No token of either side crosses
-# from one to the next, so a text can be encoded chunk by chunk.
-_CHUNK = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
+# A run of spaces and what follows it. No piece of side B reaches over the space after it, so a text can be encoded chunk by chunk.
+_CHUNK = re.compile(" +[^ ]*")
+# Fixed value: the split of byte-level BPE, in the syntax of the library that encodes by ranks.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Pair:
@@ -89,50 +108,61 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-
-        codec = Codec(path_a)
-        self.split, self.bytes_a, self.ids_of = codec.vocab.plain, codec.labels, codec.words.make
-        self.words = TwoAges(self.ids_of, WORD_CACHE // 2)
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library_a = Tokenizer.from_file(path_a)
+        self.library_a.encode_special_tokens = True
+        special = {t.content: i for i, t in self.library_a.get_added_tokens_decoder().items()}
+        vocab = self.library_a.get_vocab()
+        self.bytes_a = [b""] * (1 + max(vocab.values(), default=0))
+        for letters, i in vocab.items():
+            self.bytes_a[i] = letters.encode() if letters in special else to_bytes(letters)
+        # the same merges by rank, which is faster; ids are ranks. Texts of other scripts keep the file's own library, whose Unicode tables may differ.
+        ranks = {self.bytes_a[i]: i for letters, i in vocab.items() if letters not in special}
+        self.ranked_a = tiktoken.Encoding("a", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         spelled = [self.model.id_to_piece(i) for i in range(len(self.model))]
         if any(re.search("[^▁]▁", p) for p in spelled):
             raise ValueError(f"{path_b} has pieces that reach over a space")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)]
         self.space = self.model.piece_to_id("▁")
-        self.fresh: dict[str, tuple[bytes, bytes] | None] = {}
+        self.fresh: dict[str, bytes | None] = {}
         self.chunks = TwoAges(lambda chunk: self.fresh[chunk], WORD_CACHE)
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         # decimal ids and what follows them: within a group, and at the end of its side
         self.written = [f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))] + [f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))]
 
+    def side_a(self, text: str) -> np.ndarray | None:
+        """Ids of a space and a text; none where they spell something else (byte-level BPE can only leave bytes out)."""
+        spaced = " " + text
+        ids = self.library_a.encode(spaced, add_special_tokens=False).ids if ODD.search(spaced) else self.ranked_a.encode_ordinary(spaced)
+        ids = np.array(ids, np.int32)
+        return ids if self.length_a[ids].sum() == len(spaced.encode("utf-8", "surrogatepass")) else None
+
     def _encode(self, chunks: list[str]) -> None:
-        """Ids of either side of new chunks, as bytes of 32 bit numbers; none where a side spells something else."""
-        find = self.words.__getitem__
-        for chunk, ids_b in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1)):
-            ids_a = list(itertools.chain.from_iterable(map(find, self.split(chunk))))
+        """Ids of side B of new chunks, as bytes of 32 bit numbers; none where they spell something else."""
+        for chunk, ids in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1)):
             if chunk == " ":  # the model adds no space to nothing
-                ids_b = [self.space]
-            whole = chunk.encode("utf-8", "surrogatepass")
-            same = b"".join(map(self.bytes_a.__getitem__, ids_a)) == whole == b"".join(map(self.bytes_b.__getitem__, ids_b))
-            self.fresh[chunk] = (array("i", ids_a).tobytes(), array("i", ids_b).tobytes()) if same else None
+                ids = [self.space]
+            same = b"".join(map(self.bytes_b.__getitem__, ids)) == chunk.encode("utf-8", "surrogatepass")
+            self.fresh[chunk] = array("i", ids).tobytes() if same else None
 
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides of a slice of texts; none for texts that are empty or that a side spells differently."""
         cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.chunks, self.chunks.old)
         self.fresh = {}
-        self._encode(list(new))
+        young, old = self.chunks, self.chunks.old
+        self._encode([c for c in set().union(*cut) if c not in young and c not in old])
         out = []
-        for chunks in cut:
+        for text, chunks in zip(texts, cut):
             try:
                 found = list(map(self.chunks.__getitem__, chunks))
             except KeyError:  # what was remembered fell out of both halves while the slice was read
                 self._encode(list(set(chunks).difference(self.fresh)))
                 found = list(map(self.chunks.__getitem__, chunks))
-            if not chunks or None in found:
-                out.append(None)
-            else:
-                out.append(tuple(np.frombuffer(b"".join([f[side] for f in found]), np.int32) for side in (0, 1)))
+            a = self.side_a(text) if chunks and None not in found else None
+            out.append(None if a is None else (a, np.frombuffer(b"".join(found), np.int32)))
         return out
 
     def align(self, found: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, str]:
@@ -142,7 +172,7 @@ class Pair:
             return none, none, 0, np.zeros(0, np.int64), ""
         a, b = found
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        to_a, to_b = map(np.array, groups(ends_a.tolist(), ends_b.tolist()))
+        to_a, to_b = groups(ends_a, ends_b)
         at_a, at_b = links(ends_a, ends_b)
         return a, b, len(to_a), a[at_a].astype(np.int64) * len(self.bytes_b) + b[at_b], self._digest(a, b, to_a, to_b)
 

@@ -21,7 +21,8 @@ PLAIN = "\u0000-\u001b -ȳ‐- ‰-⁞₠-₵"
 # The contractions that both tokenizers keep together.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
-_ODD = re.compile(f"[^{PLAIN}]")
+# A character for which the short patterns don't hold.
+ODD = re.compile(f"[^{PLAIN}]")
 _WITH_SPACE = re.compile(
     f" ?[{LETTERS}]+|{CONTRACTIONS}| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _WORDS = re.compile(f"[{LETTERS}]+|{CONTRACTIONS}|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
@@ -60,7 +61,7 @@ class Vocabulary:
     def plain(self, text: str) -> list:
         """The pre-tokens of a text in which no string is special."""
         lowered = text.lower() if self._lower else text  # some letters leave the plain range when lowered
-        if not _ODD.search(lowered) and not (self._lower and _ODD.search(text)):
+        if not ODD.search(lowered) and not (self._lower and ODD.search(text)):
             return self._short.findall(lowered)
         if self._lower:
             text = self._library.normalizer.normalize_str(text)

@@ -88,12 +88,12 @@ def test_empty_table(odd_docs):
 def test_groups_and_links_of_random_cuts():
     rng = random.Random(2)
     for _ in range(300):
-        n = rng.randrange(1, 80)
+        n = rng.randrange(1, rng.choice([20, 80, 400]))
         a, b = (sorted({n, *(rng.randrange(1, n + 1) for _ in range(rng.randrange(n + 1)))}) for _ in range(2))
         if rng.random() < 0.3:
             b = a[: len(a) // 2] + [x for x in b if x > a[max(0, len(a) // 2 - 1)]] or a
             b = sorted({*b, n})
-        to_a, to_b = groups(a, b)
+        to_a, to_b = (x.tolist() for x in groups(np.array(a), np.array(b)))
         common = sorted(set(a) & set(b))
         assert to_a == [a.index(c) + 1 for c in common] and to_b == [b.index(c) + 1 for c in common]
         i, j = links(np.array(a), np.array(b))
@@ -108,6 +108,7 @@ def test_chunks_encode_like_whole_texts():
     rng = random.Random(1)
     texts = ["".join(rng.choice([" ", "  ", "a", "b", "\n", "é", "日", "th", "ing", "1", ".", "<0x0A>", "<s>", "\t", "\x1c", "\x85", "\u00a0", "\u2028", "'s"])
                      for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["", "x▁y", " "]
+    texts += ["".join(map(chr, (rng.randrange(1, 0x234) for _ in range(20)))) for _ in range(500)]
     for limit in (1 << 20, 2000):  # with chunks that stay, and chunks that fall out within a slice
         both.chunks.limit = limit
         for at in range(0, len(texts), 500):
