@@ -81,6 +81,7 @@ def per_process(use: str, key: tuple, make: Callable[[], object], version: str =
     if key not in kept or kept[key][0] != version:
         kept.pop(key, None)
         kept[key] = (version, make())
+        _give_back()  # what was only needed to make it
     return kept[key][1]
 
 
