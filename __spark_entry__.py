@@ -1635,11 +1635,76 @@ def _(spark, sf):
     return nn.history_table(spark, nn.train_until_best(rows, nn.init_network(names, [8]), plan, held))
 
 
-@_register("mlp_classifier")
+def _softmax_sql(epochs: int, rate: float, momentum: float, l2: float) -> dict[str, str]:
+    """Full-batch steps on the cross-entropy of three classes with one sigmoid layer; weights of a class are those of ``lw``, some with
+    the other sign."""
+    new = lambda w, g: f"{w} - {rate}::double * ({momentum}::double * v + {g}) as {w}, {momentum}::double * v + {g} as v"
+    sig = "(1 / (1 + exp(-s.s)))"
+    out = {
+        "tz": "select k.iid, k.marker, (k.g - p.mean) / p.sd as z from kept k join tr_params p using (marker)",
+        "cy": """select iid, iid % 5 = 0 as held, case when d > 0.4 then 2 when d < -0.4 then 0 else 1 end as label from (
+            select iid, (y - avg(y) over w) / stddev_pop(y) over w as d from pheno window w as (partition by iid % 5 = 0))""",
+        "ty": "select iid, label, count(*) over () as n from cy where not held",
+        "wa0": "select i as marker, j as h, w, 0.0::double as v from lw where layer = 0 and i in (select marker from params)",
+        "ba0": "select distinct h, 0.0::double as b, 0.0::double as v from wa0",
+        "wb0": "select i as h, o, case when (i + o) % 3 = 0 then -w else w end as w, 0.0::double as v from lw, (select unnest(range(3)) as o) where layer = 1",
+        "bb0": "select o, 0.0::double as b, 0.0::double as v from (select unnest(range(3)) as o)",
+    }
+
+    def scores(e: int, o: int, where: str) -> dict[str, str]:
+        return {
+            f"s{e}": f"select z.iid, w.h, sum(z.z * w.w) + max(b.b) as s from tz z join wa{o} w using (marker) join ba{o} b using (h) where {where} group by z.iid, w.h",
+            f"u{e}": f"select s.iid, w.o, sum(w.w * {sig}) + max(b.b) as u from s{e} s join wb{o} w using (h) join bb{o} b using (o) group by s.iid, w.o",
+            f"p{e}": f"select iid, o, exp(u) / sum(exp(u)) over (partition by iid) as p from u{e}",
+        }
+
+    for e in range(1, epochs + 1):
+        o = e - 1
+        out |= scores(e, o, "z.iid % 5 <> 0") | {
+            f"r{e}": f"select iid, o, (p - case when label = o then 1 else 0 end) / n as r from p{e} join ty using (iid)",
+            f"d{e}": f"select s.iid, s.h, sum(r * w.w) * max({sig} * (1 - {sig})) as d from s{e} s join r{e} r using (iid) join wb{o} w using (h, o) group by s.iid, s.h",
+            f"ga{e}": f"select z.marker, d.h, sum(z.z * d.d) as g from tz z join d{e} d using (iid) group by z.marker, d.h",
+            f"wa{e}": f"select marker, h, {new('w', f'(g + {l2}::double * w)')} from wa{o} join ga{e} using (marker, h)",
+            f"ba{e}": f"select h, {new('b', 'g')} from ba{o} join (select h, sum(d) as g from d{e} group by h) using (h)",
+            f"wb{e}": f"select h, o, {new('w', 'g')} from wb{o} join (select s.h, r.o, sum(r.r * {sig}) as g from s{e} s join r{e} r using (iid) group by s.h, r.o) using (h, o)",
+            f"bb{e}": f"select o, {new('b', 'g')} from bb{o} join (select o, sum(r) as g from r{e} group by o) using (o)",
+        }
+    out |= scores(epochs + 1, epochs, "z.iid % 5 = 0")
+    out["pv"] = f"select * from p{epochs + 1}"
+    return out
+
+
+_SOFTMAX = ("kept", "tr_params", "pheno", "lw", "params")
+
+
+def _classifier(spark, sf):
+    """A softmax network of three classes after three steps, and the rows held out."""
+    rows, held, names = _training(spark, sf)
+    label = lambda t: t.withColumn("label", F.expr("case when y > 0.4 then 2 when y < -0.4 then 0 else 1 end")).drop("y")
+    weights = fx.layer_weight(spark, sf).filter((F.col("layer") > 0) | F.col("i").isin(names))
+    last = weights.filter("layer = 1").select("layer", "i", F.explode(F.array(*map(F.lit, range(3)))).alias("j"), "w")
+    last = last.withColumn("w", F.when((F.col("i") + F.col("j")) % 3 == 0, -F.col("w")).otherwise(F.col("w")))
+    start = nn.load_network(weights.filter("layer = 0").unionByName(last), loss="softmax")
+    trained = nn.train(nn.class_rows(label(rows)), start, nn.TrainingPlan(epochs=3, learn_rate=0.5, momentum=0.9, l2=0.01))
+    return label(held), trained.network
+
+
+@_register("mlp_classifier", _sql(f"select iid, o::int as output, {_r('p')} as yhat from pv", *_SOFTMAX, extra=_softmax_sql(3, 0.5, 0.9, 0.01)))
 def _(spark, sf):
-    rows, held, _ = _training(spark, sf)
-    label = lambda t: t.select("iid", "x", (F.col("y") > 0).cast("int").alias("label"))
-    return nn.classify(label(rows), [8], epochs=20, to_score=label(held))
+    held, net = _classifier(spark, sf)
+    return nn.predict(held, net).select("iid", "output", _rd("yhat").alias("yhat"))
+
+
+@_register("mlp_class_report", _sql(f"""
+    select label, sum(n)::bigint as n, sum(np)::bigint as n_predicted, {_r('sum(h) / nullif(sum(n), 0)')} as recall,
+        {_r('sum(h) / nullif(sum(np), 0)')} as precision
+    from (select label, 1 as n, 0 as np, if(label = best, 1, 0) as h from best union all select best, 0, 1, 0 from best) group by label""",
+                                    *_SOFTMAX, extra=_softmax_sql(3, 0.5, 0.9, 0.01) | {
+    "best": "select iid, label, arg_max(o, p)::int as best from pv join cy using (iid) group by iid, label"}))
+def _(spark, sf):
+    held, net = _classifier(spark, sf)
+    report = nn.class_report(nn.confusion(held.withColumnRenamed("label", "y"), {0: net}))
+    return report.select("label", "n", "n_predicted", _rd("recall").alias("recall"), _rd("precision").alias("precision"))
 
 
 @_register("hyper_search")
@@ -1709,10 +1774,19 @@ def _(spark, sf):
     return scan_.select(*(F.col("markers")[k].alias(f"m{k + 1}") for k in range(3)), _rd("strength").alias("strength"))
 
 
-@_register("rank_interactions", _sql(f"""
+_TOP_SETS = _sql(f"""
     select m1, m2, m3, {_r('st')} as strength from (
         select m1, m2, m3, abs(sum(w / (1 + exp(-s)))) as st from sets group by m1, m2, m3)
-    order by round(st, 9) desc, m1, m2, m3 limit 25""", "lw", extra=_SETS))
+    order by round(st, 9) desc, m1, m2, m3 limit 25""", "lw", extra=_SETS)
+
+
+@_register("top_interactions", _TOP_SETS)
+def _(spark, sf):
+    top = explain.top_interactions(spark, _net(spark, sf), 25, 3, digits=9)
+    return top.select(*(F.col("markers")[k].alias(f"m{k + 1}") for k in range(3)), _rd("strength").alias("strength"))
+
+
+@_register("rank_interactions", _TOP_SETS)
 def _(spark, sf):
     scan_ = explain.interaction_scan(spark, _net(spark, sf), 3).withColumn("strength", F.round("strength", 9))
     return explain.strongest_interactions(scan_, 25).select(

@@ -39,7 +39,7 @@ def unrank_sets(index: np.ndarray, n: int, k: int) -> np.ndarray:
 
 
 def interaction_scan(spark: SparkSession, net: Network, order: int = 3, strength: float = 1.0) -> DataFrame:
-    """Output of the network for every set of ``order`` markers set to ``strength``, all others 0.
+    """Outputs of the network for every set of ``order`` markers set to ``strength``, all others 0: a row per set and output.
 
     Sets are numbered, a distributed range hands out the numbers evenly, and a task turns its numbers
     into sets: no join, no set is stored before it is scored.
@@ -57,11 +57,18 @@ def interaction_scan(spark: SparkSession, net: Network, order: int = 3, strength
                 sets = unrank_sets(index[at:at + SET_BATCH], n, order)
                 first = strength * model.w[0][sets].sum(axis=1) + model.b[0]
                 out = _from_first_layer(model, first)
+                width = out.shape[1]
                 yield pa.record_batch({
-                    "markers": pa.array(list(names[sets]), pa.list_(pa.int32())), "score": pa.array(out[:, 0]),
-                    "strength": pa.array(np.abs(out[:, 0]))})
+                    "markers": _lists(np.repeat(names[sets], width, axis=0)), "output": pa.array(np.tile(np.arange(width, dtype=np.int32), len(sets))),
+                    "score": pa.array(out.ravel()), "strength": pa.array(np.abs(out).ravel())})
 
-    return spark.range(0, total, 1, slices).mapInArrow(score, "markers array<int>, score double, strength double")
+    return spark.range(0, total, 1, slices).mapInArrow(score, "markers array<int>, output int, score double, strength double")
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """A matrix as a list column."""
+    ends = np.arange(0, rows.size + 1, max(rows.shape[1], 1), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel().astype(np.int32)))
 
 
 def _from_first_layer(net: Network, pre: np.ndarray) -> np.ndarray:
@@ -76,6 +83,161 @@ def strongest_interactions(scores: DataFrame, k: int | None = None) -> DataFrame
     return ranked if k is None else ranked.limit(k)
 
 
+# Sets of the most important markers that are scored first, for a bound that holds from the start.
+FIRST_SETS = 1 << 16
+
+
+class SetBounds:
+    """Bounds on the strength of all sets that begin with some members, and the strengths of whole sets.
+
+    Markers are taken by falling importance, so that what a set can still gain falls quickly. A set's members are places in that
+    order, ascending. The first layer adds up members; what the ``r`` members still to come can add to a neuron lies between its r
+    smallest and r largest weights among later places. Activations rise, so intervals pass through the layers end by end.
+    """
+
+    def __init__(self, net: Network, order: int, strength: float, output: int, digits: int | None):
+        self.net, self.output, self.digits, self.n = net, output, digits, len(net.markers)
+        reach = np.abs(net.w[0])
+        for w in net.w[1:-1]:
+            reach = reach @ np.abs(w)
+        if len(net.w) > 1:
+            reach = reach @ np.abs(net.w[-1][:, output])
+        else:
+            reach = reach[:, output]
+        self.at = np.argsort(-reach, kind="stable")
+        self.w = strength * net.w[0]
+        placed = self.w[self.at]
+        self.high = self._later(placed, order - 1)
+        self.low = [-x for x in self._later(-placed, order - 1)]
+        self.placed = placed
+
+    @staticmethod
+    def _later(w: np.ndarray, most: int) -> list[np.ndarray]:
+        """Sums of the r largest weights at each place and after it, for r = 1 .. ``most``."""
+        sums, rest, total = [], w, 0.0
+        for _ in range(most):
+            top = np.maximum.accumulate(rest[::-1])[::-1]
+            total = total + top
+            sums.append(total)
+            # what a place pushes out of the largest so far, or doesn't get in
+            rest = np.minimum(rest, np.vstack([top[1:], np.full((1, w.shape[1]), -np.inf)]))
+        return sums
+
+    def bound(self, members: np.ndarray, left: int) -> np.ndarray:
+        """Upper bounds on the strength of sets with ``members`` (one row each) and ``left`` later ones."""
+        pre = self.placed[members].sum(axis=1) + self.net.b[0]
+        last = members[:, -1] + 1
+        low, high = pre + self.low[left - 1][last], pre + self.high[left - 1][last]
+        for w, b in zip(self.net.w[1:], self.net.b[1:]):
+            low, high = activate(self.net.activation, low), activate(self.net.activation, high)
+            up, down = np.maximum(w, 0.0), np.minimum(w, 0.0)
+            low, high = low @ up + high @ down + b, high @ up + low @ down + b
+        bound = np.maximum(np.abs(low[:, self.output]), np.abs(high[:, self.output]))
+        return self.rounded(bound * (1 + 1e-12) + 1e-12)
+
+    def score(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members as positions in ``markers``, ascending, and scores; added up as the whole scan adds them up."""
+        sets = np.sort(self.at[members], axis=1)
+        return sets, _from_first_layer(self.net, self.w[sets].sum(axis=1) + self.net.b[0])[:, self.output]
+
+    def rounded(self, strength: np.ndarray) -> np.ndarray:
+        return strength if self.digits is None else np.round(strength, self.digits)
+
+
+def _start_bound(bounds: SetBounds, k: int, order: int) -> float:
+    """A strength that at least k sets reach: the k-th of sets of the most important markers."""
+    n = order
+    while n < bounds.n and math.comb(n + 1, order) <= FIRST_SETS:
+        n += 1
+    sets = unrank_sets(np.arange(math.comb(n, order)), n, order)
+    if len(sets) < k:
+        return -1.0
+    strength = bounds.rounded(np.abs(bounds.score(sets)[1]))
+    return float(np.partition(strength, len(strength) - k)[len(strength) - k])
+
+
+def promising_beginnings(spark: SparkSession, net: Network, k: int, order: int = 3, strength: float = 1.0, output: int = 0,
+                         digits: int | None = None) -> DataFrame:
+    """``(places, bound)``: all members but the last of the sets that may be among the k strongest.
+
+    Beginnings grow by one member a step; those whose bound is below what k sets are known to reach are dropped. Between the steps they are
+    spread over the tasks anew. The number of sets they stand for is the sum of ``markers - 1 - last place``.
+    """
+    n = len(net.markers)
+    bounds = SetBounds(net, order, strength, output, digits)
+    floor = _start_bound(bounds, k, order)
+    shipped = spark.sparkContext.broadcast((vars(net), floor))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def step(left: int):
+        def extend(batches):
+            parts, least = shipped.value
+            own = SetBounds(Network(**parts), order, strength, output, digits)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                begun = matrix_of(batch.column("places")) if "places" in batch.schema.names else np.zeros((batch.num_rows, 0), np.int64)
+                lone = batch.column("id").to_numpy() if "id" in batch.schema.names else None
+                for row in range(batch.num_rows):
+                    first = lone[row] if lone is not None else begun[row, -1] + 1
+                    stop = first + 1 if lone is not None else n - left
+                    for at in range(int(first), int(stop), SET_BATCH):
+                        new = np.arange(at, min(at + SET_BATCH, stop))
+                        sets = np.column_stack([np.repeat(begun[row:row + 1], len(new), axis=0), new]).astype(np.int64)
+                        bound = own.bound(sets, left)
+                        keep = bound >= least
+                        if keep.any():
+                            yield pa.record_batch({"places": _lists(sets[keep]), "bound": pa.array(bound[keep])})
+        return extend
+
+    found = spark.range(0, max(n - order + 1, 0), 1, tasks).mapInArrow(step(order - 1), "places array<int>, bound double")
+    for left in range(order - 2, 0, -1):
+        found = found.repartition(tasks, "places").select("places").mapInArrow(step(left), "places array<int>, bound double")
+    return found.repartition(tasks, "places")
+
+
+def top_interactions(spark: SparkSession, net: Network, k: int, order: int = 3, strength: float = 1.0, output: int = 0,
+                     digits: int | None = None) -> DataFrame:
+    """The k sets of ``order`` markers with the strongest response of ``output``: ``(markers, score, strength)``, strongest first.
+
+    The same sets as ``strongest_interactions`` of the whole scan, ties by markers, found without scoring all sets: only beginnings that can
+    still reach the k strongest are completed, the most promising of a task first, and a task keeps its k best. Strengths that
+    agree to ``digits`` decimals are ties where that is given.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if order < 2 or order > len(net.markers):
+        scan = interaction_scan(spark, net, order, strength).filter(F.col("output") == output).drop("output")
+        return strongest_interactions(scan if digits is None else scan.withColumn("strength", F.round("strength", digits)), k)
+    shipped, n = spark.sparkContext.broadcast(vars(net)), len(net.markers)
+
+    def complete(batches):
+        own = SetBounds(Network(**shipped.value), order, strength, output, digits)
+        names = np.asarray(own.net.markers, np.int32)
+        best, score, strong = np.zeros((0, order), np.int32), np.zeros(0), np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for begun, bound in zip(matrix_of(batch.column("places")), batch.column("bound").to_numpy()):
+                for at in range(int(begun[-1]) + 1, n, SET_BATCH):
+                    if len(best) == k and bound < strong[-1]:
+                        break
+                    new = np.arange(at, min(at + SET_BATCH, n))
+                    sets, value = own.score(np.column_stack([np.repeat(begun[None], len(new), axis=0), new]).astype(np.int64))
+                    size = own.rounded(np.abs(value))
+                    if len(best) == k:
+                        hit = size >= strong[-1]
+                        sets, value, size = sets[hit], value[hit], size[hit]
+                    best, score, strong = np.vstack([best, names[sets]]), np.append(score, value), np.append(strong, size)
+                    first = np.lexsort((*best.T[::-1], -strong))[:k]
+                    best, score, strong = best[first], score[first], strong[first]
+        if len(best):
+            yield pa.record_batch({"markers": _lists(best), "score": pa.array(score), "strength": pa.array(strong)})
+
+    begun = promising_beginnings(spark, net, k, order, strength, output, digits).sortWithinPartitions(F.desc("bound"))
+    return strongest_interactions(begun.mapInArrow(complete, "markers array<int>, score double, strength double"), k)
+
+
 def input_gradient(net: Network, x: np.ndarray, guided: bool = True) -> np.ndarray:
     """Gradient of the largest output with respect to the inputs, per row. ``guided`` lets only
     positive errors pass back through a hidden activation."""

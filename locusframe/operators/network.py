@@ -22,6 +22,7 @@ from locusframe.session import materialise
 
 MAX_PARAMETERS = 1 << 25
 CHUNK = 4096
+FAN_IN = 64
 # Codes of the hidden activations and the slope of the leaky one.
 ACTIVATIONS = {1: "sigmoid", 2: "relu", 3: "linear", 4: "softplus", 5: "leaky"}
 LEAK = 0.001
@@ -53,22 +54,35 @@ def slope(name: str, x: np.ndarray) -> np.ndarray:
     return np.ones_like(x)
 
 
+def softmax(scores: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes, row by row."""
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 def matrix_of(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix, without a loop over rows."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def targets(column: pa.Array) -> np.ndarray:
+    """Phenotypes of a batch: one per row, or a row of several."""
+    return matrix_of(column) if pa.types.is_nested(column.type) else column.to_numpy(zero_copy_only=False)
+
+
 @dataclass
 class Network:
     """Weights ``w[l]`` (inputs x outputs) and biases ``b[l]`` per layer; the last layer is linear.
 
-    ``markers`` names the inputs in order.
+    ``markers`` names the inputs in order. With the loss ``softmax`` the outputs are scores of classes (0, 1, ..), one of which is y;
+    with ``squared`` each output has its own y.
     """
 
     markers: list[int]
     w: list[np.ndarray]
     b: list[np.ndarray]
     activation: str = "sigmoid"
+    loss: str = "squared"
 
     @property
     def size(self) -> int:
@@ -116,7 +130,7 @@ def layer_widths(hidden: int, first: int, reduction: int = 1) -> list[int]:
 
 
 def init_network(markers: list[int], widths: list[int], outputs: int = 1, activation: str = "sigmoid",
-                 seed: int = 1) -> Network:
+                 seed: int = 1, loss: str = "squared") -> Network:
     """Seeded initial weights, scaled by the number of inputs."""
     sizes = [len(markers), *widths, outputs]
     total = sum((a + 1) * b for a, b in zip(sizes[:-1], sizes[1:]))
@@ -124,7 +138,7 @@ def init_network(markers: list[int], widths: list[int], outputs: int = 1, activa
         raise ValueError(f"{total} parameters exceed the bound of {MAX_PARAMETERS}")
     rng = np.random.default_rng(seed)
     w = [rng.standard_normal((a, b)) * np.sqrt(1.0 / a) for a, b in zip(sizes[:-1], sizes[1:])]
-    return Network(list(markers), w, [np.zeros(b) for b in sizes[1:]], activation)
+    return Network(list(markers), w, [np.zeros(b) for b in sizes[1:]], activation, loss)
 
 
 def network_table(spark: SparkSession, net: Network) -> DataFrame:
@@ -138,7 +152,7 @@ def network_table(spark: SparkSession, net: Network) -> DataFrame:
     return spark.createDataFrame(pd.concat(frames)).selectExpr("int(layer) as layer", "int(i) as i", "int(j) as j", "w")
 
 
-def load_network(weights: DataFrame, activation: str = "sigmoid") -> Network:
+def load_network(weights: DataFrame, activation: str = "sigmoid", loss: str = "squared") -> Network:
     """A network from its weight table (size checked)."""
     table = weights.limit(MAX_PARAMETERS + 1).toPandas()
     if len(table) > MAX_PARAMETERS:
@@ -156,7 +170,7 @@ def load_network(weights: DataFrame, activation: str = "sigmoid") -> Network:
         v[bias.j] = bias.w
         w.append(m)
         b.append(v)
-    return Network(markers, w, b, activation)
+    return Network(markers, w, b, activation, loss)
 
 
 def wide(z: DataFrame, markers: list[int], value: str = "z") -> DataFrame:
@@ -253,14 +267,29 @@ def penalty_gradient(net: Network, plan: TrainingPlan, share: float = 1.0) -> np
     return np.concatenate([x.ravel() for g, b in zip(grads, net.b) for x in (g, np.zeros_like(b))])
 
 
+def output_gradient(net: Network, out: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the loss at the outputs of some rows, and the summed loss: squared errors, or the cross-entropy of the classes."""
+    if net.loss == "squared":
+        error = out - y.reshape(len(out), -1)
+        return 2.0 * error, float((error * error).sum())
+    if not ((y >= 0) & (y < out.shape[1]) & (y == np.floor(y))).all():
+        raise ValueError(f"classes are whole numbers from 0 to {out.shape[1] - 1}")
+    own = (np.arange(len(out)), y.astype(np.int64))
+    top = out.max(axis=1)
+    loss = float((top + np.log(np.exp(out - top[:, None]).sum(axis=1)) - out[own]).sum())
+    grad = softmax(out)
+    grad[own] -= 1.0
+    return grad, loss
+
+
 def loss_gradient(net: Network, x: np.ndarray, y: np.ndarray, masks=None, decorrelate=None) -> tuple[np.ndarray, float]:
-    """Summed gradient of the squared error and the summed error over some rows.
+    """Summed gradient of the loss and the summed loss over some rows.
 
     ``decorrelate`` (mean, matrix) adds the gradient of the covariance penalty at the last hidden layer.
     """
     out, pre, inputs = net.forward(x, masks)
-    error = out - y.reshape(len(x), -1)
-    grads, back = [], 2.0 * error
+    back, loss = output_gradient(net, out, y)
+    grads = []
     for layer in range(len(net.w) - 1, -1, -1):
         grads.append((inputs[layer].T @ back, back.sum(axis=0)))
         if layer:
@@ -271,7 +300,7 @@ def loss_gradient(net: Network, x: np.ndarray, y: np.ndarray, masks=None, decorr
                 back = back * masks[layer - 1]
             back = back * slope(net.activation, pre[layer - 1])
     flat = [v.ravel() for pair in reversed(grads) for v in pair]
-    return np.concatenate(flat), float((error * error).sum())
+    return np.concatenate(flat), loss
 
 
 def _dropout_masks(net: Network, iids: np.ndarray, rate: float, seed: int, epoch: int):
@@ -332,6 +361,19 @@ def _batch_covariances(rows: DataFrame, nets: dict[int, Network], plans: dict[in
     return out
 
 
+def _sum_chunks(parts: DataFrame) -> DataFrame:
+    """Sums of the chunks ``(model, at, n, g)`` of all tasks, as arrays. Tasks are added in groups of ``FAN_IN`` first, so that no
+    group holds more than so many chunks, or one per group."""
+    def add(chunks: DataFrame, *keys: str) -> DataFrame:
+        zeros = F.transform(F.element_at("all", 1), lambda _: F.lit(0.0))
+        total = F.aggregate("all", zeros, lambda a, g: F.zip_with(a, g, lambda p, q: p + q))
+        return chunks.groupBy("model", "at", *keys).agg(F.collect_list("g").alias("all"), F.sum("n").alias("n")).select(
+            "model", "at", *keys, "n", total.alias("g"))
+
+    grouped = parts.withColumn("part", F.floor(F.spark_partition_id() / F.lit(FAN_IN)))
+    return add(add(grouped, "part").drop("part"))
+
+
 def _gradients(rows: DataFrame, nets: dict[int, Network], plans: dict[int, TrainingPlan], epoch: int):
     """Mean gradient per model over ``rows``: one scan, partial sums added by Spark."""
     pulls = _batch_covariances(rows, nets, plans, epoch)
@@ -345,7 +387,7 @@ def _gradients(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
             if not batch.num_rows:
                 continue
             x = matrix_of(batch.column("x"))
-            y = batch.column("y").to_numpy()
+            y = targets(batch.column("y"))
             seen += len(y)
             for k, (net, rate, seed, pull) in models.items():
                 masks = None
@@ -361,18 +403,12 @@ def _gradients(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
                         "n": pa.array([seen], pa.int64()), "g": pa.array([part], pa.list_(pa.float64()))})
 
     parts = rows.select("iid", "x", "y").mapInArrow(partial, "model int, at int, n long, g array<double>")
-    summed = parts.select("model", "n", "at", F.posexplode("g").alias("k", "v")).groupBy(
-        "model", (F.col("at") + F.col("k")).alias("k")).agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    table = summed.toArrow()
+    out = {k: np.zeros(n.size) for k, n in nets.items()}
+    for r in _sum_chunks(parts).toArrow().to_batches():
+        sums, ends = r.column("g").flatten().to_numpy(), r.column("g").offsets.to_numpy() - r.column("g").offsets[0].as_py()
+        for i, (model, at, n) in enumerate(zip(*(r.column(c).to_pylist() for c in ("model", "at", "n")))):
+            out[model][at:at + ends[i + 1] - ends[i]] = sums[ends[i]:ends[i + 1]] / n
     shipped.destroy()
-    model, k = table.column("model").to_numpy(), table.column("k").to_numpy()
-    mean = table.column("v").to_numpy() / np.maximum(table.column("n").to_numpy(), 1)
-    out = {}
-    for name, net in nets.items():
-        g = np.zeros(net.size)
-        hit = model == name
-        g[k[hit]] = mean[hit]
-        out[name] = g
     return out
 
 
@@ -393,11 +429,18 @@ def _update(theta, grad, state: Step, plan: TrainingPlan, rate: float):
     return theta - rate * m / (np.sqrt(v) + 1e-8)
 
 
-def _r2(rows: DataFrame, nets: dict[int, Network]) -> dict[int, float]:
-    """Squared correlation of prediction and y per model, one scan for all."""
-    metrics = predict_many(rows, nets, with_y=True).groupBy("model").agg(
-        F.pow(F.corr("y", "yhat"), F.lit(2.0)).alias("r2")).collect()
-    return {r.model: float("nan") if r.r2 is None else float(r.r2) for r in metrics}
+def _metrics(rows: DataFrame, nets: dict[int, Network]) -> dict[int, float]:
+    """Squared correlation of prediction and y, as the mean over outputs, or the accuracy of classes, per model; one scan for all of a kind."""
+    found = {}
+    plain = {k: n for k, n in nets.items() if n.loss == "squared"}
+    classes = {k: n for k, n in nets.items() if n.loss == "softmax"}
+    if plain:
+        each = predict_many(rows, plain, with_y=True).groupBy("model", "output").agg(F.pow(F.corr("y", "yhat"), F.lit(2.0)).alias("r2"))
+        found |= {r.model: r.r2 for r in each.groupBy("model").agg(F.avg("r2").alias("r2")).collect()}
+    if classes:
+        hits = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")
+        found |= {r.model: r.hits for r in confusion(rows, classes).groupBy("model").agg(hits.alias("hits")).collect()}
+    return {k: float("nan") if found.get(k) is None else float(found[k]) for k in nets}
 
 
 def train_many(rows: DataFrame, nets: dict[int, Network], plans: dict[int, TrainingPlan],
@@ -424,8 +467,8 @@ def train_many(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
             done[k].network = net
         due = {k: n for k, n in live.items() if epoch % plans[k].eval_every == 0 or epoch == plans[k].epochs - 1}
         if due:
-            train = _r2(rows.filter("not is_remainder"), due)
-            test = _r2(valid, due) if valid is not None else {}
+            train = _metrics(rows.filter("not is_remainder"), due)
+            test = _metrics(valid, due) if valid is not None else {}
             for k in due:
                 done[k].history.append((epoch, train.get(k), test.get(k)))
         for k in live:
@@ -523,8 +566,10 @@ def trial_responses(trials: DataFrame) -> DataFrame:
 
 
 def predict_many(rows: DataFrame, nets: dict[int, Network], with_y: bool = False) -> DataFrame:
-    """``(model, iid, yhat)`` for single-output models over ``(iid, x)``; parameters are broadcast once.
-    ``with_y`` passes the column y along."""
+    """``(model, iid, output, yhat)`` over ``(iid, x)``: a row per output, probabilities where the loss is ``softmax``.
+
+    Parameters are broadcast once. ``with_y`` passes along the y of an output, or the class.
+    """
     shipped = rows.sparkSession.sparkContext.broadcast({k: vars(n) for k, n in nets.items()})
 
     def score(batches):
@@ -533,20 +578,69 @@ def predict_many(rows: DataFrame, nets: dict[int, Network], with_y: bool = False
             if not batch.num_rows:
                 continue
             x = matrix_of(batch.column("x"))
+            iids = batch.column("iid").to_numpy()
             for k, net in models.items():
-                out = net.forward(x)[0][:, 0]
-                cells = {"model": pa.array(np.full(len(out), k, np.int32)), "iid": batch.column("iid"),
-                         "yhat": pa.array(out)}
-                yield pa.record_batch(cells | ({"y": batch.column("y")} if with_y else {}))
+                out = _outputs(net, x)
+                n, width = out.shape
+                cells = {"model": pa.array(np.full(out.size, k, np.int32)), "iid": pa.array(np.repeat(iids, width)),
+                         "output": pa.array(np.tile(np.arange(width, dtype=np.int32), n)), "yhat": pa.array(out.ravel())}
+                if with_y:
+                    y = targets(batch.column("y")).reshape(n, -1).astype(float)
+                    cells["y"] = pa.array((y if y.shape[1] == width else np.repeat(y[:, :1], width, axis=1)).ravel())
+                yield pa.record_batch(cells)
 
     extra = ["y"] if with_y else []
     return rows.select("iid", "x", *extra).mapInArrow(
-        score, "model int, iid long, yhat double" + (", y double" if with_y else ""))
+        score, "model int, iid long, output int, yhat double" + (", y double" if with_y else ""))
+
+
+def _outputs(net: Network, x: np.ndarray) -> np.ndarray:
+    out = net.forward(x)[0]
+    return softmax(out) if net.loss == "softmax" else out
 
 
 def predict(rows: DataFrame, net: Network, linear: bool = False) -> DataFrame:
-    """``(iid, yhat)``; every row is scored, whole batches or not."""
-    return predict_many(rows, {0: net.linear() if linear else net}).select("iid", "yhat")
+    """``(iid, yhat)``, with several outputs ``(iid, output, yhat)``; every row is scored, whole batches or not."""
+    scored = predict_many(rows, {0: net.linear() if linear else net})
+    return scored.select("iid", "yhat") if len(net.b[-1]) == 1 else scored.select("iid", "output", "yhat")
+
+
+def confusion(rows: DataFrame, nets: dict[int, Network]) -> DataFrame:
+    """``(model, label, predicted, n)`` over ``(iid, x, y)``: how often a class is taken for which (of equal scores the smaller class).
+
+    A task sends one row for each pair of classes that it meets. Rows without a class take no part.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast({k: vars(n) for k, n in nets.items()})
+
+    def count(batches):
+        models = {k: Network(**parts) for k, parts in shipped.value.items()}
+        cells = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = matrix_of(batch.column("x")), targets(batch.column("y")).astype(np.int64)
+            for k, net in models.items():
+                pairs, n = np.unique(np.stack([y, net.forward(x)[0].argmax(axis=1)]), axis=1, return_counts=True)
+                for label, predicted, m in zip(*pairs.tolist(), n.tolist()):
+                    cells[k, label, predicted] = cells.get((k, label, predicted), 0) + m
+        if cells:
+            model, label, predicted = zip(*cells)
+            yield pa.record_batch({"model": pa.array(model, pa.int32()), "label": pa.array(label, pa.int32()),
+                                   "predicted": pa.array(predicted, pa.int32()), "n": pa.array(cells.values(), pa.int64())})
+
+    return rows.filter("y is not null").select("iid", "x", "y").mapInArrow(
+        count, "model int, label int, predicted int, n long").groupBy("model", "label", "predicted").agg(F.sum("n").alias("n"))
+
+
+def class_report(cells: DataFrame) -> DataFrame:
+    """Per class of ``confusion``: ``(model, label, n, n_predicted, recall, precision)``, null where there is nothing to divide by."""
+    hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = cells.select("model", F.explode(F.array(
+        F.struct(F.col("label").alias("label"), F.col("n").alias("n"), F.lit(0).cast("long").alias("p"), hit.alias("h")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("n"), F.col("n").alias("p"), F.lit(0).cast("long").alias("h")))).alias("c"))
+    sums = sides.groupBy("model", "c.label").agg(F.sum("c.n").alias("n"), F.sum("c.p").alias("n_predicted"), F.sum("c.h").alias("_h"))
+    return sums.select("model", "label", "n", "n_predicted", F.try_divide("_h", "n").alias("recall"),
+                       F.try_divide("_h", "n_predicted").alias("precision"))
 
 
 def linear_effects(weights: DataFrame) -> DataFrame:
@@ -588,14 +682,26 @@ def _activated(name: str, x):
     return x
 
 
+def class_rows(rows: DataFrame) -> DataFrame:
+    """Training rows of classes from ``(iid, x, label)``; those without a label are left out, and batches are kept where there are any."""
+    batch = ["batch_id", "is_remainder"] if "batch_id" in rows.columns else [F.lit(0).alias("batch_id"), F.lit(False).alias("is_remainder")]
+    return rows.filter("label is not null").select("iid", "x", F.col("label").cast("double").alias("y"), *batch)
+
+
+def train_classifier(rows: DataFrame, hidden: list[int], labels: int = 2, plan: TrainingPlan | None = None, seed: int = 1,
+                     markers: list[int] | None = None, activation: str = "sigmoid", valid: DataFrame | None = None) -> Trained:
+    """Softmax network of the classes 0 to ``labels - 1``, fitted by cross-entropy on ``(iid, x, label)``; its metric is accuracy."""
+    if markers is None:
+        first = rows.select(F.size("x")).first()
+        markers = list(range(first[0] if first else 0))
+    net = init_network(markers, hidden, labels, activation, seed, "softmax")
+    plan = plan or TrainingPlan(epochs=50, learn_rate=0.05, optimizer="adam")
+    return train(class_rows(rows), net, plan, None if valid is None else class_rows(valid))
+
+
 def classify(rows: DataFrame, hidden: list[int], labels: int = 2, epochs: int = 50, seed: int = 1,
              to_score: DataFrame | None = None) -> DataFrame:
-    """Softmax classifier with sigmoid hidden layers on ``(iid, x, label)``: class probabilities per row."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    features = rows.select("iid", array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
-    width = rows.select(F.size("x")).first()[0]
-    model = MultilayerPerceptronClassifier(layers=[width, *hidden, labels], maxIter=epochs, seed=seed).fit(features)
-    target = rows if to_score is None else to_score
-    scored = model.transform(target.select("iid", array_to_vector("x").alias("features")))
-    return scored.select("iid", vector_to_array("probability").alias("yhat"))
+    """Class probabilities ``(iid, output, yhat)`` of a softmax network fitted on ``(iid, x, label)``."""
+    plan = TrainingPlan(epochs=epochs, learn_rate=0.05, optimizer="adam", eval_every=epochs)
+    trained = train_classifier(rows, hidden, labels, plan, seed)
+    return predict(rows if to_score is None else to_score, trained.network)

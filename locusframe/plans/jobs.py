@@ -211,13 +211,17 @@ def region_shrinkage(geno: DataFrame, pheno: DataFrame, markers: DataFrame, memb
 def neural_prediction(geno: DataFrame, pheno: DataFrame, valid: DataFrame, valid_pheno: DataFrame,
                       plan: network.TrainingPlan, hidden: int = 1, first_layer: int = 8, reduction: int = 1,
                       activation: str = "sigmoid", batch_size: int = 0, seed: int = 1, early_stop: bool = False,
-                      cases: DataFrame | None = None, apply_qc: bool = True) -> dict[str, DataFrame]:
+                      cases: DataFrame | None = None, apply_qc: bool = True, classes: int = 0) -> dict[str, DataFrame]:
     """QC, standardise, train and predict: tables of predictions, r2, history, weights and scale parameters.
 
     ``cases`` (ids) switches oversampling on: cases are drawn with replacement until there are as many
-    as others, before QC.
+    as others, before QC. With ``classes`` phenotypes are classes from 0 on: the network is a softmax over them, predictions have a
+    probability per class, and ``confusion`` and ``class_report`` take the place of r2.
     """
-    y = transform.standardise_pheno(pheno)
+    def outcome(table: DataFrame) -> DataFrame:
+        return table.filter("y is not null") if classes else transform.standardise_pheno(table)
+
+    y = outcome(pheno)
     if cases is not None:
         plan_rows = materialise(sampling.oversample_plan(y, cases, seed))
         geno = sampling.oversample(geno, plan_rows).select(F.col("row_id").alias("iid"), "marker", "dosage")
@@ -227,12 +231,20 @@ def neural_prediction(geno: DataFrame, pheno: DataFrame, valid: DataFrame, valid
     names = params.select("marker").orderBy("marker").limit(network.MAX_PARAMETERS + 1).toPandas()["marker"].tolist()
     rows = network.training_table(z, y, names, batch_size, seed)
     held = materialise(network.wide(transform.standardise_with(valid, params), names).join(
-        transform.standardise_pheno(valid_pheno), "iid"))
-    net = network.init_network(names, network.layer_widths(hidden, first_layer, reduction), 1, activation, seed)
+        outcome(valid_pheno), "iid"))
+    net = network.init_network(names, network.layer_widths(hidden, first_layer, reduction), classes or 1, activation, seed,
+                               "softmax" if classes else "squared")
     fit = network.train_until_best if early_stop else network.train
     trained = fit(rows, net, plan, held)
-    predictions = network.predict_many(held, {0: trained.network}, with_y=True).select("iid", "y", "yhat")
-    out = {"predictions": predictions, "r2": score.r2(predictions),
+    predictions = network.predict_many(held, {0: trained.network}, with_y=True)
+    if classes:
+        cells = materialise(network.confusion(held, {0: trained.network}))
+        measured = {"predictions": predictions.drop("model"), "confusion": cells.drop("model"),
+                    "class_report": network.class_report(cells).drop("model")}
+    else:
+        predictions = predictions.select("iid", "y", "yhat")
+        measured = {"predictions": predictions, "r2": score.r2(predictions)}
+    out = {**measured,
            "history": network.history_table(geno.sparkSession, trained),
            "weights": network.network_table(geno.sparkSession, trained.network), "params": params}
     if report is not None:
@@ -241,8 +253,11 @@ def neural_prediction(geno: DataFrame, pheno: DataFrame, valid: DataFrame, valid
 
 
 def neural_inference(geno: DataFrame, weights: DataFrame, params: DataFrame, activation: str = "sigmoid",
-                     linear: bool = False) -> DataFrame:
-    """Predictions of new individuals from stored weights and training scale; ``linear`` drops activations."""
-    net = network.load_network(weights, activation)
+                     linear: bool = False, loss: str = "squared") -> DataFrame:
+    """Predictions of new individuals from stored weights and training scale; ``linear`` drops activations.
+
+    All outputs are scored, a row each where there are several; with the loss ``softmax`` as probabilities.
+    """
+    net = network.load_network(weights, activation, loss)
     rows = network.wide(transform.standardise_with(geno, params), net.markers)
     return network.predict(rows, net, linear)

@@ -42,6 +42,49 @@ def test_gradients_match_differences(activation):
         assert abs((penalty(up) - penalty(down)) / 2e-6 - pen[k]) < 1e-5
 
 
+def test_class_gradients_match_differences():
+    net = nn.init_network(list(range(6)), [5, 3], 4, "softplus", seed=2, loss="softmax")
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((9, 6)), rng.integers(0, 4, 9).astype(float)
+    theta, grad = net.flat(), nn.loss_gradient(net, x, y)[0]
+    for k in range(0, len(theta), 3):
+        step = np.zeros_like(theta)
+        step[k] = 1e-6
+        up, down = net.with_flat(theta + step), net.with_flat(theta - step)
+        assert abs((nn.loss_gradient(up, x, y)[1] - nn.loss_gradient(down, x, y)[1]) / 2e-6 - grad[k]) < 1e-5
+    for wrong in (4.0, -1.0, 0.5, np.nan):
+        with pytest.raises(ValueError):
+            nn.loss_gradient(net, x[:1], np.array([wrong]))
+
+
+def test_chunks_of_many_tasks_are_added_up(spark, monkeypatch):
+    monkeypatch.setattr(nn, "FAN_IN", 3)
+    rng = np.random.default_rng(5)
+    rows = [(m, at, 2, rng.random(size).tolist()) for m in (0, 1) for at, size in ((0, 4), (4, 3)) for _ in range(11)]
+    parts = spark.createDataFrame(rows, "model int, at int, n long, g array<double>").repartition(10)
+    got = {(r.model, r.at): r for r in nn._sum_chunks(parts).collect()}
+    assert len(got) == 4
+    for key, r in got.items():
+        want = np.sum([g for m, at, _, g in rows if (m, at) == key], axis=0)
+        assert r.n == 22 and np.abs(np.array(r.g) - want).max() < 1e-12
+
+
+def test_several_outputs_are_trained_and_scored(spark, panel, data):
+    _, held = data
+    rows = held.select("iid", "x", F.array("y", -F.col("y"), F.col("y") * 2).alias("y"), F.lit(0).alias("batch_id"), F.lit(False).alias("is_remainder"))
+    net = nn.init_network(list(range(panel.p)), [4], 3, seed=4)
+    plan = nn.TrainingPlan(epochs=1, learn_rate=0.01, eval_every=1)
+    trained = nn.train(rows, net, plan, rows)
+    y = np.column_stack([panel.y, -panel.y, 2 * panel.y])
+    theta = net.flat() - 0.01 * nn.loss_gradient(net, panel.z, y)[0] / panel.n
+    assert np.abs(theta - trained.network.flat()).max() < 1e-10
+    got = nn.predict(rows, trained.network).toPandas().sort_values(["iid", "output"])
+    want = trained.network.forward(panel.z)[0]
+    assert np.abs(got.yhat.to_numpy().reshape(-1, 3) - want).max() < 1e-10
+    r2 = np.mean([np.corrcoef(want[:, k], y[:, k])[0, 1] ** 2 for k in range(3)])
+    assert abs(trained.history[0][2] - r2) < 1e-9
+
+
 def test_decorrelation_gradient(panel, data):
     net = nn.init_network(list(range(panel.p)), [4, 3], seed=8)
     theta = net.flat()
@@ -148,6 +191,30 @@ def test_interaction_scores(spark):
     assert [r.strength for r in top] == sorted((r.strength for r in top), reverse=True)
 
 
+@pytest.mark.parametrize("order,activation,k,strength", [
+    (2, "relu", 1, 1.0), (3, "sigmoid", 12, 1.5), (3, "leaky", 40, -0.7), (4, "softplus", 5, 1.0), (3, "linear", 10_000, 1.0), (1, "relu", 3, 1.0)])
+def test_bounded_search_finds_the_strongest_sets(spark, order, activation, k, strength):
+    net = nn.init_network([3 * m + 1 for m in range(15)], [6, 4], 2, activation, seed=order)
+    net.w[0][4:7] = net.w[0][1:4]  # ties
+    for output in (0, 1):
+        scan = explain.interaction_scan(spark, net, order, strength).filter(F.col("output") == output).withColumn("strength", F.round("strength", 10))
+        want = explain.strongest_interactions(scan, k).collect()
+        got = explain.top_interactions(spark, net, k, order, strength, output, digits=10).collect()
+        assert [r.markers for r in got] == [r.markers for r in want]
+        assert np.allclose([r.score for r in got], [r.score for r in want], atol=1e-12)
+
+
+def test_bounded_search_scores_few_sets(spark, monkeypatch):
+    n, k = 120, 10
+    net = nn.init_network(list(range(n)), [5], seed=3)
+    net.w[0] *= np.exp(-np.arange(n) / 10)[:, None]
+    monkeypatch.setattr(explain, "FIRST_SETS", 2000)
+    begun = explain.promising_beginnings(spark, net, k).select((n - 1 - F.element_at("places", -1)).alias("n"))
+    assert begun.agg(F.sum("n")).first()[0] < 0.05 * math.comb(n, 3)
+    want = explain.strongest_interactions(explain.interaction_scan(spark, net, 3), k).collect()
+    assert [r.markers for r in explain.top_interactions(spark, net, k).collect()] == [r.markers for r in want]
+
+
 def test_saliency_is_the_gradient_and_smoothgrad_its_limit(panel, data):
     _, held = data
     net = nn.init_network(list(range(panel.p)), [4, 3], seed=6)
@@ -178,9 +245,22 @@ def test_classifier_and_oversampling(spark, panel, data):
     _, held = data
     rows = held.select("iid", "x", (F.col("y") > 0).cast("int").alias("label"))
     scored = nn.classify(rows, [4], epochs=30)
-    p = scored.join(rows, "iid").toPandas()
-    assert np.allclose([sum(v) for v in p.yhat], 1.0)
-    assert np.mean([np.argmax(v) == l for v, l in zip(p.yhat, p.label)]) > 0.8
+    p = scored.toPandas().pivot(index="iid", columns="output", values="yhat")
+    label = rows.toPandas().set_index("iid").label.loc[p.index]
+    assert np.allclose(p.sum(axis=1), 1.0)
+    assert np.mean(p.to_numpy().argmax(axis=1) == label) > 0.8
+    missing = rows.withColumn("label", F.when(F.col("iid") > 3, F.col("label")))
+    trained = nn.train_classifier(missing, [4], 3, nn.TrainingPlan(epochs=4, optimizer="adam", eval_every=4))
+    named = nn.class_rows(missing)
+    cells = nn.confusion(named, {0: trained.network})
+    best = trained.network.forward(panel.z)[0].argmax(axis=1)
+    truth = (panel.y > 0).astype(int)
+    for r in nn.class_report(cells).collect():
+        own, said = truth[4:] == r.label, best[4:] == r.label
+        assert (r.n, r.n_predicted) == (own.sum(), said.sum())
+        assert r.recall == (pytest.approx((own & said).sum() / own.sum()) if own.any() else None)
+        assert r.precision == (pytest.approx((own & said).sum() / said.sum()) if said.any() else None)
+    assert abs(trained.history[-1][1] - (best[4:] == truth[4:]).mean()) < 1e-12
     samples = spark.range(1000).withColumnRenamed("id", "iid")
     plan = sampling.oversample_plan(samples, samples.filter("iid < 50").union(spark.createDataFrame([(5000,)], "iid long")), 9)
     pdf = plan.toPandas()
