@@ -99,21 +99,34 @@ def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pages have no time of capture: one is made from the id
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 61 % 31_536_000)
     index = archive_round_trip(table(spark, sf_dir, "pages"), captured)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
-
-
-_WARC_SQL = """
-    with payload as (
-        select page_id, sha1(coalesce(html, '')) as h, strlen(coalesce(html, ''))::bigint as payload_bytes from pages),
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured",
+                        "url_key", "place")
+
+
+_WARC_SQL = r"""
+    with line as (
+        select page_id, html, regexp_replace(coalesce(url, ''), '[\x00-\x1F\x7F]', '%20', 'g') as url from pages),
+    parts as (
+        select *, regexp_extract(lower(trim(url)), '^(?:([a-z][a-z0-9+.-]*):)?//(?:[^/?#]*@)?([^/?#:\[\]]*)(?::([0-9]*))?([^?#]*)(?:[?]([^#]*))?',
+            ['scheme', 'host', 'port', 'path', 'query']) as u from line),
+    keyed as (
+        select page_id, html, case when coalesce(u.host, '') = '' then lower(url) else
+            array_to_string(list_reverse(string_split(regexp_replace(u.host, '^www\.', ''), '.')), ',')
+            || case when u.port = '' or (u.scheme = 'http' and try_cast(u.port as int) = 80) or (u.scheme = 'https' and try_cast(u.port as int) = 443) then ''
+                else ':' || try_cast(u.port as int) end
+            || ')' || coalesce(nullif(u.path, ''), '/') || case when u.query = '' then '' else '?' || u.query end end as url_key from parts),
+    payload as (
+        select page_id, url_key, sha1(coalesce(html, '')) as h, strlen(coalesce(html, ''))::bigint as payload_bytes from keyed),
     last as (select h, payload_bytes, max(page_id) as first_id, count(*) as n from payload group by all)
-    select page_id, payload_bytes,
+    , captures as (select page_id, payload_bytes,
         list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
             1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::int, 1) for i in range(32)], 'string_agg', '')
             as payload_digest,
         case when n > 1 and first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
         case when n > 1 and page_id is distinct from first_id then first_id end as refers_to,
-        strftime(make_timestamp((1704067200 + page_id * 61 % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
-    from payload join last using (h, payload_bytes)"""
+        strftime(make_timestamp((1704067200 + coalesce(page_id * 61 % 31536000, -1704067200)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured, url_key
+    from payload join last using (h, payload_bytes))
+    select *, row_number() over (order by url_key, captured, page_id nulls first, payload_digest) - 1 as place from captures"""
 
 
 # Longest text that a tool takes; longer arguments stay whole and aren't valid.

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -137,8 +137,8 @@ _NAMES = [c.split()[0] for c in _CAPTURE.split(", ")]
 
 
 def _order(capture: tuple) -> tuple:
-    """Key of the global order: URL key, time, page id (null first)."""
-    return capture[4], capture[5], capture[2] is not None, capture[2] or 0
+    """Key of the global order: URL key, time, page id (null first), and for rows that repeat an id the payload's digest."""
+    return capture[4], capture[5], capture[2] is not None, capture[2] or 0, capture[8]
 
 
 def _read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,17 +245,22 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_index(spark, path: str) -> DataFrame:
-    """The captures of all archives under ``path`` in global order of URL key, time and page id.
+    """The captures of all archives under ``path`` in global order of URL key, time, page id and digest.
 
     Columns: those of a capture (archive ``run`` and ``position`` of the record in its uncompressed bytes, ``page_id, url, url_key, captured,
-    record_type, payload_bytes, payload_digest, refers_to``), ``range`` and ``place``: captures sorted by these two are in the global
-    order. No archives give no rows.
+    record_type, payload_bytes, payload_digest, refers_to``), the ``range`` that merged it and its ``place`` in the whole
+    order, from 0. Ranges count their own captures as they merge; a row per range gives where each starts. No archives give no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
     runs = materialise(files.mapInArrow(_read_runs, _CAPTURE))
     ranges = max(1, -(-runs.count() // RANGE_ROWS))
-    pieces = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", "page_id")
-    return pieces.mapInArrow(_merge, _CAPTURE + ", range int, place long")
+    order = ["url_key", "captured", "page_id", "payload_digest"]
+    pieces = runs.repartitionByRange(ranges, *order).sortWithinPartitions("run", *order)
+    merged = materialise(pieces.mapInArrow(_merge, _CAPTURE + ", range int, place long"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(merged.groupBy("range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return merged.join(starts, "range").withColumn("place", F.col("_start") + F.col("place")).select(*_NAMES, "range", "place")
 
 
 def archive_round_trip(pages: DataFrame, captured: Column, minimum: int = 0, path: str | None = None) -> DataFrame:

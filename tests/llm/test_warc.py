@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from llm_cases import records  # noqa: F401
-from locusframe.llm import queries
+from locusframe.llm import queries, warc
 from locusframe.llm.warc import LoserTree, _url_key, archive_round_trip, read_index, write_archives
 
 
@@ -24,7 +24,8 @@ def odd_pages(spark):
 
 def test_round_trip_equals_the_sql(spark, tmp_path):
     pages = odd_pages(spark)
-    got = archive_round_trip(pages, captured()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
+    got = archive_round_trip(pages, captured()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured",
+                                                           "url_key", "place")
     pages.select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
@@ -52,6 +53,17 @@ def test_payloads_and_order(spark, tmp_path):
         assert rest[:size] == (html[r.page_id] if r.record_type == "response" else b"") and rest[size : size + 4] == b"\r\n\r\n"
 
 
+def test_places_count_through_the_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    rows = [(k % 90, f"http://h{k % 4}.example/{k % 3}", f"text {k % 11}") for k in range(100)]
+    index = archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), captured()).collect()
+    assert len({r.range for r in index}) > 5
+    index.sort(key=lambda r: r.place)
+    assert [r.place for r in index] == list(range(100)) and [r.range for r in index] == sorted(r.range for r in index)
+    order = [(r.url_key, r.captured, r.page_id, r.payload_digest) for r in index]
+    assert order == sorted(order)
+
+
 def test_null_ids(spark):
     rows = [(None, "http://a/", "p"), (3, "http://a/", "p"), (None, "http://b/", "q")]
     got = archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), F.lit(None)).collect()
