@@ -4,7 +4,8 @@ The hash of the first i code points of a text is the sum of ``code * base^positi
 Differences of the prefix array give the hash of any span, up to a power of the base, so spans are compared in constant time, and
 binary search over span comparisons finds the longest common extension of two positions. A fingerprint keeps the smallest mixed hashes
 of all spans of a fixed length (every span of the text, not a sample): equal texts have equal fingerprints, and the
-share of common values among the smallest of two fingerprints estimates the share of common spans.
+share of common values among the smallest of two fingerprints estimates the share of common spans. Texts of fewer than two such
+spans have shorter spans as well, so that a change of a few letters leaves common ones.
 """
 
 from __future__ import annotations
@@ -98,10 +99,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(32)
 
 
+def span_lengths(n: int) -> list[int]:
+    """Lengths of the spans of a text of n code points: ``SPAN``, for texts of fewer than two spans also a quarter of it, for those of less
+    than half a span single code points; a text shorter than a span is a span itself."""
+    lengths = {min(SPAN, n)}
+    if SPAN // 4 <= n < 2 * SPAN:
+        lengths.add(SPAN // 4)
+    if 0 < n < SPAN // 2:
+        lengths.add(1)
+    return sorted(lengths)
+
+
 def fingerprint_of(arrays: PrefixHashes) -> str:
-    """The ``KEPT`` smallest distinct span values in hexadecimal, ascending; a text shorter than a span is one span."""
-    length = min(SPAN, arrays.n)
-    values = _mix(arrays.spans(np.arange(arrays.n - length + 1), length))
+    """The ``KEPT`` smallest distinct values of the text's spans in hexadecimal, ascending."""
+    values = _mix(np.concatenate([arrays.spans(np.arange(arrays.n - length + 1), length) for length in span_lengths(arrays.n)]))
     for keep in (4 * KEPT, len(values)):  # repeats are rare: four times as many values mostly hold enough distinct ones
         few = np.partition(values, keep)[:keep] if keep < len(values) else values
         found = np.unique(few)

@@ -5,7 +5,7 @@ import pytest
 
 from llm_cases import SF, odd_docs  # noqa: F401
 from locusframe.llm.prefix_hashes import (PrefixHashes, code_points, common_extension, common_extensions, edited_fingerprints, fingerprint_of,
-                                          likeness, same_span)
+                                          likeness, same_span, span_lengths)
 
 
 def brute_extension(a, i, b, j):
@@ -66,3 +66,16 @@ def test_likeness_tells_shared_spans():
     prints = [fingerprint_of(PrefixHashes(code_points(t))) for t in (a, a[:3000] + b[:1000], b)]
     assert likeness(prints[0], prints[0]) == 1 and likeness(prints[0], prints[2]) == 0
     assert likeness(prints[0], prints[1]) == pytest.approx(0.6, abs=0.2)
+
+
+def test_short_texts_share_spans_with_their_edits():
+    rng = random.Random(8)
+    for n in range(4, 40):
+        text, other = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(2))
+        edited = text[: n - n // 4] + "#" * (n // 4)
+        own, new, far = (fingerprint_of(PrefixHashes(code_points(t))) for t in (text, edited, other))
+        assert likeness(own, own) == 1 and 0.1 < likeness(own, new) < 1
+        assert likeness(own, far) < likeness(own, new)
+    prints = {fingerprint_of(PrefixHashes(code_points(t))) for t in ("", "a", "ab", "ba", "abc", "cab", "abcd", "dcba")}
+    assert len(prints) == 8
+    assert span_lengths(0) == [0] and span_lengths(3) == [1, 3] and span_lengths(20) == [4, 16] and span_lengths(32) == [16]
