@@ -5,7 +5,7 @@ from conftest import SF
 # One query per family here; ``python tests/check_oracles.py`` runs them all.
 SAMPLE = ("qc_all", "qc_union", "standardise", "dup_rename", "minibatch", "oversample", "uni_reg", "multi_reg", "predict_significant",
           "kinship_add", "kinship_weighted", "he_components", "region_windows", "ridge_hetero", "score_by_allele", "garson",
-          "interaction_scan", "saliency", "uni_reg_sparse")
+          "interaction_scan", "top_interactions", "mlp_class_report", "saliency", "uni_reg_sparse")
 
 
 @pytest.fixture(scope="module")
