@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from llm_cases import odd_docs, records  # noqa: F401
 from locusframe.llm import queries
-from locusframe.llm.mixing import leaf_budgets, mix
+from locusframe.llm.mixing import WORD, leaf_budgets, mix, word_count
 
 
 def sql_rows(docs, tmp_path):
@@ -65,3 +65,12 @@ def test_a_total_is_met_to_the_token(spark, total):
     docs = spark.createDataFrame([(k, "a b c", "en", "s") for k in range(5)], "doc_id long, text string, lang string, source string")
     taken = mix(docs, {}, F.lit("d"), total=total, epochs=4).agg(F.sum("take")).first()[0]
     assert (taken or 0) == total
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    """Pipeline of round 3: the list of a text's words took the executor's memory."""
+    texts = [None, "", " \t\r\n\x0b\x0c", "a", " a  b\tc\n", "\u00a0 \U0001f600\u2003x $1 \\ x", "x\x00y \x1c", "w " * 30_000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = docs.select(word_count(F.col("text")).alias("n"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("want")).collect()
+    assert [r.n for r in got] == [r.want for r in got] == [0, 0, 0, 1, 3, 5, 2, 30_000]
+    assert "regexp_extract_all" not in (plan := docs.select(word_count(F.col("text")))._jdf.queryExecution().toString()) and "regexp_count" not in plan
