@@ -998,7 +998,7 @@ def _(spark, sf):
     select count(*) filter (where i = j) as n, {_r('sum(k) filter (where i = j)', 4)} as trace,
         {_r('sum(case when i = j then k * k else 2 * k * k end)', 4)} as sum_sq from kin""", "kin"))
 def _(spark, sf):
-    t = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0], form="tiles"))
+    t = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0], form="factors"))
     return t.select("n", _rd("trace", 4).alias("trace"), _rd("sum_sq", 4).alias("sum_sq"))
 
 
@@ -1065,7 +1065,7 @@ _HE = _he_sql(_ADD_EPI, 2)
             unnest([s_0_0, s_0_1, s_0_2, s_0_3, s_1_1, s_1_2, s_1_3, s_2_2, s_2_3, s_3_3]) as s from m)""",
                                     "kin", "phz", extra={k: _HE[k] for k in ("pairs", "m")}))
 def _(spark, sf):
-    grm = kinship.kinship_additive(_kept(spark, sf)[0], form="tiles")
+    grm = kinship.kinship_additive(_kept(spark, sf)[0], form="factors")
     return he.cross_products(grm, _phz(spark, sf), epi=2).select("a", "b", _rd("s", 2).alias("s"))
 
 
@@ -1078,7 +1078,7 @@ def _he(spark, sf, residual=False, dominance=False):
     kept = _kept(spark, sf)[0]
     if dominance:
         return he.he_regression_from_genotypes(kept, _phz(spark, sf), 2, residual, dominance=True)
-    return jobs.variance_components(fx.pheno(spark, sf), kinship.kinship_additive(kept, form="tiles"), 2, None, residual)
+    return jobs.variance_components(fx.pheno(spark, sf), kinship.kinship_additive(kept, form="factors"), 2, None, residual)
 
 
 @_register("he_models", _sql(f"""
@@ -1161,7 +1161,7 @@ def _(spark, sf):
 @_register("he_stored_partial_pheno", _sql(_he_parts(he.component_labels(2)), "kin", "kept", "pheno", extra=_SOME | _he_sql(
     _ADD_EPI.replace("phz", "some_phz"), 2)))
 def _(spark, sf):
-    grm = kinship.kinship_additive(_kept(spark, sf)[0], form="tiles")
+    grm = kinship.kinship_additive(_kept(spark, sf)[0], form="factors")
     return _rounded_parts(jobs.variance_components(_some_pheno(spark, sf), grm, 2)[1])
 
 
@@ -1251,12 +1251,12 @@ def _(spark, sf):
 
 @_register("reml_from_kinship", _ORACLES["reml_h2"])
 def _(spark, sf):
-    return _reml_row(jobs.heritability(fx.pheno(spark, sf), grm=kinship.kinship_additive(_kept(spark, sf)[0]), method="exact"))
+    return _reml_row(jobs.heritability(fx.pheno(spark, sf), grm=kinship.kinship_additive(_kept(spark, sf)[0], form="factors"), method="exact"))
 
 
 @_register("reml_from_eigen", _ORACLES["reml_h2"])
 def _(spark, sf):
-    eig = materialise(reml.eigen_summary(kinship.kinship_additive(_kept(spark, sf)[0]), _phz(spark, sf)))
+    eig = materialise(reml.eigen_summary(kinship.kinship_additive(_kept(spark, sf)[0], form="factors"), _phz(spark, sf)))
     return _reml_row(jobs.heritability(fx.pheno(spark, sf), eig=eig))
 
 
@@ -1285,7 +1285,7 @@ def _(spark, sf):
         select (count(*) filter (where i = j))::double as n, sum(k) filter (where i = j) as tr,
             sum(case when i = j then k * k else 2 * k * k end) as ss from kin)""", "kin"))
 def _(spark, sf):
-    traces = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0], form="tiles"))
+    traces = kinship.trace_stats(kinship.kinship_additive(_kept(spark, sf)[0], form="factors"))
     return reml.h2_se_from_traces(traces).select(_rd("h2_se").alias("h2_se"))
 
 

@@ -2,7 +2,8 @@
 
 Every nested model follows from one cross-product matrix over pairs, whose (k + 2)^2 sums are all that reaches the driver. They come from
 stored matrices tile by tile, or straight from genotypes and covariates: the tile tables of all components stream
-through one product, and each block of pairs is reduced where it is computed. No pair is ever a row.
+through one product, and each block of pairs is reduced where it is computed. No pair is ever a row. Where markers are few, the sums follow from
+products of markers (``grm_factors``) and no pair is computed at all.
 
 The people of a fit are those with a phenotype who are in all matrices.
 """
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators import grm_tiles
+from locusframe.operators import grm_factors, grm_tiles
 from locusframe.operators.align import complete_cases
 from locusframe.operators.kinship import covariate_stats
 from locusframe.operators.regression import solve_least_squares
@@ -47,6 +48,14 @@ def _sum_rows(spark, sums: np.ndarray, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(labels[i], labels[j], float(s)) for i, j, s in zip(a, b, sums)], "a string, b string, s double")
 
 
+def _sum_matrix_rows(spark, sums: np.ndarray, names: list[str]) -> DataFrame:
+    return _sum_rows(spark, sums[np.triu_indices(len(sums))], names)
+
+
+def _is_factored(grm) -> bool:
+    return isinstance(grm, grm_factors.Factors)
+
+
 def component_names(epi: int, further: int = 0) -> list[str]:
     return [f"x{k}" for k in range(1, epi + further + 1)]
 
@@ -54,10 +63,13 @@ def component_names(epi: int, further: int = 0) -> list[str]:
 def cross_products(grm: DataFrame, pheno: DataFrame, epi: int = 1, further: list[DataFrame] | None = None) -> DataFrame:
     """Sums of products of (1, x1..xk, z) over all pairs j < i of stored matrices as rows ``(a, b, s)``, ``a <= b``.
 
-    x1 is the value of ``grm``, then come its powers 2..epi and the values of ``further`` matrices; ``z = (y_i - y_j)^2``. Matrices are tile
-    tables, or long rows that are packed into tiles first.
+    x1 is the value of ``grm``, then come its powers 2..epi and the values of ``further`` matrices; ``z = (y_i - y_j)^2``. Matrices are
+    factors, tile tables, or long rows that are packed into tiles first; beside tiles, or with too many columns, factors become tiles.
     """
-    matrices = [grm_tiles.tiled(g) for g in [grm, *(further or [])]]
+    matrices = [grm, *(further or [])]
+    if all(map(_is_factored, matrices)) and not grm_factors.too_many(matrices, epi):
+        return _sum_matrix_rows(grm.sparkSession, grm_factors.pair_sums(matrices, pheno, epi), component_names(epi, len(matrices) - 1))
+    matrices = [grm_factors.as_tiles(g) if _is_factored(g) else grm_tiles.tiled(g) for g in matrices]
     joined = matrices[0].select("rb", "cb", F.col("k").alias("k0"))
     for c, other in enumerate(matrices[1:], 1):
         joined = joined.join(other.select("rb", "cb", F.col("k").alias(f"k{c}")), ["rb", "cb"])
@@ -89,24 +101,24 @@ def people(geno: DataFrame, pheno: DataFrame, covariates: DataFrame | None = Non
 
 def cross_products_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1, dominance: bool = False,
                                   covariates: DataFrame | None = None) -> DataFrame:
-    """The same sums straight from genotypes: blocks of all relationship matrices are reduced where they are computed, and no pair is ever written.
+    """The same sums straight from genotypes: from products of markers where these are few, else blocks of all relationship matrices are reduced where they
+    are computed, and no pair is ever written.
 
     Components: additive, its powers 2..epi, dominance, covariates ``(iid, cov, value)``. The people are those with genotypes, a phenotype and
     all covariates, also for the scale of the markers. The phenotypes travel in blocks beside the tiles.
     """
     known = people(geno, pheno, covariates)
     cells = geno.join(known.select("iid"), "iid", "left_semi")
-    tables, sizes = [], []
-    for source in [cells, *([dominance_recode(cells)] if dominance else [])]:
-        params = materialise(scale_params(source))
-        sizes.append(params.count())
-        tables.append(tile_table(source, "iid", "marker", "dosage", stats=params))
+    sources = [(source, "marker", "dosage", materialise(scale_params(source))) for source in [cells, *([dominance_recode(cells)] if dominance else [])]]
     if covariates is not None:
         given = covariates.where("value is not null").join(known.select("iid"), "iid", "left_semi").select(
             "iid", "cov", F.col("value").cast("double").alias("value"))
-        stats = covariate_stats(given)
-        sizes.append(stats.count())
-        tables.append(tile_table(given, "iid", "cov", "value", stats=stats))
+        sources.append((given, "cov", "value", covariate_stats(given)))
+    factors = [grm_factors.factored(source, *named) for source, *named in sources]
+    if all(map(_is_factored, factors)) and not grm_factors.too_many(factors, epi):
+        return _sum_matrix_rows(geno.sparkSession, grm_factors.pair_sums(factors, known, epi), component_names(epi, len(sources) - 1))
+    sizes = [stats.count() for *_, stats in sources]
+    tables = [tile_table(source, "iid", col, value, stats=stats) for source, col, value, stats in sources]
     many = len(tables)
     names = component_names(epi, many - 1)
 
@@ -184,10 +196,10 @@ def he_regression(grm: DataFrame, pheno: DataFrame, epi: int = 1, dominance: Dat
     All nested models, or with ``only_full`` the one with all components. ``further`` matrices have their ``labels``.
     """
     others = [*([dominance] if dominance is not None else []), *(further or [])]
-    matrices = [grm_tiles.tiled(g) if grm_tiles.is_tiled(g) else materialise(grm_tiles.tiled(g)) for g in [grm, *others]]
+    matrices = [g if _is_factored(g) or grm_tiles.is_tiled(g) else materialise(grm_tiles.tiled(g)) for g in [grm, *others]]
     known = pheno.filter(F.col("y").isNotNull()).select("iid", "y")
     for m in matrices:
-        known = known.join(grm_tiles.individuals(m), "iid", "left_semi")
+        known = known.join(grm_factors.individuals(m) if _is_factored(m) else grm_tiles.individuals(m), "iid", "left_semi")
     known = materialise(known)
     names = component_names(epi, len(others))
     var_y = known.agg(F.var_pop("y")).first()[0]

@@ -1,4 +1,8 @@
-"""Relationship matrices, as symmetric tile tables (``form="tiles"``, see ``grm_tiles``) or as long rows ``grm(i, j, k, n_snps)``, ``j <= i``."""
+"""Relationship matrices, as symmetric tile tables (``form="tiles"``, see ``grm_tiles``) or as long rows ``grm(i, j, k, n_snps)``, ``j <= i``.
+
+With ``form="factors"`` additive and dominance matrices stay products of their markers (see ``grm_factors``), whose size is that of the
+genotypes; where the markers are too many for that, the result is a tile table.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.scalar import maf_score
-from locusframe.operators import grm_tiles
+from locusframe.operators import grm_factors, grm_tiles
 from locusframe.operators.qc import drop_zero_weights
 from locusframe.operators.tiles import gram, row_gram, with_stats
 from locusframe.operators.transform import dominance_recode, scale_params
@@ -32,9 +36,14 @@ def _finish(value: Callable[[np.ndarray], np.ndarray], n_snps: float, form: str)
     return {"emit": emit, "schema": "i long, j long, k double, n_snps double"}
 
 
-def kinship_additive(geno: DataFrame, form: str = "pairs") -> DataFrame:
+def kinship_additive(geno: DataFrame, form: str = "pairs") -> DataFrame | grm_factors.Factors:
     """Mean product of z-scores over markers, for every pair of individuals and the diagonal."""
     params = materialise(scale_params(geno))
+    if form == "factors":
+        found = grm_factors.factored(geno, "marker", "dosage", params)
+        if found is not None:
+            return found
+        form = "tiles"
     p = params.count()
     return gram(geno, "iid", "marker", "dosage", params, **_finish(lambda s: s / p, float(p), form))
 
@@ -120,8 +129,10 @@ def epistasis(grm: DataFrame, power: int) -> DataFrame:
     return grm.withColumn("k", F.pow("k", F.lit(float(power))))
 
 
-def trace_stats(grm: DataFrame) -> DataFrame:
-    """n, trace and sum of squares over the full symmetric matrix, from tiles or from the stored triangle."""
+def trace_stats(grm: DataFrame | grm_factors.Factors) -> DataFrame:
+    """n, trace and sum of squares over the full symmetric matrix, from factors, tiles or the stored triangle."""
+    if isinstance(grm, grm_factors.Factors):
+        return grm_factors.trace_stats(grm)
     if grm_tiles.is_tiled(grm):
         return grm_tiles.trace_stats(grm)
     off = F.col("i") != F.col("j")

@@ -1,8 +1,8 @@
 """Ridge regression / BLUP of marker effects on z-scored markers and y.
 
 Three ways to the same effects ``(Z'Z + delta I)^-1 Z'y``: the p x p system, the n x n system with
-``beta = Z'a``, and conjugate gradients on the tile table. The first two bring their small side to
-the driver (size checked); the last keeps matrix and vectors distributed and has no size limit.
+``beta = Z'a``, and conjugate gradients on the tile table. The first brings its small side to the driver (size checked), the second does so where n is
+small and else takes conjugate gradients for ``a``; gradients keep matrix and vectors distributed and have no size limit.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions.ranking import index_by_integer
 from locusframe.functions.scalar import observed
 from locusframe.operators import cholesky
 from locusframe.operators.regression import dense_triangle, multi_reg, numbered_gram
@@ -112,13 +113,17 @@ def ridge_by_lambda(geno: DataFrame, pheno: DataFrame, lambdas: DataFrame, metho
 
 
 def ridge_dual(geno: DataFrame, pheno: DataFrame, delta: float) -> DataFrame:
-    """Effects from the n x n system (n bounded): ``a = (ZZ' + delta I)^-1 y`` and ``beta = Z'a``.
+    """Effects from the n x n system: ``a = (ZZ' + delta I)^-1 y`` and ``beta = Z'a``.
 
-    The effects are one partial aggregate per marker over genotypes joined to ``a``.
+    Up to ``MAX_DRIVER_SIDE`` individuals the system is solved on the driver, and the effects are one partial aggregate per marker over
+    genotypes joined to ``a``. Beyond, ``a`` comes from conjugate gradients: the products of individuals are never formed, only multiplied with.
     """
     both, present = people(geno, pheno)
     params = materialise(scale_params(both))
-    rows = collect_bounded(present, MAX_DRIVER_SIDE, "individuals of a dual solve")
+    present = materialise(present)
+    if present.count() > MAX_DRIVER_SIDE:
+        return _dual_gradients(both, present, params, delta)
+    rows = present.collect()
     ids = np.array(sorted(r.iid for r in rows), np.int64)
     y = np.zeros(len(ids))
     y[np.searchsorted(ids, [r.iid for r in rows])] = [r.y for r in rows]
@@ -130,6 +135,27 @@ def ridge_dual(geno: DataFrame, pheno: DataFrame, delta: float) -> DataFrame:
     return cells.join(dual, "iid").groupBy("marker").agg(F.sum(z * F.col("a")).alias("beta"))
 
 
+def _dual_gradients(cells: DataFrame, pheno: DataFrame, params: DataFrame, delta: float, tolerance: float = 1e-12, max_steps: int = 2000) -> DataFrame:
+    """The dual system by conjugate gradients on tiles; markers are numbered densely, so that tiles hold no empty columns."""
+    named = materialise(index_by_integer(params, "marker"))
+    p = named.count()
+    cols = min(max(p, 1), COLS)
+    numbered = cells.join(F.broadcast(named.select("marker", "idx")) if p <= MAX_DRIVER_SIDE else named.select("marker", "idx"), "marker")
+    tiles = materialise(tile_table(numbered, "iid", "idx", "dosage", ROWS, cols, named.select("idx", "mean", "sd")))
+    shape = block_counts(tiles)
+    mean_y = pheno.agg(F.avg("y")).first()[0]
+    y = to_blocks(pheno.select("iid", (F.col("y") - F.lit(mean_y)).alias("y")), "iid", "y", ROWS)
+    start = materialise(y.select("block", F.transform("v", lambda _: F.lit(0.0)).alias("x"), F.col("v").alias("r"), F.col("v").alias("p")))
+
+    def multiply(direction: DataFrame) -> DataFrame:
+        across = tile_times(tiles, shape, direction, ROWS, cols, transpose=True)
+        return tile_times(tiles, shape, across, ROWS, cols, transpose=False)
+
+    solved = _steps(start, multiply, delta, tolerance, max_steps)
+    effects = tile_times(tiles, shape, solved.select("block", F.col("x").alias("v")), ROWS, cols, transpose=True)
+    return from_blocks(effects, "v", cols, "idx", "beta").join(named.select("marker", "idx"), "idx").select("marker", "beta")
+
+
 def ridge_observation_weighted(geno: DataFrame, pheno: DataFrame, weights: DataFrame, delta: float,
                                weight_outcome: bool = True) -> DataFrame:
     """``(Z'WZ + delta I)^-1 Z'Wy`` with weights per individual ``(iid, w)``.
@@ -264,21 +290,15 @@ def _folded(params: DataFrame, scales: DataFrame | None) -> DataFrame:
         "marker", "mean", "sd", F.coalesce("d", F.lit(0.0)).alias("d"))
 
 
-def _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols) -> DataFrame:
-    shape = block_counts(tiles)
-    mean_y = pheno.agg(F.avg("y")).first()[0]
-    y = to_blocks(pheno.select("iid", (F.col("y") - F.lit(mean_y)).alias("y")), "iid", "y", rows)
-    right = tile_times(tiles, shape, y, rows, cols, transpose=True)
-    state = materialise(right.select("block", F.transform("v", lambda _: F.lit(0.0)).alias("x"),
-                                     F.col("v").alias("r"), F.col("v").alias("p")))
+def _steps(state: DataFrame, multiply, delta: float, tolerance: float, max_steps: int) -> DataFrame:
+    """Conjugate gradients from ``state(block, x, r, p)`` for a matrix plus ``delta`` on its diagonal; ``multiply`` maps blocks ``(block, v)`` to its
+    product with the matrix."""
     rr = start = state.agg(F.sum(_dot("r", "r"))).first()[0]
     for _ in range(max_steps):
         if rr is None or rr <= tolerance * tolerance * start:
             break
         direction = state.select("block", F.col("p").alias("v"))
-        across = tile_times(tiles, shape, direction, rows, cols, transpose=False)
-        back = tile_times(tiles, shape, across, rows, cols, transpose=True)
-        joined = materialise(state.join(back, "block").withColumn("q", _axpy("v", "p", delta)).drop("v"))
+        joined = materialise(state.join(multiply(direction), "block").withColumn("q", _axpy("v", "p", delta)).drop("v"))
         step = rr / joined.agg(F.sum(_dot("p", "q"))).first()[0]
         moved = joined.select("block", _axpy("x", "p", step).alias("x"), _axpy("r", "q", -step).alias("r"), "p")
         new = moved.agg(F.sum(_dot("r", "r"))).first()[0]
@@ -288,14 +308,30 @@ def _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols) ->
     else:
         if rr > tolerance * tolerance * start:
             raise ValueError(f"no convergence in {max_steps} steps (residual {(rr / start) ** 0.5:.1e})")
+    return state
+
+
+def _gradients(tiles, pheno, params, delta, tolerance, max_steps, rows, cols) -> DataFrame:
+    shape = block_counts(tiles)
+    mean_y = pheno.agg(F.avg("y")).first()[0]
+    y = to_blocks(pheno.select("iid", (F.col("y") - F.lit(mean_y)).alias("y")), "iid", "y", rows)
+    right = tile_times(tiles, shape, y, rows, cols, transpose=True)
+    state = materialise(right.select("block", F.transform("v", lambda _: F.lit(0.0)).alias("x"),
+                                     F.col("v").alias("r"), F.col("v").alias("p")))
+
+    def multiply(direction: DataFrame) -> DataFrame:
+        across = tile_times(tiles, shape, direction, rows, cols, transpose=False)
+        return tile_times(tiles, shape, across, rows, cols, transpose=True)
+
+    state = _steps(state, multiply, delta, tolerance, max_steps)
     effects = from_blocks(state, "x", cols, "marker", "beta")
     return params.select("marker", "d").join(effects, "marker", "left").select(
         "marker", (F.col("d") * F.coalesce("beta", F.lit(0.0))).alias("beta"))
 
 
 def fit_effects(geno: DataFrame, pheno: DataFrame, delta: float, method: str = "gradients") -> DataFrame:
-    """Ridge effects by ``method``, whatever the sizes: ``gradients`` (no bound), or the exact small systems ``markers`` (p bounded) and
-    ``individuals`` (n bounded). ``delta = -1`` is plain least squares without the intercept's coefficient."""
+    """Ridge effects by ``method``, whatever the sizes: ``gradients`` (no bound), the exact small system ``markers`` (p bounded), or the dual
+    one, ``individuals``. ``delta = -1`` is plain least squares without the intercept's coefficient."""
     if delta == -1:
         geno, present = people(geno, pheno)
         params = materialise(scale_params(geno))

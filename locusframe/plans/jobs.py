@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.operators import grm_tiles, haseman_elston, kinship, network, qc, regression, reml, ridge, sampling, scan, score, transform
+from locusframe.operators import grm_factors, grm_tiles, haseman_elston, kinship, network, qc, regression, reml, ridge, sampling, scan, score, transform
 from locusframe.operators.align import complete_cases, concat_regions, region_order, resolve_rsids
 from locusframe.functions.scalar import MAX_DELTA
 from locusframe.session import materialise
@@ -82,7 +82,7 @@ def merge_files(spark: SparkSession, prefixes: list[str], out: str) -> None:
 
 def heritability(pheno: DataFrame, geno: DataFrame | None = None, grm: DataFrame | None = None,
                  eig: DataFrame | None = None, method: str = "lanczos", covariates: DataFrame | None = None) -> DataFrame:
-    """Heritability report from genotypes, a relationship matrix (tiles or long rows) or a stored eigen summary.
+    """Heritability report from genotypes, a relationship matrix (factors, tiles or long rows) or a stored eigen summary.
 
     ``method`` is that of ``reml.reml``: ``lanczos`` has no bound on people or markers; with a relationship matrix any other is exact.
     ``covariates(iid, cov, value)`` are fixed effects (not with an eigen summary, which holds its own projection).
@@ -92,10 +92,12 @@ def heritability(pheno: DataFrame, geno: DataFrame | None = None, grm: DataFrame
             raise ValueError("an eigen summary has no further fixed effects")
         return reml.reml_from_eigen(eig, trait(pheno, eig.select(F.explode("ids").alias("iid"))))
     if grm is not None:
-        inside = grm_tiles.individuals(grm) if grm_tiles.is_tiled(grm) else grm.where("i = j").select(F.col("i").alias("iid"))
-        y = trait(pheno, _complete(inside, covariates))
+        y = trait(pheno, _complete(_inside(grm), covariates))
+        factored = isinstance(grm, grm_factors.Factors)
         if method == "lanczos":
-            return reml.reml_lanczos_from_grm(grm, y, covariates=covariates)
+            return reml.reml_lanczos_from_grm(grm_factors.as_tiles(grm) if factored else grm, y, covariates=covariates)
+        if factored:
+            return reml.reml_from_factors(grm, y, covariates)
         return reml.reml_from_grm(grm_tiles.pairs(grm) if grm_tiles.is_tiled(grm) else grm, y, covariates)
     if geno is None:
         raise ValueError("genotypes, a relationship matrix or an eigen summary is required")
@@ -103,6 +105,13 @@ def heritability(pheno: DataFrame, geno: DataFrame | None = None, grm: DataFrame
     return reml.reml(kept, trait(pheno, _complete(kept, covariates)), method, covariates)
 
 
+def _inside(grm) -> DataFrame:
+    """The individuals of a relationship matrix in any form."""
+    if isinstance(grm, grm_factors.Factors):
+        return grm_factors.individuals(grm)
+    return grm_tiles.individuals(grm) if grm_tiles.is_tiled(grm) else grm.where("i = j").select(F.col("i").alias("iid"))
+
+
 def _complete(ids: DataFrame, covariates: DataFrame | None) -> DataFrame:
     ids = ids.select("iid").distinct()
     return ids if covariates is None else ids.join(complete_cases(covariates), "iid", "left_semi")
@@ -116,9 +125,8 @@ def trait(pheno: DataFrame, ids: DataFrame) -> DataFrame:
 
 def variance_components(pheno: DataFrame, grm: DataFrame, epi: int = 1, dominance: DataFrame | None = None,
                         residual: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Haseman-Elston models of a stored relationship matrix, in tiles or long rows."""
-    inside = grm_tiles.individuals(grm) if grm_tiles.is_tiled(grm) else grm.where("i = j").select(F.col("i").alias("iid"))
-    return haseman_elston.he_regression(grm, trait(pheno, inside), epi, dominance, residual)
+    """Haseman-Elston models of a relationship matrix, in factors, tiles or long rows."""
+    return haseman_elston.he_regression(grm, trait(pheno, _inside(grm)), epi, dominance, residual)
 
 
 def variance_components_from_genotypes(geno: DataFrame, pheno: DataFrame, epi: int = 1, dominance: bool = False,
