@@ -185,14 +185,23 @@ def wide(z: DataFrame, markers: list[int], value: str = "z") -> DataFrame:
     return cells.select("iid", F.col("c.v").alias("x"))
 
 
+# Rows of a minibatch that one task takes, and folders of a training table.
+SMALL_BATCH, MAX_FOLDERS = 8192, 4096
+
+
 def training_table(z: DataFrame, pheno: DataFrame, markers: list[int], batch_size: int = 0, seed: int = 1,
                    tasks: int | None = None) -> DataFrame:
     """Shuffled, numbered and stored training rows ``(iid, x, y, batch_id, is_remainder)``.
 
-    Rows are sorted by batch inside each file, so a step on one batch skips the row groups of others.
+    Rows are sorted by batch inside each file, so a step on one batch skips the row groups of others. Minibatches of up to ``SMALL_BATCH`` rows
+    have folders (at most ``MAX_FOLDERS``, a column ``folder``), so that a step reads no others' file and is one task.
     """
     numbered = minibatches(pheno.select("iid", "y"), batch_size, seed)
     rows = wide(z, markers).join(numbered, "iid").select("iid", "x", "y", "batch_id", "is_remainder")
+    if 0 < batch_size <= SMALL_BATCH:
+        together = -(-(pheno.count() // batch_size + 1) // MAX_FOLDERS)
+        foldered = rows.withColumn("folder", F.expr(f"cast(batch_id div {together} as int)"))
+        return materialise(foldered.repartition("folder").sortWithinPartitions("folder", "batch_id"), "folder")
     n = tasks or z.sparkSession.sparkContext.defaultParallelism
     return materialise(rows.repartition(n, hash_order("iid", seed)).sortWithinPartitions("batch_id"))
 
@@ -374,8 +383,9 @@ def _sum_chunks(parts: DataFrame) -> DataFrame:
     return add(add(grouped, "part").drop("part"))
 
 
-def _gradients(rows: DataFrame, nets: dict[int, Network], plans: dict[int, TrainingPlan], epoch: int):
-    """Mean gradient per model over ``rows``: one scan, partial sums added by Spark."""
+def _gradients(rows: DataFrame, nets: dict[int, Network], plans: dict[int, TrainingPlan], epoch: int, small: bool = False):
+    """Mean gradient per model over ``rows``: one scan, partial sums added by Spark. Few rows (``small``) go to one task, whose sums are the result."""
+    rows = rows.coalesce(1) if small else rows
     pulls = _batch_covariances(rows, nets, plans, epoch)
     shipped = rows.sparkSession.sparkContext.broadcast(
         {k: (vars(n), plans[k].dropout, plans[k].seed, pulls.get(k)) for k, n in nets.items()})
@@ -404,7 +414,7 @@ def _gradients(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
 
     parts = rows.select("iid", "x", "y").mapInArrow(partial, "model int, at int, n long, g array<double>")
     out = {k: np.zeros(n.size) for k, n in nets.items()}
-    for r in _sum_chunks(parts).toArrow().to_batches():
+    for r in (parts if small else _sum_chunks(parts)).toArrow().to_batches():
         sums, ends = r.column("g").flatten().to_numpy(), r.column("g").offsets.to_numpy() - r.column("g").offsets[0].as_py()
         for i, (model, at, n) in enumerate(zip(*(r.column(c).to_pylist() for c in ("model", "at", "n")))):
             out[model][at:at + ends[i + 1] - ends[i]] = sums[ends[i]:ends[i + 1]] / n
@@ -449,10 +459,13 @@ def train_many(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
 
     The incomplete last batch is left out of training. Every step is one job for all models.
     """
-    sizes = rows.groupBy("batch_id", "is_remainder").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_id").collect()
+    foldered = ["folder"] if "folder" in rows.columns else []
+    sizes = rows.groupBy("batch_id", "is_remainder", *foldered).agg(F.count(F.lit(1)).alias("n")).orderBy("batch_id").collect()
     total = sum(r.n for r in sizes)
     share = {r.batch_id: r.n / total for r in sizes if not r.is_remainder}
     batches = list(share)
+    folder = {r.batch_id: r.folder for r in sizes} if foldered else {}
+    small = {r.batch_id: r.n <= SMALL_BATCH for r in sizes}
     state = {k: Step(*(np.zeros(n.size) for _ in range(3))) for k, n in nets.items()}
     rate = {k: p.learn_rate for k, p in plans.items()}
     done = {k: Trained(n) for k, n in nets.items()}
@@ -460,7 +473,8 @@ def train_many(rows: DataFrame, nets: dict[int, Network], plans: dict[int, Train
         live = {k: done[k].network for k in nets if epoch < plans[k].epochs}
         for batch in batches:
             data = rows.filter(F.col("batch_id") == batch) if len(batches) > 1 else rows.filter("not is_remainder")
-            for k, g in _gradients(data, live, plans, epoch).items():
+            data = data.filter(F.col("folder") == folder[batch]) if foldered else data
+            for k, g in _gradients(data, live, plans, epoch, bool(foldered) and small[batch]).items():
                 g = g + penalty_gradient(live[k], plans[k], share[batch])
                 live[k] = live[k].with_flat(_update(live[k].flat(), g, state[k], plans[k], rate[k]))
         for k, net in live.items():

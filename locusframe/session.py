@@ -71,8 +71,8 @@ def _shuffles_removed(spark: SparkSession):
             spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back.
+def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to a scratch table and read it back; with ``folder``, its last column, each value of that has a folder of its own.
 
     It cuts the lineage on shared storage, so a lost executor costs no recomputation, and gives
     Spark the true size of the table: whether it is broadcast or sort-merge joined then follows
@@ -81,7 +81,7 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(folder) if folder else df.write).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch_path = path
     return stored
