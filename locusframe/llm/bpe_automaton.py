@@ -112,40 +112,51 @@ class Automaton:
 
     def _fill_table(self) -> None:
         """The byte table as an array: from every entry (a beginning of labels) and byte to the longest beginning that ends
-        there, and for each entry the arcs whose labels end there, longest first, without and with the word's end."""
+        there, and for each entry the arcs whose labels end there, longest first, without and with the word's end.
+
+        An entry that no longer beginning follows goes on as the one that it falls back to, so only the others have a row; ``row`` holds where
+        an entry's row starts.
+        """
         n = len(self._parent)
         parent, byte = np.array(self._parent), np.array(self._byte)
+        del self._edges, self._parent, self._byte, self._entry
         depth = np.zeros(n, np.int64)
         for k in range(1, n):  # a parent comes before its children
             depth[k] = depth[parent[k]] + 1
+        inner = np.zeros(n, bool)
+        inner[0] = inner[parent[1:]] = True
+        row = np.cumsum(inner) - 1
         fail = np.zeros(n, np.int64)
-        table = np.zeros((n, 256), np.int32)
+        table = np.zeros((int(inner.sum()), 256), np.int32)
         self.ends: list[tuple[int, ...]] = [()] * n
         self.word_ends: list[tuple[int, ...]] = [()] * n
         level = np.zeros(1, np.int64)
         for d in range(1, int(depth.max(initial=0)) + 2):
             if d > 1:
-                table[level] = table[fail[level]]
+                row[level] = np.where(inner[level], row[level], row[fail[level]])
+                own = level[inner[level]]
+                table[row[own]] = table[row[fail[own]]]
             after = np.flatnonzero(depth == d)
             if d > 1:
-                fail[after] = table[parent[after], byte[after]]
-            table[parent[after], byte[after]] = after
+                fail[after] = table[row[parent[after]], byte[after]]
+            table[row[parent[after]], byte[after]] = after
             level = after
         for k in np.argsort(depth, kind="stable").tolist():
             own, less = self._arcs_at.get(k, ()), int(fail[k])
             self.ends[k] = tuple(t for t in own if not self.marked[t]) + self.ends[less]
             self.word_ends[k] = tuple(t for t in own if self.marked[t]) + self.word_ends[less]
+        del self._arcs_at
+        self.row = (row << 8).tolist()
         self.table = memoryview(table.reshape(-1))
-        del self._edges, self._parent, self._byte, self._arcs_at, self._entry
 
     def encode(self, word: bytes, marked: bool = False) -> tuple[int, ...]:
         """The labels of the accepted path that spells ``word``; ``marked``: its last symbol carries the word's end."""
         n = len(word)
         last, states = [-1] * (n + 1), [0] * (n + 1)
-        table, ends, length, state_of, size, known = self.table, self.ends, self.length, self.state_of, self.size, self._known_arcs
+        table, row, ends, length, state_of, size, known = self.table, self.row, self.ends, self.length, self.state_of, self.size, self._known_arcs
         entry = 0
         for i, b in enumerate(word, 1):
-            entry = table[entry << 8 | b]
+            entry = table[row[entry] | b]
             for t in self.word_ends[entry] if marked and i == n else ends[entry]:
                 state = states[i - length[t]]
                 if state:

@@ -53,7 +53,8 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.merges: list[tuple[str, str]] = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._library = Tokenizer.from_file(path)
+        # the library splits only: without its own copy of the model
+        self._library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self._special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self._lower = spec["normalizer"] is not None
         self._short = _WORDS if self._lower else _WITH_SPACE

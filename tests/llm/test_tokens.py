@@ -97,6 +97,15 @@ def test_automaton_equals_merging_by_rank():
             assert [spelled[i] for i in auto.encode(word.encode())] == naive_bpe(word, merges)
 
 
+def test_a_codec_is_small():
+    """Entries that nothing follows share the row of the entry that they fall back to; the library only splits."""
+    vocab = Vocabulary(BYTE)
+    auto = Automaton(vocab)
+    rows = len(auto.table) // 256
+    assert len(set(auto.row)) == rows < 0.7 * len(auto.row) and len(auto.row) == len(auto.ends)
+    assert vocab._library.get_vocab_size() == 0
+
+
 def test_caches_stay_bounded():
     made = []
     cache = TwoAges(lambda w: made.append(w) or w * 2, 1000)
