@@ -31,4 +31,4 @@ def test_rounding_of_pairs(spark):
     for digits in (4, 6):
         both = values.select(entry._rd("k", digits).alias("a"), entry._rk("k", digits).alias("b"))
         assert both.where("not (a <=> b)").count() == 0
-        assert both.where("b = 0 and 1 / b < 0").count() == 0
+        assert both.where("string(b) = '-0.0'").count() == 0
