@@ -13,6 +13,8 @@ from locusframe.llm.common import per_process
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+# Tables of powers grow by so many entries; doubled, those for a slice of a little over 1 MB took 32 MB of every worker.
+POWER_STEP = 1 << 17
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
@@ -20,7 +22,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     tables = per_process("words", ("powers",), lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
     if len(tables[0]) < n:
         for k, factor in enumerate((BASE, _INVERSE)):
-            steps = np.full(1 << int(n - 1).bit_length(), factor, np.uint64)
+            steps = np.full(-(-n // POWER_STEP) * POWER_STEP, factor, np.uint64)
             steps[0] = 1
             tables[k] = np.cumprod(steps)
     return tables

@@ -41,6 +41,7 @@ def text_slices(texts: pa.Array) -> Iterator[list[str]]:
     step = max(1, min(SLICE_ROWS, SLICE_BYTES // mean))
     for at in range(0, len(texts), step):
         yield [t or "" for t in texts.slice(at, step).to_pylist()]
+    _trim()  # a worker that waits for its next batch, or for another stage, holds no free memory
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -86,8 +87,13 @@ def per_process(use: str, key: tuple, make: Callable[[], object], version: str =
 
 
 def _give_back() -> None:
-    """Return freed memory to the system, where its C library can do that."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
+    """Return freed memory to the system, where its C library can do that."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

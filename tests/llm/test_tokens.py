@@ -5,7 +5,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from llm_cases import SF, odd_docs  # noqa: F401
-from locusframe.llm.bpe_automaton import Automaton, Codec, TwoAges, decode_column, encode_column, round_trip
+from locusframe.llm import byte_words
+from locusframe.llm.bpe_automaton import Automaton, Codec, TwoAges, codec, decode_column, encode_column, round_trip
 from locusframe.llm.pretokens import Vocabulary
 from locusframe.llm.token_counts import frequent_pretokens, token_counts
 
@@ -106,6 +107,29 @@ def test_a_codec_is_small():
     assert vocab._library.get_vocab_size() == 0
 
 
+def test_a_workers_table_shares_blocks():
+    """Pipeline (bpe): a worker held 256 numbers for each entry that something follows, and the merges after they were compiled."""
+    for path in (BYTE, WORD):
+        vocab = Vocabulary(path)
+        full, small = Automaton(vocab), Automaton(vocab, compact=True)
+        assert small.table.nbytes + small.block.nbytes < full.table.nbytes / 5 and len(small.row) == len(full.row)
+        rng = random.Random(3)
+        letters = [bytes([b]) for b in range(256)] if path == BYTE else [c.encode() for c in "abcdefghijklmnopqrstuvwxyz"]
+        for w in [b"".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(2000)] + [b"unbelievable", b"tokenization"]:
+            assert small.encode(w, bool(vocab.word_end)) == full.encode(w, bool(vocab.word_end))
+    held = codec(BYTE)
+    assert not held.vocab.ids and not held.vocab.merges and codec(BYTE) is held
+    assert held.encode("the <|endoftext|> unbelievable \u4e2d") == Codec(BYTE).encode("the <|endoftext|> unbelievable \u4e2d")
+
+
+def test_powers_are_no_longer_than_needed():
+    """Pipeline: power tables were doubled, 32 MB of a worker for slices of a little over 1 MB."""
+    tables = byte_words._power_tables((1 << 20) + 5)
+    assert all(len(t) <= (1 << 20) + byte_words.POWER_STEP for t in tables)
+    assert all(int(tables[0][k]) == pow(int(byte_words.BASE), k, 1 << 64) for k in (0, 1, 77, 1 << 20))
+    assert (tables[0][: 1 << 20] * tables[1][: 1 << 20] == 1).all()
+
+
 def test_caches_stay_bounded():
     made = []
     cache = TwoAges(lambda w: made.append(w) or w * 2, 1000)
