@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 from llm_cases import SF, odd_docs  # noqa: F401
 from locusframe.llm import byte_words
 from locusframe.llm.bpe_automaton import Automaton, Codec, TwoAges, codec, decode_column, encode_column, round_trip
+from locusframe.llm.common import per_process
 from locusframe.llm.pretokens import Vocabulary
 from locusframe.llm.token_counts import frequent_pretokens, token_counts
 
@@ -124,6 +125,7 @@ def test_a_workers_table_shares_blocks():
 
 def test_powers_are_no_longer_than_needed():
     """Pipeline: power tables were doubled, 32 MB of a worker for slices of a little over 1 MB."""
+    per_process("tests", ("nothing",), list)  # tables of earlier tests go
     tables = byte_words._power_tables((1 << 20) + 5)
     assert all(len(t) <= (1 << 20) + byte_words.POWER_STEP for t in tables)
     assert all(int(tables[0][k]) == pow(int(byte_words.BASE), k, 1 << 64) for k in (0, 1, 77, 1 << 20))
