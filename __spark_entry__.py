@@ -404,7 +404,7 @@ def _(spark, sf):
 @_register("epistasis_power", _sql(f"select i, j, {_r('k * k * k')} as k from kin", "kin"))
 def _(spark, sf):
     cubed = kinship.epistasis(kinship.kinship_additive(_kept(spark, sf)[0], form="tiles"), 3)
-    return grm_tiles.pairs(cubed).select("i", "j", _rk("k"))
+    return grm_tiles.pairs(cubed, 6).select("i", "j", _rk("k"))
 
 
 @_register("h2_delta", _sql(f"select region_id, {_r('delta')} as delta, {_r('1 / (1 + delta)')} as h2 from rdelta", "rdelta"))

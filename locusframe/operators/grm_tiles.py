@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators.tiles import ROWS, STRIPE, tile_table
+from locusframe.operators.tiles import ROWS, STRIPE, stored_order, tile_table, value_keys
 from locusframe.session import materialise
 
 TILE_ROWS, TILE_COLS = STRIPE, ROWS
+HELD = 512
 SCHEMA = "rb int, cb int, k binary, n binary"
 
 
@@ -84,8 +85,12 @@ def from_pairs(grm: DataFrame) -> DataFrame:
     return k.join(n, ["rb", "cb"]).select("rb", "cb", "k", "n").mapInArrow(shorten, SCHEMA)
 
 
-def pairs(tiles: DataFrame) -> DataFrame:
-    """Long rows ``(i, j, k, n_snps)``, ``j <= i``, of a tile table."""
+def pairs(tiles: DataFrame, digits: int | None = None) -> DataFrame:
+    """Long rows ``(i, j, k, n_snps)``, ``j <= i``, of a tile table.
+
+    Those of values that will be rounded to ``digits`` come in the order in which they take least storage (``stored_order``), ``HELD`` tiles at a time.
+    """
+    cells, bits = TILE_ROWS * TILE_COLS, (HELD * TILE_ROWS * TILE_COLS - 1).bit_length()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +100,32 @@ def pairs(tiles: DataFrame) -> DataFrame:
                 counts = np.broadcast_to(counts_of(n), k.shape)
                 yield pa.record_batch({"i": rb * TILE_ROWS + at_i, "j": cb * TILE_COLS + at_j, "k": k[at_i, at_j], "n_snps": counts[at_i, at_j]})
 
-    return tiles.select("rb", "cb", "k", "n").mapInArrow(unpack, "i long, j long, k double, n_snps double")
+    def sent(values: np.ndarray, key: np.ndarray, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rb, cb, counts = (np.array(x) for x in zip(*held))
+        for places in stored_order(values.ravel(), key, bits, digits):
+            tile, at = np.divmod(places, cells)
+            at_i, at_j = np.divmod(at, TILE_COLS)
+            yield pa.record_batch({"i": rb[tile] * TILE_ROWS + at_i, "j": cb[tile] * TILE_COLS + at_j, "k": values.ravel()[places], "n_snps": counts[tile]})
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, key, held, found = np.empty((HELD, cells)), np.empty(HELD * cells, np.int64), [], 0
+        for batch in batches:
+            for rb, cb, k, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(n) > 8:  # a count per pair
+                    yield from unpack([_batch([rb], [cb], [k], [n])])
+                    continue
+                values[len(held)] = values_of(k).ravel()
+                at = np.flatnonzero(~np.isnan(values[len(held)]))
+                key[found:found + len(at)] = value_keys(values[len(held)][at], len(held) * cells + at, bits)
+                found += len(at)
+                held.append((rb, cb, counts_of(n)[0]))
+                if len(held) == HELD:
+                    yield from sent(values, key[:found], held)
+                    held, found = [], 0
+        if held:
+            yield from sent(values, key[:found], held)
+
+    return tiles.select("rb", "cb", "k", "n").mapInArrow(unpack if digits is None else in_order, "i long, j long, k double, n_snps double")
 
 
 def tiled(grm: DataFrame) -> DataFrame:

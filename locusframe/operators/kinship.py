@@ -106,7 +106,7 @@ def kinship_gaussian(geno: DataFrame, theta: float = 0.5, form: str = "pairs", d
 def long_rows(grm: DataFrame | grm_factors.Factors, digits: int | None = None) -> DataFrame:
     """Long rows of a matrix in any form; those of factors are written where they are computed."""
     if not isinstance(grm, grm_factors.Factors):
-        return grm_tiles.pairs(grm) if grm_tiles.is_tiled(grm) else grm
+        return grm_tiles.pairs(grm, digits) if grm_tiles.is_tiled(grm) else grm
     p = grm.p
     return row_gram(grm.tiles.withColumn("cb", F.lit(0)), ROWS, p, **_finish(lambda s: s / p, float(p), "pairs", digits))
 

@@ -135,6 +135,10 @@ def test_rows_of_large_blocks_come_by_value_where_that_is_smaller(spark, panel,
 
     as_is, by_value, all_differ = (runs(kinship.kinship_additive(large.geno, digits=d), k) for d in (None, 2, 12))
     assert by_value < as_is / 4 and all_differ > as_is / 2
+    cubes = kinship.epistasis(kinship.kinship_additive(large.geno, form="tiles"), 3)
+    assert runs(grm_tiles.pairs(cubes, 2), k**3) < runs(grm_tiles.pairs(cubes), k**3) / 4
+    counted = kinship.kinship_additive(panel.geno).withColumn("n_snps", 1.0 + (F.col("i") + F.col("j")) % 3)  # a count per pair
+    assert grm_tiles.pairs(grm_tiles.from_pairs(counted), 2).exceptAll(counted).count() == 0
 
 
 def test_products_take_only_columns_with_statistics():
